@@ -44,29 +44,33 @@ def token_bucket(tok: ColumnOrName, dim: int = HASH_DIM) -> Column:
     return F.pmod(h, F.lit(dim)).cast("int")
 
 
+def hash_counts(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM) -> DataFrame:
+    """(id, bucket, cnt): token counts per hash bucket. The explode is a
+    narrow Generate; the aggregation combines map-side, so at most ``dim``
+    rows per input row are shuffled."""
+    tok = df.select(F.col(id_col).alias("_id"), F.explode(tokens(text_col)).alias("_tok"))
+    return (tok.select("_id", token_bucket("_tok", dim).alias("bucket"))
+               .groupBy("_id", "bucket").agg(F.count(F.lit(1)).alias("cnt"))
+               .withColumnRenamed("_id", id_col))
+
+
 def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,
                out_col: str = "embedding") -> DataFrame:
     """Dense unit-length bag-of-hashed-tokens vectors, one row per input row
-    that has at least one token.
+    that has at least one token (``id_col`` must be unique).
 
-    Plan: explode tokens (a narrow Generate) -> partial aggregation per row
-    into ``dim`` counters (map side) -> one shuffle keyed by id -> final
-    aggregation that also yields the norm. The norm is an aggregate output,
-    so the division below reads a stored value instead of recomputing it per
-    element. ``id_col`` must be unique.
+    Counts per (id, bucket) are folded per id into a bucket -> count map and
+    the norm in the same aggregation (at most ``dim`` entries per id); the
+    dense vector reads both as stored values.
     """
-    tok = df.select(F.col(id_col).alias("_id"), F.explode(tokens(text_col)).alias("_tok"))
-    b = tok.select("_id", token_bucket("_tok", dim).alias("_b"))
-    aggs = [F.count_if(F.col("_b") == F.lit(i)).alias(f"_c{i}") for i in range(dim)]
-    counts = b.groupBy("_id").agg(*aggs)
-    cols = [F.col(f"_c{i}") for i in range(dim)]
-    sq = cols[0] * cols[0]
-    for c in cols[1:]:
-        sq = sq + c * c
-    norm = F.sqrt(sq.cast("double"))
-    vec = F.array(*[(c.cast("double") / F.col("_norm")) for c in cols])
-    return (counts.select("_id", *cols, norm.alias("_norm"))
-            .select(F.col("_id").alias(id_col), vec.alias(out_col)))
+    c = hash_counts(df, id_col, text_col, dim)
+    per_id = c.groupBy(id_col).agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", "cnt"))).alias("_m"),
+        F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).cast("double")).alias("_norm"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                      lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0)).cast("double")
+                      / F.col("_norm"))
+    return per_id.select(id_col, vec.alias(out_col))
 
 
 def sparse_weights(dense: DataFrame, id_col: str, vec_col: str = "embedding") -> DataFrame:
