@@ -155,7 +155,7 @@ def outcome(requests: DataFrame, decisions: DataFrame, plans: DataFrame | None =
     fail_reason = F.array_join(F.filter(bits, lambda x: x.isNotNull()), ", ")
     mcp_result = F.to_json(F.struct(F.col("mcp_status").alias("status"),
                                     F.col("mcp_message").alias("message"),
-                                    F.col("invoice_id")))
+                                    F.col("invoice_id")), {"ignoreNullFields": "false"})
     d = d.withColumn("success", success).withColumn(
         "fail_reason", F.when(~F.col("success"), F.coalesce(empty_to_null(fail_reason), F.lit(rules.UNSPECIFIED))))
     base = render(rules.BASE_NOTE, field=F.lit(rules.AI_SUGGESTION_FIELD), mcp_status=_none("mcp_status"))

@@ -239,12 +239,12 @@ join search_corpus c on c.id = h.id)"""
 
 PARSE = f"""
 resp_j as (select request_id, llm_output, {extract_obj(fence_strip('llm_output'))} as j from response),
+resp_ok as (select request_id, llm_output, j, coalesce(j <> '' and json_valid(j), false) as json_ok from resp_j),
 resp_parsed as (
-select request_id, llm_output, j,
-       coalesce(j <> '' and json_valid(j), false) as json_ok,
-       list_contains(json_keys(j), 'action') as has_action,
-       list_contains(json_keys(j), 'confidence') as has_conf
-from resp_j),
+select request_id, llm_output, j, json_ok,
+       case when json_ok then list_contains(json_keys(j), 'action') end as has_action,
+       case when json_ok then list_contains(json_keys(j), 'confidence') end as has_conf
+from resp_ok),
 resp_dec as (
 select request_id, llm_output, j, json_ok,
        case when json_ok then (case when has_action then j->>'action' else 'none' end) end as action,
@@ -259,8 +259,10 @@ from resp_dec),
 pay_j as (select request_id, {extract_obj(fence_strip('llm_output'))} as pj from payload),
 payload_check as (
 select request_id, pj,
-       coalesce(pj <> '' and json_valid(pj) and not list_contains(json_keys(pj), 'error')
-                and list_contains(json_keys(pj), 'client_id') and list_contains(json_keys(pj), 'line_items'), false) as payload_ok
+       case when coalesce(pj <> '' and json_valid(pj), false)
+            then not list_contains(json_keys(pj), 'error') and list_contains(json_keys(pj), 'client_id')
+                 and list_contains(json_keys(pj), 'line_items')
+            else false end as payload_ok
 from pay_j),
 dec_in as (
 select r.request_id, r.query, r.configuration_item, {classify('r.query')} as issue,
@@ -313,7 +315,7 @@ select request_id,
        coalesce(http_code between 200 and 299, false) as update_ok,
        case when coalesce(http_code between 200 and 299, false) then body
             when http_code is not null and coalesce(json_valid(body), false) and starts_with({strip('body')}, '{{')
-                 and not coalesce(list_contains(json_keys(body), 'http_status'), false)
+                 and not (case when coalesce(json_valid(body), false) then list_contains(json_keys(body), 'http_status') else false end)
             then (case when regexp_matches({strip('body')}, '^\\{{\\s*\\}}$') then '{{"http_status":' || cast(http_code as varchar) || '}}'
                        else regexp_replace(body, '\\}}\\s*$', ',"http_status":' || cast(http_code as varchar) || '}}') end)
             else body end as update_response

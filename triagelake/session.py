@@ -18,6 +18,7 @@ DEFAULT_CONF: dict[str, str] = {
     # Strict JSON parsing keeps the last of duplicate keys like Python does.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
