@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..session import checkpoint_dir
 from ..functions.text import as_text, html_title, html_to_text, render
 
 INCIDENT_COLUMNS = ["number", "short_description", "assignment_group",
@@ -46,13 +47,15 @@ def incident_training_text(df: DataFrame) -> DataFrame:
 
 # -- S2: KB export (JSON page with a ``result`` array) -------------------------
 
-def kb_export_rows(export: DataFrame) -> DataFrame:
-    """One row per element of ``result``; missing keys become ''."""
-    items = export.select(F.explode("result").alias("r"))
-    fields = items.schema["r"].dataType.fieldNames()
+def kb_export_rows(export: DataFrame, text_col: str = "value") -> DataFrame:
+    """One row per element of the export's ``result`` array. A *missing* key
+    becomes '' while a key present with JSON null stays NULL (dict.get with
+    a default). Elements are kept as JSON text so key presence is visible."""
+    items = export.select(F.explode(F.from_json(F.col(text_col), "result array<string>")["result"]).alias("r"))
 
     def get(name: str) -> Column:
-        return F.col(f"r.{name}").cast("string") if name in fields else F.lit("")
+        present = F.coalesce(F.array_contains(F.json_object_keys("r"), F.lit(name)), F.lit(False))
+        return F.when(present, F.get_json_object("r", f"$.{name}")).otherwise(F.lit(""))
     return items.select(get("short_description").alias("title"),
                         html_to_text(F.coalesce(get("article_body"), F.lit(""))).alias("body"),
                         get("category").alias("category"))
@@ -81,12 +84,19 @@ def dense_ordinal(df: DataFrame, order_cols: Sequence[str], out_col: str = "ordi
     per partition (one small row per partition goes to the driver, as
     ``zipWithIndex`` does); each row's ordinal is its partition's offset plus
     its position inside the partition. No step puts all rows in one task.
+    The numbered rows are checkpointed once (one write of the table).
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_mid", F.monotonically_increasing_id()))
+    # Range bounds come from sampling the input; if the input order is not
+    # reproducible (e.g. it comes from a shuffle) a recomputation could cut
+    # the partitions differently. A reliable checkpoint in the shared folder
+    # fixes one numbering that the count and the result both read.
+    checkpoint_dir(spark)
+    r = r.checkpoint(eager=True)
     counts = sorted((row[0], row[1]) for row in r.groupBy("_pid").count().collect())
     offsets, acc = {}, 0
     for pid, cnt in counts:

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import empty_to_null, nonblank
 from ..operators import context as C
 from ..operators import corpus as P
 from ..operators import outcome as O
+from ..operators import requests as RQ
 from ..operators import triage as TR
 from ..operators import vectors as V
 from ..sources.tables import read_table
@@ -149,18 +149,11 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def request_clean(spark: SparkSession, d: str) -> DataFrame:
-    r = FX.request(spark, d)
-    return r.where(nonblank("query")).select(
-        "request_id", F.coalesce("query", F.lit("")).alias("query"),
-        F.coalesce("configuration_item", F.lit("")).alias("configuration_item"),
-        F.coalesce(empty_to_null("ticket_id"), empty_to_null("sys_id")).alias("ticket_key"),
-        F.coalesce("top_k", F.lit(rules.DEFAULT_TOP_K)).cast("int").alias("top_k"))
+    return RQ.clean_requests(FX.request(spark, d))
 
 
 def request_rejects(spark: SparkSession, d: str) -> DataFrame:
-    r = FX.request(spark, d)
-    return r.where(~nonblank("query")).select(
-        "request_id", F.lit("error").alias("status"), F.lit(rules.QUERY_REQUIRED).alias("message"))
+    return RQ.reject_requests(FX.request(spark, d))
 
 
 def request_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -312,6 +305,18 @@ def final_record(spark: SparkSession, d: str) -> DataFrame:
     return O.final_record(req, folded, dec, plan, outs)
 
 
+def stream_triage(spark: SparkSession, d: str) -> DataFrame:
+    """The request view landed as files and drained through the
+    streaming triage one file per micro-batch; the decisions sink must equal
+    the batch decisions."""
+    import os
+
+    from ..streaming.stream import run_stream_once
+    out = run_stream_once(spark, FX.request(spark, d), FX.response(spark, d), FX.payload(spark, d),
+                          FX.action_result(spark, d))
+    return spark.read.parquet(os.path.join(out, "decisions")).drop("batch_id")
+
+
 QUERIES: dict[str, Query] = {
     "incident_clean": incident_clean,
     "kb_text": kb_text,
@@ -351,4 +356,5 @@ QUERIES: dict[str, Query] = {
     "ticket_update": ticket_update,
     "ticket_apply": ticket_apply,
     "final_record": final_record,
+    "stream_triage": stream_triage,
 }

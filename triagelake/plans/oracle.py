@@ -492,6 +492,7 @@ select i.number, i.configuration_item, coalesce(a.handler, {lit(rules.NO_CI_ROUT
 from incident i left join ci_alias a on upper(coalesce(i.configuration_item, '')) = a.alias"""),
     "decision_parse": _q("select request_id, json_ok, action, confidence, confidence_ok from decision_parse"),
     "decision_gate": _q("select * from decisions"),
+    "stream_triage": _q("select * from decisions"),
     "payload_check": _q("""
 select request_id, payload_ok, case when payload_ok then json_extract_string(pj, '$.client_id') end as client_id
 from payload_check"""),

@@ -22,9 +22,9 @@ def read_incidents(spark: SparkSession, path: str, fmt: str = "parquet",
 
 def read_kb_export(spark: SparkSession, path: str) -> DataFrame:
     """KB export pages ``{"result": [...]}`` -> one row per article.
-    Each file is one JSON document (multiLine), so one task per file."""
-    export = spark.read.schema(schemas.KB_EXPORT).option("multiLine", True).json(path)
-    return kb_export_rows(export)
+    Each file is one JSON document read whole, so one task per file."""
+    export = spark.read.text(path, wholetext=True)
+    return kb_export_rows(export, "value")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
