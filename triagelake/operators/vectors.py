@@ -67,9 +67,9 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,
     per_id = c.groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("bucket", "cnt"))).alias("_m"),
         F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).cast("double")).alias("_norm"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0)).cast("double")
-                      / F.col("_norm"))
+    # one generated lookup per position; no per-element lambda evaluation
+    vec = F.array(*[F.coalesce(F.col("_m")[i], F.lit(0)).cast("double") / F.col("_norm")
+                    for i in range(dim)])
     return per_id.select(id_col, vec.alias(out_col))
 
 
@@ -122,39 +122,55 @@ def l2_normalize(df: DataFrame, vec_col: str = "embedding", norm_col: str = "nor
 # ---------------------------------------------------------------------------
 
 # Rounded scores decide ranks (ties by id). An item can reach the top k under
-# the rounded order only if its raw score is within 1e-4 of the k-th best raw
-# score, so local candidates are kept with this margin (exact, no cap).
+# the rounded order only if its exact score is within 1e-4 of the k-th best
+# exact score. Pairs are screened with a float32 product (error below 1e-5 for
+# unit vectors of this size) against the k-th best float32 score minus a
+# margin that covers both, and the survivors are re-scored in float64. Exact,
+# no cap on candidates.
 SCORE_DIGITS = 4
 _MARGIN = 1.5e-4
 
 
+def _normalize(m: np.ndarray) -> np.ndarray:
+    n = np.sqrt(np.einsum("ij,ij->i", m, m))
+    # rows that are already unit length are left bit-for-bit as stored
+    n[(n == 0) | (np.abs(n - 1.0) < 1e-12)] = 1.0
+    return m / n[:, None]
+
+
 def _unit_rows(vals: pd.Series, dim: int | None = None) -> np.ndarray:
     if len(vals) == 0:
         return np.zeros((0, dim or 0), dtype=np.float64)
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vals.values])
-    n = np.sqrt(np.einsum("ij,ij->i", m, m))
-    n[n == 0] = 1.0
-    return m / n[:, None]
+    return _normalize(np.stack([np.asarray(v, dtype=np.float64) for v in vals.values]))
+
+
+def _matrix(df: pd.DataFrame, id_name: str, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, unit-row matrix) from a dense ``vec`` column, or -- when the
+    frame has ``b``/``v`` columns -- from long (id, index, value) rows."""
+    if "vec" in df.columns:
+        return df[id_name].to_numpy(), _unit_rows(df["vec"], dim)
+    inv, ids = pd.factorize(df[id_name], sort=False)
+    ids = np.asarray(ids)
+    m = np.zeros((len(ids), dim), dtype=np.float64)
+    m[inv, df["b"].to_numpy(dtype=np.int64)] = df["v"].to_numpy(dtype=np.float64)
+    return ids, _normalize(m)
 
 
 def _local_topk_fn(k_max: int, exclude_self: bool, min_score: float | None,
-                   chunk_rows: int = 512):
+                   dim: int | None = None, chunk_rows: int = 1024):
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(c) == 0:
             return pd.DataFrame({"qid": q["qid"].iloc[:0], "id": c["id"].iloc[:0],
                                  "score": np.zeros(0)})
-        cm = _unit_rows(c["vec"])
-        qm = _unit_rows(q["vec"], cm.shape[1])
-        cids = c["id"].to_numpy()
-        qids = q["qid"].to_numpy()
-        self_pos = None
-        if exclude_self:
-            self_pos = pd.Index(cids).get_indexer(qids)
-        kk = min(k_max, len(c))
+        cids, cm = _matrix(c, "id", dim)
+        qids, qm = _matrix(q, "qid", cm.shape[1])
+        cm32, qm32 = cm.astype(np.float32), qm.astype(np.float32)
+        self_pos = pd.Index(cids).get_indexer(qids) if exclude_self else None
+        kk = min(k_max, len(cids))
         out_q, out_c, out_s = [], [], []
-        for start in range(0, len(q), chunk_rows):
-            stop = min(start + chunk_rows, len(q))
-            s = qm[start:stop] @ cm.T
+        for start in range(0, len(qids), chunk_rows):
+            stop = min(start + chunk_rows, len(qids))
+            s = qm32[start:stop] @ cm32.T
             if self_pos is not None:
                 rows = np.arange(stop - start)
                 pos = self_pos[start:stop]
@@ -164,14 +180,17 @@ def _local_topk_fn(k_max: int, exclude_self: bool, min_score: float | None,
                 kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
             else:
                 kth = s.min(axis=1)
-            keep = s >= (kth - _MARGIN)[:, None]
-            keep &= np.isfinite(s)
+            keep = (s >= (kth - _MARGIN)[:, None]) & np.isfinite(s)
             if min_score is not None:
-                keep &= s > min_score
+                keep &= s > (min_score - 1e-5)
             r, cidx = np.nonzero(keep)
+            exact = np.einsum("ij,ij->i", qm[start + r], cm[cidx])
+            if min_score is not None:
+                ok = exact > min_score
+                r, cidx, exact = r[ok], cidx[ok], exact[ok]
             out_q.append(qids[start + r])
             out_c.append(cids[cidx])
-            out_s.append(s[r, cidx])
+            out_s.append(exact)
         return pd.DataFrame({"qid": np.concatenate(out_q), "id": np.concatenate(out_c),
                              "score": np.concatenate(out_s)})
     return fn
@@ -181,11 +200,59 @@ def _blocks(n: int, rows_per_block: int) -> int:
     return max(1, math.ceil(n / max(1, rows_per_block)))
 
 
+def plan_blocks(n_q: int, n_c: int, parallelism: int, q_block_rows: int, c_block_rows: int,
+                min_block_rows: int = 256) -> tuple[int, int]:
+    """Block counts (query, corpus). Each side is cut only as far as its
+    block-size bound requires -- every extra block of one side replicates the
+    other side once more -- and the corpus (the side usually far larger) is
+    then cut further until there are about two block pairs per core, so all
+    cores work and each group stays small."""
+    nqb = _blocks(n_q, q_block_rows)
+    ncb = _blocks(n_c, c_block_rows)
+    want = math.ceil(2 * parallelism / nqb)
+    ncb = max(ncb, min(want, max(1, n_c // min_block_rows)))
+    return nqb, ncb
+
+
+def _blocked_topk(q: DataFrame, c: DataFrame, qk: DataFrame, k_max: int, per_query_k: bool,
+                  n_q: int, n_c: int, payload: list[str], *, exclude_self: bool,
+                  min_score: float | None, dim: int | None, q_block_rows: int, c_block_rows: int,
+                  q_blocks: int | None, c_blocks: int | None) -> DataFrame:
+    """Pair hash blocks of both sides with a cogroup, score each pair
+    locally, rank the candidates. ``q``/``c`` have qid/id plus ``payload``."""
+    out_schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType),
+                               T.StructField("id", c.schema["id"].dataType),
+                               T.StructField("score", T.DoubleType())])
+    if k_max <= 0:
+        return q.sparkSession.createDataFrame([], out_schema).select(
+            "qid", F.lit(0).alias("rank"), "id", "score")
+    par = q.sparkSession.sparkContext.defaultParallelism
+    auto_q, auto_c = plan_blocks(n_q, n_c, par, q_block_rows, c_block_rows)
+    nqb = q_blocks or auto_q
+    ncb = c_blocks or auto_c
+    qb = F.pmod(F.xxhash64("qid"), F.lit(nqb)).cast("int")
+    cb = F.pmod(F.xxhash64("id"), F.lit(ncb)).cast("int")
+    all_c = F.explode(F.sequence(F.lit(0), F.lit(ncb - 1))) if ncb > 1 else F.lit(0)
+    all_q = F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))) if nqb > 1 else F.lit(0)
+    # One task per block pair where possible: the pairs are CPU-bound while
+    # their bytes are small, so AQE would otherwise coalesce them into a few
+    # tasks. An explicit partition count is kept, and the cogroup reuses it.
+    # 4x as many partitions as block pairs keeps hash collisions (several
+    # pairs in one task) rare; empty partitions cost next to nothing.
+    n_parts = max(4 * nqb * ncb, q.sparkSession.sparkContext.defaultParallelism)
+    q2 = q.select(qb.alias("_qb"), all_c.alias("_cb"), "qid", *payload).repartition(n_parts, "_qb", "_cb")
+    c2 = c.select(all_q.alias("_qb"), cb.alias("_cb"), "id", *payload).repartition(n_parts, "_qb", "_cb")
+    fn = _local_topk_fn(k_max, exclude_self, min_score, dim)
+    cand = (q2.groupBy("_qb", "_cb").cogroup(c2.groupBy("_qb", "_cb"))
+            .applyInPandas(lambda a, b: fn(a, b), schema=out_schema))
+    return rank_candidates(cand, qk, k_max, per_query_k)
+
+
 def topk_search(queries: DataFrame, corpus: DataFrame, k: int | None = rules.DEFAULT_TOP_K, *,
                 q_id: str = "qid", q_vec: str = "embedding", k_col: str | None = None,
                 c_id: str = "id", c_vec: str = "embedding",
                 exclude_self: bool = False, min_score: float | None = None,
-                q_block_rows: int = 4096, c_block_rows: int = 32768,
+                q_block_rows: int = 65536, c_block_rows: int = 65536,
                 q_blocks: int | None = None, c_blocks: int | None = None) -> DataFrame:
     """Exact top-k corpus rows per query by cosine similarity.
 
@@ -203,38 +270,49 @@ def topk_search(queries: DataFrame, corpus: DataFrame, k: int | None = rules.DEF
     co-group holds one block of each, so no task ever holds a whole side.
     """
     default_k = int(k if k is not None else rules.DEFAULT_TOP_K)
-    qcols = [F.col(q_id).alias("qid"), F.col(q_vec).alias("vec")]
-    if k_col:
-        qcols.append(F.coalesce(F.col(k_col).cast("int"), F.lit(default_k)).alias("k"))
-    else:
-        qcols.append(F.lit(default_k).alias("k"))
-    q = queries.select(*qcols)
+    kexpr = F.coalesce(F.col(k_col).cast("int"), F.lit(default_k)) if k_col else F.lit(default_k)
+    q = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).alias("vec"), kexpr.alias("k"))
     c = corpus.select(F.col(c_id).alias("id"), F.col(c_vec).alias("vec"))
-    if k_col:
-        k_max = q.agg(F.max("k")).first()[0] or 0
+    qs = q.agg(F.count(F.lit(1)), F.max("k")).first()
+    n_q = int(qs[0])
+    k_max = int(qs[1] or 0) if k_col else default_k
+    n_c = 0 if c_blocks else c.count()
+    return _blocked_topk(q.select("qid", "vec"), c, q.select("qid", "k"), k_max, k_col is not None,
+                         n_q, n_c, ["vec"], exclude_self=exclude_self, min_score=min_score, dim=None,
+                         q_block_rows=q_block_rows, c_block_rows=c_block_rows,
+                         q_blocks=q_blocks, c_blocks=c_blocks)
+
+
+def topk_search_long(queries: DataFrame, corpus: DataFrame, k: int | None = rules.DEFAULT_TOP_K, *,
+                     q_id: str = "qid", c_id: str = "id", index_col: str = "bucket",
+                     value_col: str = "cnt", dim: int = HASH_DIM, query_k: DataFrame | None = None,
+                     exclude_self: bool = False, min_score: float | None = None,
+                     q_block_rows: int = 65536, c_block_rows: int = 65536,
+                     q_blocks: int | None = None, c_blocks: int | None = None) -> DataFrame:
+    """``topk_search`` for vectors given as long (id, index, value) rows, e.g.
+    the (id, bucket, cnt) output of ``hash_counts``: no per-id vector is ever
+    assembled in Spark; each task builds and normalises its block matrix
+    (value / sqrt(sum of squares), the same arithmetic as ``hash_embed``).
+    ``query_k`` (qid column named like ``q_id``, column ``k``) gives per-query k.
+    """
+    default_k = int(k if k is not None else rules.DEFAULT_TOP_K)
+    q = queries.select(F.col(q_id).alias("qid"), F.col(index_col).cast("int").alias("b"),
+                       F.col(value_col).cast("double").alias("v"))
+    c = corpus.select(F.col(c_id).alias("id"), F.col(index_col).cast("int").alias("b"),
+                      F.col(value_col).cast("double").alias("v"))
+    if query_k is not None:
+        qk = query_k.select(F.col(q_id).alias("qid"),
+                            F.coalesce(F.col("k").cast("int"), F.lit(default_k)).alias("k"))
+        st = qk.agg(F.count(F.lit(1)), F.max("k")).first()
+        n_q, k_max = int(st[0]), int(st[1] or 0)
     else:
-        k_max = default_k
-    k_max = int(k_max)
-    qid_type = q.schema["qid"].dataType
-    id_type = c.schema["id"].dataType
-    out_schema = T.StructType([T.StructField("qid", qid_type), T.StructField("id", id_type),
-                               T.StructField("score", T.DoubleType())])
-    spark = queries.sparkSession
-    if k_max <= 0:
-        return spark.createDataFrame([], out_schema).select(
-            "qid", F.lit(0).alias("rank"), "id", "score").where(F.lit(False))
-    nqb = q_blocks or _blocks(q.count(), q_block_rows)
-    ncb = c_blocks or _blocks(c.count(), c_block_rows)
-    qb = F.pmod(F.xxhash64("qid"), F.lit(nqb)).cast("int")
-    cb = F.pmod(F.xxhash64("id"), F.lit(ncb)).cast("int")
-    all_c = F.explode(F.sequence(F.lit(0), F.lit(ncb - 1))) if ncb > 1 else F.lit(0)
-    all_q = F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))) if nqb > 1 else F.lit(0)
-    q2 = q.select(qb.alias("_qb"), all_c.alias("_cb"), "qid", "vec")
-    c2 = c.select(all_q.alias("_qb"), cb.alias("_cb"), "id", "vec")
-    fn = _local_topk_fn(k_max, exclude_self, min_score)
-    cand = (q2.groupBy("_qb", "_cb").cogroup(c2.groupBy("_qb", "_cb"))
-            .applyInPandas(lambda a, b: fn(a, b), schema=out_schema))
-    return rank_candidates(cand, q.select("qid", "k"), k_max, k_col is not None)
+        qk, k_max = None, default_k
+        n_q = q.agg(F.approx_count_distinct("qid")).first()[0]
+    n_c = 0 if c_blocks else c.agg(F.approx_count_distinct("id")).first()[0]
+    return _blocked_topk(q, c, qk, k_max, query_k is not None, n_q, n_c, ["b", "v"],
+                         exclude_self=exclude_self, min_score=min_score, dim=dim,
+                         q_block_rows=q_block_rows, c_block_rows=c_block_rows,
+                         q_blocks=q_blocks, c_blocks=c_blocks)
 
 
 def rank_candidates(cand: DataFrame, qk: DataFrame | None, k_max: int,
@@ -305,3 +383,32 @@ def search(queries: DataFrame, corpus: DataFrame, metadata: DataFrame, k: int =
     top = topk_search(queries, corpus, k, **kw)
     return attach_metadata(top, metadata, mode=mode)
 
+
+def search_texts(requests: DataFrame, corpus: DataFrame, metadata: DataFrame | None = None, *,
+                 key: str = "request_id", text_col: str = "query", k_col: str | None = "top_k",
+                 default_k: int = rules.DEFAULT_TOP_K, corpus_id: str = "id",
+                 corpus_text: str = "training_text", dim: int = HASH_DIM,
+                 min_score: float | None = 0.0, **kw) -> DataFrame:
+    """V2 + V5 + V8 + V6 for a table of text requests against a text corpus
+    (native hashing encoder), searching each distinct text once.
+
+    Requests are grouped by text (combined map-side, so a text asked by a
+    large share of requests becomes one row before the shuffle); each text is
+    searched with the largest k any of its requests asks for; hits get their
+    metadata; each request then takes its own first k hits of its text. The
+    join back is an equi-join on the text: hot texts make it skewed, which
+    AQE's skew-join handling splits. Returns the V6 hit columns with ``key``
+    in place of ``qid``.
+    """
+    kexpr = F.coalesce(F.col(k_col).cast("int"), F.lit(default_k)) if k_col else F.lit(default_k)
+    req = requests.select(key, F.col(text_col).alias("_text"), kexpr.alias("_k"))
+    texts = req.groupBy("_text").agg(F.max("_k").alias("k"))
+    qrows = hash_counts(texts.select("_text"), "_text", "_text", dim)
+    crows = hash_counts(corpus.select(corpus_id, corpus_text), corpus_id, corpus_text, dim)
+    top = topk_search_long(qrows, crows, default_k, q_id="_text", c_id=corpus_id, dim=dim,
+                           query_k=texts, min_score=min_score, **kw)
+    meta = metadata if metadata is not None else corpus
+    hits = attach_metadata(top, meta, meta_id=corpus_id, mode="hit").withColumnRenamed("qid", "_text")
+    joined = req.join(hits, "_text").where(F.col("rank") <= F.col("_k"))
+    cols = [c for c in hits.columns if c != "_text"]
+    return joined.select(key, *cols)

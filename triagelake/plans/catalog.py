@@ -138,10 +138,10 @@ def _user_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_search(spark: SparkSession, d: str) -> DataFrame:
-    q = V.hash_embed(_user_turns(spark, d), "qid", "text")
+    q = V.hash_counts(_user_turns(spark, d), "qid", "text")
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    c = V.hash_embed(docs, "id", "text")
-    top = V.topk_search(q, c, 5, min_score=0.0)
+    c = V.hash_counts(docs, "id", "text")
+    top = V.topk_search_long(q, c, 5, min_score=0.0)
     return _rounded(top)
 
 
@@ -159,13 +159,7 @@ def request_rejects(spark: SparkSession, d: str) -> DataFrame:
 def request_hits(spark: SparkSession, d: str) -> DataFrame:
     """V2 + V5 + V8 + V6: each valid request's own top_k hits from the
     incident + article corpus (the reference's search, for a whole table)."""
-    corpus = search_corpus(spark, d)
-    cvec = V.hash_embed(corpus.select("id", "training_text"), "id", "training_text")
-    req = request_clean(spark, d)
-    qvec = V.hash_embed(req.select("request_id", "query"), "request_id", "query")
-    q = qvec.join(req.select("request_id", "top_k"), "request_id").withColumnRenamed("request_id", "qid")
-    top = V.topk_search(q, cvec, rules.DEFAULT_TOP_K, k_col="top_k", min_score=0.0)
-    return V.attach_metadata(top, corpus, mode="hit").withColumnRenamed("qid", "request_id")
+    return V.search_texts(request_clean(spark, d), search_corpus(spark, d))
 
 
 def context_fold(spark: SparkSession, d: str) -> DataFrame:

@@ -14,7 +14,18 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str,
+               min_partitions: int | None = None) -> DataFrame:
     """Partitioned Parquet scan; projections and filters applied later are
-    pushed into the scan by Catalyst (ReadSchema / PushedFilters)."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    pushed into the scan by Catalyst (ReadSchema / PushedFilters).
+
+    A dataset that splits into fewer scan tasks than the cluster has cores
+    (e.g. one file with one row group) is spread round-robin right after the
+    scan, so CPU-heavy row work (tokenizing, regexes, JSON) is not confined
+    to one task. Large inputs already have many splits and are read as is.
+    """
+    df = spark.read.parquet(table_path(sf_dir, name))
+    want = min_partitions if min_partitions is not None else spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
