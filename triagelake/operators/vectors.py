@@ -67,12 +67,20 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,
     per_id = c.groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("bucket", "cnt"))).alias("_m"),
         F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).cast("double")).alias("_norm"))
-    # one generated lookup per position; no per-element lambda evaluation
-    vec = F.array(*[F.coalesce(F.col("_m")[i], F.lit(0)).cast("double") / F.col("_norm")
-                    for i in range(dim)])
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                      lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0)).cast("double")
+                      / F.col("_norm"))
     return per_id.select(id_col, vec.alias(out_col))
 
 
+def hash_weights(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM) -> DataFrame:
+    """(id, bucket, weight): the non-zero entries of ``hash_embed``'s unit
+    vectors, computed without assembling vectors (count / per-id norm)."""
+    c = hash_counts(df, id_col, text_col, dim)
+    norm = F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(Window.partitionBy(id_col)).cast("double"))
+    return c.select(id_col, "bucket", (F.col("cnt").cast("double") / norm).alias("weight"))
+
+
 def sparse_weights(dense: DataFrame, id_col: str, vec_col: str = "embedding") -> DataFrame:
     """(id, bucket, weight) rows for the non-zero entries of dense vectors."""
     return (dense.select(id_col, F.posexplode(vec_col).alias("bucket", "weight"))
@@ -201,16 +209,17 @@ def _blocks(n: int, rows_per_block: int) -> int:
 
 
 def plan_blocks(n_q: int, n_c: int, parallelism: int, q_block_rows: int, c_block_rows: int,
-                min_block_rows: int = 256) -> tuple[int, int]:
+                min_block_rows: int = 256, min_pairs: int = 50_000_000) -> tuple[int, int]:
     """Block counts (query, corpus). Each side is cut only as far as its
     block-size bound requires -- every extra block of one side replicates the
     other side once more -- and the corpus (the side usually far larger) is
-    then cut further until there are about two block pairs per core, so all
-    cores work and each group stays small."""
+    then cut further, up to about two block pairs per core, as long as each
+    pair still scores at least ``min_pairs`` pairs."""
     nqb = _blocks(n_q, q_block_rows)
     ncb = _blocks(n_c, c_block_rows)
-    want = math.ceil(2 * parallelism / nqb)
-    ncb = max(ncb, min(want, max(1, n_c // min_block_rows)))
+    by_cores = math.ceil(2 * parallelism / nqb)
+    by_work = max(1, (n_q * n_c) // (min_pairs * nqb))
+    ncb = max(ncb, min(by_cores, by_work, max(1, n_c // min_block_rows)))
     return nqb, ncb
 
 

@@ -70,8 +70,7 @@ def search_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 def embed_hash(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents").select("doc_id", "text")
-    dense = V.hash_embed(docs, "doc_id", "text")
-    return V.sparse_weights(dense, "doc_id").select(
+    return V.hash_weights(docs, "doc_id", "text").select(
         "doc_id", F.col("bucket").cast("int").alias("bucket"), F.round("weight", 6).alias("weight"))
 
 
