@@ -209,7 +209,7 @@ def _blocks(n: int, rows_per_block: int) -> int:
 
 
 def plan_blocks(n_q: int, n_c: int, parallelism: int, q_block_rows: int, c_block_rows: int,
-                min_block_rows: int = 256, min_pairs: int = 50_000_000) -> tuple[int, int]:
+                min_block_rows: int = 256, min_pairs: int = 5_000_000) -> tuple[int, int]:
     """Block counts (query, corpus). Each side is cut only as far as its
     block-size bound requires -- every extra block of one side replicates the
     other side once more -- and the corpus (the side usually far larger) is
@@ -297,12 +297,16 @@ def topk_search_long(queries: DataFrame, corpus: DataFrame, k: int | None = rule
                      value_col: str = "cnt", dim: int = HASH_DIM, query_k: DataFrame | None = None,
                      exclude_self: bool = False, min_score: float | None = None,
                      q_block_rows: int = 65536, c_block_rows: int = 65536,
-                     q_blocks: int | None = None, c_blocks: int | None = None) -> DataFrame:
+                     q_blocks: int | None = None, c_blocks: int | None = None,
+                     n_q: int | None = None, n_c: int | None = None) -> DataFrame:
     """``topk_search`` for vectors given as long (id, index, value) rows, e.g.
     the (id, bucket, cnt) output of ``hash_counts``: no per-id vector is ever
     assembled in Spark; each task builds and normalises its block matrix
     (value / sqrt(sum of squares), the same arithmetic as ``hash_embed``).
     ``query_k`` (qid column named like ``q_id``, column ``k``) gives per-query k.
+    ``n_q`` / ``n_c`` are the numbers of query / corpus vectors (or upper
+    bounds, e.g. source row counts, which need no tokenizing) for block
+    planning; when absent they are counted from the long rows.
     """
     default_k = int(k if k is not None else rules.DEFAULT_TOP_K)
     q = queries.select(F.col(q_id).alias("qid"), F.col(index_col).cast("int").alias("b"),
@@ -313,11 +317,14 @@ def topk_search_long(queries: DataFrame, corpus: DataFrame, k: int | None = rule
         qk = query_k.select(F.col(q_id).alias("qid"),
                             F.coalesce(F.col("k").cast("int"), F.lit(default_k)).alias("k"))
         st = qk.agg(F.count(F.lit(1)), F.max("k")).first()
-        n_q, k_max = int(st[0]), int(st[1] or 0)
+        n_q, k_max = n_q or int(st[0]), int(st[1] or 0)
     else:
         qk, k_max = None, default_k
-        n_q = q.agg(F.approx_count_distinct("qid")).first()[0]
-    n_c = 0 if c_blocks else c.agg(F.approx_count_distinct("id")).first()[0]
+        if n_q is None and not q_blocks:
+            n_q = q.agg(F.approx_count_distinct("qid")).first()[0]
+    if n_c is None and not c_blocks:
+        n_c = c.agg(F.approx_count_distinct("id")).first()[0]
+    n_q, n_c = n_q or 0, n_c or 0
     return _blocked_topk(q, c, qk, k_max, query_k is not None, n_q, n_c, ["b", "v"],
                          exclude_self=exclude_self, min_score=min_score, dim=dim,
                          q_block_rows=q_block_rows, c_block_rows=c_block_rows,
@@ -414,8 +421,10 @@ def search_texts(requests: DataFrame, corpus: DataFrame, metadata: DataFrame | N
     texts = req.groupBy("_text").agg(F.max("_k").alias("k"))
     qrows = hash_counts(texts.select("_text"), "_text", "_text", dim)
     crows = hash_counts(corpus.select(corpus_id, corpus_text), corpus_id, corpus_text, dim)
+    # block planning needs only the corpus size: a pruned count, no tokenizing
+    n_c = kw.pop("n_c", None) or corpus.count()
     top = topk_search_long(qrows, crows, default_k, q_id="_text", c_id=corpus_id, dim=dim,
-                           query_k=texts, min_score=min_score, **kw)
+                           query_k=texts, min_score=min_score, n_c=n_c, **kw)
     meta = metadata if metadata is not None else corpus
     hits = attach_metadata(top, meta, meta_id=corpus_id, mode="hit").withColumnRenamed("qid", "_text")
     joined = req.join(hits, "_text").where(F.col("rank") <= F.col("_k"))

@@ -137,10 +137,12 @@ def _user_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_search(spark: SparkSession, d: str) -> DataFrame:
-    q = V.hash_counts(_user_turns(spark, d), "qid", "text")
+    turns = _user_turns(spark, d)
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    q = V.hash_counts(turns, "qid", "text")
     c = V.hash_counts(docs, "id", "text")
-    top = V.topk_search_long(q, c, 5, min_score=0.0)
+    # source row counts bound the vector counts and need no tokenizing
+    top = V.topk_search_long(q, c, 5, min_score=0.0, n_q=turns.count(), n_c=docs.count())
     return _rounded(top)
 
 
