@@ -118,3 +118,12 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, sf_small):
     S._write(tables["ticket_updates"], os.path.join(out, "ticket_updates"), 1)
     after = sorted(map(tuple, spark.read.parquet(os.path.join(out, "ticket_updates")).collect()))
     assert before == after
+
+
+def test_latest_per_ticket_hot_ticket(spark):
+    rows = [(i, "INC_HOT" if i % 3 else None) for i in range(1, 3001)] + [(5000, "INC_OTHER")]
+    df = spark.createDataFrame(rows, "request_id long, ticket_key string")
+    got = S.latest_per_ticket(df)
+    keyed = {r["ticket_key"]: r["request_id"] for r in got.where("ticket_key is not null").collect()}
+    assert keyed == {"INC_HOT": 3000, "INC_OTHER": 5000}
+    assert got.where("ticket_key is null").count() == 1000

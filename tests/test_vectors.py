@@ -136,3 +136,25 @@ def test_attach_metadata_defaults(spark):
     assert rows[2]["id"] == "record_8" and rows[2]["source"] == "unknown"
     snip = {r["rank"]: r for r in V.attach_metadata(top, meta, mode="snippet").collect()}
     assert len(snip[1]["snippet"]) == 200 and snip[2]["id"] == "" and snip[1]["score"] == 0.123456
+
+
+def test_tie_flood_keeps_smallest_ids(spark):
+    # 3,000 identical corpus vectors: every one ties; the k smallest ids win
+    c = {i: [1.0, 0.0, 0.0] for i in range(3000, 0, -1)}
+    c[5000] = [0.0, 1.0, 0.0]
+    got = run_topk(spark, {1: [1.0, 0.0, 0.0], 2: [0.0, 1.0, 0.0]}, c, 3, c_blocks=4)
+    assert [x[0] for x in got[1]] == [1, 2, 3]
+    assert got[2][0][0] == 5000 and [x[0] for x in got[2][1:]] == [1, 2]
+
+
+def test_local_cut_is_bounded_and_exact():
+    import numpy as np
+    r = np.zeros(1000, dtype=np.int64)
+    cidx = np.arange(1000)
+    exact = np.full(1000, 0.7)
+    exact[500] = 0.71
+    crank = np.arange(1000)[::-1].copy()          # id order reversed against position
+    rr, cc, ee = V._first_k_per_row(r, cidx, exact, crank, 3)
+    assert len(rr) == 3
+    assert cc[np.argmax(ee)] == 500               # the better score is kept
+    assert set(cc) - {500} == {999, 998}          # then the smallest ids among the ties

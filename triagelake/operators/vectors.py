@@ -38,9 +38,22 @@ def tokens(text: ColumnOrName) -> Column:
                                 F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+_HEX = "0123456789abcdef"
+
+
 def token_bucket(tok: ColumnOrName, dim: int = HASH_DIM) -> Column:
-    """First 32 bits of md5(token) modulo ``dim``."""
-    h = F.conv(F.substring(F.md5(_col(tok)), 1, 8), 16, 10).cast("long")
+    """First 32 bits of md5(token) (big-endian) modulo ``dim``.
+
+    When ``dim`` divides 256 only the lowest byte of that 32-bit value
+    matters, i.e. hex digits 7 and 8, which are read with two ``instr``
+    lookups instead of a base conversion of all eight digits.
+    """
+    m = F.md5(_col(tok))
+    if 256 % dim == 0:
+        hi = F.instr(F.lit(_HEX), F.substring(m, 7, 1)) - 1
+        lo = F.instr(F.lit(_HEX), F.substring(m, 8, 1)) - 1
+        return F.pmod(hi * 16 + lo, F.lit(dim)).cast("int")
+    h = F.conv(F.substring(m, 1, 8), 16, 10).cast("long")
     return F.pmod(h, F.lit(dim)).cast("int")
 
 
@@ -164,6 +177,30 @@ def _matrix(df: pd.DataFrame, id_name: str, dim: int | None) -> tuple[np.ndarray
     return ids, _normalize(m)
 
 
+def _first_k_per_row(r: np.ndarray, cidx: np.ndarray, exact: np.ndarray, crank: np.ndarray,
+                     k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keep, per query row, the first ``k`` candidates in the final order
+    (score rounded to 4 places desc, id asc) plus every candidate whose
+    score lies within 1e-6 of a rounding boundary, where this rounding and
+    Spark's could differ. Whatever the true top k is, it is inside the kept
+    set, and a row never keeps many more than k even when thousands tie."""
+    if len(r) == 0:
+        return r, cidx, exact
+    scaled = exact * 10.0 ** SCORE_DIGITS
+    frac = scaled - np.floor(scaled)
+    ambiguous = np.abs(frac - 0.5) < 1e-6
+    rounded = np.floor(scaled + 0.5)
+    order = np.lexsort((crank[cidx], -rounded, r))
+    rs = r[order]
+    first = np.r_[True, rs[1:] != rs[:-1]]
+    start = np.maximum.accumulate(np.where(first, np.arange(len(rs)), 0))
+    pos = np.arange(len(rs)) - start
+    keep = np.zeros(len(r), dtype=bool)
+    keep[order[pos < k]] = True
+    keep |= ambiguous
+    return r[keep], cidx[keep], exact[keep]
+
+
 def _local_topk_fn(k_max: int, exclude_self: bool, min_score: float | None,
                    dim: int | None = None, chunk_rows: int = 1024):
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -174,6 +211,9 @@ def _local_topk_fn(k_max: int, exclude_self: bool, min_score: float | None,
         qids, qm = _matrix(q, "qid", cm.shape[1])
         cm32, qm32 = cm.astype(np.float32), qm.astype(np.float32)
         self_pos = pd.Index(cids).get_indexer(qids) if exclude_self else None
+        # rank of each corpus id in id order (Spark orders strings by code point)
+        crank = np.empty(len(cids), dtype=np.int64)
+        crank[np.argsort(cids, kind="stable")] = np.arange(len(cids))
         kk = min(k_max, len(cids))
         out_q, out_c, out_s = [], [], []
         for start in range(0, len(qids), chunk_rows):
@@ -188,14 +228,18 @@ def _local_topk_fn(k_max: int, exclude_self: bool, min_score: float | None,
                 kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
             else:
                 kth = s.min(axis=1)
-            keep = (s >= (kth - _MARGIN)[:, None]) & np.isfinite(s)
+            # one compare per cell: a finite per-row threshold also drops the
+            # -inf self entries; the min_score screen folds into it
+            thr = kth - _MARGIN
             if min_score is not None:
-                keep &= s > (min_score - 1e-5)
-            r, cidx = np.nonzero(keep)
+                thr = np.maximum(thr, np.float32(min_score - 1e-5))
+            thr = np.where(np.isfinite(thr), thr, np.float32(np.finfo(np.float32).min))
+            r, cidx = np.nonzero(s >= thr[:, None])
             exact = np.einsum("ij,ij->i", qm[start + r], cm[cidx])
             if min_score is not None:
                 ok = exact > min_score
                 r, cidx, exact = r[ok], cidx[ok], exact[ok]
+            r, cidx, exact = _first_k_per_row(r, cidx, exact, crank, k_max)
             out_q.append(qids[start + r])
             out_c.append(cids[cidx])
             out_s.append(exact)

@@ -16,7 +16,7 @@ import os
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -34,10 +34,16 @@ def _write(df: DataFrame, path: str, batch_id: int) -> None:
 
 def latest_per_ticket(requests: DataFrame, key: str = "request_id") -> DataFrame:
     """The newest request (largest key) of each ticket; requests without
-    a ticket key pass through (they produce no update anyway)."""
-    w = Window.partitionBy("ticket_key").orderBy(F.col(key).desc())
-    ranked = requests.withColumn("_n", F.when(F.col("ticket_key").isNotNull(), F.row_number().over(w)))
-    return ranked.where(F.col("_n").isNull() | (F.col("_n") == 1)).drop("_n")
+    a ticket key pass through (they produce no update anyway).
+
+    A max per ticket (combined map-side, so a ticket with a huge share of
+    the requests is one partial row per task) and a join on the unique
+    (ticket, request) pair, which spreads a hot ticket's rows by request key.
+    """
+    latest = (requests.where(F.col("ticket_key").isNotNull())
+              .groupBy("ticket_key").agg(F.max(key).alias(key)))
+    with_ticket = requests.join(latest, ["ticket_key", key], "left_semi")
+    return with_ticket.unionByName(requests.where(F.col("ticket_key").isNull()))
 
 
 def triage_batch(requests: DataFrame, responses: DataFrame, payloads: DataFrame | None,
