@@ -139,3 +139,9 @@ def test_parquet_sink_index_and_manifest(spark, sf_small):
                                 ", ".join(f"{c} string" for c in P.INCIDENT_COLUMNS))
     inc.write.json(os.path.join(d, "inc"))
     assert files.read_incidents(spark, os.path.join(d, "inc"), "json").first()["number"] == "INC1"
+
+
+def test_cap_rows_is_ordered_and_optional(spark):
+    df = spark.range(0, 1000).repartition(7).withColumnRenamed("id", "k")
+    assert files.cap_rows(df, None, ["k"]).count() == 1000
+    assert [r["k"] for r in files.cap_rows(df, 5, ["k"]).collect()] == [0, 1, 2, 3, 4]

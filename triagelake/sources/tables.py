@@ -25,7 +25,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     to one task. Large inputs already have many splits and are read as is.
     """
     df = spark.read.parquet(table_path(sf_dir, name))
-    want = min_partitions if min_partitions is not None else spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    try:
+        want = min_partitions if min_partitions is not None else spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): read as is
+        return df
+    if splits < want:
         df = df.repartition(want)
     return df
