@@ -7,7 +7,7 @@ text, single quotes, trailing commas and ``NaN``/``Infinity`` are rejected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import ColumnOrName, _col, pystrip
@@ -16,10 +16,11 @@ _FENCE_JSON = "```json"
 _FENCE = "```"
 
 
-def strip_code_fence(c: ColumnOrName) -> Column:
+def strip_code_fence(c: ColumnOrName, stripped: bool = False) -> Column:
     """Strip the text; if it then starts with a code fence, remove every
-    fence marker and strip again."""
-    s = pystrip(_col(c))
+    fence marker and strip again. With ``stripped`` the input is already
+    stripped (pass a materialized column so it is computed once)."""
+    s = _col(c) if stripped else pystrip(_col(c))
     no_json_fence = pystrip(F.replace(F.replace(s, F.lit(_FENCE_JSON), F.lit("")),
                                       F.lit(_FENCE), F.lit("")))
     no_fence = pystrip(F.replace(s, F.lit(_FENCE), F.lit("")))
@@ -60,3 +61,19 @@ def get_text(j: ColumnOrName, key: str) -> Column:
     """Field as text: strings unquoted, other values as JSON text, NULL when
     missing or JSON null."""
     return F.get_json_object(_col(j), f"$.{key}")
+
+
+def with_object(df: DataFrame, text_col: str, prefix: str = "_") -> DataFrame:
+    """Add ``{prefix}j`` (the extracted object text), ``{prefix}ok`` (strict
+    validity) and ``{prefix}keys`` (top-level keys of valid objects) as
+    columns, each computed once per row; key lookups then read the array."""
+    s, j, ok = f"{prefix}s", f"{prefix}j", f"{prefix}ok"
+    return (df.withColumn(s, pystrip(text_col))
+              .withColumn(j, extract_object(strip_code_fence(s, stripped=True)))
+              .withColumn(ok, F.coalesce(is_strict_object(j), F.lit(False)))
+              .withColumn(f"{prefix}keys", F.when(F.col(ok), object_keys(j)))
+              .drop(s))
+
+
+def key_in(keys: ColumnOrName, key: str) -> Column:
+    return F.coalesce(F.array_contains(_col(keys), F.lit(key)), F.lit(False))

@@ -101,25 +101,27 @@ def parse_decision(df: DataFrame, output_col: str = "llm_output") -> DataFrame:
     strict JSON object. action defaults to 'none' only when the key is
     missing; confidence defaults to 0.0 when the key is missing, and is
     NULL with confidence_ok = false when present but not a finite number.
+    Intermediate values are columns, so each JSON function runs once per row
+    and only on valid objects.
     """
     ensure_conf(df.sparkSession)
-    j = jsonx.extract_object(jsonx.strip_code_fence(output_col))
-    d = df.withColumn("_j", j)
-    ok = F.coalesce(jsonx.is_strict_object("_j"), F.lit(False))
-    parsed = F.from_json(F.col("_j"), _DECISION_SCHEMA, _JSON_OPTS)
-    has_action = jsonx.has_key("_j", "action")
-    has_conf = jsonx.has_key("_j", "confidence")
-    conf_val = F.try_cast(parsed["confidence"], "double") if hasattr(F, "try_cast") else \
-        parsed["confidence"].try_cast("double")
-    conf = F.when(~has_conf, F.lit(0.0)).otherwise(conf_val)
-    conf_ok = conf.isNotNull() & ~F.isnan(F.coalesce(conf, F.lit(0.0))) & \
-        (F.abs(F.coalesce(conf, F.lit(0.0))) != F.lit(float("inf")))
+    d = jsonx.with_object(df, output_col, "_")
+    d = d.withColumn("_p", F.when(F.col("_ok"), F.from_json(F.col("_j"), _DECISION_SCHEMA, _JSON_OPTS)))
+    has_conf = jsonx.key_in("_keys", "confidence")
+    d = d.withColumn("_conf", F.when(~has_conf, F.lit(0.0))
+                     .otherwise(F.col("_p")["confidence"].try_cast("double")))
+    c = F.col("_conf")
+    conf_ok = c.isNotNull() & ~F.isnan(F.coalesce(c, F.lit(0.0))) & \
+        (F.abs(F.coalesce(c, F.lit(0.0))) != F.lit(float("inf")))
+    ok = F.col("_ok")
     return (d.withColumn("json_ok", ok)
-             .withColumn("action", F.when(ok, F.when(has_action, parsed["action"]).otherwise(F.lit("none"))))
+             .withColumn("action", F.when(ok, F.when(jsonx.key_in("_keys", "action"), F.col("_p")["action"])
+                                                .otherwise(F.lit("none"))))
              .withColumn("has_confidence", F.when(ok, has_conf))
-             .withColumn("confidence", F.when(ok, F.when(conf_ok, conf)))
+             .withColumn("confidence", F.when(ok, F.when(conf_ok, c)))
              .withColumn("confidence_ok", F.when(ok, conf_ok))
-             .withColumnRenamed("_j", "json_text"))
+             .withColumnRenamed("_j", "json_text")
+             .drop("_ok", "_keys", "_p", "_conf"))
 
 
 # -- T7: approval gate -----------------------------------------------------------
@@ -138,13 +140,11 @@ def check_payload(df: DataFrame, output_col: str = "llm_output") -> DataFrame:
     object with no 'error' key and with 'client_id' and 'line_items' keys
     (NULL values pass, as only key presence is checked)."""
     ensure_conf(df.sparkSession)
-    j = jsonx.extract_object(jsonx.strip_code_fence(output_col))
-    d = df.withColumn("payload_json", j)
-    ok = (F.coalesce(jsonx.is_strict_object("payload_json"), F.lit(False))
-          & ~jsonx.has_key("payload_json", "error")
-          & jsonx.has_key("payload_json", "client_id")
-          & jsonx.has_key("payload_json", "line_items"))
-    return d.withColumn("payload_ok", ok)
+    d = jsonx.with_object(df, output_col, "_pl")
+    ok = (F.col("_plok") & ~jsonx.key_in("_plkeys", "error")
+          & jsonx.key_in("_plkeys", "client_id") & jsonx.key_in("_plkeys", "line_items"))
+    return (d.withColumnRenamed("_plj", "payload_json").withColumn("payload_ok", ok)
+             .drop("_plok", "_plkeys"))
 
 
 # -- T2 + T5-T9: decision record ---------------------------------------------------
