@@ -158,3 +158,16 @@ def test_local_cut_is_bounded_and_exact():
     assert len(rr) == 3
     assert cc[np.argmax(ee)] == 500               # the better score is kept
     assert set(cc) - {500} == {999, 998}          # then the smallest ids among the ties
+
+
+def test_embed_with_user_encoder(spark):
+    def make_predict_fn():
+        import numpy as np
+
+        def predict(texts):
+            lens = np.array([len(t) for t in texts], dtype=np.float32)
+            return np.stack([lens, np.ones_like(lens), np.zeros_like(lens)], axis=1)
+        return predict
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "hello")], "id long, text string")
+    got = {r["id"]: r["embedding"] for r in V.embed_with(df, "text", make_predict_fn, dim=3).collect()}
+    assert got == {1: [3.0, 1.0, 0.0], 2: [0.0, 1.0, 0.0], 3: [5.0, 1.0, 0.0]}

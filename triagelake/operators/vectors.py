@@ -110,8 +110,7 @@ def embed_with(df: DataFrame, text_col: str, encoder: Callable, dim: int,
     """
     from pyspark.ml.functions import predict_batch_udf
 
-    udf = predict_batch_udf(encoder, return_type=T.ArrayType(T.FloatType()),
-                            batch_size=batch_size, input_tensor_shapes=[[-1]])
+    udf = predict_batch_udf(encoder, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     return df.withColumn(out_col, udf(F.coalesce(F.col(text_col), F.lit(""))))
 
 
