@@ -196,20 +196,23 @@ def update_payload(update_type: ColumnOrName, message: ColumnOrName) -> Column:
 def ticket_updates(outcomes: DataFrame, key: str = "request_id") -> DataFrame:
     """Two PATCH rows per outcome: (seq 1) field update merged with the base
     work note -- the note wins over a ``work_notes`` field (O10) -- and
-    (seq 2) the resolve/escalate update (O9)."""
+    (seq 2) the resolve/escalate update (O9). Both rows come from one pass
+    over the outcomes (an explode of a two-element array)."""
     fields = F.create_map(F.lit(rules.AI_SUGGESTION_FIELD), F.col("ai_suggestion"))
-    first = outcomes.select(
-        "ticket_key", key, F.lit(1).alias("seq"), F.lit("fields").alias("update_type"),
+    up = update_payload("update_type", "update_message")
+    first = F.struct(
+        F.lit(1).alias("seq"), F.lit("fields").alias("update_type"),
         F.lit(None).cast("int").alias("state"), F.lit(None).cast("string").alias("close_notes"),
         F.col("base_note").alias("work_notes"),
         F.map_filter(fields, lambda k, v: k != F.lit("work_notes")).alias("fields"))
-    up = update_payload("update_type", "update_message")
-    second = outcomes.select(
-        "ticket_key", key, F.lit(2).alias("seq"), F.col("update_type"),
+    second = F.struct(
+        F.lit(2).alias("seq"), F.col("update_type").alias("update_type"),
         up["state"].alias("state"), up["close_notes"].alias("close_notes"),
         up["work_notes"].alias("work_notes"),
         F.create_map().cast("map<string,string>").alias("fields"))
-    return first.unionByName(second)
+    return (outcomes.select("ticket_key", key, F.explode(F.array(first, second)).alias("_u"))
+                    .select("ticket_key", key, "_u.seq", "_u.update_type", "_u.state",
+                            "_u.close_notes", "_u.work_notes", "_u.fields"))
 
 
 # -- O13 ------------------------------------------------------------------------------
