@@ -171,3 +171,13 @@ def test_embed_with_user_encoder(spark):
     df = spark.createDataFrame([(1, "abc"), (2, None), (3, "hello")], "id long, text string")
     got = {r["id"]: r["embedding"] for r in V.embed_with(df, "text", make_predict_fn, dim=3).collect()}
     assert got == {1: [3.0, 1.0, 0.0], 2: [0.0, 1.0, 0.0], 3: [5.0, 1.0, 0.0]}
+
+
+def test_plan_blocks_scales():
+    # small problems stay one block pair; the corpus side is cut for cores
+    assert V.plan_blocks(2000, 2000, 8, 65536, 65536) == (1, 1)
+    nqb, ncb = V.plan_blocks(15500, 133750, 8, 65536, 65536)
+    assert nqb == 1 and 8 <= ncb <= 16
+    # at cluster scale the block-size bounds decide and nothing is whole
+    nqb, ncb = V.plan_blocks(10**8, 10**9, 8000, 65536, 65536)
+    assert nqb == -(-10**8 // 65536) and ncb >= -(-10**9 // 65536)

@@ -149,6 +149,7 @@ def l2_normalize(df: DataFrame, vec_col: str = "embedding", norm_col: str = "nor
 # no cap on candidates.
 SCORE_DIGITS = 4
 _MARGIN = 1.5e-4
+MAX_COGROUP_PARTITIONS = 20_000
 
 
 def _normalize(m: np.ndarray) -> np.ndarray:
@@ -290,8 +291,10 @@ def _blocked_topk(q: DataFrame, c: DataFrame, qk: DataFrame, k_max: int, per_que
     # their bytes are small, so AQE would otherwise coalesce them into a few
     # tasks. An explicit partition count is kept, and the cogroup reuses it.
     # 4x as many partitions as block pairs keeps hash collisions (several
-    # pairs in one task) rare; empty partitions cost next to nothing.
-    n_parts = max(4 * nqb * ncb, q.sparkSession.sparkContext.defaultParallelism)
+    # pairs in one task) rare; empty partitions cost next to nothing. The
+    # count is capped so a huge block grid does not become millions of tasks;
+    # beyond the cap a task simply scores several block pairs in turn.
+    n_parts = max(par, min(4 * nqb * ncb, max(2 * par, MAX_COGROUP_PARTITIONS)))
     q2 = q.select(qb.alias("_qb"), all_c.alias("_cb"), "qid", *payload).repartition(n_parts, "_qb", "_cb")
     c2 = c.select(all_q.alias("_qb"), cb.alias("_cb"), "id", *payload).repartition(n_parts, "_qb", "_cb")
     fn = _local_topk_fn(k_max, exclude_self, min_score, dim)
