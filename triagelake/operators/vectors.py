@@ -410,7 +410,15 @@ def attach_metadata(top: DataFrame, metadata: DataFrame, *, meta_id: str = "id",
     The join is an equi-join on id; AQE chooses broadcast or sort-merge.
     """
     mcols = [c for c in metadata.columns if c != meta_id]
-    meta = metadata.select(F.col(meta_id).alias("_mid"), *[F.col(c).alias(f"_m_{c}") for c in mcols])
+    # The text is cut to the length the hit shows *before* the join, so the
+    # shuffle carries at most 500 (or 200) characters per corpus row instead
+    # of whole documents.
+    cut = rules.SNIPPET_CHARS if mode == "snippet" else rules.HIT_TEXT_CHARS
+
+    def proj(c: str) -> Column:
+        col = F.left(F.col(c), F.lit(cut)) if c == "training_text" else F.col(c)
+        return col.alias(f"_m_{c}")
+    meta = metadata.select(F.col(meta_id).alias("_mid"), *[proj(c) for c in mcols])
     j = top.join(meta, top["id"] == meta["_mid"], "left")
     found = F.col("_mid").isNotNull()
     text = _meta_or(mcols, "training_text", "")
