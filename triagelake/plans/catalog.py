@@ -31,17 +31,22 @@ def incident_clean(spark: SparkSession, d: str) -> DataFrame:
     return P.incident_training_text(P.clean_incidents(FX.incident(spark, d)))
 
 
-def kb_text(spark: SparkSession, d: str) -> DataFrame:
+def _kb_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Title and body of every page; the raw HTML is dropped before the
+    ordinal's range shuffle and checkpoint, which then carry text only."""
     pages = read_table(spark, d, "pages").select("page_id", "html")
-    kb = P.dense_ordinal(P.kb_from_pages(pages), ["page_id"], "ordinal")
+    return P.kb_from_pages(pages).select("page_id", "title", "body")
+
+
+def kb_text(spark: SparkSession, d: str) -> DataFrame:
+    kb = P.dense_ordinal(_kb_pages(spark, d), ["page_id"], "ordinal")
     kb = P.kb_training_text(kb)
     return kb.select("page_id", F.concat(F.lit(rules.KB_ID_PREFIX), F.col("ordinal").cast("string")).alias("id"),
                      "title", "body", "training_text")
 
 
 def _kb_corpus_rows(spark: SparkSession, d: str) -> DataFrame:
-    pages = read_table(spark, d, "pages").select("page_id", "html")
-    kb = P.kb_training_text(P.dense_ordinal(P.kb_from_pages(pages), ["page_id"], "ordinal"))
+    kb = P.kb_training_text(P.dense_ordinal(_kb_pages(spark, d), ["page_id"], "ordinal"))
     return P.kb_to_corpus(kb)
 
 
