@@ -96,9 +96,3 @@ def fmt_fixed(c: ColumnOrName, digits: int = 2) -> Column:
     ties to even); no grouping separators. NULL stays NULL."""
     return F.regexp_replace(F.format_number(_col(c).cast("double"), digits), ",", "")
 
-
-def py_float_text(c: ColumnOrName) -> Column:
-    """Text of a double the way Python prints a float (0.9 -> '0.9', 1 -> '1.0')."""
-    x = _col(c).cast("double")
-    s = x.cast("string")
-    return F.when(x.isNull(), F.lit("None")).otherwise(s)

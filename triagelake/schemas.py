@@ -38,7 +38,3 @@ DECISION = T.StructType([
     T.StructField("request_id", T.LongType()), T.StructField("automation_allowed", T.BooleanType()),
     T.StructField("approved_action", S), T.StructField("confidence", T.DoubleType()),
     T.StructField("reason", S), T.StructField("payload", S), T.StructField("llm_raw_output", S)])
-
-KB_EXPORT = T.StructType([T.StructField("result", T.ArrayType(T.StructType([
-    T.StructField("short_description", S), T.StructField("article_body", S),
-    T.StructField("category", S)])))])
