@@ -170,6 +170,14 @@ def _matrix(df: pd.DataFrame, id_name: str, dim: int | None) -> tuple[np.ndarray
     frame has ``b``/``v`` columns -- from long (id, index, value) rows."""
     if "vec" in df.columns:
         return df[id_name].to_numpy(), _unit_rows(df["vec"], dim)
+    if "bs" in df.columns:  # one row per id with aligned index / value arrays
+        ids = df[id_name].to_numpy()
+        lens = df["bs"].map(len).to_numpy()
+        m = np.zeros((len(ids), dim), dtype=np.float64)
+        if lens.sum():
+            m[np.repeat(np.arange(len(ids)), lens), np.concatenate(df["bs"].to_numpy()).astype(np.int64)] = \
+                np.concatenate(df["vs"].to_numpy()).astype(np.float64)
+        return ids, _normalize(m)
     inv, ids = pd.factorize(df[id_name], sort=False)
     ids = np.asarray(ids)
     m = np.zeros((len(ids), dim), dtype=np.float64)
@@ -346,9 +354,11 @@ def topk_search_long(queries: DataFrame, corpus: DataFrame, k: int | None = rule
                      q_blocks: int | None = None, c_blocks: int | None = None,
                      n_q: int | None = None, n_c: int | None = None) -> DataFrame:
     """``topk_search`` for vectors given as long (id, index, value) rows, e.g.
-    the (id, bucket, cnt) output of ``hash_counts``: no per-id vector is ever
-    assembled in Spark; each task builds and normalises its block matrix
-    (value / sqrt(sum of squares), the same arithmetic as ``hash_embed``).
+    the (id, bucket, cnt) output of ``hash_counts``: no dense vector is ever
+    assembled in Spark. Each id's pairs are packed into two aligned arrays
+    (one row per vector, so the block shuffle moves a row per vector rather
+    than one per entry), and each task builds and normalises its block
+    matrix (value / sqrt(sum of squares), the same arithmetic as ``hash_embed``).
     ``query_k`` (qid column named like ``q_id``, column ``k``) gives per-query k.
     ``n_q`` / ``n_c`` are the numbers of query / corpus vectors (or upper
     bounds, e.g. source row counts, which need no tokenizing) for block
@@ -371,7 +381,13 @@ def topk_search_long(queries: DataFrame, corpus: DataFrame, k: int | None = rule
     if n_c is None and not c_blocks:
         n_c = c.agg(F.approx_count_distinct("id")).first()[0]
     n_q, n_c = n_q or 0, n_c or 0
-    return _blocked_topk(q, c, qk, k_max, query_k is not None, n_q, n_c, ["b", "v"],
+    # one row per vector: (index, value) pairs packed into aligned arrays
+    def pack(df: DataFrame, idc: str) -> DataFrame:
+        g = df.groupBy(idc).agg(F.array_sort(F.collect_list(F.struct("b", "v"))).alias("_l"))
+        return g.select(idc, F.transform("_l", lambda x: x["b"]).alias("bs"),
+                        F.transform("_l", lambda x: x["v"]).alias("vs"))
+    q, c = pack(q, "qid"), pack(c, "id")
+    return _blocked_topk(q, c, qk, k_max, query_k is not None, n_q, n_c, ["bs", "vs"],
                          exclude_self=exclude_self, min_score=min_score, dim=dim,
                          q_block_rows=q_block_rows, c_block_rows=c_block_rows,
                          q_blocks=q_blocks, c_blocks=c_blocks)
