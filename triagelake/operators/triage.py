@@ -21,17 +21,25 @@ from ..session import ensure_conf
 MAX_RULE_ROWS = 100_000
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table built on the JVM (``inline`` of literal structs):
+    unlike ``createDataFrame`` on a Python list it needs no Python workers."""
+    fields = [f.strip().split() for f in schema.split(",")]
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def rule_tables(spark: SparkSession) -> dict[str, DataFrame]:
     """The fixed rule lists as small DataFrames (FIXTURES.md §3)."""
     return {
-        "rules": spark.createDataFrame(
-            [(i + 1, kw, cat) for i, (kw, cat) in enumerate(rules.ISSUE_KEYWORDS)],
+        "rules": literal_table(
+            spark, [(i + 1, kw, cat) for i, (kw, cat) in enumerate(rules.ISSUE_KEYWORDS)],
             "priority int, keyword string, category string"),
-        "allowed_action": spark.createDataFrame(
-            [(a,) for a in rules.AUTO_APPROVED_ACTIONS], "action string"),
-        "action_registry": spark.createDataFrame(
-            rules.ACTION_REGISTRY, "action string, handler string, body_key string"),
-        "ci_alias": spark.createDataFrame(rules.CI_ALIASES, "alias string, handler string"),
+        "allowed_action": literal_table(
+            spark, [(a,) for a in rules.AUTO_APPROVED_ACTIONS], "action string"),
+        "action_registry": literal_table(
+            spark, rules.ACTION_REGISTRY, "action string, handler string, body_key string"),
+        "ci_alias": literal_table(spark, rules.CI_ALIASES, "alias string, handler string"),
     }
 
 
