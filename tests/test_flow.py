@@ -127,3 +127,11 @@ def test_latest_per_ticket_hot_ticket(spark):
     keyed = {r["ticket_key"]: r["request_id"] for r in got.where("ticket_key is not null").collect()}
     assert keyed == {"INC_HOT": 2999, "INC_OTHER": 5000}
     assert got.where("ticket_key is null").count() == 1000
+
+
+def test_assignment_group_for_requests_without_hits(spark):
+    hits = spark.createDataFrame([(1, 1, "incident", "Database Team")],
+                                 "qid long, rank int, source string, assignment_group string")
+    req = spark.createDataFrame([(1,), (2,)], "qid long")
+    got = {r["qid"]: r["assignment_group"] for r in TR.assignment_group(hits, requests=req).collect()}
+    assert got == {1: "Database Team", 2: rules.DEFAULT_GROUP}

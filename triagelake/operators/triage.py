@@ -215,16 +215,20 @@ def decide(requests: DataFrame, responses: DataFrame | None = None,
 # -- T10: assignment group ------------------------------------------------------
 
 def assignment_group(hits: DataFrame, group_answers: DataFrame | None = None,
-                     qid: str = "qid") -> DataFrame:
+                     qid: str = "qid", requests: DataFrame | None = None) -> DataFrame:
     """Per query: the rank-1 hit's group when that hit is an incident with a
     real group; else the trimmed model answer when there is one; else
-    'Service Desk'. Reads rank-1 rows only (a filter, no aggregation)."""
+    'Service Desk'. Reads rank-1 rows only (a filter, no aggregation). With
+    ``requests`` (having the ``qid`` column) every request gets a row, also
+    one whose search found nothing."""
     top = hits.where(F.col("rank") == 1).select(
         qid,
         F.when((F.col("source") == F.lit(rules.SOURCE_INCIDENT))
                & ~F.coalesce(F.col("assignment_group"), F.lit(rules.NOT_PROVIDED))
                    .isin(rules.NOT_PROVIDED, rules.NOT_APPLICABLE),
                F.col("assignment_group")).alias("_g"))
+    if requests is not None:
+        top = requests.select(qid).join(top, qid, "left")
     if group_answers is not None:
         ga = group_answers.select(F.col(qid), empty_to_null(
             F.regexp_replace(F.col("llm_output"), r"^\s+|\s+$", "")).alias("_a"))

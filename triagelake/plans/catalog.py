@@ -192,7 +192,7 @@ def prompt_payload(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assign_group(spark: SparkSession, d: str) -> DataFrame:
-    return TR.assignment_group(request_hits(spark, d), qid="request_id")
+    return TR.assignment_group(request_hits(spark, d), qid="request_id", requests=request_clean(spark, d))
 
 
 def response_clean(spark: SparkSession, d: str) -> DataFrame:

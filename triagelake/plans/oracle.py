@@ -469,10 +469,10 @@ where not {denied(classify('r.query'), 'r.configuration_item')}
   and p.json_ok and p.confidence_ok and p.action in ({allow_list()}) and p.confidence >= {rules.CONFIDENCE_THRESHOLD}
   and p.action in ({invoice_list()})"""),
     "assign_group": _q(f"""
-select request_id, coalesce(case when source = {lit(rules.SOURCE_INCIDENT)}
-                                  and coalesce(assignment_group, {lit(rules.NOT_PROVIDED)}) not in ({lit(rules.NOT_PROVIDED)}, {lit(rules.NOT_APPLICABLE)})
-                                 then assignment_group end, {lit(rules.DEFAULT_GROUP)}) as assignment_group
-from request_hits where rank = 1"""),
+select r.request_id, coalesce(case when h.source = {lit(rules.SOURCE_INCIDENT)}
+                                  and coalesce(h.assignment_group, {lit(rules.NOT_PROVIDED)}) not in ({lit(rules.NOT_PROVIDED)}, {lit(rules.NOT_APPLICABLE)})
+                                 then h.assignment_group end, {lit(rules.DEFAULT_GROUP)}) as assignment_group
+from request_clean r left join (select * from request_hits where rank = 1) h using (request_id)"""),
     "response_clean": _q(f"""
 select r.request_id, 'decision' as kind, {strip('s.llm_output')} as answer,
        coalesce(starts_with(s.llm_output, {lit(rules.MODEL_ERROR_PREFIX)}), false) as is_error,
