@@ -135,3 +135,16 @@ def test_assignment_group_for_requests_without_hits(spark):
     req = spark.createDataFrame([(1,), (2,)], "qid long")
     got = {r["qid"]: r["assignment_group"] for r in TR.assignment_group(hits, requests=req).collect()}
     assert got == {1: "Database Team", 2: rules.DEFAULT_GROUP}
+
+
+def test_stream_search_equals_batch_search(spark, sf_small):
+    from triagelake.plans import catalog as CAT
+    corpus = CAT.search_corpus(spark, sf_small)
+    req = FX.request(spark, sf_small)
+    base = tempfile.mkdtemp(prefix="tl-stream-search-")
+    out = S.run_stream_once(spark, req, FX.response(spark, sf_small), FX.payload(spark, sf_small),
+                            FX.action_result(spark, sf_small), files=2, work_dir=base, corpus=corpus)
+    streamed = spark.read.parquet(os.path.join(out, "hits")).drop("batch_id")
+    batch = CAT.request_hits(spark, sf_small)
+    assert sorted(map(tuple, streamed.select(batch.columns).collect())) == sorted(map(tuple, batch.collect()))
+    assert spark.read.parquet(os.path.join(out, "context")).count() == batch.select("request_id").distinct().count()

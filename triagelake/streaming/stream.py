@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import outcome as O
+from ..operators.context import fold_context
+from ..operators.vectors import search_texts
 from ..operators import triage as TR
 from ..operators.requests import clean_requests, reject_requests
 from ..session import checkpoint_dir
@@ -48,7 +50,8 @@ def latest_per_ticket(requests: DataFrame, key: str = "request_id") -> DataFrame
 
 def triage_batch(requests: DataFrame, responses: DataFrame, payloads: DataFrame | None,
                  action_results: DataFrame | None, registry: DataFrame,
-                 key: str = "request_id", persist: bool = False) -> dict[str, DataFrame]:
+                 key: str = "request_id", persist: bool = False,
+                 corpus: DataFrame | None = None) -> dict[str, DataFrame]:
     """Batch triage of a request table: rejects, decisions, action plans,
     outcomes and ticket updates (one update set per ticket). With
     ``persist`` the decisions, which every later table reads, are kept in
@@ -62,18 +65,26 @@ def triage_batch(requests: DataFrame, responses: DataFrame, payloads: DataFrame
     per_ticket = latest_per_ticket(req, key).select(
         key, F.col("ticket_key").alias("ticket_id"), F.lit(None).cast("string").alias("sys_id"))
     outs = O.outcome(per_ticket, dec, plan, action_results, key=key)
-    return {"rejects": reject_requests(requests, key), "decisions": dec, "action_plan": plan,
-            "outcomes": outs, "ticket_updates": O.ticket_updates(outs, key)}
+    tables = {"rejects": reject_requests(requests, key), "decisions": dec, "action_plan": plan,
+              "outcomes": outs, "ticket_updates": O.ticket_updates(outs, key)}
+    if corpus is not None:
+        # search against the static corpus (the index), then fold the context
+        hits = search_texts(req, corpus, key=key)
+        tables["hits"] = hits
+        tables["context"] = fold_context(hits, key)
+    return tables
 
 
 def start_triage_stream(spark: SparkSession, request_dir: str, out_dir: str,
                         responses: DataFrame, payloads: DataFrame | None = None,
                         action_results: DataFrame | None = None, *,
                         checkpoint: str | None = None, max_files_per_trigger: int | None = None,
-                        available_now: bool = True):
+                        available_now: bool = True, corpus: DataFrame | None = None):
     """Start the stream; returns the StreamingQuery. Outputs go to
     ``out_dir/<table>/batch_id=<n>``; progress to ``checkpoint`` (default:
-    a fresh folder under the session's shared checkpoint folder)."""
+    a fresh folder under the session's shared checkpoint folder). With
+    ``corpus`` (a static, ideally persisted or stored table) each batch is
+    also searched and ``hits`` / ``context`` are written."""
     registry = TR.rule_tables(spark)["action_registry"]
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), f"triage-stream-{uuid.uuid4().hex}")
     reader = spark.readStream.schema(schemas.REQUEST)
@@ -82,7 +93,8 @@ def start_triage_stream(spark: SparkSession, request_dir: str, out_dir: str,
     stream = reader.parquet(request_dir)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        tables = triage_batch(batch, responses, payloads, action_results, registry, persist=True)
+        tables = triage_batch(batch, responses, payloads, action_results, registry, persist=True,
+                              corpus=corpus)
         try:
             for name, df in tables.items():
                 _write(df, os.path.join(out_dir, name), batch_id)
@@ -96,7 +108,8 @@ def start_triage_stream(spark: SparkSession, request_dir: str, out_dir: str,
 
 def run_stream_once(spark: SparkSession, requests: DataFrame, responses: DataFrame,
                     payloads: DataFrame | None, action_results: DataFrame | None,
-                    files: int = 4, work_dir: str | None = None) -> str:
+                    files: int = 4, work_dir: str | None = None,
+                    corpus: DataFrame | None = None) -> str:
     """Land ``requests`` as ``files`` Parquet files, drain them through the
     stream one file per micro-batch and return the output folder."""
     base = work_dir or os.path.join(checkpoint_dir(spark), f"triage-run-{uuid.uuid4().hex}")
@@ -104,6 +117,7 @@ def run_stream_once(spark: SparkSession, requests: DataFrame, responses: DataFra
     (requests.select([f.name for f in schemas.REQUEST.fields])
              .repartitionByRange(files, "request_id").write.mode("overwrite").parquet(src))
     q = start_triage_stream(spark, src, out, responses, payloads, action_results,
-                            checkpoint=os.path.join(base, "checkpoint"), max_files_per_trigger=1)
+                            checkpoint=os.path.join(base, "checkpoint"), max_files_per_trigger=1,
+                            corpus=corpus)
     q.awaitTermination()
     return out
