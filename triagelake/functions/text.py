@@ -16,12 +16,18 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# FIXED VALUES -- whitespace stripped at both ends (the regex class \s).
+_WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def pystrip(c: ColumnOrName) -> Column:
     """Strip leading/trailing whitespace (tabs and newlines too), like ``str.strip``.
 
-    Spark's ``trim`` removes spaces only.
+    Spark's ``trim`` removes spaces only; ``btrim`` with the whitespace set
+    is linear in the text (an end-anchored whitespace regex backtracks over
+    every interior whitespace run).
     """
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(_WHITESPACE))
 
 
 def as_text(c: ColumnOrName, null_text: str = "") -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .. import rules
 from ..functions import jsonx
-from ..functions.text import ColumnOrName, _col, empty_to_null, render
+from ..functions.text import ColumnOrName, _col, empty_to_null, pystrip, render
 from ..session import ensure_conf
 
 # Rule tables above this many rows are not broadcast (they are joined with
@@ -230,8 +230,7 @@ def assignment_group(hits: DataFrame, group_answers: DataFrame | None = None,
     if requests is not None:
         top = requests.select(qid).join(top, qid, "left")
     if group_answers is not None:
-        ga = group_answers.select(F.col(qid), empty_to_null(
-            F.regexp_replace(F.col("llm_output"), r"^\s+|\s+$", "")).alias("_a"))
+        ga = group_answers.select(F.col(qid), empty_to_null(pystrip("llm_output")).alias("_a"))
         top = top.join(ga, qid, "left")
     else:
         top = top.withColumn("_a", F.lit(None).cast("string"))
