@@ -181,3 +181,21 @@ def test_plan_blocks_scales():
     # at cluster scale the block-size bounds decide and nothing is whole
     nqb, ncb = V.plan_blocks(10**8, 10**9, 8000, 65536, 65536)
     assert nqb == -(-10**8 // 65536) and ncb >= -(-10**9 // 65536)
+
+
+def test_search_texts_hot_text(spark, sf_small):
+    from triagelake.plans import catalog as CAT
+    corpus = CAT.search_corpus(spark, sf_small)
+    hot = "crm profile out of sync"
+    rows = [(i, hot if i % 3 == 0 else f"retry order {i}", 2 if i % 2 else None) for i in range(600)]
+    req = spark.createDataFrame(rows, "request_id long, query string, top_k int")
+    hits = V.search_texts(req, corpus).collect()
+    single = V.search_texts(spark.createDataFrame([(0, hot, 5)], "request_id long, query string, top_k int"),
+                            corpus).collect()
+    ranked = [(r["rank"], r["id"], r["similarity_score"]) for r in sorted(single, key=lambda r: r["rank"])]
+    by_req = {}
+    for r in hits:
+        by_req.setdefault(r["request_id"], []).append((r["rank"], r["id"], r["similarity_score"]))
+    for i in range(0, 600, 3):   # every hot request: its own k of the same ranking
+        k = 2 if i % 2 else 5
+        assert sorted(by_req[i]) == ranked[:k]
