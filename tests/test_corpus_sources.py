@@ -145,3 +145,14 @@ def test_cap_rows_is_ordered_and_optional(spark):
     df = spark.range(0, 1000).repartition(7).withColumnRenamed("id", "k")
     assert files.cap_rows(df, None, ["k"]).count() == 1000
     assert [r["k"] for r in files.cap_rows(df, 5, ["k"]).collect()] == [0, 1, 2, 3, 4]
+
+
+
+def test_checkpoint_dir_uses_the_configured_folder(spark):
+    from triagelake.session import checkpoint_dir
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    d = checkpoint_dir(spark)
+    if named:
+        assert d == named                    # the cluster's shared folder, as named
+    assert spark.sparkContext.getCheckpointDir() is not None
+    assert checkpoint_dir(spark) == d        # stable across calls

@@ -61,10 +61,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master or ""
     if not master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    # spark.checkpoint.dir is static (cannot be set at run time); the local
+    # folder is registered on the context, where later calls find it
     d = tempfile.mkdtemp(prefix="triagelake-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
-    return d
+    return spark.sparkContext.getCheckpointDir() or d
 
 
 def ensure_conf(spark: SparkSession) -> None:
