@@ -156,6 +156,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP,
                     (F.col("copies") * F.col("size")).alias("taken")))
 
 
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP,
+          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as its ``copies`` say
+    (``copy`` counts from 1), with all its columns, ``size``, ``target`` (its
+    source's) and ``copies``. Rows with equal id and text take equal copies."""
+    rows = docs.withColumn("_th", F.xxhash64(text_col)).withColumn("_key", F.struct(id_col, "_th"))
+    plan = mix(rows, weights, cap, "_key", text_col, source_col)
+    plan = keep(plan.groupBy("_key").agg(*[F.max(c).alias(c) for c in ("size", "target", "copies")])
+                .where("copies > 0").select(F.col(f"_key.{id_col}").alias("_pid"), F.col("_key._th").alias("_pth"),
+                                            F.col("size").alias("_size"), F.col("target").alias("_target"), F.col("copies").alias("_copies")), "mix-plan")
+    out = rows.join(plan, rows[id_col].eqNullSafe(plan["_pid"]) & (rows["_th"] == plan["_pth"]))
+    return out.select(*[out[c] for c in docs.columns], F.col("_size").alias("size"), F.col("_target").alias("target"),
+                      F.col("_copies").alias("copies"), F.explode(F.expr("sequence(1, cast(_copies AS int))")).alias("copy"))
+
+
 def _targets_of_cells(cells: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
     """source_targets over (source, size, n) cells."""
     src = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("docs"))

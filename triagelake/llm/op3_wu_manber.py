@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, text_slices
+from .common import keep, read, small_batches, text_slices
 
 WINDOW = 13
 #: Contaminated: hit words * SHARE >= words.
@@ -167,20 +167,20 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = batch.column("n_words").to_pylist()
         hits = [sum(s[1::2]) - sum(s[::2]) for s in spans]
         yield pa.record_batch([
-            batch.column("_id"), pa.array(words, pa.int64()), pa.array(hits, pa.int64()),
+            batch.column("_id"), batch.column("_th"), pa.array(words, pa.int64()), pa.array(hits, pa.int64()),
             pa.array([len(x) for x in items], pa.int64()),
             pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
             pa.array([h > 0 and SHARE * h >= n for h, n in zip(hits, words)], pa.bool_()),
             pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))],
-            ["_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans"])
+            ["_id", "text_hash", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_words``, ``n_hit`` (words inside an
     occurrence of a test string), ``n_items``, ``items_sha256``,
-    ``contaminated``, ``item_ids`` (sorted as strings) and ``hit_spans``
-    (word offsets start, end, ...).
+    ``contaminated``, ``item_ids`` (sorted as strings), ``hit_spans`` (word
+    offsets start, end, ...) and ``text_hash`` (xxhash64 of the text).
 
     NULL and empty texts have no words; NULL or wordless items have no
     strings; the strings of an item without an id are searched and hit words,
@@ -212,11 +212,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
             F.flatten(F.collect_list("items")).alias("items"), (F.count(F.lit(1)) / passes).cast("int").alias("copies"))
         found = found.select("*", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "col")
-    out = found.mapInArrow(_judge, f"_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, "
+    out = found.mapInArrow(_judge, f"_id {id_type}, text_hash long, n_words long, n_hit long, n_items long, items_sha256 string, "
                                    "contaminated boolean, item_ids array<string>, hit_spans array<long>")
     return out.withColumnRenamed("_id", id_col)
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, all columns."""
+    bad = keep(decontaminate(docs, benchmark, id_col, text_col).where("contaminated")
+               .select(F.col(id_col).alias("_bid"), F.col("text_hash").alias("_bth")).distinct(), "contaminated")
+    rows = docs.withColumn("_th", F.xxhash64(text_col))
+    return rows.join(bad, rows[id_col].eqNullSafe(bad["_bid"]) & (rows["_th"] == bad["_bth"]), "left_anti").drop("_th")
+
+
 def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

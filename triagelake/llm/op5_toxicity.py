@@ -156,6 +156,22 @@ def score(docs: DataFrame, model: NBLinear, id_col: str = "doc_id", text_col: st
             .withColumnRenamed("_id", id_col))
 
 
+def _clean(model, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch, texts in text_slices(batches, text_col):
+            yield batch.filter(pa.array([m.score(t) < THRESHOLD for t in texts], pa.bool_()))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, model: NBLinear, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores below THRESHOLD, all columns."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_clean(sent, text_col), docs.schema)
+
+
 def op5_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
     return score(read(spark, sf_dir, "documents", "doc_id", "text"), model)

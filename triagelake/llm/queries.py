@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .op1_mixing import op1_mix_entropy
 from .op2_language import op2_lang_kernel
 from .op3_wu_manber import OP3_SQL, op3_wu_manber
+from .op4_parity import op4_parity_join
 from .op5_toxicity import op5_toxicity_nb
+from .op6_suffix import op6_suffix_dedup
 from .op7_url_tree import op7_url_tree
 from .op8_license import op8_license_digest
 from .op9_chat import op9_chat_hmm
+from .op10_graph import op10_flat_graph
 
 QUERIES = {
     "op1_mix_entropy": op1_mix_entropy,
     "op2_lang_kernel": op2_lang_kernel,
     "op3_wu_manber": op3_wu_manber,
+    "op4_parity_join": op4_parity_join,
     "op5_toxicity_nb": op5_toxicity_nb,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_tree": op7_url_tree,
     "op8_license_digest": op8_license_digest,
     "op9_chat_hmm": op9_chat_hmm,
+    "op10_flat_graph": op10_flat_graph,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
