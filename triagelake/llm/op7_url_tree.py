@@ -108,7 +108,7 @@ def branch_purity(tree: DataFrame) -> DataFrame:
     template's branch. Siblings (children of one node) whose blocked share is
     not significantly off that of all labelled siblings together share their
     counts; others, and branches without labels, stand alone."""
-    leaf = tree.groupBy("host", "node", F.coalesce(F.try_element_at("nodes", F.size("nodes") - 1), F.lit("")).alias("parent")) \
+    leaf = tree.groupBy("host", "node", F.coalesce(F.get("nodes", F.size("nodes") - 2), F.lit("")).alias("parent")) \
         .agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     pool = leaf.groupBy(F.col("host").alias("_h"), F.col("parent").alias("_p")).agg(
         F.sum("labelled").alias("pl"), F.sum("blocked").alias("pb"))

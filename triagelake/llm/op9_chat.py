@@ -36,8 +36,12 @@ START = STATES  # the state before a conversation's first line
 MARKER = re.compile(r"^\s*[\[\*#<(]*\s*(?:" + "|".join(f"(?P<{r}>{p})" for r, p in MARKERS) + r")\s*[\])>\*]*\s*[:>\-]\s*[\*]*\s*", re.I)
 #: Line features and their numbers of values.
 FEATURES = {"marker": 1 + len(ROLES), "block": 2, "length": 6, "question": 2, "opening": 2}
-#: Pseudo-lines: for every value, and for a marker on the first line of its role's turn.
-SMOOTH, MARKER_PRIOR = 0.5, 200.0
+#: Pseudo-lines for every value of a feature.
+SMOOTH = 0.5
+#: The marker feature: pseudo-lines for every value, and the share of its own
+#: marker on the first line of a role's turn (MARKER_LEAST pseudo-lines at
+#: least), whether or not labelled rows have markers.
+MARKER_SMOOTH, MARKER_SHARE, MARKER_LEAST = 1e-3, 0.1, 200.0
 #: Positions (turn numbers) of one chunk, and chunks combined at a time.
 CHUNK = 128
 COMBINE = 1024
@@ -49,7 +53,7 @@ def line_features(lines: list[str], opening: bool) -> np.ndarray:
     for i, line in enumerate(lines):
         m = MARKER.match(line)
         out[i, 0] = 1 + ROLES.index(m.lastgroup) if m else 0
-        out[i, 1] = i == 0
+        out[i, 1] = i == 0 or m is not None
         out[i, 2] = min(5, len(line).bit_length() // 2)
         out[i, 3] = line.rstrip().endswith("?")
         out[i, 4] = opening and i == 0
@@ -86,12 +90,14 @@ def model_of(moves: np.ndarray, seen: list[np.ndarray]) -> ChatModel:
         move = np.log(move / move.sum(1, keepdims=True))
     emit = []
     for k, counts in enumerate(seen):
-        c = counts + SMOOTH
-        if k == 0:  # markers say the role, whether or not labelled rows have any
+        c = counts + (SMOOTH if k else MARKER_SMOOTH)
+        if k == 0:
+            c[:, 0] += MARKER_LEAST
             for s in range(0, STATES, 2):
-                c[s, 1 + s // 2] += MARKER_PRIOR
-                c[s, 0] += MARKER_PRIOR
-                c[s + 1, 0] += MARKER_PRIOR
+                c[s, 1 + s // 2] += max(MARKER_LEAST, MARKER_SHARE * c[s].sum())
+        if k == 1:  # a turn begins where a block or a marker does
+            c[::2, 1] += MARKER_LEAST
+            c[1::2, 0] += MARKER_LEAST
         emit.append(np.log(c / c.sum(1, keepdims=True)))
     return ChatModel(move, emit)
 
