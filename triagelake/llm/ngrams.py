@@ -16,18 +16,21 @@ def hashed(points: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray
     """Distinct hash numbers (0 to 2**bits - 1) of the n-grams of the orders."""
     seen = np.zeros(1 << bits, bool) if len(points) > (1 << bits) // 8 else None
     parts = []
-    for n in orders:
+    h, have = np.full(len(points), 0x9E3779B1, np.uint64), 0
+    for n in sorted(orders):  # an n-gram's hash goes on from that of the next shorter order
         if len(points) < n:
-            continue
-        h = np.full(len(points) - n + 1, n * 0x9E3779B1, np.uint64)
-        for j in range(n):
-            h = (h ^ points[j:len(points) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
+            break
+        for j in range(have, n):
+            h = (h[:len(points) - j] ^ points[j:]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        h = (h >> np.uint64(64 - bits - 3)) & np.uint64((1 << bits) - 1)
+        have = n
+        g = h * np.uint64(2 * n + 1)
+        g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        g = (g >> np.uint64(64 - bits - 3)) & np.uint64((1 << bits) - 1)
         if seen is not None:
-            seen[h] = True
+            seen[g] = True
         else:
-            parts.append(h.astype(np.int64))
+            parts.append(g.astype(np.int64))
     if seen is not None:
         return np.flatnonzero(seen)
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)

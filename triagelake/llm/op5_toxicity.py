@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from .common import held_out, keep, read, small_batches, text_slices, training_rows
 from .ngrams import code_points, hashed
 
-ORDERS = (3, 4, 5)
+ORDERS = (4, 6, 8)
 BITS = 20
 #: Bound of the labelled rows learnt from, per label.
 SAMPLE_ROWS = 3000
 #: Pseudo-documents per n-gram, shared between the classes by their size.
-PRIOR = 10.0
+PRIOR = 30.0
 #: N-grams whose log-count ratio is nearer to 0 than this are left out.
-LEAST_RATIO = 1.0
-L2 = 1e-3
+LEAST_RATIO = 0.7
+L2 = 3e-4
 STEPS = 300
 THRESHOLD = 0.7
 
