@@ -25,6 +25,10 @@ from .shingles import WordHasher, mix, shingle_sets
 #: Rows of one key that are compared in one piece; larger groups are compared
 #: block by block in different tasks.
 GROUP_BLOCK = 2048
+#: Smallest sets of its keys that a set is compared with first, and nearest
+#: sets that it is compared with next.
+STARS = 2
+NEAREST = 2
 
 
 class Bands:
@@ -175,35 +179,78 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
-def _compare(num: int, den: int):
+def nearest(bands: Bands, group: list[tuple], most: int | None) -> set[tuple[int, int]]:
+    """Pairs of a group's sets (node, component, size, sketch, part; ``part``
+    None: compare all, else sets of different parts only) in different
+    components that their sketches don't rule out: of every set at most
+    ``most``, the ones of the smallest distance."""
+    group = sorted(group, key=lambda r: (r[2], r[0]))
+    size = np.array([r[2] for r in group])
+    comp = np.array([r[1] for r in group])
+    part = np.array([-1 if r[4] is None else r[4] for r in group])
+    whole = np.array([r[4] is None for r in group])
+    last = np.searchsorted(size, size * bands.den // bands.num, "right")
+    byte = np.array([len(r[3]) for r in group])
+    rows = {w: np.stack([r[3] for r in group if len(r[3]) == w]) for w in set(byte.tolist())}
+    begin = {w: int(np.argmax(byte == w)) for w in rows}  # sketches grow with the sets
+    left, right, apart = [], [], []
+    for i in range(len(group)):
+        w = int(byte[i])
+        for v in sorted(rows):
+            x, y = max(i + 1, begin[v]), min(int(last[i]), begin[v] + len(rows[v]))
+            if v < w or x >= y:
+                continue
+            j = np.arange(x, y)
+            j = j[(comp[x:y] != comp[i]) & (whole[i] | (part[x:y] != part[i]))]
+            if not len(j):
+                continue
+            other = rows[v][j - begin[v]]
+            if v > w:
+                other = np.bitwise_xor.reduce(other.reshape(len(j), -1, w), axis=1)
+            far = np.bitwise_count(other ^ rows[w][i - begin[w]]).sum(1)
+            ok = far <= (size[j] + size[i]) * (bands.den - bands.num) // (bands.den + bands.num)
+            left.append(np.full(int(ok.sum()), i))
+            right.append(j[ok])
+            apart.append(far[ok])
+    if not left:
+        return set()
+    i, j, far = np.concatenate(left), np.concatenate(right), np.concatenate(apart)
+    if most is not None:
+        who, mate = np.concatenate((i, j)), np.concatenate((j, i))
+        order = np.lexsort((mate, np.concatenate((far, far)), who))
+        who, mate = who[order], mate[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        i, j = who[rank < most], mate[rank < most]
+    node = [r[0] for r in group]
+    return {(min(node[x], node[y]), max(node[x], node[y])) for x, y in zip(i.tolist(), j.tolist())}
+
+
+def _compare(num: int, den: int, most: int | None):
     """Rows sorted by (key, bi, bj), with (node, comp, n, sketch, part): the
-    pairs of each piece that are in different components, one from each of its
-    two blocks, and not ruled out by their sketches."""
+    ``nearest`` pairs of each piece; a piece of two blocks pairs one set of
+    either. A task gives a pair once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, now, group, found = Bands(num, den), None, [], []
+        bands, now, group, found, told = Bands(num, den), None, [], set(), set()
 
-        def pairs() -> None:
-            group.sort(key=lambda r: r[2])
-            sizes = [r[2] for r in group]
-            for i, (node, comp, n, sketch, part, two) in enumerate(group):
-                stop = np.searchsorted(sizes, n * den // num, "right")
-                for other in group[i + 1:stop]:
-                    if other[1] != comp and (not two or other[4] != part) and may_link(bands, n, sketch, other[2], other[3]):
-                        found.append((min(node, other[0]), max(node, other[0])))
+        def table(pairs: set) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("key", "bi", "bj", "node", "comp", "n", "sketch", "part")]
             for key, bi, bj, node, comp, n, sketch, part in zip(*cols):
                 if (key, bi, bj) != now:
-                    pairs()
+                    if len(group) > 1:
+                        found |= nearest(bands, group, most) - told
                     now, group = (key, bi, bj), []
-                group.append((node, comp, n, np.frombuffer(sketch, np.uint8), part, bi != bj))
+                group.append((node, comp, n, np.frombuffer(sketch, np.uint8), part if bi != bj else None))
             if len(found) > 10_000:
-                yield pa.record_batch([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-                found = []
-        pairs()
-        yield pa.record_batch([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+                yield table(found)
+                told = told | found if len(told) < 1_000_000 else found
+                found = set()
+        if len(group) > 1:
+            found |= nearest(bands, group, most) - told
+        yield table(found)
 
     return run
 
@@ -220,10 +267,11 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     such a document still links others. Repeated rows are equal sets.
 
     No pair list of a group is made. First every set is compared with the
-    smallest one of each of its keys (a star per key); what they link is
-    joined into components; then only sets of one key that are still in
-    different components are compared, in pieces of GROUP_BLOCK, and only
-    pairs that pass their sketches leave the task.
+    smallest ones of its keys (a star per key; the STARS it shares most keys
+    with); what they link is joined into components. Then sets of one key that
+    are still in different components are compared by their sketches, in
+    pieces of GROUP_BLOCK: first only the nearest of every set are verified
+    and joined, and what is then still apart is verified in full.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -241,21 +289,13 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
                    .where("hub < top").select("key", "node", "hub"), "parity-keys")
 
     stars = grouped.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))
-    best = keep(stars.groupBy("node").agg(F.max(F.struct("shared", "hub")).alias("best"))
-                .select(F.col("node").alias("a"), F.col("best.hub").alias("b")), "parity-stars")
+    turn = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "hub"))
+    best = keep(stars.withColumn("turn", turn).where(F.col("turn") <= STARS)
+                .select(F.col("node").alias("a"), F.col("hub").alias("b")), "parity-stars")
     links = _linked(rows, signed, heads, best, shingle, num, den)
-
-    comp = components(links)
-    now = keep(grouped.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")), "parity-comps")
-    mixed = keep(now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows"))
-                 .where("lo < hi").select("key", F.ceil(F.col("rows") / GROUP_BLOCK).alias("pieces")), "parity-mixed")
-    rest = now.join(mixed, "key").withColumn("part", F.expr("pmod(xxhash64(node), pieces)"))
-    rest = rest.withColumn("other", F.explode(F.expr("sequence(0L, pieces - 1)")))
-    rest = rest.select("key", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "node", "comp", "part")
-    sketches = _sketches(signed, heads, rest.select("node").distinct())
-    rest = rest.join(sketches, "node").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    more = keep(rest.mapInArrow(_compare(num, den), "a long, b long").distinct(), "parity-rest")
-    links = links.union(_verified(rows, heads, more, shingle, num, den))
+    for most in (NEAREST, None):
+        more = _apart(grouped, links, signed, heads, num, den, most)
+        links = keep(links.union(_verified(rows, heads, more, shingle, num, den)), "parity-links")
 
     comp = components(links)
     label = heads.join(comp, "node", "left").select("node", "head", F.coalesce("component", "node").alias("label"))
@@ -290,6 +330,21 @@ def one_per_group(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 1
 
 
 
+def _apart(grouped: DataFrame, links: DataFrame, signed: DataFrame, heads: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
+    """Pairs of sets that share a key, are in different components of
+    ``links``, and are not ruled out: of every set's, the ``most`` nearest."""
+    comp = components(links)
+    now = keep(grouped.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")), "parity-comps")
+    mixed = keep(now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows"))
+                 .where("lo < hi").select("key", F.ceil(F.col("rows") / GROUP_BLOCK).alias("pieces")), "parity-mixed")
+    rest = now.join(mixed, "key").withColumn("part", F.expr("pmod(xxhash64(node), pieces)"))
+    rest = rest.withColumn("other", F.explode(F.expr("sequence(0L, pieces - 1)")))
+    rest = rest.select("key", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "node", "comp", "part")
+    sketches = _sketches(signed, heads, rest.select("node").distinct())
+    rest = rest.join(sketches, "node").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    return keep(rest.mapInArrow(_compare(num, den, most), "a long, b long").distinct(), "parity-rest")
+
+
 def _sketches(signed: DataFrame, heads: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node``, ``n``, ``sketch`` of the nodes, once each."""
     wanted = heads.join(nodes, "node").select(F.col("node").alias("_node"), "_one", "_oth")
