@@ -69,6 +69,28 @@ def text_slices(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tu
             yield batch.slice(start), texts[start:]
 
 
+#: Slots of the bitmap that maybe_in() builds: 8 MB, whatever the input.
+BITMAP_SLOTS = 1 << 26
+
+
+def maybe_in(rows: DataFrame, hash_col: str, wanted: DataFrame, wanted_col: str) -> DataFrame:
+    """Rows of ``rows`` whose hash may be among ``wanted``'s: those of wanted
+    rows, and others whose hash falls on a taken slot. A semi-join reduction
+    that spares a join the shuffle of rows without a match; the broadcast
+    bitmap has a fixed number of slots, so it only filters less, never wrongly,
+    when there are more wanted rows than slots."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_SLOTS)) + 1
+    bits = (wanted.select(slot(F.col(wanted_col)).alias("_s"))
+            .groupBy(F.bitmap_bucket_number("_s").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits")))
+    bits = keep(bits, "bitmap")  # at most 2,048 rows of 4 KB
+    at = rows.withColumn("_s", slot(F.col(hash_col)))
+    at = at.withColumn("_b", F.bitmap_bucket_number("_s")).withColumn("_p", F.bitmap_bit_position("_s"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (at.join(F.broadcast(bits), F.col("_b") == F.col("_bucket"))
+            .where(F.getbit(byte, (F.col("_p") % 8).cast("int")) == 1).drop("_s", "_b", "_p", "_bucket", "_bits"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list of longs: ``node``, ``component``
     (the smallest node reachable), one row per node that has an edge.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, keep, read, small_batches, text_slices
+from .common import components, keep, maybe_in, read, small_batches, text_slices
 from .shingles import WordHasher, mix, shingle_sets
 
 #: Rows of one key that are compared in one piece; larger groups are compared
@@ -365,6 +365,7 @@ def _linked(rows: DataFrame, signed: DataFrame, heads: DataFrame, pairs: DataFra
 def _verified(rows: DataFrame, heads: DataFrame, pairs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = keep(heads.join(nodes, "node").select("node", "_one", "_oth"), "parity-wanted")
+    rows = maybe_in(rows, "_th", wanted, "_oth")
     texts = (rows.join(wanted, rows["_id"].eqNullSafe(wanted["_one"]) & (rows["_th"] == wanted["_oth"]))
              .select("node", F.col("_text").alias("text")).dropDuplicates(["node"]))
     texts = keep(texts, "parity-texts")
