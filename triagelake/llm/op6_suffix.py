@@ -10,7 +10,8 @@
    recursively (until names cover a window), the other suffixes are sorted by
    (byte, rank of the next) and merged in.
 4. Adjacent prefixes. Two neighbours of the order that agree in 200 bytes are
-   repeated windows, and so are the windows of a block that occurs twice.
+   repeated windows, and so are the windows of a block that occurs twice (if
+   it is its name's only one, nothing is left to sort).
 
 No window's decision needs more than the blocks of its own name, so steps 2
 to 4 run in independent tasks. A name with very many runs (a passage that a
@@ -33,7 +34,7 @@ from .common import keep, read, small_batches, text_slices
 from .shingles import BASE, mix
 
 MATCH = 200
-GRAM = 64
+GRAM = 96
 #: Window starts of one run at most.
 RUN = 128
 #: Names with more runs than this are hot: parts of STRIDE starts (at most 8).
@@ -47,22 +48,25 @@ BLOCKS_HELD = 20_000
 
 # ---- step 1: anchors ---------------------------------------------------------
 
+LETTERS = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
+
+
 def gram_hashes(a: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of ``size`` bytes, by doubling."""
-    h, n, have = mix(a.astype(np.uint64) + np.uint64(1)), 1, {}
+    """Hash of every run of ``size`` bytes: a polynomial modulo 2**64, by doubling."""
+    power = lambda n: np.uint64(pow(BASE, n, 1 << 64))
+    h, n, have = LETTERS[a], 1, {}
     while n <= size:
-        have[n] = h
+        if size & n:
+            have[n] = h
         if 2 * n <= size:
-            h = mix(h[:-n] * np.uint64(BASE) + h[n:])
+            h = h[:-n] * power(n) + h[n:]
         n *= 2
     count = len(a) - size + 1
-    out, at = None, 0
-    for n in sorted(have, reverse=True):
-        if size & n:
-            part = have[n][at:at + count]
-            out = part if out is None else mix(out * np.uint64(BASE) + part)
-            at += n
-    return out
+    out, at = np.zeros(count, np.uint64), 0
+    for n in sorted(have):
+        out = out * power(n) + have[n][at:at + count]
+        at += n
+    return mix(out)
 
 
 def window_min(v: np.ndarray, size: int) -> np.ndarray:
@@ -216,24 +220,42 @@ def suffix_ranks(s: np.ndarray, top: int, depth: int, covered: int = 1) -> np.nd
         most = int(names.max())
     rank = np.zeros(n + 4, np.int64)
     rank[sample] = names
-    # the other suffixes by (number, rank of the next); all are merged by such keys
+    # the other suffixes by (number, rank of the next), (two numbers, rank of the one after)
     far = np.int64(most + 1)
-    key0, key1 = t[zero] * far + rank[zero + 1], t[one] * far + rank[one + 1]
-    both = named(np.concatenate((t[zero] * base + t[zero + 1], t[two] * base + t[two + 1])))
-    key0b = both[:len(zero)] * far + rank[zero + 2]
-    key2 = both[len(zero):] * far + rank[two + 2]
-    sorted0, sorted0b = np.sort(key0), np.sort(key0b)
-    place = np.zeros(n + 2, np.int64)  # number of smaller suffixes, class by class
-    place[zero] = np.searchsorted(sorted0, key0) + np.searchsorted(np.sort(key1), key0) + np.searchsorted(np.sort(key2), key0b)
-    place[sample] = np.searchsorted(np.sort(names), names)
-    place[one] += np.searchsorted(sorted0, key1)
-    place[two] += np.searchsorted(sorted0b, key2)
-    return named(place[:n])
+    both = t[zero] * base + t[zero + 1], t[two] * base + t[two + 1]
+    if max(top, most) >= 1 << 21:
+        joint = named(np.concatenate(both))
+        both = joint[:len(zero)], joint[len(zero):]
+    zero1, one0 = merged_places(t[zero] * far + rank[zero + 1], t[one] * far + rank[one + 1])
+    zero2, two0 = merged_places(both[0] * far + rank[zero + 2], both[1] * far + rank[two + 2])
+    ordered = np.cumsum(np.bincount(names, minlength=most + 1))  # samples up to each name
+    place = np.zeros(n + 2, np.int64)  # number of smaller suffixes
+    place[zero] = zero1[0] + zero1[1] + zero2[1]
+    place[sample] = ordered[names - 1] + np.concatenate((one0[1], two0[1]))
+    place = place[:n]
+    taken = np.zeros(n + 1, np.int64)
+    taken[place] = 1
+    return np.cumsum(taken)[place]
+
+
+def merged_places(a: np.ndarray, b: np.ndarray) -> tuple[tuple, tuple]:
+    """For every key of a and of b: (smaller keys on its own side, on the other)."""
+    keys = np.concatenate((a, b))
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(keys) else np.empty(0, bool)
+    start = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+    of_a = np.concatenate(([0], np.cumsum(order < len(a))))[start]
+    less_a, less = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+    less_a[order], less[order] = of_a, start
+    less_b = less - less_a
+    m = len(a)
+    return (less_a[:m], less_b[:m]), (less_b[m:], less_a[m:])
 
 
 def named(keys: np.ndarray) -> np.ndarray:
     """Dense ranks, from 1, of numbers."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     out = np.empty(len(keys), np.int64)
     out[order] = np.cumsum(np.concatenate(([1], (ordered[1:] != ordered[:-1]).astype(np.int64))))
@@ -250,7 +272,7 @@ def repeated_starts(blocks: list[bytes], starts: list[int], match: int) -> list[
     s[first + size - 1] = 1  # block ends
     rank = suffix_ranks(s, 257, match)
     own = np.repeat(first, starts) + np.arange(sum(starts)) - np.repeat(np.cumsum(starts) - starts, starts)
-    order = own[np.argsort(rank[own], kind="stable")]
+    order = own[np.argsort(rank[own])]
     # words of 8 bytes from every position: adjacent prefixes, compared directly
     padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
     word = np.zeros(len(data), np.uint64)
@@ -271,30 +293,40 @@ def _sort_blocks(match: int):
     those with repeated windows; flags are bits, one per start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = []  # bucket, digest, starts, block, times
+        held: list[list] = []  # of whole buckets: digest, starts, block, times, bucket
+        now: list[list] = []  # of the current bucket
         size = 0
 
+        def close() -> int:
+            """A bucket is complete. One block that occurs twice needs no sorting."""
+            if len(now) == 1 and now[0][3] > 1:
+                settled.append((now[0][4], now[0][0], np.ones(now[0][1], bool)))
+                return 0
+            held.extend(now)
+            return sum(len(x[2]) + 1 for x in now)
+
         def decide() -> pa.RecordBatch:
-            flags = repeated_starts([x[3] for x in held], [x[2] for x in held], match) if held else []
-            out = []
-            for x, f in zip(held, flags):
-                if x[4] > 1:
-                    f = np.ones(x[2], bool)
-                if f.any():
-                    out.append((x[0], x[1], np.packbits(f).tobytes()))
+            flags = repeated_starts([x[2] for x in held], [x[1] for x in held], match) if held else []
+            out = [(x[4], x[0], np.ones(x[1], bool) if x[3] > 1 else f) for x, f in zip(held, flags)] + settled
+            out = [(a, b, np.packbits(f).tobytes()) for a, b, f in out if f.any()]
             return pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
                                     pa.array([x[2] for x in out], pa.binary())], ["bucket", "digest", "flags"])
 
+        settled: list[tuple] = []
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("bucket", "digest", "starts", "block", "times")]):
-                if held and held[-1][0] == row[0] and held[-1][1] == row[1]:
-                    held[-1][4] += row[4]
-                    continue
-                if held and held[-1][0] != row[0] and size > SORT_BYTES:
-                    yield decide()
-                    held, size = [], 0
-                held.append(list(row))
-                size += len(row[3]) + 1
+            for bucket, *row in zip(*[batch.column(c).to_pylist() for c in ("bucket", "digest", "starts", "block", "times")]):
+                if now and now[0][4] != bucket:
+                    size += close()
+                    now = []
+                    if size > SORT_BYTES or len(settled) > BLOCKS_HELD:
+                        yield decide()
+                        held, settled, size = [], [], 0
+                if now and now[-1][0] == row[0]:
+                    now[-1][3] += row[3]
+                else:
+                    now.append([*row, bucket])
+        if now:
+            close()
         yield decide()
 
     return run
