@@ -10,6 +10,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -21,6 +22,7 @@ HEADLINE = [
     "incident_clean", "kb_text", "corpus_union", "embed_hash", "topk_batch", "topk_self",
     "hits", "text_search", "request_hits", "context_fold", "decision_gate", "payload_check",
     "action_plan", "outcome", "ticket_apply", "issue_class_rules", "ci_route",
+    "final_record", "prompt_answer", "prompt_group", "prompt_decision", "prompt_payload", "stream_triage",
 ]
 
 
@@ -29,7 +31,8 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in QUERIES]
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus),
-                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
+                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
+                                 "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-checkpoint-")})
     # untimed warm-up: JVM code paths, the Parquet reader and Python workers
     warm = spark.read.parquet(os.path.join(sf_dir, "region.parquet"))
     warm.groupBy().count().collect()

@@ -11,9 +11,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = build_session("local[4]", app_name="triagelake-tests", shuffle_partitions=8,
-                      extra={"spark.driver.memory": "4g"})
+                      extra={"spark.driver.memory": "4g",
+                             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint"))})
     yield s
     s.stop()
 

@@ -69,7 +69,8 @@ def test_prepare_text_boundaries_and_code_points(spark):
     s10, s11 = "a" * 10, "b" * 11
     emoji = "x" * 1999 + "😀" + "tail"
     df = spark.createDataFrame([(1, s10), (2, s11), (3, None), (4, emoji)], "id long, training_text string")
-    rows = {r["id"]: r["training_text"] for r in P.prepare_text(df).collect()}
+    assert {r["id"]: r["training_text"] for r in P.prepare_text(df).collect()} == {2: s11, 4: emoji}
+    rows = {r["id"]: r["training_text"] for r in P.prepare_text(df, max_chars=2000).collect()}
     assert set(rows) == {2, 4}
     assert rows[4] == emoji[:2000] and rows[4].endswith("😀")
     st = P.drop_stats(df).first()
@@ -141,13 +142,6 @@ def test_parquet_sink_index_and_manifest(spark, sf_small):
     assert files.read_incidents(spark, os.path.join(d, "inc"), "json").first()["number"] == "INC1"
 
 
-def test_cap_rows_is_ordered_and_optional(spark):
-    df = spark.range(0, 1000).repartition(7).withColumnRenamed("id", "k")
-    assert files.cap_rows(df, None, ["k"]).count() == 1000
-    assert [r["k"] for r in files.cap_rows(df, 5, ["k"]).collect()] == [0, 1, 2, 3, 4]
-
-
-
 def test_checkpoint_dir_uses_the_configured_folder(spark):
     from triagelake.session import checkpoint_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -156,3 +150,19 @@ def test_checkpoint_dir_uses_the_configured_folder(spark):
         assert d == named                    # the cluster's shared folder, as named
     assert spark.sparkContext.getCheckpointDir() is not None
     assert checkpoint_dir(spark) == d        # stable across calls
+
+
+def test_html_survives_hostile_pages(spark):
+    from triagelake.functions.text import html_to_text
+    pages = ["<b>" * 100_000 + "x", "<p title='x > y'>z</p>", '<a href="1>2" title="3>4">k</a>', "<p>a<script>b" * 2000,
+             "&#233;&eacute;&amp;lt;&notit;&#x41;&nbsp;", "<!-- open", "a<br>b<br/><br>c", "x < y", None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, p string").repartition(3)
+    got = {r["i"]: r["t"] for r in df.select("i", html_to_text("p").alias("t")).collect()}
+    assert got[0] == "x" and got[1] == "z" and got[2] == "k" and got[3] == "a"
+    assert got[4] == "éé&lt;¬it;A" and got[5] == "" and got[6] == "a\nb\nc" and got[7] == "x < y" and got[8] is None
+
+
+def test_ordinal_offsets_by_position(spark):
+    df = spark.range(0, 500).withColumnRenamed("id", "k")
+    got = [r["ordinal"] for r in P.dense_ordinal(df, ["k"], num_partitions=37).orderBy("k").collect()]
+    assert got == list(range(1, 501))

@@ -9,6 +9,7 @@ from triagelake import rules
 from triagelake.operators import context as C
 from triagelake.operators import outcome as O
 from triagelake.operators import triage as TR
+from triagelake.operators.requests import clean_requests
 from triagelake.plans import fixtures as FX
 from triagelake.streaming import stream as S
 
@@ -31,6 +32,39 @@ def test_complete_with_batch_boundaries(spark):
     assert sorted((r["request_id"], r["llm_output"]) for r in out) == [(i, f"P{i}") for i in range(500)]
 
 
+def test_complete_with_fails_prompt_by_prompt(spark):
+    def shout(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("no")
+        return [p.upper() for p in prompts]
+
+    rows = [(i, "answer", "bad" if i == 3 else f"p{i}") for i in range(6)]
+    out = {r["request_id"]: r["llm_output"] for r in C.complete_with(
+        spark.createDataFrame(rows, "request_id long, kind string, prompt string").coalesce(1), shout).collect()}
+    assert out == {i: f"P{i}" if i != 3 else "LLaMA Error: no" for i in range(6)}
+
+
+def test_action_result_by_handler(spark):
+    rows = [(1, "create_invoice", 200, '{"id":"7"}'), (2, "create_invoice", 500, "boom"), (3, "retry_order", 200, '{"status":"failure","message":"order not found"}'),
+            (4, "retry_order", 500, '{"status":"success","message":"done"}'), (5, "sync_customer_data", 200, "oops"),
+            (6, "fix_asset_mismatch", 200, "{}"), (7, "create_invoice", 200, "not json"), (8, "create_invoice", None, None)]
+    got = {r["request_id"]: tuple(r)[1:] for r in O.interpret_action_result(
+        spark.createDataFrame(rows, "request_id long, handler string, http_code int, body string")).collect()}
+    assert got[1] == ("success", rules.MSG_INVOICE_CREATED, "7") and got[2] == ("failure", "boom", None)
+    assert got[3] == ("failure", "order not found", None) and got[4] == ("success", "done", None)
+    assert got[5] == got[7] == ("error", rules.ERROR_BODY_NOT_JSON, None)
+    assert got[6] == (None, None, None) and got[8] == ("failure", None, None)
+
+
+def test_ticket_notes_and_text_keys(spark):
+    ups = spark.createDataFrame([("T", "b", 1, None, None, "3", {}), ("T", "a", 2, 2, None, "2", {}), ("T", "a", 1, None, None, "1", {}),
+                                 ("T", "c", 1, 6, None, None, {})],
+                                "ticket_key string, request_id string, seq int, state int, close_notes string, work_notes string, fields map<string,string>")
+    assert [(r["note_no"], r["work_notes"]) for r in O.ticket_notes(ups).orderBy("note_no").collect()] == [(1, "1"), (2, "2"), (3, "3")]
+    r = O.apply_updates(spark.createDataFrame([("T",)], "number string"), ups).first()
+    assert (r["state"], r["last_work_note"], r["n_work_notes"]) == (6, "3", 3)
+
+
 def test_attach_responses_flags_errors(spark):
     prompts = spark.createDataFrame([(1, "answer", "p"), (2, "answer", "p"), (3, "answer", "p")],
                                     "request_id long, kind string, prompt string")
@@ -106,7 +140,7 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, sf_small):
     out = S.run_stream_once(spark, req, resp, pay, res, files=3, work_dir=base)
     streamed = spark.read.parquet(os.path.join(out, "decisions"))
     assert streamed.select("batch_id").distinct().count() == 3
-    batch = TR.decide(req.where(F.col("query").rlike(r"\S")), resp, pay)
+    batch = TR.decide(clean_requests(req), resp, pay)
     cols = batch.columns
     assert sorted(map(tuple, streamed.select(cols).collect())) == sorted(map(tuple, batch.collect()))
     before = sorted(map(tuple, spark.read.parquet(os.path.join(out, "ticket_updates")).collect()))
@@ -118,6 +152,9 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, sf_small):
     S._write(tables["ticket_updates"], os.path.join(out, "ticket_updates"), 1)
     after = sorted(map(tuple, spark.read.parquet(os.path.join(out, "ticket_updates")).collect()))
     assert before == after
+    # a replay without rows leaves none of the batch's rows behind
+    S._write(tables["ticket_updates"].where("false"), os.path.join(out, "ticket_updates"), 1)
+    assert spark.read.parquet(os.path.join(out, "ticket_updates")).where("batch_id = 1").count() == 0
 
 
 def test_latest_per_ticket_hot_ticket(spark):
@@ -139,11 +176,11 @@ def test_assignment_group_for_requests_without_hits(spark):
 
 def test_stream_search_equals_batch_search(spark, sf_small):
     from triagelake.plans import catalog as CAT
-    corpus = CAT.search_corpus(spark, sf_small)
+    index = CAT.search_index(spark, sf_small)
     req = FX.request(spark, sf_small)
     base = tempfile.mkdtemp(prefix="tl-stream-search-")
     out = S.run_stream_once(spark, req, FX.response(spark, sf_small), FX.payload(spark, sf_small),
-                            FX.action_result(spark, sf_small), files=2, work_dir=base, corpus=corpus)
+                            FX.action_result(spark, sf_small), files=2, work_dir=base, index=index)
     streamed = spark.read.parquet(os.path.join(out, "hits")).drop("batch_id")
     batch = CAT.request_hits(spark, sf_small)
     assert sorted(map(tuple, streamed.select(batch.columns).collect())) == sorted(map(tuple, batch.collect()))

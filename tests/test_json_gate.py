@@ -93,7 +93,7 @@ def test_decide_record(spark):
     assert d[2]["reason"] == rules.REASON_APPROVED
     assert d[3]["automation_allowed"] is False and d[3]["approved_action"] is None
     assert d[3]["reason"] == rules.REASON_NOT_APPROVED and d[3]["confidence"] == pytest.approx(0.95)
-    assert d[4]["reason"].startswith(rules.REASON_INVALID_JSON) and d[4]["confidence"] == 0.0
+    assert d[4]["reason"] == "Invalid JSON returned by LLM. Error: No JSON found in output: nope. Output was: nope" and d[4]["confidence"] == 0.0
     assert d[5]["reason"] == rules.REASON_INVALID_CONFIDENCE
     assert d[6]["reason"].startswith("LLM call failed")
 
@@ -111,8 +111,38 @@ def test_classifier_join_matches_when_chain(spark):
         ["Author page", "vpn and invoice", "billing", "", None, "profile order"])], "k long, t string")
     a = {r["k"]: r["issue_type"] for r in df.select("k", TR.classify_issue("t").alias("issue_type")).collect()}
     b = {r["k"]: r["issue_type"] for r in
-         TR.classify_issue_join(df, "k", "t", TR.rule_tables(spark)["rules"]).collect()}
+         TR.classify_issue_join(df, "t", TR.rule_tables(spark)["rules"]).collect()}
     assert a == b
+    twice = spark.createDataFrame([(None, "vpn"), (None, "order"), (1, "crm"), (1, "crm")], "k long, t string")
+    got = TR.classify_issue_join(twice, "t", TR.rule_tables(spark)["rules"])
+    assert got.columns == ["k", "t", "issue_type"] and got.count() == 4
+
+
+def test_confidence_must_be_a_decimal_number(spark):
+    good = {"0.95": 0.95, " 0.95 ": 0.95, "1": 1.0, "9e-1": 0.9, ".5": 0.5, "5.": 5.0, "-0.1": -0.1}
+    rows = [(v, '{"action":"update_order","confidence":"%s"}' % v) for v in [*good, "0.95d", "0.95f", "0x1p0", "1_0", "NaN", "Infinity", "high", ""]]
+    got = {r["v"]: (r["confidence_ok"], r["confidence"]) for r in TR.parse_decision(
+        spark.createDataFrame(rows, "v string, llm_output string")).collect()}
+    assert got == {v: (v in good, good.get(v)) for v, _ in rows}
+
+
+def test_extract_object_is_linear(spark):
+    import time
+
+    from triagelake.functions import jsonx
+    rows = [("{" * 1_000_000,), ("}" * 1_000_000,), ("} {",), ('a {"b": {"c": 1}} d',), (None,), ("{\n}",)]
+    df = spark.createDataFrame(rows, "t string").coalesce(1)
+    start = time.time()
+    got = [r[0] for r in df.select(jsonx.extract_object("t")).collect()]
+    assert got == ["", "", "", '{"b": {"c": 1}}', None, "{\n}"] and time.time() - start < 20
+
+
+def test_unicode_whitespace(spark):
+    from triagelake.functions.text import nonblank, pystrip
+    texts = ["\u00a0", "\u2003 x\u3000", "\x1f\t", "a\u00a0b", "\u200b", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: (r["s"], r["b"]) for r in df.select("i", pystrip("t").alias("s"), nonblank("t").alias("b")).collect()}
+    assert got == {i: (t.strip() if t is not None else None, bool(t and t.strip())) for i, t in enumerate(texts)}
 
 
 def test_ci_route(spark):

@@ -5,10 +5,12 @@ import math
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from triagelake.plans.catalog import QUERIES
+from triagelake.plans.oracle import ORACLE
 from triagelake.sources.tables import TABLES
 
-SKIP_SLOW = {"stream_triage"}  # covered by test_flow
+SKIP_SLOW = {"stream_triage", "stream_updates", "stream_hits"}  # covered by test_flow
 
 
 def _key(t):
@@ -29,14 +31,14 @@ def duck(sf_small):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, sf_small, name):
     if name in SKIP_SLOW:
         pytest.skip("covered by the stream test")
-    df = queries()[name](spark, sf_small)
+    df = QUERIES[name](spark, sf_small)
     cols = df.columns
     got = sorted((tuple(_norm(r[c]) for c in sorted(cols)) for r in df.collect()), key=_key)
-    res = duck.execute(oracle_sql()[name])
+    res = duck.execute(ORACLE[name])
     ocols = [d[0] for d in res.description]
     assert sorted(cols) == sorted(ocols)
     idx = [ocols.index(c) for c in sorted(cols)]
@@ -45,8 +47,8 @@ def test_query_matches_oracle(spark, duck, sf_small, name):
     assert got == exp
 
 
-def test_every_query_has_oracle_or_is_nested():
-    assert set(queries()) - set(oracle_sql()) == {"final_record"}
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry_smoke(spark):

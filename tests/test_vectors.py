@@ -130,11 +130,12 @@ def test_l2_normalize_keeps_zero(spark):
 def test_attach_metadata_defaults(spark):
     top = spark.createDataFrame([(1, 1, 7, 0.123456), (1, 2, 8, 0.1)], "qid long, rank int, id long, score double")
     meta = spark.createDataFrame([(7, "src1", "x" * 900)], "id long, source string, training_text string")
-    rows = {r["rank"]: r for r in V.attach_metadata(top, meta).collect()}
+    rows = {r["rank"]: r for r in V.attach_metadata(top, meta, text_chars=500).collect()}
     assert rows[1]["similarity_score"] == 0.1235 and len(rows[1]["training_text"]) == 500
     assert rows[1]["assignment_group"] == "Not Provided"
     assert rows[2]["id"] == "record_8" and rows[2]["source"] == "unknown"
-    snip = {r["rank"]: r for r in V.attach_metadata(top, meta, mode="snippet").collect()}
+    snip = {r["rank"]: r for r in V.attach_metadata(top, meta, mode="snippet", text_chars=200).collect()}
+    assert max(len(r["training_text"]) for r in V.attach_metadata(top, meta).collect()) == 900
     assert len(snip[1]["snippet"]) == 200 and snip[2]["id"] == "" and snip[1]["score"] == 0.123456
 
 
@@ -183,9 +184,50 @@ def test_plan_blocks_scales():
     assert nqb == -(-10**8 // 65536) and ncb >= -(-10**9 // 65536)
 
 
+def test_one_huge_k_and_zero_scores_stay_bounded():
+    import resource
+
+    import numpy as np
+    import pandas as pd
+
+    # no shared bucket: every score is 0, nothing passes and nothing is gathered
+    q = pd.DataFrame({"qid": range(512), "k": 5, "vec": [np.eye(64)[i % 8] for i in range(512)]})
+    c = pd.DataFrame({"id": range(16384), "vec": [np.eye(64)[32 + i % 8] for i in range(16384)]})
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert len(V._local_topk_fn(False, 0.0)(q, c)) == 0
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000  # KB
+    # one query asks for everything, the others for 2
+    q["k"] = [10 ** 9] + [2] * 511
+    c["vec"] = [np.eye(64)[i % 8] for i in range(16384)]
+    got = V._local_topk_fn(False, None)(q, c).groupby("qid").size()
+    assert got[0] == 16384 and (got.drop(0) == 2).all()
+
+
+def test_token_beyond_the_old_cut_is_found(spark):
+    corpus = spark.createDataFrame([("a", "filler " * 400 + "needle"), ("b", "other words")], "id string, training_text string")
+    req = spark.createDataFrame([(1, "needle", 3)], "request_id long, query string, top_k int")
+    hits = V.search_texts(req, V.build_index(corpus)).collect()
+    assert "a" in {r["id"] for r in hits}
+    assert all(r["training_text"].endswith("needle") for r in hits if r["id"] == "a")
+
+
+def test_index_with_a_user_encoder(spark):
+    def make_predict_fn():
+        import numpy as np
+
+        def predict(texts):
+            return np.stack([np.array([float(t.count(x)) for t in texts], np.float32) for x in "abc"], axis=1)
+        return predict
+    corpus = spark.createDataFrame([("x", "aaa"), ("y", "bbb"), ("z", "abc")], "id string, training_text string")
+    index = V.build_index(corpus, encoder=make_predict_fn, dim=3)
+    req = spark.createDataFrame([(1, "aa", 1), (2, "bb", 2), (2, "bb", 2)], "request_id long, query string, top_k int")
+    got = sorted((r["request_id"], r["rank"], r["id"]) for r in V.search_texts(req, index, encoder=make_predict_fn, dim=3).collect())
+    assert got == [(1, 1, "x"), (2, 1, "y"), (2, 1, "y"), (2, 2, "z"), (2, 2, "z")]
+
+
 def test_search_texts_hot_text(spark, sf_small):
     from triagelake.plans import catalog as CAT
-    corpus = CAT.search_corpus(spark, sf_small)
+    corpus = CAT.search_index(spark, sf_small)
     hot = "crm profile out of sync"
     rows = [(i, hot if i % 3 == 0 else f"retry order {i}", 2 if i % 2 else None) for i in range(600)]
     req = spark.createDataFrame(rows, "request_id long, query string, top_k int")

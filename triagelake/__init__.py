@@ -2,9 +2,7 @@
 
 import sys as _sys
 
-try:  # ship this package's functions by value to Python workers
-    from pyspark import cloudpickle as _cp
+from pyspark import cloudpickle as _cp
 
-    _cp.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # pragma: no cover - older cloudpickle
-    pass
+# ship this package's functions by value to Python workers
+_cp.register_pickle_by_value(_sys.modules[__name__])

@@ -29,8 +29,11 @@ def strip_code_fence(c: ColumnOrName) -> Column:
 
 
 def extract_object(c: ColumnOrName) -> Column:
-    """Greedy first-``{`` to last-``}`` span across lines; '' when none."""
-    return F.regexp_extract(_col(c), r"(?s)\{.*\}", 0)
+    """Greedy first-``{`` to last-``}`` span across lines; '' when none.
+    Two patterns that each match once from a fixed place, so the time is
+    linear in the text whatever it holds."""
+    from_first = F.regexp_extract(_col(c), r"(?s)\{.*", 0)
+    return F.regexp_extract(from_first, r"(?s)^.*\}", 0)
 
 
 def is_strict_object(j: ColumnOrName) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 import string
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import rules
 
@@ -16,18 +19,14 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# FIXED VALUES -- whitespace stripped at both ends (the regex class \s).
-_WHITESPACE = " \t\n\r\x0b\x0c"
-
-
 def pystrip(c: ColumnOrName) -> Column:
-    """Strip leading/trailing whitespace (tabs and newlines too), like ``str.strip``.
+    """Strip leading/trailing Unicode whitespace, like ``str.strip``.
 
     Spark's ``trim`` removes spaces only; ``btrim`` with the whitespace set
     is linear in the text (an end-anchored whitespace regex backtracks over
     every interior whitespace run).
     """
-    return F.btrim(_col(c), F.lit(_WHITESPACE))
+    return F.btrim(_col(c), F.lit(rules.WHITESPACE))
 
 
 def as_text(c: ColumnOrName, null_text: str = "") -> Column:
@@ -37,7 +36,7 @@ def as_text(c: ColumnOrName, null_text: str = "") -> Column:
 
 def nonblank(c: ColumnOrName) -> Column:
     """True when the value has a non-whitespace character (NULL -> False)."""
-    return F.coalesce(_col(c).rlike(r"\S"), F.lit(False))
+    return F.coalesce(F.length(pystrip(c)) > 0, F.lit(False))
 
 
 def empty_to_null(c: ColumnOrName) -> Column:
@@ -65,18 +64,29 @@ def render(template: str, null_text: str = "", **cols: ColumnOrName) -> Column:
     return F.concat(*parts)
 
 
+@F.pandas_udf(T.StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else html.unescape(t))
+
+
 def decode_entities(c: ColumnOrName) -> Column:
-    """Decode the configured HTML entities; ``&amp;`` comes last."""
-    out = _col(c)
-    for ent, ch in rules.HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Decode every named and numeric HTML entity. Only texts with an
+    ampersand travel to Python (Arrow batches)."""
+    c = _col(c)
+    return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
 
 
 # Elements whose text is not part of the readable page, and markup that is
-# not a text node. Each becomes a bare tag so that it separates text nodes.
-_DROP_ELEMENTS = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
-_TAG_RUN = r"(?:<[^>]*>)+"
+# not a text node; an unclosed one reaches to the end of the page, so that no
+# text is scanned twice. Quoted attribute values that hold a '>' are emptied
+# first (up to QUOTED of them per tag). Each tag then becomes one marker
+# character; runs of markers separate text nodes. No pattern repeats a group,
+# which the regex engine would do by recursion.
+_DROP_ELEMENTS = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
+_QUOTED_GT = r"""(<[a-zA-Z][^<>]*=\s*)(?:"[^"<>]*>[^"]*"|'[^'<>]*>[^']*')"""
+QUOTED = 3
+_TAG = r"<[^>]*>"
+_MARK = "\x01"
 
 
 def html_to_text(c: ColumnOrName) -> Column:
@@ -87,7 +97,9 @@ def html_to_text(c: ColumnOrName) -> Column:
     decoded and the result is stripped.
     """
     s = F.regexp_replace(_col(c), _DROP_ELEMENTS, "<x>")
-    s = F.regexp_replace(s, _TAG_RUN, "\n")
+    for _ in range(QUOTED):
+        s = F.regexp_replace(s, _QUOTED_GT, '$1""')
+    s = F.regexp_replace(F.regexp_replace(s, _TAG, _MARK), _MARK + "+", "\n")
     return pystrip(decode_entities(s))
 
 

@@ -95,15 +95,25 @@ def attach_responses(prompts: DataFrame, responses: DataFrame,
 
 def complete_with(prompts: DataFrame, fn: Callable[[list[str]], list[str]],
                   key: str = "request_id") -> DataFrame:
-    """R7 / F3 callable form: ``fn`` maps a list of prompts to a list of
-    answers; it runs per Arrow batch on the executors. An exception becomes
-    an error text for that batch, as the wrapper did."""
+    """R7 / F3 callable form: ``fn`` maps a list of prompts to a list of as
+    many answers; it runs per Arrow batch on the executors. If it raises, the
+    batch's prompts are tried one by one, and only those that fail get an
+    error text."""
+    def one(prompt: str) -> str:
+        try:
+            return list(fn([prompt]))[0]
+        except Exception as e:  # noqa: BLE001 - the error is data
+            return f"{rules.MODEL_ERROR_PREFIX} {e}"
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
+            prompts = pdf["prompt"].tolist()
             try:
-                out = list(fn(pdf["prompt"].tolist()))
-            except Exception as e:  # noqa: BLE001 - the error is data
-                out = [f"{rules.MODEL_ERROR_PREFIX} {e}"] * len(pdf)
+                out = list(fn(prompts))
+                if len(out) != len(prompts):
+                    raise ValueError(f"{len(out)} answers to {len(prompts)} prompts")
+            except Exception:  # noqa: BLE001
+                out = [one(p) for p in prompts]
             yield pd.DataFrame({key: pdf[key], "kind": pdf["kind"], "llm_output": out})
     schema = f"{key} {prompts.schema[key].dataType.simpleString()}, kind string, llm_output string"
     return prompts.select(key, "kind", "prompt").mapInPandas(run, schema)

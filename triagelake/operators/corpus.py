@@ -84,7 +84,9 @@ def dense_ordinal(df: DataFrame, order_cols: Sequence[str], out_col: str = "ordi
     per partition (one small row per partition goes to the driver, as
     ``zipWithIndex`` does); each row's ordinal is its partition's offset plus
     its position inside the partition. No step puts all rows in one task.
-    The numbered rows are checkpointed once (one write of the table).
+    The numbered rows are checkpointed once (one write of the table). Range
+    sampling and shuffle each evaluate the input, so number narrow rows and
+    join wide columns afterwards.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -104,9 +106,10 @@ def dense_ordinal(df: DataFrame, order_cols: Sequence[str], out_col: str = "ordi
         acc += cnt
     if not offsets:
         return r.drop("_pid", "_mid").withColumn(out_col, F.lit(None).cast("long"))
-    off_map = F.create_map(*[x for pid, off in offsets.items() for x in (F.lit(pid), F.lit(off))])
+    # offsets by partition number, read by position
+    off_array = F.array(*[F.lit(offsets.get(p, 0)) for p in range(max(offsets) + 1)])
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (r.withColumn(out_col, F.element_at(off_map, F.col("_pid")) + local + F.lit(start))
+    return (r.withColumn(out_col, F.element_at(off_array, F.col("_pid") + 1) + local + F.lit(start))
              .drop("_pid", "_mid"))
 
 
@@ -150,12 +153,12 @@ def union_corpus(*parts: DataFrame) -> DataFrame:
 # -- P11-P13, A1-A2 ----------------------------------------------------------
 
 def prepare_text(df: DataFrame, text_col: str = "training_text",
-                 max_chars: int = rules.MAX_TEXT_CHARS,
+                 max_chars: int | None = None,
                  min_chars_exclusive: int = rules.MIN_TEXT_CHARS_EXCLUSIVE) -> DataFrame:
-    """NULL -> '', cut to ``max_chars`` code points, keep rows strictly longer
-    than ``min_chars_exclusive`` after the cut (the embedding-input rule)."""
+    """NULL -> '', cut to ``max_chars`` code points (None: whole texts), keep
+    rows strictly longer than ``min_chars_exclusive`` after the cut."""
     require_columns(df, [text_col])
-    t = F.left(as_text(text_col), F.lit(max_chars))
+    t = as_text(text_col) if max_chars is None else F.left(as_text(text_col), F.lit(max_chars))
     return df.withColumn(text_col, t).where(F.length(text_col) > F.lit(min_chars_exclusive))
 
 

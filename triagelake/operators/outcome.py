@@ -7,58 +7,77 @@ read what came back, and ``ticket_updates`` is the table of PATCH bodies.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import jsonx
 from ..functions.text import ColumnOrName, _col, empty_to_null, fmt_fixed, pystrip, render
-from .triage import _checked_broadcast
 
 # -- J3 / T12 / O1 / O2 ---------------------------------------------------------
 
 
-def action_plan(decisions: DataFrame, requests: DataFrame, registry: DataFrame,
-                key: str = "request_id") -> DataFrame:
-    """One row per approved decision: the handler and request body to call,
-    or an error row (no handler mapped / invoice without payload).
+def with_plan(decisions: DataFrame, registry: DataFrame) -> DataFrame:
+    """Decisions (which carry their query) with the plan of their action:
+    ``handler`` and ``plan_body`` to call with, ``plan_status`` ('planned',
+    'error', NULL if not approved) and ``plan_message``. An error: no handler
+    is mapped, or an invoice has no payload.
 
     Body: ``{"<body_key>": strip(query)}`` for order/customer/asset handlers,
     the validated payload JSON for invoice handlers.
     """
-    reg = _checked_broadcast(registry.select(F.col("action").alias("_ra"), "handler", "body_key"))
-    d = decisions.where(F.col("automation_allowed")).select(key, "approved_action", "payload")
-    d = d.join(requests.select(key, "query"), key, "left")
-    j = d.join(reg, F.col("approved_action") == F.col("_ra"), "left")
+    reg = registry.select(F.col("action").alias("_ra"), "handler", "body_key")
+    j = decisions.join(reg, F.col("approved_action") == F.col("_ra"), "left")
     is_invoice = F.col("approved_action").isin(*rules.INVOICE_ACTIONS)
     no_handler = F.col("handler").isNull()
     no_payload = is_invoice & F.col("payload").isNull()
     body = F.when(is_invoice, F.col("payload")).otherwise(
         F.to_json(F.create_map(F.col("body_key"), pystrip(F.coalesce(F.col("query"), F.lit(""))))))
-    return j.select(
-        key,
-        F.col("approved_action").alias("action"),
-        F.col("handler"),
-        F.when(no_handler | no_payload, F.lit("error")).otherwise(F.lit("planned")).alias("status"),
-        F.when(no_handler | no_payload, F.lit(None).cast("string")).otherwise(body).alias("body"),
-        F.when(no_handler, F.concat(F.lit(rules.MSG_NO_HANDLER), F.col("approved_action")))
-         .when(no_payload, F.lit(rules.MSG_NEEDS_PAYLOAD)).alias("message"),
-    )
+    allowed = F.coalesce(F.col("automation_allowed"), F.lit(False))
+    message = (F.when(no_handler, F.concat(F.lit(rules.MSG_NO_HANDLER), F.col("approved_action")))
+               .when(no_payload, F.lit(rules.MSG_NEEDS_PAYLOAD)))
+    return j.withColumns({
+        "plan_status": F.when(allowed, F.when(no_handler | no_payload, F.lit("error")).otherwise(F.lit("planned"))),
+        "plan_body": F.when(allowed & ~no_handler & ~no_payload, body),
+        "plan_message": F.when(allowed, message)}).drop("_ra", "body_key")
+
+
+def action_plan(planned: DataFrame, key: str = "request_id") -> DataFrame:
+    """One row per approved decision (see ``with_plan``)."""
+    return planned.where(F.col("plan_status").isNotNull()).select(
+        key, F.col("approved_action").alias("action"), "handler", F.col("plan_status").alias("status"),
+        F.col("plan_body").alias("body"), F.col("plan_message").alias("message"))
 
 
 # -- O3 / O4 ------------------------------------------------------------------------
 
 
+def result_columns(handler: Column, code: Column, body: Column) -> dict[str, Column]:
+    """O3: status, message and invoice id of a call's response, by handler.
+
+    The invoice handler: 200 -> success with the invoice id from the body;
+    anything else (including a missing code) -> failure with the body text as
+    message. Every other handler answers with its own status and message,
+    whatever the code. A body that should be a JSON object and is none gives
+    the status 'error'.
+    """
+    ok = F.coalesce(code == F.lit(200), F.lit(False))
+    invoice = F.coalesce(handler == F.lit(rules.INVOICE_HANDLER), F.lit(False))
+    readable = F.coalesce(jsonx.is_strict_object(body) & pystrip(body).startswith("{"), F.lit(False))
+    refused = invoice & ~ok
+    return {
+        "mcp_status": F.when(refused, F.lit(rules.STATUS_FAILURE)).when(~readable, F.lit(rules.STATUS_ERROR))
+                       .when(invoice, F.lit(rules.STATUS_SUCCESS)).otherwise(jsonx.get_text(body, "status")),
+        "mcp_message": F.when(refused, body).when(~readable, F.lit(rules.ERROR_BODY_NOT_JSON))
+                        .when(invoice, F.lit(rules.MSG_INVOICE_CREATED)).otherwise(jsonx.get_text(body, "message")),
+        "invoice_id": F.when(invoice & ok & readable, jsonx.get_text(body, "id")),
+    }
+
+
 def interpret_action_result(results: DataFrame, key: str = "request_id") -> DataFrame:
-    """O3: 200 -> success with the invoice id from the body; anything else
-    (including a missing code) -> failure with the body text as message."""
-    ok = F.coalesce(F.col("http_code") == F.lit(200), F.lit(False))
-    return results.select(
-        key,
-        F.when(ok, F.lit("success")).otherwise(F.lit("failure")).alias("mcp_status"),
-        F.when(ok, F.lit(rules.MSG_INVOICE_CREATED)).otherwise(F.col("body")).alias("mcp_message"),
-        F.when(ok, jsonx.get_text("body", "id")).alias("invoice_id"),
-    )
+    """O3 for a table of responses (key, handler, http_code, body)."""
+    read = result_columns(F.col("handler"), F.col("http_code"), F.col("body"))
+    return results.select(key, *[c.alias(n) for n, c in read.items()])
 
 
 def _with_status_code(body: Column, code: Column) -> Column:
@@ -82,6 +101,18 @@ def interpret_update_response(results: DataFrame, key: str = "request_id") -> Da
                           .alias("update_response"))
 
 
+def both_updates(results: DataFrame, key: str = "request_id") -> DataFrame:
+    """O4 for both calls of a request (``seq`` 1: the field update, 2: the
+    resolve or escalate update), one row per request. At most one row per
+    call; of repeated ones the largest struct counts."""
+    r = results.withColumn("_k", F.struct(key, "seq"))
+    read = interpret_update_response(r, "_k").select(F.col(f"_k.{key}").alias(key), F.col("_k.seq").alias("seq"), "update_ok", "update_response")
+    pick = lambda n: F.max(F.when(F.col("seq") == n, F.struct("update_ok", "update_response")))
+    g = read.groupBy(key).agg(pick(1).alias("_f"), pick(2).alias("_u"))
+    return g.select(key, "_u.update_ok", "_u.update_response", F.col("_f.update_ok").alias("field_update_ok"),
+                    F.col("_f.update_response").alias("field_update_response"))
+
+
 # -- O5-O8, O11 ---------------------------------------------------------------------
 
 
@@ -90,27 +121,25 @@ def _none(c: ColumnOrName) -> Column:
     return F.coalesce(_col(c).cast("string"), F.lit("None"))
 
 
-def outcome(requests: DataFrame, decisions: DataFrame, plans: DataFrame | None = None,
-            action_results: DataFrame | None = None, answers: DataFrame | None = None,
+def outcome(planned: DataFrame, action_results: DataFrame | None = None, answers: DataFrame | None = None,
             update_results: DataFrame | None = None, key: str = "request_id",
             threshold: float = rules.CONFIDENCE_THRESHOLD) -> DataFrame:
-    """Outcome per request that has a ticket key.
+    """Outcome per planned decision (``with_plan``; it carries ``ticket_key``)
+    that has a ticket key (O12).
 
-    Joins (left, on the request key): decision, action plan, action result
-    (O3), optional answer text and optional ticket-update response (O4).
+    Joins (left, on the request key): action result (O3), optional answer
+    text and optional ticket-update responses (O4; key, seq, http_code,
+    body). Requests and decisions are not read again.
     Produces the success rule (O5), failure reasons (O6), the three notes
     (O7) with their defaults (O8) and the status label (O11).
     """
-    r = requests.select(key, F.coalesce(empty_to_null("ticket_id"), empty_to_null("sys_id")).alias("ticket_key"))
-    r = r.where(F.col("ticket_key").isNotNull())
-    d = r.join(decisions, key, "left")
-    if plans is not None:
-        d = d.join(plans.select(key, F.col("status").alias("_plan_status"),
-                                F.col("message").alias("_plan_msg")), key, "left")
-    else:
-        d = d.withColumn("_plan_status", F.lit(None).cast("string")).withColumn("_plan_msg", F.lit(None).cast("string"))
+    d = (planned.where(F.col("ticket_key").isNotNull())
+         .withColumnsRenamed({"plan_status": "_plan_status", "plan_message": "_plan_msg", "handler": "_handler"}))
     if action_results is not None:
-        d = d.join(interpret_action_result(action_results, key), key, "left")
+        d = d.join(action_results.select(key, F.col("http_code").alias("_code"), F.col("body").alias("_body"),
+                                         F.lit(True).alias("_called")), key, "left")
+        read = result_columns(F.col("_handler"), F.col("_code"), F.col("_body"))
+        d = d.withColumns({n: F.when(F.col("_called"), c) for n, c in read.items()})
     else:
         d = (d.withColumn("mcp_status", F.lit(None).cast("string"))
               .withColumn("mcp_message", F.lit(None).cast("string"))
@@ -119,11 +148,11 @@ def outcome(requests: DataFrame, decisions: DataFrame, plans: DataFrame | None =
         d = d.join(answers.select(key, F.col("answer").alias("_ans")), key, "left")
     else:
         d = d.withColumn("_ans", F.lit(None).cast("string"))
+    names = ["update_ok", "update_response", "field_update_ok", "field_update_response"]
     if update_results is not None:
-        d = d.join(interpret_update_response(update_results, key), key, "left")
+        d = d.join(both_updates(update_results, key), key, "left")
     else:
-        d = d.withColumn("update_ok", F.lit(None).cast("boolean")).withColumn(
-            "update_response", F.lit(None).cast("string"))
+        d = d.withColumns({n: F.lit(None).cast("boolean" if n.endswith("ok") else "string") for n in names})
 
     allowed = F.coalesce(F.col("automation_allowed"), F.lit(False))
     ran = allowed & (F.col("_plan_status") == F.lit("planned"))
@@ -140,9 +169,10 @@ def outcome(requests: DataFrame, decisions: DataFrame, plans: DataFrame | None =
         F.coalesce(F.col("llm_raw_output"), F.lit("")).alias("llm_raw"),
         status.alias("mcp_status"), message.alias("mcp_message"),
         F.when(ran, F.col("invoice_id")).alias("invoice_id"),
-        F.coalesce(empty_to_null("approved_action"), F.lit("N/A")).alias("approved_action"),
+        (allowed & F.col("_plan_status").isNotNull()).alias("has_result"),
+        F.coalesce(empty_to_null("approved_action"), F.lit(rules.NO_ACTION)).alias("approved_action"),
         F.col("payload"), F.coalesce(F.col("_ans"), F.lit("")).alias("ai_suggestion"),
-        "update_ok", "update_response")
+        *names)
     success = (F.col("automation_allowed") & F.coalesce(F.col("mcp_status") == F.lit("success"), F.lit(False))
                & (F.col("confidence") >= F.lit(threshold)))
     bits = F.array(
@@ -153,22 +183,21 @@ def outcome(requests: DataFrame, decisions: DataFrame, plans: DataFrame | None =
                render(rules.FAIL_LOW_CONFIDENCE, confidence=fmt_fixed("confidence"),
                       threshold=F.lit(repr(float(threshold))))))
     fail_reason = F.array_join(F.filter(bits, lambda x: x.isNotNull()), ", ")
-    mcp_result = F.to_json(F.struct(F.col("mcp_status").alias("status"),
-                                    F.col("mcp_message").alias("message"),
-                                    F.col("invoice_id")), {"ignoreNullFields": "false"})
+    result = F.to_json(F.struct(F.col("mcp_status").alias("status"), F.col("mcp_message").alias("message"),
+                                F.col("invoice_id")), {"ignoreNullFields": "false"})
+    mcp_result = F.when(F.col("has_result"), result).otherwise(F.lit("{}"))
     d = d.withColumn("success", success).withColumn(
         "fail_reason", F.when(~F.col("success"), F.coalesce(empty_to_null(fail_reason), F.lit(rules.UNSPECIFIED))))
     base = render(rules.BASE_NOTE, field=F.lit(rules.AI_SUGGESTION_FIELD), mcp_status=_none("mcp_status"))
     resolution = render(rules.RESOLUTION_NOTE, confidence=fmt_fixed("confidence"),
                         payload=_none("payload"), mcp_result=mcp_result)
     failure = render(rules.FAILURE_NOTE, llm_raw="llm_raw", payload=_none("payload"), mcp_result=mcp_result)
-    label = (F.when(F.col("success"), F.when(F.coalesce(F.col("update_ok"), F.lit(True)), F.lit("resolved"))
-                    .otherwise(F.lit("resolve_failed")))
-              .otherwise(F.when(F.coalesce(F.col("update_ok"), F.lit(True)), F.lit("escalated"))
-                         .otherwise(F.lit("escalate_failed"))))
+    kind = F.when(F.col("success"), F.lit("resolve")).otherwise(F.lit("escalate"))
+    label = F.lit(None).cast("string")
+    for update, (done, failed) in rules.UPDATE_STATUS.items():
+        label = F.when(kind == update, F.when(F.coalesce(F.col("update_ok"), F.lit(True)), F.lit(done)).otherwise(F.lit(failed))).otherwise(label)
     return d.select(
-        "*", base.alias("base_note"),
-        F.when(F.col("success"), F.lit("resolve")).otherwise(F.lit("escalate")).alias("update_type"),
+        "*", base.alias("base_note"), kind.alias("update_type"),
         F.when(F.col("success"), resolution).otherwise(failure).alias("update_message"),
         label.alias("ticket_update_status"))
 
@@ -190,7 +219,7 @@ def update_payload(update_type: ColumnOrName, message: ColumnOrName) -> Column:
         F.when(t == "worknote", m)
          .when(t == "resolve", F.concat(F.lit(rules.RESOLVE_WORK_NOTE_PREFIX), m))
          .when(t == "escalate", F.concat(F.lit(rules.ESCALATE_WORK_NOTE_PREFIX), m)).alias("work_notes"),
-        F.when(~known, F.concat(F.lit("Unknown update_type '"), t, F.lit("'"))).alias("error"))
+        F.when(~known, render(rules.UNKNOWN_UPDATE, update_type=t)).alias("error"))
 
 
 def ticket_updates(outcomes: DataFrame, key: str = "request_id") -> DataFrame:
@@ -225,7 +254,7 @@ def apply_updates(tickets: DataFrame, updates: DataFrame, ticket_col: str = "num
     sequence), the latest work note and the number of notes. Bounded
     aggregates only (max_by / count), so a ticket with very many updates is
     combined map-side and never collected into one task."""
-    order = F.col(key).cast("long") * F.lit(10) + F.col("seq")
+    order = F.struct(F.col(key), F.col("seq"))
     u = updates.select("ticket_key", order.alias("_o"), "state", "close_notes", "work_notes",
                        F.col("fields")[rules.AI_SUGGESTION_FIELD].alias("_sugg"))
 
@@ -239,26 +268,39 @@ def apply_updates(tickets: DataFrame, updates: DataFrame, ticket_col: str = "num
     return t.withColumn("n_work_notes", F.coalesce(F.col("n_work_notes"), F.lit(0)))
 
 
+def ticket_notes(updates: DataFrame, key: str = "request_id") -> DataFrame:
+    """O13, the notes of every ticket in the order of the calls: ticket_key,
+    note_no (from 1), work_notes. Rows, not one folded value per ticket, so a
+    ticket with very many notes is sorted with spilling and never collected."""
+    w = Window.partitionBy("ticket_key").orderBy(key, "seq")
+    return (updates.where(F.col("work_notes").isNotNull())
+            .select("ticket_key", F.row_number().over(w).alias("note_no"), "work_notes"))
+
+
 # -- J6 / A4 ------------------------------------------------------------------------------
 
 
-def final_record(requests: DataFrame, folded_hits: DataFrame, decisions: DataFrame,
-                 plans: DataFrame | None, outcomes: DataFrame | None,
+DECISION_FIELDS = ["automation_allowed", "approved_action", "confidence", "reason", "payload", "llm_raw_output"]
+
+
+def final_record(decisions: DataFrame, folded_hits: DataFrame, outcomes: DataFrame,
                  answers: DataFrame | None = None, key: str = "request_id") -> DataFrame:
     """The response record per request, assembled with left joins on the
-    request key; hits arrive pre-folded (A4), one row per request."""
-    r = requests.select(key, "query", "configuration_item")
+    request key. ``decisions`` carries query and configuration_item, hits
+    arrive pre-folded (A4), ``outcomes`` (requests with a ticket) holds the
+    action's result and both update responses. Nested parts are JSON text."""
+    js = lambda cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    r = decisions.select(key, "query", "configuration_item", js(DECISION_FIELDS).alias("decision_engine"),
+                         F.coalesce("automation_allowed", F.lit(False)).alias("automation_triggered"))
     r = r.join(folded_hits, key, "left")
     if answers is not None:
-        r = r.join(answers.select(key, F.col("answer").alias("ai_suggestion")), key, "left")
+        r = r.join(answers.select(key, F.col("answer").alias("_a")), key, "left")
+        r = r.withColumn("ai_suggestion", F.coalesce("_a", F.lit(""))).drop("_a")
     else:
         r = r.withColumn("ai_suggestion", F.lit(""))
-    dec_cols = [c for c in decisions.columns if c != key]
-    r = r.join(decisions.select(key, F.struct(*dec_cols).alias("decision_engine")), key, "left")
-    r = r.withColumn("automation_triggered", F.coalesce(F.col("decision_engine.automation_allowed"), F.lit(False)))
-    if plans is not None:
-        pc = [c for c in plans.columns if c != key]
-        r = r.join(plans.select(key, F.struct(*pc).alias("mcp_action_result")), key, "left")
-    if outcomes is not None:
-        r = r.join(outcomes.select(key, "ticket_update_status"), key, "left")
-    return r
+    out = outcomes.select(
+        key, F.when(F.col("has_result"), js([F.col("mcp_status").alias("status"), F.col("mcp_message").alias("message"), "invoice_id"]))
+              .alias("mcp_action_result"),
+        F.col("field_update_ok").alias("ticket_ai_field_update_ok"), F.col("field_update_response").alias("ticket_ai_field_update_resp"),
+        "ticket_update_status", F.col("update_response").alias("ticket_update_response"))
+    return r.join(out, key, "left")

@@ -1,12 +1,13 @@
 """Classification, response parsing and the automation gate.
 
-Every step is a column expression or a join with a small broadcast rule
-table, so a batch of requests is gated in one narrow pass plus the joins
+Every step is a column expression or a join with a small rule table, so a batch of requests is gated in one narrow pass plus the joins
 that bring responses and payloads to their requests.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,9 +17,8 @@ from ..functions import jsonx
 from ..functions.text import ColumnOrName, _col, empty_to_null, pystrip, render
 from ..session import ensure_conf
 
-# Rule tables above this many rows are not broadcast (they are joined with
-# a theta condition, which has no shuffle-based alternative).
-MAX_RULE_ROWS = 100_000
+# A decimal number as text: what a confidence may look like.
+DECIMAL_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -43,13 +43,6 @@ def rule_tables(spark: SparkSession) -> dict[str, DataFrame]:
     }
 
 
-def _checked_broadcast(df: DataFrame, max_rows: int = MAX_RULE_ROWS) -> DataFrame:
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"rule table has {n} rows, more than the {max_rows} that may be broadcast")
-    return F.broadcast(df)
-
-
 # -- T1 / J5: ordered keyword classifier -------------------------------------
 
 def classify_issue(text: ColumnOrName, keyword_rules=None) -> Column:
@@ -63,17 +56,19 @@ def classify_issue(text: ColumnOrName, keyword_rules=None) -> Column:
     return expr.otherwise(F.lit(rules.UNKNOWN_ISSUE))
 
 
-def classify_issue_join(df: DataFrame, key: str, text_col: str, rule_df: DataFrame,
+def classify_issue_join(df: DataFrame, text_col: str, rule_df: DataFrame,
                         out_col: str = "issue_type") -> DataFrame:
-    """J5 for rule tables of any (bounded) size: broadcast theta join on
-    substring containment, then the lowest-priority match per row. Only the
-    key and the lower-cased text take part in the join and the aggregation."""
-    r = _checked_broadcast(rule_df.select("priority", "keyword", "category"))
-    t = df.select(F.col(key).alias("_k"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
-    m = t.join(r, F.col("_t").contains(F.col("keyword")), "left")
-    best = m.groupBy("_k").agg(F.min_by("category", "priority").alias("_cat"))
-    return best.select(F.col("_k").alias(key),
-                       F.coalesce(F.col("_cat"), F.lit(rules.UNKNOWN_ISSUE)).alias(out_col))
+    """J5 for rules given as a table (priority, keyword, category): every row
+    of ``df`` with its category added; no row is merged or shuffled.
+
+    The rules are one array (a scalar subquery: a rule list is small); a row
+    takes the matching rule of the lowest priority, 'unknown' without one."""
+    rules_of = rule_df.where("keyword IS NOT NULL").agg(
+        F.collect_list(F.struct("priority", "keyword", "category"))).scalar()
+    t = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    first = F.array_min(F.filter(F.col("_rules"), lambda r: t.contains(r["keyword"])))
+    return (df.withColumn("_rules", rules_of)
+            .withColumn(out_col, F.coalesce(first["category"], F.lit(rules.UNKNOWN_ISSUE))).drop("_rules"))
 
 
 # -- T2: network deny rule -----------------------------------------------------
@@ -88,8 +83,9 @@ def network_denied(issue_type: ColumnOrName, ci: ColumnOrName) -> Column:
 
 def ci_route(df: DataFrame, ci_col: str, ci_alias: DataFrame, out_col: str = "route") -> DataFrame:
     """Upper-cased (untrimmed) CI looked up in the alias table; no match
-    gives the fixed 'no automation' message. Broadcast left join."""
-    a = _checked_broadcast(ci_alias.select(F.col("alias").alias("_alias"), F.col("handler").alias("_h")))
+    gives the fixed 'no automation' message. An equi-join, whose strategy
+    Spark chooses by size."""
+    a = ci_alias.select(F.col("alias").alias("_alias"), F.col("handler").alias("_h"))
     j = df.join(a, F.upper(F.coalesce(F.col(ci_col), F.lit(""))) == F.col("_alias"), "left")
     return j.withColumn(out_col, F.coalesce(F.col("_h"), F.lit(rules.NO_CI_ROUTE))).drop("_alias", "_h")
 
@@ -108,7 +104,8 @@ def parse_decision(df: DataFrame, output_col: str = "llm_output") -> DataFrame:
     json_ok: the fence-stripped text has a first-{ to last-} span that is one
     strict JSON object. action defaults to 'none' only when the key is
     missing; confidence defaults to 0.0 when the key is missing, and is
-    NULL with confidence_ok = false when present but not a finite number.
+    NULL with confidence_ok = false when present but not a finite decimal
+    number (a cast alone would also take suffixes and hexadecimal floats).
     """
     ensure_conf(df.sparkSession)
     j = jsonx.extract_object(jsonx.strip_code_fence(output_col))
@@ -117,8 +114,8 @@ def parse_decision(df: DataFrame, output_col: str = "llm_output") -> DataFrame:
     parsed = F.from_json(F.col("_j"), _DECISION_SCHEMA, _JSON_OPTS)
     has_action = jsonx.has_key("_j", "action")
     has_conf = jsonx.has_key("_j", "confidence")
-    conf_val = F.try_cast(parsed["confidence"], "double") if hasattr(F, "try_cast") else \
-        parsed["confidence"].try_cast("double")
+    number = pystrip(parsed["confidence"])
+    conf_val = F.when(number.rlike(DECIMAL_NUMBER), number.try_cast("double"))
     conf = F.when(~has_conf, F.lit(0.0)).otherwise(conf_val)
     conf_ok = conf.isNotNull() & ~F.isnan(F.coalesce(conf, F.lit(0.0))) & \
         (F.abs(F.coalesce(conf, F.lit(0.0))) != F.lit(float("inf")))
@@ -159,7 +156,7 @@ def check_payload(df: DataFrame, output_col: str = "llm_output") -> DataFrame:
 
 def decide(requests: DataFrame, responses: DataFrame | None = None,
            payloads: DataFrame | None = None, *, key: str = "request_id",
-           threshold: float = rules.CONFIDENCE_THRESHOLD) -> DataFrame:
+           threshold: float = rules.CONFIDENCE_THRESHOLD, carry: Sequence[str] = ()) -> DataFrame:
     """Decision record per request.
 
     ``requests``: key, query, configuration_item. ``responses``: key,
@@ -168,9 +165,10 @@ def decide(requests: DataFrame, responses: DataFrame | None = None,
     the deny rule is evaluated first, so denied rows never need an answer.
 
     Output: key, automation_allowed, approved_action, confidence, reason,
-    payload (JSON text), llm_raw_output (first 500 characters).
+    payload (JSON text), llm_raw_output (first 500 characters), llm_output
+    (the whole answer), and the request's columns named in ``carry``.
     """
-    r = requests.select(key, "query", "configuration_item")
+    r = requests.select(key, "query", "configuration_item", *[c for c in carry if c not in ("query", "configuration_item")])
     r = r.withColumn("_issue", classify_issue("query"))
     if responses is not None:
         r = r.join(responses.select(key, F.col("llm_output").alias("_out")), key, "left")
@@ -193,10 +191,11 @@ def decide(requests: DataFrame, responses: DataFrame | None = None,
     no_answer = F.col("_out").isNull()
     bad_json = ~F.col("json_ok")
     bad_conf = ~F.coalesce(F.col("confidence_ok"), F.lit(False))
+    shown = F.left(F.col("_out"), F.lit(rules.ERROR_OUTPUT_CHARS))
+    error = F.when(F.col("json_text") == "", render(rules.ERROR_NO_JSON, output=shown)).otherwise(F.lit(rules.ERROR_NOT_STRICT))
     reason = (F.when(denied, F.lit(rules.NETWORK_DENY_REASON))
-              .when(no_answer, F.lit("LLM call failed: no response"))
-              .when(bad_json, F.concat(F.lit(rules.REASON_INVALID_JSON + " Output was: "),
-                                       F.left(F.col("_out"), F.lit(rules.ERROR_OUTPUT_CHARS))))
+              .when(no_answer, F.lit(rules.REASON_NO_ANSWER))
+              .when(bad_json, render(rules.REASON_INVALID_JSON, error=error, output=shown))
               .when(bad_conf, F.lit(rules.REASON_INVALID_CONFIDENCE))
               .when(F.col("_allowed"), F.lit(rules.REASON_APPROVED))
               .otherwise(F.lit(rules.REASON_NOT_APPROVED)))
@@ -209,7 +208,7 @@ def decide(requests: DataFrame, responses: DataFrame | None = None,
         reason.alias("reason"),
         F.when(~early & F.col("_allowed") & is_invoice, F.col("_pj")).alias("payload"),
         F.when(~early, F.left(F.col("_out"), F.lit(rules.RAW_OUTPUT_CHARS))).alias("llm_raw_output"),
-    )
+        F.when(~early, F.col("_out")).alias("llm_output"), *carry)
 
 
 # -- T10: assignment group ------------------------------------------------------

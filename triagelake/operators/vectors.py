@@ -4,9 +4,9 @@ ranked hits (V6/V7) and the hit -> metadata lookup (J1).
 Scoring query x corpus (J2) is exact and brute force, like a flat
 inner-product index, but it is never a cross join: both sides are cut into
 hash blocks, every (query block, corpus block) pair meets in one co-grouped
-task, the task scores the pair with one float64 matrix product and keeps only
-each query's local top-k candidates. A final window ranks at most
-``corpus_blocks * k`` candidates per query.
+task, the task screens the pair with one float32 matrix product, re-scores
+what passes in float64 and keeps each query's local top-k candidates (its own
+k). A final window ranks at most ``corpus_blocks * k`` candidates per query.
 """
 
 from __future__ import annotations
@@ -149,7 +149,6 @@ def l2_normalize(df: DataFrame, vec_col: str = "embedding", norm_col: str = "nor
 # no cap on candidates.
 SCORE_DIGITS = 4
 _MARGIN = 1.5e-4
-MAX_COGROUP_PARTITIONS = 20_000
 
 
 def _normalize(m: np.ndarray) -> np.ndarray:
@@ -186,8 +185,8 @@ def _matrix(df: pd.DataFrame, id_name: str, dim: int | None) -> tuple[np.ndarray
 
 
 def _first_k_per_row(r: np.ndarray, cidx: np.ndarray, exact: np.ndarray, crank: np.ndarray,
-                     k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keep, per query row, the first ``k`` candidates in the final order
+                     k: int | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keep, per query row, the first ``k`` (one, or one per row) candidates in the final order
     (score rounded to 4 places desc, id asc) plus every candidate whose
     score lies within 1e-6 of a rounding boundary, where this rounding and
     Spark's could differ. Whatever the true top k is, it is inside the kept
@@ -204,17 +203,45 @@ def _first_k_per_row(r: np.ndarray, cidx: np.ndarray, exact: np.ndarray, crank:
     start = np.maximum.accumulate(np.where(first, np.arange(len(rs)), 0))
     pos = np.arange(len(rs)) - start
     keep = np.zeros(len(r), dtype=bool)
-    keep[order[pos < k]] = True
+    keep[order[pos < (k if np.isscalar(k) else k[rs])]] = True
     keep |= ambiguous
     return r[keep], cidx[keep], exact[keep]
 
 
-def _local_topk_fn(k_max: int, exclude_self: bool, min_score: float | None,
-                   dim: int | None = None, chunk_rows: int = 1024):
+#: Cells of one float32 product, and candidate pairs re-scored at a time.
+_PRODUCT_CELLS = 1 << 24
+_RESCORE_PAIRS = 1 << 17
+
+
+def _exact_scores(qm: np.ndarray, cm: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Float64 scores of pairs, in slices of bounded memory."""
+    out = np.empty(len(r))
+    for s in range(0, len(r), _RESCORE_PAIRS):
+        e = s + _RESCORE_PAIRS
+        out[s:e] = np.einsum("ij,ij->i", qm[r[s:e]], cm[c[s:e]])
+    return out
+
+
+def _kth_best(s: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Per row its own k-th largest value (the smallest if it has fewer)."""
+    out = s.min(axis=1)
+    for kk in np.unique(k):
+        if kk < s.shape[1]:
+            rows = np.flatnonzero(k == kk)
+            out[rows] = np.partition(s[rows], s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
+    return out
+
+
+def _local_topk_fn(exclude_self: bool, min_score: float | None, dim: int | None = None):
+    """Cogroup function: every query's candidates of one corpus block. Rows of
+    ``q`` carry their own ``k`` (at least 1)."""
+
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame({"qid": q["qid"].iloc[:0], "id": c["id"].iloc[:0],
+            return pd.DataFrame({"qid": q["qid"].iloc[:0], "k": q["k"].iloc[:0], "id": c["id"].iloc[:0],
                                  "score": np.zeros(0)})
+        q = q.reset_index(drop=True)
+        ks = q["k"].to_numpy(dtype=np.int64)
         cids, cm = _matrix(c, "id", dim)
         qids, qm = _matrix(q, "qid", cm.shape[1])
         cm32, qm32 = cm.astype(np.float32), qm.astype(np.float32)
@@ -222,8 +249,10 @@ def _local_topk_fn(k_max: int, exclude_self: bool, min_score: float | None,
         # rank of each corpus id in id order (Spark orders strings by code point)
         crank = np.empty(len(cids), dtype=np.int64)
         crank[np.argsort(cids, kind="stable")] = np.arange(len(cids))
-        kk = min(k_max, len(cids))
-        out_q, out_c, out_s = [], [], []
+        # vectors without negative entries: a product of 0 is exactly 0
+        no_sign = len(qm) > 0 and qm.min() >= 0 and cm.min() >= 0
+        chunk_rows = max(1, _PRODUCT_CELLS // max(1, len(cids)))
+        out_q, out_k, out_c, out_s = [], [], [], []
         for start in range(0, len(qids), chunk_rows):
             stop = min(start + chunk_rows, len(qids))
             s = qm32[start:stop] @ cm32.T
@@ -232,26 +261,27 @@ def _local_topk_fn(k_max: int, exclude_self: bool, min_score: float | None,
                 pos = self_pos[start:stop]
                 hit = pos >= 0
                 s[rows[hit], pos[hit]] = -np.inf
-            if kk < s.shape[1]:
-                kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
-            else:
-                kth = s.min(axis=1)
+            kth = _kth_best(s, ks[start:stop])
             # one compare per cell: a finite per-row threshold also drops the
             # -inf self entries; the min_score screen folds into it
             thr = kth - _MARGIN
             if min_score is not None:
                 thr = np.maximum(thr, np.float32(min_score - 1e-5))
             thr = np.where(np.isfinite(thr), thr, np.float32(np.finfo(np.float32).min))
-            r, cidx = np.nonzero(s >= thr[:, None])
-            exact = np.einsum("ij,ij->i", qm[start + r], cm[cidx])
+            passed = s >= thr[:, None]
+            if no_sign and min_score is not None and min_score >= 0:
+                passed &= s > 0
+            r, cidx = np.nonzero(passed)
+            exact = _exact_scores(qm[start:stop], cm, r, cidx)
             if min_score is not None:
                 ok = exact > min_score
                 r, cidx, exact = r[ok], cidx[ok], exact[ok]
-            r, cidx, exact = _first_k_per_row(r, cidx, exact, crank, k_max)
+            r, cidx, exact = _first_k_per_row(r, cidx, exact, crank, ks[start:stop])
             out_q.append(qids[start + r])
+            out_k.append(ks[start + r])
             out_c.append(cids[cidx])
             out_s.append(exact)
-        return pd.DataFrame({"qid": np.concatenate(out_q), "id": np.concatenate(out_c),
+        return pd.DataFrame({"qid": np.concatenate(out_q), "k": np.concatenate(out_k), "id": np.concatenate(out_c),
                              "score": np.concatenate(out_s)})
     return fn
 
@@ -275,18 +305,17 @@ def plan_blocks(n_q: int, n_c: int, parallelism: int, q_block_rows: int, c_block
     return nqb, ncb
 
 
-def _blocked_topk(q: DataFrame, c: DataFrame, qk: DataFrame, k_max: int, per_query_k: bool,
-                  n_q: int, n_c: int, payload: list[str], *, exclude_self: bool,
+def _blocked_topk(q: DataFrame, c: DataFrame, n_q: int, n_c: int, payload: list[str], *, exclude_self: bool,
                   min_score: float | None, dim: int | None, q_block_rows: int, c_block_rows: int,
                   q_blocks: int | None, c_blocks: int | None) -> DataFrame:
     """Pair hash blocks of both sides with a cogroup, score each pair
-    locally, rank the candidates. ``q``/``c`` have qid/id plus ``payload``."""
+    locally, rank the candidates. ``q``/``c`` have qid and k / id plus
+    ``payload``; queries whose k is below 1 have no result."""
     out_schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType),
+                               T.StructField("k", T.LongType()),
                                T.StructField("id", c.schema["id"].dataType),
                                T.StructField("score", T.DoubleType())])
-    if k_max <= 0:
-        return q.sparkSession.createDataFrame([], out_schema).select(
-            "qid", F.lit(0).alias("rank"), "id", "score")
+    q = q.where(F.col("k") > 0)
     par = q.sparkSession.sparkContext.defaultParallelism
     auto_q, auto_c = plan_blocks(n_q, n_c, par, q_block_rows, c_block_rows)
     nqb = q_blocks or auto_q
@@ -299,16 +328,14 @@ def _blocked_topk(q: DataFrame, c: DataFrame, qk: DataFrame, k_max: int, per_que
     # their bytes are small, so AQE would otherwise coalesce them into a few
     # tasks. An explicit partition count is kept, and the cogroup reuses it.
     # 4x as many partitions as block pairs keeps hash collisions (several
-    # pairs in one task) rare; empty partitions cost next to nothing. The
-    # count is capped so a huge block grid does not become millions of tasks;
-    # beyond the cap a task simply scores several block pairs in turn.
-    n_parts = max(par, min(4 * nqb * ncb, max(2 * par, MAX_COGROUP_PARTITIONS)))
-    q2 = q.select(qb.alias("_qb"), all_c.alias("_cb"), "qid", *payload).repartition(n_parts, "_qb", "_cb")
+    # pairs in one task) rare; empty partitions cost next to nothing.
+    n_parts = max(par, 4 * nqb * ncb)
+    q2 = q.select(qb.alias("_qb"), all_c.alias("_cb"), "qid", F.col("k").cast("long").alias("k"), *payload).repartition(n_parts, "_qb", "_cb")
     c2 = c.select(all_q.alias("_qb"), cb.alias("_cb"), "id", *payload).repartition(n_parts, "_qb", "_cb")
-    fn = _local_topk_fn(k_max, exclude_self, min_score, dim)
+    fn = _local_topk_fn(exclude_self, min_score, dim)
     cand = (q2.groupBy("_qb", "_cb").cogroup(c2.groupBy("_qb", "_cb"))
             .applyInPandas(lambda a, b: fn(a, b), schema=out_schema))
-    return rank_candidates(cand, qk, k_max, per_query_k)
+    return rank_candidates(cand)
 
 
 def topk_search(queries: DataFrame, corpus: DataFrame, k: int | None = rules.DEFAULT_TOP_K, *,
@@ -336,72 +363,50 @@ def topk_search(queries: DataFrame, corpus: DataFrame, k: int | None = rules.DEF
     kexpr = F.coalesce(F.col(k_col).cast("int"), F.lit(default_k)) if k_col else F.lit(default_k)
     q = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).alias("vec"), kexpr.alias("k"))
     c = corpus.select(F.col(c_id).alias("id"), F.col(c_vec).alias("vec"))
-    qs = q.agg(F.count(F.lit(1)), F.max("k")).first()
-    n_q = int(qs[0])
-    k_max = int(qs[1] or 0) if k_col else default_k
-    n_c = 0 if c_blocks else c.count()
-    return _blocked_topk(q.select("qid", "vec"), c, q.select("qid", "k"), k_max, k_col is not None,
-                         n_q, n_c, ["vec"], exclude_self=exclude_self, min_score=min_score, dim=None,
+    n_q = 0 if q_blocks else queries.count()
+    n_c = 0 if c_blocks else corpus.count()
+    return _blocked_topk(q, c, n_q, n_c, ["vec"], exclude_self=exclude_self, min_score=min_score, dim=None,
                          q_block_rows=q_block_rows, c_block_rows=c_block_rows,
                          q_blocks=q_blocks, c_blocks=c_blocks)
 
 
+def pack(df: DataFrame, id_col: str, index_col: str = "bucket", value_col: str = "cnt") -> DataFrame:
+    """One row per vector from long (id, index, value) rows: ``bs`` (indices)
+    and ``vs`` (values), aligned arrays in index order."""
+    g = df.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(index_col).cast("int").alias("b"), F.col(value_col).cast("double").alias("v")))).alias("_l"))
+    return g.select(id_col, F.transform("_l", lambda x: x["b"]).alias("bs"), F.transform("_l", lambda x: x["v"]).alias("vs"))
+
+
 def topk_search_long(queries: DataFrame, corpus: DataFrame, k: int | None = rules.DEFAULT_TOP_K, *,
-                     q_id: str = "qid", c_id: str = "id", index_col: str = "bucket",
-                     value_col: str = "cnt", dim: int = HASH_DIM, query_k: DataFrame | None = None,
+                     q_id: str = "qid", c_id: str = "id", dim: int = HASH_DIM, k_col: str | None = None,
                      exclude_self: bool = False, min_score: float | None = None,
                      q_block_rows: int = 65536, c_block_rows: int = 65536,
                      q_blocks: int | None = None, c_blocks: int | None = None,
                      n_q: int | None = None, n_c: int | None = None) -> DataFrame:
-    """``topk_search`` for vectors given as long (id, index, value) rows, e.g.
-    the (id, bucket, cnt) output of ``hash_counts``: no dense vector is ever
-    assembled in Spark. Each id's pairs are packed into two aligned arrays
-    (one row per vector, so the block shuffle moves a row per vector rather
-    than one per entry), and each task builds and normalises its block
-    matrix (value / sqrt(sum of squares), the same arithmetic as ``hash_embed``).
-    ``query_k`` (qid column named like ``q_id``, column ``k``) gives per-query k.
-    ``n_q`` / ``n_c`` are the numbers of query / corpus vectors (or upper
-    bounds, e.g. source row counts, which need no tokenizing) for block
-    planning; when absent they are counted from the long rows.
+    """``topk_search`` for packed vectors (see ``pack``): ids with columns
+    ``bs`` and ``vs``. No dense vector is ever assembled in Spark; each task
+    builds and normalises its block matrix (value / sqrt(sum of squares), the
+    same arithmetic as ``hash_embed``). ``k_col`` of the queries gives each
+    its own k. ``n_q`` / ``n_c`` (numbers of vectors, or upper bounds) plan
+    the blocks; when absent they are counted.
     """
     default_k = int(k if k is not None else rules.DEFAULT_TOP_K)
-    q = queries.select(F.col(q_id).alias("qid"), F.col(index_col).cast("int").alias("b"),
-                       F.col(value_col).cast("double").alias("v"))
-    c = corpus.select(F.col(c_id).alias("id"), F.col(index_col).cast("int").alias("b"),
-                      F.col(value_col).cast("double").alias("v"))
-    if query_k is not None:
-        qk = query_k.select(F.col(q_id).alias("qid"),
-                            F.coalesce(F.col("k").cast("int"), F.lit(default_k)).alias("k"))
-        st = qk.agg(F.count(F.lit(1)), F.max("k")).first()
-        n_q, k_max = n_q or int(st[0]), int(st[1] or 0)
-    else:
-        qk, k_max = None, default_k
-        if n_q is None and not q_blocks:
-            n_q = q.agg(F.approx_count_distinct("qid")).first()[0]
-    if n_c is None and not c_blocks:
-        n_c = c.agg(F.approx_count_distinct("id")).first()[0]
-    n_q, n_c = n_q or 0, n_c or 0
-    # one row per vector: (index, value) pairs packed into aligned arrays
-    def pack(df: DataFrame, idc: str) -> DataFrame:
-        g = df.groupBy(idc).agg(F.array_sort(F.collect_list(F.struct("b", "v"))).alias("_l"))
-        return g.select(idc, F.transform("_l", lambda x: x["b"]).alias("bs"),
-                        F.transform("_l", lambda x: x["v"]).alias("vs"))
-    q, c = pack(q, "qid"), pack(c, "id")
-    return _blocked_topk(q, c, qk, k_max, query_k is not None, n_q, n_c, ["bs", "vs"],
-                         exclude_self=exclude_self, min_score=min_score, dim=dim,
+    kexpr = F.coalesce(F.col(k_col).cast("int"), F.lit(default_k)) if k_col else F.lit(default_k)
+    q = queries.select(F.col(q_id).alias("qid"), kexpr.alias("k"), "bs", "vs")
+    c = corpus.select(F.col(c_id).alias("id"), "bs", "vs")
+    n_q = (0 if q_blocks else queries.count()) if n_q is None else n_q
+    n_c = (0 if c_blocks else corpus.count()) if n_c is None else n_c
+    return _blocked_topk(q, c, n_q, n_c, ["bs", "vs"], exclude_self=exclude_self, min_score=min_score, dim=dim,
                          q_block_rows=q_block_rows, c_block_rows=c_block_rows,
                          q_blocks=q_blocks, c_blocks=c_blocks)
 
 
-def rank_candidates(cand: DataFrame, qk: DataFrame | None, k_max: int,
-                    per_query_k: bool) -> DataFrame:
-    """Final ranking of (qid, id, score) candidates: row_number per query by
-    rounded score desc, id asc; the constant ``k_max`` filter lets Spark add
-    a partial WindowGroupLimit before the shuffle."""
+def rank_candidates(cand: DataFrame) -> DataFrame:
+    """Final ranking of (qid, k, id, score) candidates: row_number per query
+    by rounded score desc, id asc, cut at the query's own k."""
     w = Window.partitionBy("qid").orderBy(F.round("score", SCORE_DIGITS).desc(), F.col("id").asc())
-    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(k_max))
-    if per_query_k and qk is not None:
-        ranked = ranked.join(qk, "qid").where(F.col("rank") <= F.col("k")).drop("k")
+    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k"))
     return ranked.select("qid", "rank", "id", "score")
 
 
@@ -416,23 +421,22 @@ def _meta_or(meta_cols: list[str], name: str, default: str) -> Column:
 
 
 def attach_metadata(top: DataFrame, metadata: DataFrame, *, meta_id: str = "id",
-                    mode: str = "hit") -> DataFrame:
+                    mode: str = "hit", text_chars: int | None = None) -> DataFrame:
     """Join top-k rows to corpus metadata by id (left join, so hits whose
     metadata is missing keep default fields) and project a hit record.
 
-    mode='hit' (V6): rank, id, similarity_score (4 dp), source, training_text
-    (500), assignment_group, configuration_item, category.
-    mode='snippet' (V7): id, source, score (raw), snippet (200), '' defaults.
+    mode='hit' (V6): rank, id, similarity_score (4 dp), source, training_text,
+    assignment_group, configuration_item, category.
+    mode='snippet' (V7): id, source, score (raw), snippet, '' defaults.
+    ``text_chars`` cuts the shown text (a display feature: 500 for hits, 200
+    for snippets); None keeps whole texts, as prompts need them.
     The join is an equi-join on id; AQE chooses broadcast or sort-merge.
     """
     mcols = [c for c in metadata.columns if c != meta_id]
-    # The text is cut to the length the hit shows *before* the join, so the
-    # shuffle carries at most 500 (or 200) characters per corpus row instead
-    # of whole documents.
-    cut = rules.SNIPPET_CHARS if mode == "snippet" else rules.HIT_TEXT_CHARS
-
+    # A display cut is made *before* the join, so that the shuffle carries
+    # what is shown only.
     def proj(c: str) -> Column:
-        col = F.left(F.col(c), F.lit(cut)) if c == "training_text" else F.col(c)
+        col = F.left(F.col(c), F.lit(text_chars)) if c == "training_text" and text_chars is not None else F.col(c)
         return col.alias(f"_m_{c}")
     meta = metadata.select(F.col(meta_id).alias("_mid"), *[proj(c) for c in mcols])
     j = top.join(meta, top["id"] == meta["_mid"], "left")
@@ -444,7 +448,7 @@ def attach_metadata(top: DataFrame, metadata: DataFrame, *, meta_id: str = "id",
             F.when(found, F.col("id").cast("string")).otherwise(F.lit("")).alias("id"),
             F.when(found, _meta_or(mcols, "source", "")).otherwise(F.lit("")).alias("source"),
             F.col("score").alias("score"),
-            F.left(F.when(found, text).otherwise(F.lit("")), F.lit(rules.SNIPPET_CHARS)).alias("snippet"),
+            F.when(found, text).otherwise(F.lit("")).alias("snippet"),
         )
     return j.select(
         "qid", F.col("rank").cast("int").alias("rank"),
@@ -453,7 +457,7 @@ def attach_metadata(top: DataFrame, metadata: DataFrame, *, meta_id: str = "id",
         F.round("score", SCORE_DIGITS).alias("similarity_score"),
         F.when(found, _meta_or(mcols, "source", rules.UNKNOWN_SOURCE))
          .otherwise(F.lit(rules.UNKNOWN_SOURCE)).alias("source"),
-        F.left(F.when(found, text).otherwise(F.lit("")), F.lit(rules.HIT_TEXT_CHARS)).alias("training_text"),
+        F.when(found, text).otherwise(F.lit("")).alias("training_text"),
         F.when(found, _meta_or(mcols, "assignment_group", rules.NOT_PROVIDED))
          .otherwise(F.lit(rules.NOT_PROVIDED)).alias("assignment_group"),
         F.when(found, _meta_or(mcols, "configuration_item", rules.NOT_PROVIDED))
@@ -470,33 +474,50 @@ def search(queries: DataFrame, corpus: DataFrame, metadata: DataFrame, k: int =
     return attach_metadata(top, metadata, mode=mode)
 
 
-def search_texts(requests: DataFrame, corpus: DataFrame, metadata: DataFrame | None = None, *,
-                 key: str = "request_id", text_col: str = "query", k_col: str | None = "top_k",
-                 default_k: int = rules.DEFAULT_TOP_K, corpus_id: str = "id",
-                 corpus_text: str = "training_text", dim: int = HASH_DIM,
-                 min_score: float | None = 0.0, **kw) -> DataFrame:
-    """V2 + V5 + V8 + V6 for a table of text requests against a text corpus
-    (native hashing encoder), searching each distinct text once.
-
-    Requests are grouped by text (combined map-side, so a text asked by a
-    large share of requests becomes one row before the shuffle); each text is
-    searched with the largest k any of its requests asks for; hits get their
-    metadata; each request then takes its own first k hits of its text. The
-    join back is an equi-join on the text: hot texts make it skewed, which
-    AQE's skew-join handling splits. Returns the V6 hit columns with ``key``
-    in place of ``qid``.
+def build_index(corpus: DataFrame, id_col: str = "id", text_col: str = "training_text", dim: int = HASH_DIM,
+                encoder: Callable | None = None) -> DataFrame:
+    """The search index of a text corpus: its columns plus every text's vector
+    -- packed token counts (``bs``, ``vs``), or with a user ``encoder`` (F2,
+    see ``embed_with``) a dense ``embedding``. Texts are encoded whole. Write
+    the result once (``write_parquet``) and search it many times; texts
+    without a token are in the index and match nothing.
+    """
+    if encoder is not None:
+        return embed_with(corpus, text_col, encoder, dim)
+    packed = pack(hash_counts(corpus, id_col, text_col, dim), id_col)
+    return corpus.join(packed, id_col, "left")
+
+
+def search_texts(requests: DataFrame, index: DataFrame, *, key: str = "request_id", text_col: str = "query",
+                 k_col: str | None = "top_k", default_k: int = rules.DEFAULT_TOP_K, index_id: str = "id",
+                 dim: int = HASH_DIM, encoder: Callable | None = None, min_score: float | None = 0.0,
+                 text_chars: int | None = None, **kw) -> DataFrame:
+    """V2 + V5 + V8 + V6 for a table of text requests against a stored index
+    (``build_index``; with the same ``encoder``), searching each distinct text
+    once. Of the index only ids and vectors are searched; no text of the
+    corpus is encoded.
+
+    Requests are grouped by the md5 of their text (combined map-side, so a
+    text asked by a large share of requests becomes one row before the
+    shuffle), which is the query id from there on; each text is searched with
+    the largest k any of its requests asks for; hits get their metadata from
+    the index; each request then takes its own first k hits. Returns the V6
+    hit columns with ``key`` in place of ``qid``.
     """
     kexpr = F.coalesce(F.col(k_col).cast("int"), F.lit(default_k)) if k_col else F.lit(default_k)
-    req = requests.select(key, F.col(text_col).alias("_text"), kexpr.alias("_k"))
-    texts = req.groupBy("_text").agg(F.max("_k").alias("k"))
-    qrows = hash_counts(texts.select("_text"), "_text", "_text", dim)
-    crows = hash_counts(corpus.select(corpus_id, corpus_text), corpus_id, corpus_text, dim)
-    # block planning needs only the corpus size: a pruned count, no tokenizing
-    n_c = kw.pop("n_c", None) or corpus.count()
-    top = topk_search_long(qrows, crows, default_k, q_id="_text", c_id=corpus_id, dim=dim,
-                           query_k=texts, min_score=min_score, n_c=n_c, **kw)
-    meta = metadata if metadata is not None else corpus
-    hits = attach_metadata(top, meta, meta_id=corpus_id, mode="hit").withColumnRenamed("qid", "_text")
-    joined = req.join(hits, "_text").where(F.col("rank") <= F.col("_k"))
-    cols = [c for c in hits.columns if c != "_text"]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    req = requests.select(key, F.md5(text).alias("_sid"), text.alias("_text"), kexpr.alias("_k"))
+    texts = req.groupBy("_sid").agg(F.max("_k").alias("k"), F.max("_text").alias("_text"))
+    if encoder is not None:
+        q = embed_with(texts, "_text", encoder, dim)
+        top = topk_search(q, index, default_k, q_id="_sid", c_id=index_id, k_col="k", min_score=min_score, **kw)
+    else:
+        packed = pack(hash_counts(texts, "_sid", "_text", dim), "_sid").join(texts.select("_sid", "k"), "_sid")
+        n_q = kw.pop("n_q", None)
+        top = topk_search_long(packed, index.where(F.col("bs").isNotNull()), default_k, q_id="_sid", c_id=index_id, dim=dim,
+                               k_col="k", min_score=min_score, n_q=texts.count() if n_q is None else n_q, **kw)
+    meta = index.drop("bs", "vs", "embedding")
+    hits = attach_metadata(top, meta, meta_id=index_id, mode="hit", text_chars=text_chars).withColumnRenamed("qid", "_sid")
+    joined = req.drop("_text").join(hits, "_sid").where(F.col("rank") <= F.col("_k"))
+    cols = [c for c in hits.columns if c != "_sid"]
     return joined.select(key, *cols)

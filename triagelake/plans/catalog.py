@@ -7,6 +7,8 @@ holds an equivalent DuckDB SQL text for each query that has one.
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,9 @@ from ..operators import outcome as O
 from ..operators import requests as RQ
 from ..operators import triage as TR
 from ..operators import vectors as V
+from ..functions.text import pystrip
+from ..session import checkpoint_dir
+from ..sources.files import write_parquet
 from ..sources.tables import read_table
 from . import fixtures as FX
 
@@ -56,7 +61,7 @@ def corpus_union(spark: SparkSession, d: str) -> DataFrame:
 
 def corpus_filter(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents").select("doc_id", F.col("text").alias("training_text"))
-    return P.prepare_text(docs, "training_text").select(
+    return P.prepare_text(docs, "training_text", rules.MAX_TEXT_CHARS).select(
         "doc_id", "training_text", F.length("training_text").alias("n_chars"))
 
 
@@ -66,10 +71,39 @@ def corpus_drop_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """The triage search corpus: incidents + articles, embedding-ready text."""
+    """The triage search corpus: incidents + articles, whole texts."""
     return P.prepare_text(corpus_union(spark, d), "training_text")
 
 
+def search_index(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index of the search corpus: built and written by the first
+    call of an application, read by every search after it."""
+    name = hashlib.md5(f"{spark.sparkContext.applicationId}:{d}".encode()).hexdigest()
+    path = os.path.join(checkpoint_dir(spark), f"search-index-{name}")
+    if path not in _WRITTEN:
+        write_parquet(V.build_index(search_corpus(spark, d)), path)
+        _WRITTEN.add(path)
+    return spark.read.parquet(path)
+
+
+_WRITTEN: set[str] = set()
+
+
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """V1 + S6: the index rows, vectors as (bucket, weight) of unit length."""
+    i = search_index(spark, d).where("bs IS NOT NULL")
+    norm = F.sqrt(F.aggregate("vs", F.lit(0.0), lambda a, x: a + x * x))
+    return (i.select("id", norm.alias("_n"), F.explode(F.arrays_zip("bs", "vs")).alias("_x"))
+            .select("id", F.col("_x.bs").alias("bucket"), F.round(F.col("_x.vs") / F.col("_n"), 6).alias("weight")))
+
+
+def index_search(spark: SparkSession, d: str) -> DataFrame:
+    """V5 on the stored index: every user turn's five best corpus rows."""
+    req = _user_turns(spark, d)
+    hits = V.search_texts(req, search_index(spark, d), key="qid", text_col="text", k_col=None, text_chars=rules.HIT_TEXT_CHARS)
+    return hits.select("qid", "rank", "id", "similarity_score")
+
+
 # -- vectors ------------------------------------------------------------------------
 
 
@@ -125,12 +159,12 @@ def _doc_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
     top = V.topk_search(_vectors(spark, d, "qid"), _vectors(spark, d, "id"), 5)
-    return V.attach_metadata(top, _doc_metadata(spark, d), mode="hit")
+    return V.attach_metadata(top, _doc_metadata(spark, d), mode="hit", text_chars=rules.HIT_TEXT_CHARS)
 
 
 def hits_snippet(spark: SparkSession, d: str) -> DataFrame:
     top = V.topk_search(_vectors(spark, d, "qid"), _vectors(spark, d, "id"), 5)
-    s = V.attach_metadata(top, _doc_metadata(spark, d), mode="snippet")
+    s = V.attach_metadata(top, _doc_metadata(spark, d), mode="snippet", text_chars=rules.SNIPPET_CHARS)
     # raw scores differ across engines in the last bits; compare at 6 places
     return s.withColumn("score", F.round("score", 6))
 
@@ -144,8 +178,8 @@ def _user_turns(spark: SparkSession, d: str) -> DataFrame:
 def text_search(spark: SparkSession, d: str) -> DataFrame:
     turns = _user_turns(spark, d)
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    q = V.hash_counts(turns, "qid", "text")
-    c = V.hash_counts(docs, "id", "text")
+    q = V.pack(V.hash_counts(turns, "qid", "text"), "qid")
+    c = V.pack(V.hash_counts(docs, "id", "text"), "id")
     # source row counts bound the vector counts and need no tokenizing
     top = V.topk_search_long(q, c, 5, min_score=0.0, n_q=turns.count(), n_c=docs.count())
     return _rounded(top)
@@ -165,7 +199,7 @@ def request_rejects(spark: SparkSession, d: str) -> DataFrame:
 def request_hits(spark: SparkSession, d: str) -> DataFrame:
     """V2 + V5 + V8 + V6: each valid request's own top_k hits from the
     incident + article corpus (the reference's search, for a whole table)."""
-    return V.search_texts(request_clean(spark, d), search_corpus(spark, d))
+    return V.search_texts(request_clean(spark, d), search_index(spark, d))
 
 
 def context_fold(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +226,8 @@ def prompt_payload(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assign_group(spark: SparkSession, d: str) -> DataFrame:
-    return TR.assignment_group(request_hits(spark, d), qid="request_id", requests=request_clean(spark, d))
+    return TR.assignment_group(request_hits(spark, d), FX.group_answer(spark, d), qid="request_id",
+                               requests=request_clean(spark, d))
 
 
 def response_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -210,8 +245,10 @@ def issue_class(spark: SparkSession, d: str) -> DataFrame:
 
 
 def issue_class_rules(spark: SparkSession, d: str) -> DataFrame:
-    inc = FX.incident(spark, d)
-    return TR.classify_issue_join(inc, "number", "short_description", TR.rule_tables(spark)["rules"])
+    # with repeated and NULL numbers: rows are classified, not keys
+    inc = FX.incident(spark, d).select(F.when(F.col("number").endswith("0"), None).otherwise(
+        F.left("number", F.lit(9))).alias("number"), "short_description")
+    return TR.classify_issue_join(inc, "short_description", TR.rule_tables(spark)["rules"]).select("number", "issue_type")
 
 
 def network_deny(spark: SparkSession, d: str) -> DataFrame:
@@ -234,11 +271,13 @@ def decision_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:
-    return TR.decide(request_clean(spark, d), FX.response(spark, d), FX.payload(spark, d))
+    """Decisions that carry what the later steps need of their request."""
+    return TR.decide(request_clean(spark, d), FX.response(spark, d), FX.payload(spark, d),
+                     carry=["query", "configuration_item", "ticket_key"])
 
 
 def decision_gate(spark: SparkSession, d: str) -> DataFrame:
-    return decisions(spark, d)
+    return decisions(spark, d).drop("query", "configuration_item", "ticket_key")
 
 
 def payload_check(spark: SparkSession, d: str) -> DataFrame:
@@ -252,24 +291,27 @@ def payload_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def action_plan(spark: SparkSession, d: str) -> DataFrame:
-    return O.action_plan(decisions(spark, d), request_clean(spark, d),
-                         TR.rule_tables(spark)["action_registry"])
+    return O.action_plan(_planned(spark, d))
+
+
+def _planned(spark: SparkSession, d: str) -> DataFrame:
+    return O.with_plan(decisions(spark, d), TR.rule_tables(spark)["action_registry"])
 
 
 def action_result(spark: SparkSession, d: str) -> DataFrame:
-    r = FX.action_result(spark, d)
-    a = O.interpret_action_result(r)
-    u = O.interpret_update_response(r)
-    return a.join(u, "request_id")
+    return O.interpret_action_result(FX.action_result(spark, d))
+
+
+def update_response(spark: SparkSession, d: str) -> DataFrame:
+    return O.both_updates(FX.update_result(spark, d))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    return FX.answer(spark, d).select("request_id", pystrip("llm_output").alias("answer"))
 
 
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
-    req = request_clean(spark, d).select("request_id", F.col("ticket_key").alias("ticket_id"),
-                                         F.lit(None).cast("string").alias("sys_id"))
-    dec = decisions(spark, d)
-    plan = O.action_plan(dec, request_clean(spark, d), TR.rule_tables(spark)["action_registry"])
-    res = FX.action_result(spark, d)
-    return O.outcome(req, dec, plan, res, update_results=res)
+    return O.outcome(_planned(spark, d), FX.action_result(spark, d), _answers(spark, d), FX.update_result(spark, d))
 
 
 def outcome(spark: SparkSession, d: str) -> DataFrame:
@@ -295,26 +337,46 @@ def ticket_apply(spark: SparkSession, d: str) -> DataFrame:
                                           "n_work_notes", rules.AI_SUGGESTION_FIELD)
 
 
+def ticket_notes(spark: SparkSession, d: str) -> DataFrame:
+    return O.ticket_notes(O.ticket_updates(_outcomes(spark, d)))
+
+
 def final_record(spark: SparkSession, d: str) -> DataFrame:
-    req = request_clean(spark, d)
-    h = request_hits(spark, d)
-    folded = C.fold_hits(h, "request_id")
-    dec = decisions(spark, d)
-    plan = O.action_plan(dec, req, TR.rule_tables(spark)["action_registry"])
-    outs = _outcomes(spark, d)
-    return O.final_record(req, folded, dec, plan, outs)
+    """Hits as one line each; the decisions are evaluated once and kept,
+    as both the record and its outcome read them."""
+    folded = C.fold_hits(request_hits(spark, d), "request_id")
+    line = lambda x: F.concat_ws("|", x["rank"].cast("string"), x["id"], F.format_number(x["similarity_score"], 4), x["source"])
+    folded = folded.select("request_id", F.array_join(F.transform("similar_items", line), ";").alias("similar_items"))
+    checkpoint_dir(spark)
+    planned = _planned(spark, d).checkpoint()
+    outs = O.outcome(planned, FX.action_result(spark, d), _answers(spark, d), FX.update_result(spark, d))
+    return O.final_record(planned, folded, outs, _answers(spark, d))
+
+
+def _streamed(spark: SparkSession, d: str, table: str, index: bool = False) -> DataFrame:
+    from ..streaming.stream import run_stream_once
+    out = run_stream_once(spark, FX.request(spark, d), FX.response(spark, d), FX.payload(spark, d),
+                          FX.action_result(spark, d), answers=_answers(spark, d),
+                          index=search_index(spark, d) if index else None)
+    return spark.read.parquet(os.path.join(out, table)).drop("batch_id")
 
 
 def stream_triage(spark: SparkSession, d: str) -> DataFrame:
-    """The request view landed as files and drained through the
-    streaming triage one file per micro-batch; the decisions sink must equal
-    the batch decisions."""
-    import os
+    """The request view landed as files and drained through the streaming
+    triage one file per micro-batch; equals the batch decisions."""
+    return _streamed(spark, d, "decisions").drop("query", "configuration_item", "ticket_key")
 
-    from ..streaming.stream import run_stream_once
-    out = run_stream_once(spark, FX.request(spark, d), FX.response(spark, d), FX.payload(spark, d),
-                          FX.action_result(spark, d))
-    return spark.read.parquet(os.path.join(out, "decisions")).drop("batch_id")
+
+def stream_updates(spark: SparkSession, d: str) -> DataFrame:
+    """The ticket updates the stream wrote."""
+    u = _streamed(spark, d, "ticket_updates")
+    return u.select("ticket_key", "request_id", "seq", "update_type", "state", "close_notes", "work_notes",
+                    F.col("fields")[rules.AI_SUGGESTION_FIELD].alias("ai_suggestion"))
+
+
+def stream_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of the stream's searches in the stored index."""
+    return _streamed(spark, d, "hits", index=True)
 
 
 QUERIES: dict[str, Query] = {
@@ -356,5 +418,11 @@ QUERIES: dict[str, Query] = {
     "ticket_update": ticket_update,
     "ticket_apply": ticket_apply,
     "final_record": final_record,
+    "index_build": index_build,
+    "index_search": index_search,
+    "update_response": update_response,
+    "ticket_notes": ticket_notes,
     "stream_triage": stream_triage,
+    "stream_updates": stream_updates,
+    "stream_hits": stream_hits,
 }

@@ -70,7 +70,7 @@ def request(spark: SparkSession, sf_dir: str) -> DataFrame:
             (3, F.concat(F.lit("create invoice for client "), _s("user_id"))),
             (4, "crm profile out of sync"),
             (5, "screen flickers"),
-            (6, "   "),
+            (6, F.when(k % 16 == 6, "   ").otherwise("\u00a0\u2003")),
         ]).alias("query"),
         _case(k % 7, [
             (0, "rod-osm"), (1, "SIE-CRM"), (2, "BRM"), (3, "OurTelco"), (4, "OSM"), (5, "printer"),
@@ -99,9 +99,12 @@ def response(spark: SparkSession, sf_dir: str) -> DataFrame:
         (8, '{"action":"retry_order","confidence":0.99,"reasoning":"not on list"}'),
         (9, '{"action":"update_order","confidence":0.99} and {"x":1}'),
         (10, "LLaMA Error: 429 {'error': 'rate'}"),
+        (11, '{"action":"update_order","confidence":"0.95d"}'),
+        (12, '{"action":"update_order","confidence":"0x1p0"}'),
+        (13, '{"action":"update_order","confidence":"0.95f"}'),
     ]
     return e.select(k.alias("request_id"),
-                    _case(k % 12, shapes, '{"action":"update_order","confidence":"high"}').alias("llm_output"))
+                    _case(k % 15, shapes, '{"action":"update_order","confidence":"high"}').alias("llm_output"))
 
 
 def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +129,37 @@ def action_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     return e.select(
         k.alias("request_id"),
-        _case(k % 5, [(0, 200), (1, 201), (2, 404), (3, 500)]).cast("int").alias("http_code"),
-        _case(k % 5, [
+        _case(k % 4, [(0, "retry_order"), (1, "sync_customer_data"), (2, "fix_asset_mismatch")], "create_invoice").alias("handler"),
+        _case(k % 7, [(0, 200), (1, 201), (2, 404), (3, 500), (4, 200), (5, 200)]).cast("int").alias("http_code"),
+        _case(k % 7, [
             (0, F.concat(F.lit('{"id":"'), _s("event_id"), F.lit('"}'))),
             (1, "{}"), (2, "not found"), (3, '{"http_status":502}'),
+            (4, '{"status":"failure","message":"order not found"}'),
+            (5, F.concat(F.lit('{"id":"'), _s("event_id"), F.lit('","status":"success","message":"Order '), _s("event_id"), F.lit(' retried"}'))),
         ]).alias("body"),
     )
+
+
+def update_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of the two ticket updates (seq 1: fields, 2: resolve or escalate)."""
+    e = read_table(spark, sf_dir, "events").select("event_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
+    k = F.col("event_id") + F.col("seq")
+    return e.select(
+        F.col("event_id").alias("request_id"), "seq",
+        _case(k % 5, [(0, 200), (1, 204), (2, 404), (3, 500)]).cast("int").alias("http_code"),
+        _case(k % 5, [(0, '{"result":"ok"}'), (1, "{}"), (2, "not found"), (3, '{"http_status":502}')]).alias("body"))
+
+
+def answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "events").select("event_id")
+    k = F.col("event_id")
+    return e.where(k % 4 != 0).select(
+        k.alias("request_id"),
+        _case(k % 4, [(1, F.concat(F.lit("  1. Restart the client of user "), _s("event_id"))), (2, "Ask the Service Desk.\n")],
+              "LLaMA Error: 500").alias("llm_output"))
+
+
+def group_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "events").select("event_id")
+    k = F.col("event_id")
+    return e.where(k % 3 != 0).select(k.alias("request_id"), _case(k % 3, [(1, " Database Team\n")], "   ").alias("llm_output"))

@@ -28,8 +28,11 @@ def render(template: str, **exprs: str) -> str:
     return "(" + " || ".join(parts) + ")"
 
 
+WHITESPACE = " || ".join(f"chr({ord(c)})" for c in rules.WHITESPACE)
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({x}, {WHITESPACE})"
 
 
 def decode(x: str) -> str:
@@ -123,7 +126,7 @@ select event_id as request_id,
          when 3 then 'create invoice for client ' || cast(user_id as varchar(20))
          when 4 then 'crm profile out of sync'
          when 5 then 'screen flickers'
-         when 6 then '   ' else null end as query,
+         when 6 then (case when event_id % 16 = 6 then '   ' else chr(160) || chr(8195) end) else null end as query,
        case event_id % 7
          when 0 then 'rod-osm' when 1 then 'SIE-CRM' when 2 then 'BRM' when 3 then 'OurTelco'
          when 4 then 'OSM' when 5 then 'printer' else null end as configuration_item,
@@ -137,7 +140,7 @@ from events)"""
 V_RESPONSE = """
 response as (
 select event_id as request_id,
-       case event_id % 12
+       case event_id % 15
          when 0 then '{"action":"update_order","confidence":0.95,"reasoning":"ok"}'
          when 1 then '```json' || chr(10) || '{"action":"sync_customer_data","confidence":0.9,"reasoning":"ok"}' || chr(10) || '```'
          when 2 then '```' || chr(10) || '{"action":"restart_server","confidence":0.89,"reasoning":"ok"}' || chr(10) || '```'
@@ -149,6 +152,9 @@ select event_id as request_id,
          when 8 then '{"action":"retry_order","confidence":0.99,"reasoning":"not on list"}'
          when 9 then '{"action":"update_order","confidence":0.99} and {"x":1}'
          when 10 then 'LLaMA Error: 429 {''error'': ''rate''}'
+         when 11 then '{"action":"update_order","confidence":"0.95d"}'
+         when 12 then '{"action":"update_order","confidence":"0x1p0"}'
+         when 13 then '{"action":"update_order","confidence":"0.95f"}'
          else '{"action":"update_order","confidence":"high"}' end as llm_output
 from events)"""
 
@@ -167,10 +173,28 @@ from orders)"""
 V_ACTION_RESULT = """
 action_result as (
 select event_id as request_id,
-       case event_id % 5 when 0 then 200 when 1 then 201 when 2 then 404 when 3 then 500 else null end as http_code,
-       case event_id % 5 when 0 then '{"id":"' || cast(event_id as varchar(20)) || '"}'
-         when 1 then '{}' when 2 then 'not found' when 3 then '{"http_status":502}' else null end as body
-from events)"""
+       case event_id % 4 when 0 then 'retry_order' when 1 then 'sync_customer_data' when 2 then 'fix_asset_mismatch' else 'create_invoice' end as handler,
+       case event_id % 7 when 0 then 200 when 1 then 201 when 2 then 404 when 3 then 500 when 4 then 200 when 5 then 200 else null end as http_code,
+       case event_id % 7 when 0 then '{"id":"' || cast(event_id as varchar(20)) || '"}'
+         when 1 then '{}' when 2 then 'not found' when 3 then '{"http_status":502}'
+         when 4 then '{"status":"failure","message":"order not found"}'
+         when 5 then '{"id":"' || cast(event_id as varchar(20)) || '","status":"success","message":"Order ' || cast(event_id as varchar(20)) || ' retried"}'
+         else null end as body
+from events),
+update_result as (
+select event_id as request_id, seq,
+       case (event_id + seq) % 5 when 0 then 200 when 1 then 204 when 2 then 404 when 3 then 500 else null end as http_code,
+       case (event_id + seq) % 5 when 0 then '{"result":"ok"}' when 1 then '{}' when 2 then 'not found'
+         when 3 then '{"http_status":502}' else null end as body
+from events, (values (1), (2)) s(seq)),
+answer as (
+select event_id as request_id,
+       case event_id % 4 when 1 then '  1. Restart the client of user ' || cast(event_id as varchar(20))
+         when 2 then 'Ask the Service Desk.' || chr(10) else 'LLaMA Error: 500' end as llm_output
+from events where event_id % 4 <> 0),
+group_answer as (
+select event_id as request_id, case event_id % 3 when 1 then ' Database Team' || chr(10) else '   ' end as llm_output
+from events where event_id % 3 <> 0)"""
 
 
 def _topk_sql(name: str, exclude_self: bool = False, per_query_k: bool = False) -> str:
@@ -190,7 +214,7 @@ request_clean as (
 select request_id, coalesce(query, '') as query, coalesce(configuration_item, '') as configuration_item,
        coalesce(nullif(ticket_id, ''), nullif(sys_id, '')) as ticket_key,
        cast(coalesce(top_k, {rules.DEFAULT_TOP_K}) as integer) as top_k
-from request where regexp_matches(coalesce(query, ''), '\\S'))"""
+from request where length({strip("coalesce(query, '')")}) > 0)"""
 
 INC_CLEAN = f"""
 incident_clean as (
@@ -217,9 +241,9 @@ union all
 select id, {lit(rules.SOURCE_KB)} as source, training_text, {lit(rules.NOT_APPLICABLE)} as assignment_group,
        {lit(rules.NOT_APPLICABLE)} as configuration_item, '' as category from kb_text),
 search_corpus as (
-select id, source, left(coalesce(training_text, ''), {rules.MAX_TEXT_CHARS}) as training_text,
+select id, source, coalesce(training_text, '') as training_text,
        assignment_group, configuration_item, category from corpus_union
-where length(left(coalesce(training_text, ''), {rules.MAX_TEXT_CHARS})) > {rules.MIN_TEXT_CHARS_EXCLUSIVE})"""
+where length(coalesce(training_text, '')) > {rules.MIN_TEXT_CHARS_EXCLUSIVE})"""
 
 SEARCH = f"""
 req_text as (select distinct query from request_clean),
@@ -232,11 +256,12 @@ rq_ranked as (select query, id, score,
               from rq_scores where score > 0),
 request_hits as (
 select r.request_id, h.rank, h.id, round(h.score, 4) as similarity_score, c.source,
-       left(c.training_text, {rules.HIT_TEXT_CHARS}) as training_text,
-       c.assignment_group, c.configuration_item, c.category
+       c.training_text, c.assignment_group, c.configuration_item, c.category
 from request_clean r join rq_ranked h on h.query = r.query and h.rank <= r.top_k
 join search_corpus c on c.id = h.id)"""
 
+_SHOWN = f"left(out, {rules.ERROR_OUTPUT_CHARS})"
+
 PARSE = f"""
 resp_j as (select request_id, llm_output, {extract_obj(fence_strip('llm_output'))} as j from response),
 resp_ok as (select request_id, llm_output, j, coalesce(j <> '' and json_valid(j), false) as json_ok from resp_j),
@@ -254,7 +279,7 @@ decision_parse as (
 select request_id, json_ok, action,
        case when json_ok and conf0 is not null and isfinite(conf0) then conf0 end as confidence,
        coalesce(json_ok and conf0 is not null and isfinite(conf0), false) as confidence_ok,
-       llm_output
+       llm_output, j
 from resp_dec),
 pay_j as (select request_id, {extract_obj(fence_strip('llm_output'))} as pj from payload),
 payload_check as (
@@ -266,7 +291,7 @@ select request_id, pj,
 from pay_j),
 dec_in as (
 select r.request_id, r.query, r.configuration_item, {classify('r.query')} as issue,
-       p.llm_output as out, coalesce(p.json_ok, false) as json_ok, p.action, p.confidence,
+       p.llm_output as out, p.j, coalesce(p.json_ok, false) as json_ok, p.action, p.confidence,
        coalesce(p.confidence_ok, false) as confidence_ok, pc.pj, pc.payload_ok
 from request_clean r left join decision_parse p using (request_id) left join payload_check pc using (request_id)),
 dec_flags as (
@@ -284,15 +309,32 @@ select request_id,
        case when not early and allowed then action end as approved_action,
        case when early then 0.0 else confidence end as confidence,
        case when denied then {lit(rules.NETWORK_DENY_REASON)}
-            when no_answer then 'LLM call failed: no response'
-            when not json_ok then {lit(rules.REASON_INVALID_JSON + ' Output was: ')} || left(out, {rules.ERROR_OUTPUT_CHARS})
+            when no_answer then {lit(rules.REASON_NO_ANSWER)}
+            when not json_ok then {render(rules.REASON_INVALID_JSON, output=_SHOWN, error="case when j = '' then " + render(rules.ERROR_NO_JSON, output=_SHOWN) + " else " + lit(rules.ERROR_NOT_STRICT) + " end")}
             when not confidence_ok then {lit(rules.REASON_INVALID_CONFIDENCE)}
             when allowed then {lit(rules.REASON_APPROVED)}
             else {lit(rules.REASON_NOT_APPROVED)} end as reason,
        case when not early and allowed and is_invoice then pj end as payload,
-       case when not early then left(out, {rules.RAW_OUTPUT_CHARS}) end as llm_raw_output
+       case when not early then left(out, {rules.RAW_OUTPUT_CHARS}) end as llm_raw_output,
+       case when not early then out end as llm_output
 from dec_flags2)"""
 
+
+def _result_status(handler: str) -> str:
+    return (f"(case when {handler} = {lit(rules.INVOICE_HANDLER)} and not ok then {lit(rules.STATUS_FAILURE)} when not readable then {lit(rules.STATUS_ERROR)} "
+            f"when {handler} = {lit(rules.INVOICE_HANDLER)} then {lit(rules.STATUS_SUCCESS)} else json_extract_string(body_json, '$.status') end)").replace("body_json", _SAFE_BODY)
+
+
+def _result_message(handler: str) -> str:
+    return (f"(case when {handler} = {lit(rules.INVOICE_HANDLER)} and not ok then a_body when not readable then {lit(rules.ERROR_BODY_NOT_JSON)} "
+            f"when {handler} = {lit(rules.INVOICE_HANDLER)} then {lit(rules.MSG_INVOICE_CREATED)} else json_extract_string(body_json, '$.message') end)").replace("body_json", _SAFE_BODY).replace("a_body", "res_body")
+
+
+def _result_invoice(handler: str) -> str:
+    return f"(case when {handler} = {lit(rules.INVOICE_HANDLER)} and ok and readable then json_extract_string(body_json, '$.id') end)".replace("body_json", _SAFE_BODY)
+
+
+_SAFE_BODY = "(case when readable then res_body end)"
 _REG_VALUES = ", ".join(f"({lit(a)}, {lit(h)}, {lit(k) if k else 'NULL'})" for a, h, k in rules.ACTION_REGISTRY)
 
 OUTCOME = f"""
@@ -307,25 +349,38 @@ select d.request_id, d.approved_action as action, g.handler,
             when d.approved_action in ({invoice_list()}) and d.payload is null then {lit(rules.MSG_NEEDS_PAYLOAD)} end as message
 from decisions d left join request_clean r using (request_id) left join registry g on d.approved_action = g.action
 where d.automation_allowed),
+ar_read as (
+select request_id, handler, http_code, body as res_body, coalesce(http_code = 200, false) as ok,
+       coalesce(json_valid(body), false) and starts_with({strip("coalesce(body, '')")}, '{{') as readable
+from action_result),
 ar_interp as (
 select request_id,
-       case when coalesce(http_code = 200, false) then 'success' else 'failure' end as mcp_status,
-       case when coalesce(http_code = 200, false) then {lit(rules.MSG_INVOICE_CREATED)} else body end as mcp_message,
-       case when coalesce(http_code = 200, false) then json_extract_string(body, '$.id') end as invoice_id,
-       coalesce(http_code between 200 and 299, false) as update_ok,
+       {_result_status('handler')} as mcp_status, {_result_message('handler')} as mcp_message,
+       {_result_invoice('handler')} as invoice_id
+from ar_read),
+up_read as (
+select request_id, seq, coalesce(http_code between 200 and 299, false) as update_ok,
        case when coalesce(http_code between 200 and 299, false) then body
             when http_code is not null and coalesce(json_valid(body), false) and starts_with({strip('body')}, '{{')
                  and not (case when coalesce(json_valid(body), false) then list_contains(json_keys(body), 'http_status') else false end)
             then (case when regexp_matches({strip('body')}, '^\\{{\\s*\\}}$') then '{{"http_status":' || cast(http_code as varchar) || '}}'
                        else regexp_replace(body, '\\}}\\s*$', ',"http_status":' || cast(http_code as varchar) || '}}') end)
             else body end as update_response
-from action_result),
+from update_result),
+updates as (
+select request_id, any_value(update_ok) filter (where seq = 2) as update_ok, any_value(update_response) filter (where seq = 2) as update_response,
+       any_value(update_ok) filter (where seq = 1) as field_update_ok, any_value(update_response) filter (where seq = 1) as field_update_response
+from up_read group by request_id),
 oc_in as (
 select r.request_id, r.ticket_key, coalesce(d.automation_allowed, false) as allowed, d.confidence, d.reason,
        d.llm_raw_output, d.approved_action, d.payload, p.status as plan_status, p.message as plan_msg,
-       a.mcp_status as res_status, a.mcp_message as res_msg, a.invoice_id as res_invoice, a.update_ok
+       case when a.request_id is not null then {_result_status('p.handler')} end as res_status,
+       case when a.request_id is not null then {_result_message('p.handler')} end as res_msg,
+       case when a.request_id is not null then {_result_invoice('p.handler')} end as res_invoice,
+       u.update_ok, u.update_response, u.field_update_ok, u.field_update_response,
+       coalesce({strip('s.llm_output')}, '') as suggestion
 from request_clean r left join decisions d using (request_id) left join action_plan p using (request_id)
-left join ar_interp a using (request_id)
+left join ar_read a using (request_id) left join updates u using (request_id) left join answer s using (request_id)
 where r.ticket_key is not null),
 oc1 as (
 select request_id, ticket_key, allowed as automation_allowed, coalesce(confidence, 0.0) as confidence,
@@ -336,11 +391,13 @@ select request_id, ticket_key, allowed as automation_allowed, coalesce(confidenc
             when allowed and plan_status = 'planned' then coalesce(res_msg, {lit(rules.NO_MCP_MESSAGE)})
             else {lit(rules.NO_MCP_MESSAGE)} end as mcp_message,
        case when allowed and plan_status = 'planned' then res_invoice end as invoice_id,
-       coalesce(nullif(approved_action, ''), 'N/A') as approved_action, payload, '' as ai_suggestion, update_ok
+       allowed and plan_status is not null as has_result,
+       coalesce(nullif(approved_action, ''), {lit(rules.NO_ACTION)}) as approved_action, payload, suggestion as ai_suggestion,
+       update_ok, update_response, field_update_ok, field_update_response
 from oc_in),
 oc2 as (
 select *, automation_allowed and coalesce(mcp_status = 'success', false) and confidence >= {rules.CONFIDENCE_THRESHOLD} as success,
-       json_object('status', mcp_status, 'message', mcp_message, 'invoice_id', invoice_id) as mcp_result
+       case when has_result then json_object('status', mcp_status, 'message', mcp_message, 'invoice_id', invoice_id) else '{{}}' end as mcp_result
 from oc1),
 outcomes as (
 select *,
@@ -376,12 +433,15 @@ def _with(*blocks: str) -> str:
     return "with " + ",".join(b.strip().rstrip(",") + "\n" for b in blocks if b.strip())
 
 
+STREAM = """
+ticket_update_stream as (select * from ticket_update)"""
+
 EMB = """
 emb_v as (select vec_id, label, embedding::DOUBLE[] as e,
                  sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) as n from embeddings)"""
 
 PREFIX = _with(V_INCIDENT, V_REQUEST, V_RESPONSE, V_PAYLOAD, V_ACTION_RESULT, REQ_CLEAN, INC_CLEAN, KB,
-               CORPUS, SEARCH, PARSE, OUTCOME, EMB,
+               CORPUS, SEARCH, PARSE, OUTCOME, STREAM, EMB,
                _topk_sql("tk_batch"), _topk_sql("tk_self", exclude_self=True),
                _topk_sql("tk_perk", per_query_k=True),
                hash_vectors("ut", "(select conv_id || ':' || turn as qid, text from conversations where role = 'user')",
@@ -444,7 +504,7 @@ select qid, rank, id, round(score, 4) as score from ts_r where rank <= 5"""),
     "request_clean": _q("select * from request_clean"),
     "request_rejects": _q(f"""
 select request_id, 'error' as status, {lit(rules.QUERY_REQUIRED)} as message from request
-where not regexp_matches(coalesce(query, ''), '\\S')"""),
+where length({strip("coalesce(query, '')")}) = 0"""),
     "request_hits": _q("select * from request_hits"),
     "context_fold": _q(f"""
 select request_id, string_agg({_ANSWER_LINE}, chr(10) order by rank) as context
@@ -471,8 +531,9 @@ where not {denied(classify('r.query'), 'r.configuration_item')}
     "assign_group": _q(f"""
 select r.request_id, coalesce(case when h.source = {lit(rules.SOURCE_INCIDENT)}
                                   and coalesce(h.assignment_group, {lit(rules.NOT_PROVIDED)}) not in ({lit(rules.NOT_PROVIDED)}, {lit(rules.NOT_APPLICABLE)})
-                                 then h.assignment_group end, {lit(rules.DEFAULT_GROUP)}) as assignment_group
-from request_clean r left join (select * from request_hits where rank = 1) h using (request_id)"""),
+                                 then h.assignment_group end, nullif({strip('g.llm_output')}, ''), {lit(rules.DEFAULT_GROUP)}) as assignment_group
+from request_clean r left join (select * from request_hits where rank = 1) h using (request_id)
+left join group_answer g using (request_id)"""),
     "response_clean": _q(f"""
 select r.request_id, 'decision' as kind, {strip('s.llm_output')} as answer,
        coalesce(starts_with(s.llm_output, {lit(rules.MODEL_ERROR_PREFIX)}), false) as is_error,
@@ -480,7 +541,8 @@ select r.request_id, 'decision' as kind, {strip('s.llm_output')} as answer,
 from request_clean r left join response s using (request_id)
 where not {denied(classify('r.query'), 'r.configuration_item')}"""),
     "issue_class": _q(f"select number, {classify('short_description')} as issue_type from incident"),
-    "issue_class_rules": _q(f"select number, {classify('short_description')} as issue_type from incident"),
+    "issue_class_rules": _q(f"""
+select case when number like '%0' then null else left(number, 9) end as number, {classify('short_description')} as issue_type from incident"""),
     "network_deny": _q(f"""
 select number, {classify('short_description')} as issue_type,
        {denied(classify('short_description'), 'configuration_item')} as denied,
@@ -493,6 +555,32 @@ from incident i left join ci_alias a on upper(coalesce(i.configuration_item, '')
     "decision_parse": _q("select request_id, json_ok, action, confidence, confidence_ok from decision_parse"),
     "decision_gate": _q("select * from decisions"),
     "stream_triage": _q("select * from decisions"),
+    "stream_updates": _q("select * from ticket_update_stream"),
+    "stream_hits": _q("select * from request_hits"),
+    "index_build": _q("select id, b as bucket, round(w, 6) as weight from sc_vec"),
+    "index_search": _q("""
+, is_s as (select ut_vec.id as qid, sc_vec.id as id, sum(ut_vec.w * sc_vec.w) as score
+           from ut_vec join sc_vec using (b) group by 1, 2),
+is_r as (select qid, id, score, cast(row_number() over (partition by qid order by round(score, 4) desc, id) as integer) as rank
+         from is_s where score > 0)
+select qid, rank, id, round(score, 4) as similarity_score from is_r where rank <= 5"""),
+    "update_response": _q("select * from updates"),
+    "ticket_notes": _q("""
+select ticket_key, cast(row_number() over (partition by ticket_key order by request_id, seq) as integer) as note_no, work_notes
+from ticket_update where work_notes is not null"""),
+    "final_record": _q("""
+, items as (select request_id, string_agg(rank || '|' || id || '|' || printf('%.4f', similarity_score) || '|' || source, ';' order by rank) as similar_items
+            from request_hits group by request_id)
+select r.request_id, r.query, r.configuration_item,
+       json_object('automation_allowed', d.automation_allowed, 'approved_action', d.approved_action, 'confidence', d.confidence,
+                   'reason', d.reason, 'payload', d.payload, 'llm_raw_output', d.llm_raw_output) as decision_engine,
+       coalesce(d.automation_allowed, false) as automation_triggered, items.similar_items,
+       coalesce(ANSWER, '') as ai_suggestion,
+       case when o.has_result then json_object('status', o.mcp_status, 'message', o.mcp_message, 'invoice_id', o.invoice_id) end as mcp_action_result,
+       o.field_update_ok as ticket_ai_field_update_ok, o.field_update_response as ticket_ai_field_update_resp,
+       o.ticket_update_status, o.update_response as ticket_update_response
+from request_clean r left join decisions d using (request_id) left join items using (request_id)
+left join answer s using (request_id) left join outcomes o using (request_id)""".replace("ANSWER", strip("s.llm_output"))),
     "payload_check": _q("""
 select request_id, payload_ok, case when payload_ok then json_extract_string(pj, '$.client_id') end as client_id
 from payload_check"""),

@@ -92,13 +92,24 @@ EMBED_BATCH = 16
 # FIXED VALUES -- decision reasons and messages.
 REASON_APPROVED = "Action auto-approved and payload validated."
 REASON_NOT_APPROVED = "Action not auto-approved or confidence too low."
-REASON_INVALID_JSON = "Invalid JSON returned by LLM."
+REASON_INVALID_JSON = "Invalid JSON returned by LLM. Error: {error}. Output was: {output}"
+ERROR_NO_JSON = "No JSON found in output: {output}"
+ERROR_NOT_STRICT = "not one strict JSON object"
+REASON_NO_ANSWER = "LLM call failed: no response"
 REASON_INVALID_CONFIDENCE = "invalid_confidence"
 MODEL_ERROR_PREFIX = "LLaMA Error:"
 QUERY_REQUIRED = "Query required"
 MSG_NO_HANDLER = "No MCP function mapped for action: "
 MSG_NEEDS_PAYLOAD = "Invoice action requires payload"
 MSG_INVOICE_CREATED = "Invoice created successfully"
+INVOICE_HANDLER = "create_invoice"
+STATUS_SUCCESS = "success"
+STATUS_FAILURE = "failure"
+STATUS_ERROR = "error"
+ERROR_BODY_NOT_JSON = "response body is not a JSON object"
+UPDATE_STATUS = {"resolve": ("resolved", "resolve_failed"), "escalate": ("escalated", "escalate_failed")}
+NO_ACTION = "N/A"
+UNKNOWN_UPDATE = "Unknown update_type '{update_type}'"
 NO_DECISION_REASON = "No decision reason provided."
 NO_MCP_MESSAGE = "No MCP message"
 UNSPECIFIED = "Unspecified"
@@ -108,8 +119,15 @@ AI_SUGGESTION_FIELD = "u_ai_suggestion"
 STATE_IN_PROGRESS = 2
 STATE_RESOLVED = 6
 
-# FIXED VALUES -- HTML entities decoded in article bodies; "&amp;" is applied
-# last so that an escaped entity is decoded exactly once.
+# FIXED VALUES -- what is stripped at both ends of a text: the characters that
+# count as white space in Unicode, and the four separators before the space.
+WHITESPACE = "".join(chr(c) for c in (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+# FIXED VALUES -- HTML entities that the SQL twins decode; "&amp;" is applied
+# last so that an escaped entity is decoded exactly once. The engine decodes
+# every named and numeric entity.
 HTML_ENTITIES: list[tuple[str, str]] = [
     ("&lt;", "<"),
     ("&gt;", ">"),
@@ -132,8 +150,10 @@ HTML_ENTITIES: list[tuple[str, str]] = [
 # time into a Spark ``concat``).
 # ---------------------------------------------------------------------------
 INCIDENT_TEXT_TEMPLATE = (
-    "Issue: {short_description}\nResolution: {resolution_notes}"
-    "\nAssignment Group: {assignment_group}\nConfiguration Item: {configuration_item}"
+    "Issue: {short_description}\n"
+    "Resolution: {resolution_notes}\n"
+    "Assignment Group: {assignment_group}\n"
+    "Configuration Item: {configuration_item}"
 )
 KB_TEXT_TEMPLATE = "Title: {title}\nContent: {body}"
 ANSWER_CONTEXT_LINE = "Similar {source} {rank}: {training_text}"
@@ -179,7 +199,7 @@ Extract:
 - confidence: number between 0.0 and 1.0
 - reasoning: short explanation
 
-If unclear or query is too vague \u2192 action = "none", confidence = 0.0
+If unclear or query is too vague → action = "none", confidence = 0.0
 
 QUERY: "{query}"
 CI: "{configuration_item}"
@@ -211,18 +231,29 @@ If you cannot extract client_id or line_items, return: {{"error": "insufficient_
 """
 
 BASE_NOTE = (
-    "AI suggestion saved to '{field}'.\nDecision reason: {decision_reason}"
-    "\nMCP status: {mcp_status}\nMCP message: {mcp_message}"
+    "AI suggestion saved to '{field}'.\n"
+    "Decision reason: {decision_reason}\n"
+    "MCP status: {mcp_status}\n"
+    "MCP message: {mcp_message}"
 )
 RESOLUTION_NOTE = (
-    "Resolved by AI automation.\nApproved action: {approved_action}"
-    "\nConfidence: {confidence}\nPayload: {payload}\nMCP Result: {mcp_result}\n"
+    "Resolved by AI automation.\n"
+    "Approved action: {approved_action}\n"
+    "Confidence: {confidence}\n"
+    "Payload: {payload}\n"
+    "MCP Result: {mcp_result}\n"
 )
 FAILURE_NOTE = (
-    "AI could not auto-resolve.\nFailure reason: {fail_reason}"
-    "\n\nAI Failure Message (from suggestion):\n{ai_suggestion}"
-    "\n\nDecision reason: {decision_reason}\nLLM raw output: {llm_raw}"
-    "\nPayload: {payload}\nMCP Result: {mcp_result}\n"
+    "AI could not auto-resolve.\n"
+    "Failure reason: {fail_reason}\n"
+    "\n"
+    "AI Failure Message (from suggestion):\n"
+    "{ai_suggestion}\n"
+    "\n"
+    "Decision reason: {decision_reason}\n"
+    "LLM raw output: {llm_raw}\n"
+    "Payload: {payload}\n"
+    "MCP Result: {mcp_result}\n"
 )
 RESOLVE_WORK_NOTE_PREFIX = "Resolution details:\n"
 ESCALATE_WORK_NOTE_PREFIX = "Escalated to human: "

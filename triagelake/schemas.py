@@ -37,4 +37,5 @@ HIT = T.StructType([
 DECISION = T.StructType([
     T.StructField("request_id", T.LongType()), T.StructField("automation_allowed", T.BooleanType()),
     T.StructField("approved_action", S), T.StructField("confidence", T.DoubleType()),
-    T.StructField("reason", S), T.StructField("payload", S), T.StructField("llm_raw_output", S)])
+    T.StructField("reason", S), T.StructField("payload", S), T.StructField("llm_raw_output", S),
+    T.StructField("llm_output", S)])

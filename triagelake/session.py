@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -74,7 +73,3 @@ def ensure_conf(spark: SparkSession) -> None:
         if spark.conf.get(k, None) != DEFAULT_CONF[k]:
             spark.conf.set(k, DEFAULT_CONF[k])
 
-
-def env_int(name: str, default: int) -> int:
-    v = os.environ.get(name)
-    return int(v) if v else default

@@ -57,12 +57,3 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
     memory (spilling to disk), so repeated searches do not rescan."""
     return spark.read.parquet(path).persist(StorageLevel.MEMORY_AND_DISK)
 
-
-def cap_rows(df: DataFrame, n: int | None, order_by: list[str]) -> DataFrame:
-    """S3: an optional source row cap. The cap is taken after an explicit
-    total order, so the kept rows do not depend on partitioning; ``None``
-    (the default everywhere) keeps every row. Spark plans this as a
-    TakeOrderedAndProject: each task keeps its first n, one task merges."""
-    if n is None:
-        return df
-    return df.orderBy(*order_by).limit(int(n))

@@ -10,32 +10,12 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-SPREAD_PER_SPLIT = 8
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str,
-               min_partitions: int | None = None) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Partitioned Parquet scan; projections and filters applied later are
-    pushed into the scan by Catalyst (ReadSchema / PushedFilters).
-
-    A dataset that splits into fewer scan tasks than the cluster has cores
-    (e.g. one file with one row group) is spread round-robin right after the
-    scan, so CPU-heavy row work (tokenizing, regexes, JSON) is not confined
-    to one task -- at most 8 tasks per split, so a small table on a large
-    cluster does not turn into thousands of near-empty tasks. Large inputs
-    already have many splits and are read as is.
-    """
-    df = spark.read.parquet(table_path(sf_dir, name))
-    try:
-        splits = df.rdd.getNumPartitions()
-        want = (min_partitions if min_partitions is not None
-                else min(spark.sparkContext.defaultParallelism, SPREAD_PER_SPLIT * splits))
-    except Exception:  # no RDD view (e.g. a Spark Connect session): read as is
-        return df
-    if splits < want:
-        df = df.repartition(want)
-    return df
+    pushed into the scan by Catalyst (ReadSchema / PushedFilters). The split
+    size is the reader's (spark.sql.files.maxPartitionBytes)."""
+    return spark.read.parquet(table_path(sf_dir, name))

@@ -29,9 +29,8 @@ from ..session import checkpoint_dir
 
 
 def _write(df: DataFrame, path: str, batch_id: int) -> None:
-    (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("batch_id").parquet(path))
+    """Replace exactly this batch's folder, also if it has no row now."""
+    df.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
 
 
 def latest_per_ticket(requests: DataFrame, key: str = "request_id") -> DataFrame:
@@ -51,25 +50,25 @@ def latest_per_ticket(requests: DataFrame, key: str = "request_id") -> DataFrame
 def triage_batch(requests: DataFrame, responses: DataFrame, payloads: DataFrame | None,
                  action_results: DataFrame | None, registry: DataFrame,
                  key: str = "request_id", persist: bool = False,
-                 corpus: DataFrame | None = None) -> dict[str, DataFrame]:
+                 index: DataFrame | None = None, answers: DataFrame | None = None) -> dict[str, DataFrame]:
     """Batch triage of a request table: rejects, decisions, action plans,
-    outcomes and ticket updates (one update set per ticket). With
-    ``persist`` the decisions, which every later table reads, are kept in
-    executor storage (recomputable from lineage if an executor is lost);
-    the caller unpersists them."""
+    outcomes and ticket updates (one update set per ticket). With ``index``
+    (a stored search index) also hits and contexts. With ``persist`` the
+    planned decisions and the hits, which later tables read, are kept in
+    executor storage (recomputable from lineage if an executor is lost); the
+    caller unpersists them."""
     req = clean_requests(requests, key)
-    dec = TR.decide(req, responses, payloads, key=key)
+    dec = TR.decide(req, responses, payloads, key=key, carry=["query", "configuration_item", "ticket_key"])
+    planned = O.with_plan(dec, registry)
     if persist:
-        dec = dec.persist(StorageLevel.MEMORY_AND_DISK)
-    plan = O.action_plan(dec, req, registry, key)
-    per_ticket = latest_per_ticket(req, key).select(
-        key, F.col("ticket_key").alias("ticket_id"), F.lit(None).cast("string").alias("sys_id"))
-    outs = O.outcome(per_ticket, dec, plan, action_results, key=key)
-    tables = {"rejects": reject_requests(requests, key), "decisions": dec, "action_plan": plan,
-              "outcomes": outs, "ticket_updates": O.ticket_updates(outs, key)}
-    if corpus is not None:
-        # search against the static corpus (the index), then fold the context
-        hits = search_texts(req, corpus, key=key)
+        planned = planned.persist(StorageLevel.MEMORY_AND_DISK)
+    outs = O.outcome(latest_per_ticket(planned, key), action_results, answers, key=key)
+    tables = {"planned": planned, "rejects": reject_requests(requests, key), "decisions": planned.select(*dec.columns),
+              "action_plan": O.action_plan(planned, key), "outcomes": outs, "ticket_updates": O.ticket_updates(outs, key)}
+    if index is not None:
+        hits = search_texts(req, index, key=key)
+        if persist:
+            hits = hits.persist(StorageLevel.MEMORY_AND_DISK)
         tables["hits"] = hits
         tables["context"] = fold_context(hits, key)
     return tables
@@ -79,12 +78,14 @@ def start_triage_stream(spark: SparkSession, request_dir: str, out_dir: str,
                         responses: DataFrame, payloads: DataFrame | None = None,
                         action_results: DataFrame | None = None, *,
                         checkpoint: str | None = None, max_files_per_trigger: int | None = None,
-                        available_now: bool = True, corpus: DataFrame | None = None):
+                        available_now: bool = True, index: DataFrame | None = None,
+                        answers: DataFrame | None = None):
     """Start the stream; returns the StreamingQuery. Outputs go to
     ``out_dir/<table>/batch_id=<n>``; progress to ``checkpoint`` (default:
     a fresh folder under the session's shared checkpoint folder). With
-    ``corpus`` (a static, ideally persisted or stored table) each batch is
-    also searched and ``hits`` / ``context`` are written."""
+    ``index`` (a stored search index) each batch is also searched and
+    ``hits`` / ``context`` are written. The static tables must not change
+    while the stream runs: a replayed batch reads them again."""
     registry = TR.rule_tables(spark)["action_registry"]
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), f"triage-stream-{uuid.uuid4().hex}")
     reader = spark.readStream.schema(schemas.REQUEST)
@@ -94,12 +95,14 @@ def start_triage_stream(spark: SparkSession, request_dir: str, out_dir: str,
 
     def run(batch: DataFrame, batch_id: int) -> None:
         tables = triage_batch(batch, responses, payloads, action_results, registry, persist=True,
-                              corpus=corpus)
+                              index=index, answers=answers)
+        kept = [tables.pop("planned"), *([tables["hits"]] if "hits" in tables else [])]
         try:
             for name, df in tables.items():
                 _write(df, os.path.join(out_dir, name), batch_id)
         finally:
-            tables["decisions"].unpersist()
+            for df in kept:
+                df.unpersist()
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -108,16 +111,18 @@ def start_triage_stream(spark: SparkSession, request_dir: str, out_dir: str,
 
 def run_stream_once(spark: SparkSession, requests: DataFrame, responses: DataFrame,
                     payloads: DataFrame | None, action_results: DataFrame | None,
-                    files: int = 4, work_dir: str | None = None,
-                    corpus: DataFrame | None = None) -> str:
-    """Land ``requests`` as ``files`` Parquet files, drain them through the
-    stream one file per micro-batch and return the output folder."""
+                    files: int | None = None, work_dir: str | None = None,
+                    index: DataFrame | None = None, answers: DataFrame | None = None) -> str:
+    """Land ``requests`` as Parquet files (``files``: that many; else as many
+    as the session's shuffle partitions), drain them through the stream in
+    four micro-batches or so and return the output folder."""
     base = work_dir or os.path.join(checkpoint_dir(spark), f"triage-run-{uuid.uuid4().hex}")
     src, out = os.path.join(base, "requests"), os.path.join(base, "out")
+    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (requests.select([f.name for f in schemas.REQUEST.fields])
              .repartitionByRange(files, "request_id").write.mode("overwrite").parquet(src))
     q = start_triage_stream(spark, src, out, responses, payloads, action_results,
-                            checkpoint=os.path.join(base, "checkpoint"), max_files_per_trigger=1,
-                            corpus=corpus)
+                            checkpoint=os.path.join(base, "checkpoint"), max_files_per_trigger=max(1, files // 4),
+                            index=index, answers=answers)
     q.awaitTermination()
     return out
