@@ -96,23 +96,36 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     (the smallest node reachable), one row per node that has an edge.
 
     Alternates large-star and small-star rounds, which end in stars around
-    each smallest node after about log(n) rounds. Edges and the minimum per
-    node are written tables, so a hub's edges are an ordinary skewed join that
-    Spark splits, and no group is ever collected.
+    each smallest node after about log(n) rounds. Each round is a written
+    table; the minima per node are aggregates, combined before the shuffle,
+    and no group is ever collected.
     """
     e = keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    before = None
     for _ in range(max_rounds):
+        # large star: every larger neighbour of u to the smallest of u and its neighbours
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        big = keep(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                   .where("u <> v").distinct(), "large-star")
-        low = keep(big.groupBy("u").agg(F.min("v").alias("m")), "low")
-        e = keep(big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-                 .union(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        big = keep(e.join(low.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v")).distinct(), "large-star")
+        # small star: u's smaller neighbours, and u, to the smallest of them
+        low = big.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+        low = keep(low, "small-star")
+        if low.where("m < most").isEmpty() and big.join(low.select(F.col("u").alias("_u")), F.col("v") == F.col("_u"), "left_semi").isEmpty():
+            e = low.select("u", F.col("m").alias("v"))  # stars: one centre each, and no centre is a leaf
             break
-        before = now
+        e = keep(big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+                 .union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def joined(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """``components`` of what ``comp`` joins and of more edges (a, b): only the
+    edges between different components are worked on."""
+    of = comp.select("node", "component")
+    e = edges.join(of.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(
+        of.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
+    e = e.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    top = components(e).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    both = comp.join(top, "component", "full").select(
+        F.coalesce("node", "component").alias("node"), F.coalesce("top", "component").alias("component"))
+    return keep(both, "components")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, keep, maybe_in, read, small_batches, text_slices
+from .common import components, joined, keep, maybe_in, read, small_batches, text_slices
 from .shingles import WordHasher, mix, shingle_sets
 
 #: Rows of one key that are compared in one piece; larger groups are compared
@@ -278,10 +278,10 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     signed = keep(rows.mapInArrow(_signatures(shingle), f"_id {kind}, _th long, n long, node long, sketch binary"), "parity-docs")
-    # of each class, the smallest document and its text's hash
+    # of each class, the smallest document, its text's hash, and the set's sketch
     heads = keep(signed.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("_id").alias("head"), F.min(F.struct(F.col("_id").isNull(), "_id", "_th")).alias("one"))
-        .select("node", "head", F.col("one._id").alias("_one"), F.col("one._th").alias("_oth")), "parity-classes")
+        F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "n", "sketch")).alias("one"))
+        .select("node", F.col("one._id").alias("head"), F.col("one._th").alias("_oth"), "one.n", "one.sketch"), "parity-classes")
 
     keyed = rows.mapInArrow(_keys(shingle, num, den), "key long, node long")
     by_key = Window.partitionBy("key")
@@ -292,12 +292,14 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     turn = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "hub"))
     best = keep(stars.withColumn("turn", turn).where(F.col("turn") <= STARS)
                 .select(F.col("node").alias("a"), F.col("hub").alias("b")), "parity-stars")
-    links = _linked(rows, signed, heads, best, shingle, num, den)
+    links = _linked(rows, heads, best, shingle, num, den)
+    comp = components(links)
     for most in (NEAREST, None):
-        more = _apart(grouped, links, signed, heads, num, den, most)
-        links = keep(links.union(_verified(rows, heads, more, shingle, num, den)), "parity-links")
+        more = _apart(grouped, comp, heads, num, den, most)
+        if more.isEmpty():
+            break
+        comp = joined(comp, _verified(rows, heads, more, shingle, num, den))
 
-    comp = components(links)
     label = heads.join(comp, "node", "left").select("node", "head", F.coalesce("component", "node").alias("label"))
     low = keep(label.groupBy("label").agg(F.min("head").alias("component_id")), "parity-labels")
     named = keep(label.join(low, "label").select(F.col("node").alias("_node"), "component_id"), "parity-named")
@@ -330,41 +332,30 @@ def one_per_group(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 1
 
 
 
-def _apart(grouped: DataFrame, links: DataFrame, signed: DataFrame, heads: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
-    """Pairs of sets that share a key, are in different components of
-    ``links``, and are not ruled out: of every set's, the ``most`` nearest."""
-    comp = components(links)
+def _apart(grouped: DataFrame, comp: DataFrame, heads: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
+    """Pairs of sets that share a key, are in different components, and are
+    not ruled out: of every set's, the ``most`` nearest."""
     now = keep(grouped.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")), "parity-comps")
     mixed = keep(now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows"))
                  .where("lo < hi").select("key", F.ceil(F.col("rows") / GROUP_BLOCK).alias("pieces")), "parity-mixed")
     rest = now.join(mixed, "key").withColumn("part", F.expr("pmod(xxhash64(node), pieces)"))
     rest = rest.withColumn("other", F.explode(F.expr("sequence(0L, pieces - 1)")))
     rest = rest.select("key", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "node", "comp", "part")
-    sketches = _sketches(signed, heads, rest.select("node").distinct())
-    rest = rest.join(sketches, "node").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    rest = rest.join(heads.select("node", "n", "sketch"), "node").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     return keep(rest.mapInArrow(_compare(num, den, most), "a long, b long").distinct(), "parity-rest")
 
 
-def _sketches(signed: DataFrame, heads: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node``, ``n``, ``sketch`` of the nodes, once each."""
-    wanted = heads.join(nodes, "node").select(F.col("node").alias("_node"), "_one", "_oth")
-    return (signed.join(wanted, (signed["node"] == wanted["_node"]) & signed["_id"].eqNullSafe(wanted["_one"]) & (signed["_th"] == wanted["_oth"]))
-            .select("node", "n", "sketch").dropDuplicates(["node"]))
-
-
-def _linked(rows: DataFrame, signed: DataFrame, heads: DataFrame, pairs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+def _linked(rows: DataFrame, heads: DataFrame, pairs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """The linked ones of pairs of nodes (a, b): by sketches, then by texts."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sk = keep(_sketches(signed, heads, nodes), "parity-sketches")
-    both = (pairs.join(sk.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-            .join(sk.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b"))
+    both = (pairs.join(heads.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+            .join(heads.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b"))
     passed = keep(both.mapInArrow(_screen(num, den), "a long, b long"), "parity-screened")
     return _verified(rows, heads, passed, shingle, num, den)
 
 
 def _verified(rows: DataFrame, heads: DataFrame, pairs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = keep(heads.join(nodes, "node").select("node", "_one", "_oth"), "parity-wanted")
+    wanted = keep(heads.join(nodes, "node").select("node", F.col("head").alias("_one"), "_oth"), "parity-wanted")
     rows = maybe_in(rows, "_th", wanted, "_oth")
     texts = (rows.join(wanted, rows["_id"].eqNullSafe(wanted["_one"]) & (rows["_th"] == wanted["_oth"]))
              .select("node", F.col("_text").alias("text")).dropDuplicates(["node"]))
