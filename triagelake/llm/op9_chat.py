@@ -294,7 +294,9 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", pos_col: str = "tur
     rows are blocks of their own. A speaker marker is cut from its line.
     """
     spark = rows.sparkSession
-    blocks = keep(prepare(rows, conv_col, pos_col, text_col, role_col), "chat-blocks")
+    # a chunk is little data but much work: as many tasks as the session has shuffle partitions, not fewer
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = keep(prepare(rows, conv_col, pos_col, text_col, role_col), "chat-blocks").repartition(tasks, "_conv", "_chunk")
     model = learn(blocks)
     sent = spark.sparkContext.broadcast(model)
     kind = blocks.schema["_conv"].dataType.simpleString()
