@@ -22,12 +22,17 @@ from .common import components, keep, read, small_batches
 
 THRESHOLD = 0.98
 #: Cells with more vectors are split again, by at most SPLIT sampled centroids.
-SHARD = 1200
+SHARD = 2400
 SPLIT = 48
 DEPTH = 6
-#: A vector joins every cell whose centroid is at most this much farther than
-#: the nearest one (and at most half as far again, in dense cells).
-MARGIN = 0.12
+#: A vector joins every cell whose centroid is not much farther than the nearest
+#: one. Two vectors at the threshold differ by a chord that is spread over all
+#: dimensions; the margin is this many times its usual share along one direction
+#: (and at most half the distance to the nearest centroid, in dense cells).
+SPREAD = 1.5
+#: Cells that a vector joins at most when its cell is split: in a dense cell all
+#: centroids are equally near, and joining all of them would not split it.
+OVERLAP = 2
 #: Robust pruning: candidates, neighbours kept, factor.
 CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
 #: Beam of the greedy search; queries searched together.
@@ -185,7 +190,9 @@ def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, node, v, marks in zip(*[batch.column(c).to_pylist() for c in ("cell", "node", "v", "marks")]):
             d = np.sqrt(np.maximum(0.0, 2 - 2 * (np.asarray(marks) @ np.asarray(v))))
             least = d.min()
-            near = np.flatnonzero(d <= least + min(MARGIN, 0.5 * least) + 1e-12)
+            margin = SPREAD * np.sqrt((2 - 2 * THRESHOLD) / len(v))
+            near = np.argsort(d, kind="stable")[:OVERLAP]
+            near = near[d[near] <= least + min(margin, 0.5 * least) + 1e-12]
             out += [(f"{cell}.{k:02d}", node, v) for k in near]
         yield pa.record_batch([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()),
                                pa.array([o[2] for o in out], pa.list_(pa.float64()))], ["cell", "node", "v"])
