@@ -20,9 +20,9 @@ SAMPLE_ROWS = 3000
 #: Pseudo-documents per n-gram, shared between the classes by their size.
 PRIOR = 30.0
 #: N-grams whose log-count ratio is nearer to 0 than this are left out.
-LEAST_RATIO = 0.7
-L2 = 3e-4
-STEPS = 300
+LEAST_RATIO = 1.0
+L2 = 1e-3
+STEPS = 200
 THRESHOLD = 0.7
 
 
@@ -56,7 +56,7 @@ def _active(ratios):
         used = ratios.value
         for batch, texts in text_slices(batches, "_text"):
             grams = [g[used[g]] for g in (hashed(code_points(t), ORDERS, BITS) for t in texts)]
-            yield pa.record_batch([batch.column("_y"), pa.array([g.tolist() for g in grams], pa.list_(pa.int32()))],
+            yield pa.record_batch([batch.column("_y"), pa.array([g.astype(np.int32).tobytes() for g in grams], pa.binary())],
                                   ["y", "grams"])
 
     return run
@@ -118,14 +118,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ratios = log_count_ratios(clean, toxic, n_clean, n_toxic)
     used = np.abs(ratios) >= LEAST_RATIO
     used &= (clean + toxic) > 0
-    rows = sample.mapInArrow(_active(spark.sparkContext.broadcast(used)), "y int, grams array<int>").collect()
+    rows = sample.mapInArrow(_active(spark.sparkContext.broadcast(used)), "y int, grams binary").collect()
     y = np.array([r["y"] for r in rows], float)
-    cols = np.concatenate([np.array(r["grams"], np.int64) for r in rows])
-    at = np.repeat(np.arange(len(rows)), [len(r["grams"]) for r in rows])
-    place = np.zeros(1 << BITS, np.int64)
+    grams = [np.frombuffer(r["grams"], np.int32) for r in rows]
+    cols, at = np.concatenate(grams), np.repeat(np.arange(len(rows), dtype=np.int32), [len(g) for g in grams])
+    place = np.zeros(1 << BITS, np.int32)
     names = np.flatnonzero(used)
     place[names] = np.arange(len(names))
-    w, b = fit_logistic(at, place[cols], ratios[cols], y, len(names))
+    w, b = fit_logistic(at, place[cols], ratios[cols].astype(np.float32), y, len(names))
     weights = none
     weights[names] = (w * ratios[names]).astype(np.float32)
     return NBLinear(weights, b)
