@@ -16,13 +16,14 @@ from .ngrams import code_points, hashed
 ORDERS = (4, 6, 8)
 BITS = 20
 #: Bound of the labelled rows learnt from, per label.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 #: Pseudo-documents per n-gram, shared between the classes by their size.
 PRIOR = 30.0
 #: N-grams whose log-count ratio is nearer to 0 than this are left out.
 LEAST_RATIO = 1.0
 L2 = 1e-3
 STEPS = 200
+FIT_PART = 1 << 20
 THRESHOLD = 0.7
 
 
@@ -78,10 +79,11 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.n
     weigh = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))
     w, b = np.zeros(width), 0.0
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
+    parts = [slice(s, s + FIT_PART) for s in range(0, len(rows), FIT_PART)]  # bounds the memory of a step
     for t in range(1, STEPS + 1):
-        z = np.bincount(rows, values * w[cols], n) + b
+        z = sum((np.bincount(rows[p], values[p] * w[cols[p]], n) for p in parts), np.zeros(n)) + b
         err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * weigh
-        g, gb = np.bincount(cols, values * err[rows], width) + L2 * w, err.sum()
+        g, gb = sum((np.bincount(cols[p], values[p] * err[rows[p]], width) for p in parts), L2 * w), err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.02 / (1 - 0.9 ** t)
@@ -122,10 +124,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = np.array([r["y"] for r in rows], float)
     grams = [np.frombuffer(r["grams"], np.int32) for r in rows]
     cols, at = np.concatenate(grams), np.repeat(np.arange(len(rows), dtype=np.int32), [len(g) for g in grams])
+    del rows, grams
     place = np.zeros(1 << BITS, np.int32)
     names = np.flatnonzero(used)
     place[names] = np.arange(len(names))
-    w, b = fit_logistic(at, place[cols], ratios[cols].astype(np.float32), y, len(names))
+    values = ratios.astype(np.float32)[cols]
+    cols = place[cols]
+    w, b = fit_logistic(at, cols, values, y, len(names))
     weights = none
     weights[names] = (w * ratios[names]).astype(np.float32)
     return NBLinear(weights, b)
