@@ -113,8 +113,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     none = np.zeros(1 << BITS, np.float32)
     if not n_clean or not n_toxic:
         return NBLinear(none, 60.0 if n_toxic else -60.0)
+    # a ratio is far from 0 only if one of the counts is that large: the others stay on the executors
+    part = n_toxic / (n_toxic + n_clean)
+    least = PRIOR * (np.exp(LEAST_RATIO) - 1)
     found = (sample.mapInArrow(_counts, "gram int, clean int, toxic int").groupBy("gram")
-             .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas())
+             .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+             .where((F.col("toxic") >= float(0.999 * least * part)) | (F.col("clean") >= float(0.999 * least * (1 - part)))).toPandas())
     clean, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
     clean[found["gram"]], toxic[found["gram"]] = found["clean"], found["toxic"]
     ratios = log_count_ratios(clean, toxic, n_clean, n_toxic)
