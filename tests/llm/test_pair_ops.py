@@ -191,6 +191,21 @@ def test_pruned_graph_is_searchable():
     assert (found <= want).all() and found.sum() >= 0.95 * want.sum()
 
 
+def test_dense_group_larger_than_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(o10, "SHARD", 100)
+    monkeypatch.setattr(o10, "WHOLE", 200)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=16) + 0.025 * rng.normal(size=(700, 16)), rng.normal(size=(300, 16))])
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    result = o10.near_duplicates(table).collect()
+    x = x / np.sqrt((x * x).sum(1))[:, None]
+    near = x @ x.T >= o10.THRESHOLD
+    assert near[:700, :700].all()
+    degree = near.sum(1) - 1
+    assert all(r.n_links <= degree[r.vec_id] for r in result)
+    assert all(r.n_links == degree[r.vec_id] and r.component_id == 0 for r in result if r.vec_id < 700)
+
+
 # ---- pipeline ----------------------------------------------------------------------
 
 def test_pipeline_stages(spark, sf_small):

@@ -5,7 +5,8 @@ builds a neighbour graph by robust pruning (a neighbour is dropped if one
 already taken is nearer to it by a factor); a vector's lists from all its
 shards are united. Every vector then searches its shards: a greedy beam search
 from the medoid, which goes on through all vectors found in range. Pairs in
-range are verified by their cosine in double precision.
+range are verified by their cosine in double precision. Cells that centroids
+cannot split are compared whole instead, block by block.
 """
 
 from __future__ import annotations
@@ -27,12 +28,15 @@ SPLIT = 48
 DEPTH = 6
 #: A vector joins every cell whose centroid is not much farther than the nearest
 #: one. Two vectors at the threshold differ by a chord that is spread over all
-#: dimensions; the margin is this many times its usual share along one direction
-#: (and at most half the distance to the nearest centroid, in dense cells).
+#: dimensions; the margin is this many times its usual share along one direction.
 SPREAD = 1.5
-#: Cells that a vector joins at most when its cell is split: in a dense cell all
-#: centroids are equally near, and joining all of them would not split it.
-OVERLAP = 2
+#: Centroids are at least this many chords at the threshold apart, so that a
+#: group of vectors all in range of each other has one centroid at most.
+APART = 2
+#: A cell is compared whole if, on SAMPLE of its vectors, splitting it would keep
+#: more than half of its pairs to compare, or store its vectors more often than
+#: OVERLAP times and than whole comparison does (once for each block of WHOLE).
+SAMPLE, OVERLAP, WHOLE = 256, 2, 4096
 #: Robust pruning: candidates, neighbours kept, factor.
 CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
 #: Beam of the greedy search; queries searched together.
@@ -138,6 +142,18 @@ def _graph(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes, "near": [nodes[e] for e in robust_prune(x @ x.T)]})
 
 
+def _members(cells: pd.Series, which) -> np.ndarray:
+    """One row per vector, one column per cell that ``which`` takes: 1 if the
+    vector is in it."""
+    place = {c: k for k, c in enumerate(sorted({c for cs in cells for c in cs if which(c)}))}
+    out = np.zeros((len(cells), len(place)), np.float32)
+    for i, cs in enumerate(cells):
+        for c in cs:
+            if c in place:
+                out[i, place[c]] = 1
+    return out
+
+
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     """Per vector of one shard: ``links`` (vectors in range, copies counted,
     of pairs that no earlier shard shares) and ``root`` (a vector it is
@@ -169,20 +185,87 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
             break
         root = low
     # a pair counts in the first of the shards it shares
-    names = sorted({c for cs in pdf["cells"] for c in cs if c < cell})
-    place = {c: k for k, c in enumerate(names)}
-    earlier = np.zeros((n, len(names)), np.float32)
-    for i, cs in enumerate(pdf["cells"]):
-        for c in cs:
-            if c < cell:
-                earlier[i, place[c]] = 1
+    earlier = _members(pdf["cells"], lambda c: c < cell)
     count = pdf["times"].to_numpy()
     links = np.array([(found[s:s + BLOCK] & (earlier[s:s + BLOCK] @ earlier.T == 0)) @ count for s in range(0, n, BLOCK)], object)
     return pd.DataFrame({"node": nodes, "links": np.concatenate(list(links)).astype(np.int64), "root": nodes[root]})
 
 
+# ---- cells compared whole ------------------------------------------------------
+
+def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    """As _search, exactly, for the pairs of two blocks (or in one block) of a
+    cell: ``links`` and ``root`` of the vectors that have a pair in range."""
+    pdf = pdf.sort_values("node").reset_index(drop=True)
+    nodes, cell, one, two = pdf["node"].to_numpy(), pdf["cell"].iloc[0], pdf["one"].iloc[0], pdf["two"].iloc[0]
+    left, right = (np.flatnonzero(pdf["block"] == b) for b in (one, two))
+    raw = np.stack(pdf["raw"].to_numpy()).astype(np.float64)
+    norm = np.sqrt((raw * raw).sum(1))
+    earlier = _members(pdf["cells"], lambda c: c < cell)
+    count = pdf["times"].to_numpy().astype(np.float64)
+    hit = np.zeros((len(left), len(right)), bool)
+    links = np.zeros(len(pdf))
+    for s in range(0, len(left), BLOCK):
+        rows = left[s:s + BLOCK]
+        cos = raw[rows] @ raw[right].T / (norm[rows][:, None] * norm[right][None, :])
+        a, b = np.nonzero(np.abs(cos - THRESHOLD) < 1e-9)  # as _search rounds it
+        i, j = rows[a], right[b]
+        cos[a, b] = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j])
+        h = (cos >= THRESHOLD) & (rows[:, None] != right[None, :])
+        hit[s:s + BLOCK] = h
+        h = h & (earlier[rows] @ earlier[right].T == 0)
+        links[rows] += h @ count[right]
+        if one != two:
+            links[right] += count[rows] @ h
+    root = np.arange(len(pdf))
+    while True:
+        low = root.copy()
+        for s in range(0, len(left), BLOCK):
+            rows, h = left[s:s + BLOCK], hit[s:s + BLOCK]
+            low[rows] = np.minimum(low[rows], np.where(h, root[right][None, :], len(pdf)).min(1, initial=len(pdf)))
+            low[right] = np.minimum(low[right], np.where(h, root[rows][:, None], len(pdf)).min(0, initial=len(pdf)))
+        low = np.minimum(low, low[low])
+        if (low == root).all():
+            break
+        root = low
+    some = np.zeros(len(pdf), bool)
+    some[left], some[right] = some[left] | hit.any(1), some[right] | hit.any(0)
+    return pd.DataFrame({"node": nodes[some], "links": links[some].astype(np.int64), "root": nodes[root][some]})
+
+
+def compare_whole(cells: DataFrame) -> DataFrame:
+    """``node``, ``links``, ``root`` from all pairs of each cell: its vectors
+    are dealt into blocks, and every two blocks are a group of their own."""
+    sizes = cells.groupBy(F.col("cell").alias("_cell")).agg(F.ceil(F.count(F.lit(1)) / WHOLE).alias("blocks"))
+    dealt = (cells.join(sizes, F.col("cell") == F.col("_cell")).withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), "blocks"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("_cell", "blocks", "other"))
+    return dealt.groupBy("cell", "one", "two").applyInPandas(_compare, "node long, links long, root long")
+
+
 # ---- shards ------------------------------------------------------------------
 
+def _margin(dims: int) -> float:
+    return SPREAD * np.sqrt((2 - 2 * THRESHOLD) / dims) + 1e-12
+
+
+def _marks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Centroids of one large cell from a sample of its vectors, and whether the
+    cell is to be compared ``whole``, as they do not split it."""
+    pdf = pdf.sort_values("k")
+    x, size, parts = _unit(pdf), int(pdf["size"].iloc[0]), int(pdf["parts"].iloc[0])
+    dist = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ x.T)))
+    taken: list[int] = []
+    for i in range(len(x)):
+        if len(taken) < parts and (dist[i, taken] >= APART * np.sqrt(2 - 2 * THRESHOLD)).all():
+            taken.append(i)
+    rest = np.setdiff1d(np.arange(len(x)), taken)
+    d = dist[rest][:, taken]
+    joins = d <= d.min(1, keepdims=True) + _margin(x.shape[1])
+    whole = len(taken) < 2 or not len(rest) or bool((joins.mean(0) ** 2).sum() > 0.5) or joins.sum(1).mean() > max(OVERLAP, size / WHOLE)
+    return pd.DataFrame({"_c": [pdf["cell"].iloc[0]], "marks": [[v.tolist() for v in x[taken]]], "whole": [bool(whole)]})
+
+
 def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of cells that are split, with their cell's centroids -> child cells."""
     for batch in batches:
@@ -190,40 +273,41 @@ def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, node, v, marks in zip(*[batch.column(c).to_pylist() for c in ("cell", "node", "v", "marks")]):
             d = np.sqrt(np.maximum(0.0, 2 - 2 * (np.asarray(marks) @ np.asarray(v))))
             least = d.min()
-            margin = SPREAD * np.sqrt((2 - 2 * THRESHOLD) / len(v))
-            near = np.argsort(d, kind="stable")[:OVERLAP]
-            near = near[d[near] <= least + min(margin, 0.5 * least) + 1e-12]
-            out += [(f"{cell}.{k:02d}", node, v) for k in near]
+            out += [(f"{cell}.{k:02d}", node, v) for k in np.flatnonzero(d <= least + _margin(len(v)))]
         yield pa.record_batch([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()),
                                pa.array([o[2] for o in out], pa.list_(pa.float64()))], ["cell", "node", "v"])
 
 
 def shards(vectors: DataFrame) -> DataFrame:
-    """``cell``, ``node``, ``v``: overlapping cells of about SHARD vectors.
+    """``cell``, ``node``, ``whole``: overlapping cells of about SHARD vectors,
+    and larger ones to be compared whole.
 
     Cells start as labels. A cell that is too large is split by centroids,
     which are at most SPLIT of its vectors (a bounded sample, lowest hashes),
-    level by level; every vector stays in at least one cell."""
+    level by level; every vector stays in at least one cell. Cells that do not
+    split (_marks), or are too large after DEPTH levels, are left whole."""
     cells = vectors.select(F.col("label").cast("string").alias("cell"), "node", "v")
     done = None
-    for level in range(DEPTH):
+    for level in range(DEPTH + 1):
         sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
         large = keep(sizes.where(F.col("size") > SHARD).select(
-            F.col("cell").alias("_cell"), F.least(F.lit(SPLIT), F.ceil(2.5 * F.col("size") / SHARD)).alias("parts")), "graph-large")
+            F.col("cell").alias("_cell"), "size", F.least(F.lit(SPLIT), F.ceil(2.5 * F.col("size") / SHARD)).alias("parts")), "graph-large")
         if large.isEmpty():
             break
-        big = cells.join(large, F.col("cell") == F.col("_cell"))
+        big = cells.join(large, F.col("cell") == F.col("_cell")).drop("_cell")
         small = cells.join(large, F.col("cell") == F.col("_cell"), "left_anti")
         order = Window.partitionBy("cell").orderBy(F.xxhash64("node", F.lit(level)), "node")
-        marks = (big.withColumn("k", F.row_number().over(order)).where(f"k <= {SPLIT}").where("k <= parts")
-                 .groupBy(F.col("cell").alias("_c")).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("marks"))
-                 .select("_c", F.col("marks.v").alias("marks")))
-        split = (big.drop("_cell", "parts").join(keep(marks, "graph-marks"), F.col("cell") == F.col("_c"))
-                 .mapInArrow(_assign, "cell string, node long, v array<double>"))
-        done = small if done is None else done.unionByName(small)
-        done = keep(done, "graph-cells")
+        sample = big.withColumn("k", F.row_number().over(order)).where(f"k <= {SAMPLE}")
+        marks = keep(sample.groupBy("cell").applyInPandas(_marks, "_c string, marks array<array<double>>, whole boolean")
+                     .withColumn("whole", F.col("whole") | F.lit(level == DEPTH)), "graph-marks")
+        big = big.drop("size", "parts").join(marks, F.col("cell") == F.col("_c")).drop("_c")
+        split = big.where("NOT whole").drop("whole").mapInArrow(_assign, "cell string, node long, v array<double>")
+        out = small.select("cell", "node", F.lit(False).alias("whole")).unionByName(big.where("whole").select("cell", "node", "whole"))
+        out = keep(out, "graph-done")
+        done = out if done is None else done.unionByName(out)
         cells = keep(split, "graph-cells")
-    return cells if done is None else done.unionByName(cells)
+    last = cells.select("cell", "node", F.lit(False).alias("whole"))
+    return last if done is None else done.unionByName(last)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -235,7 +319,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     and rows without label or id, link with nothing; vectors of other lengths
     than their label's usual one are compared with their own length only.
     Equal vectors of a label are one class with a count. Repeated rows link
-    each other. Every link is verified; some may not be found (``audit``).
+    each other. Every link is verified; some may not be found (``audit``),
+    none of a cell that is compared whole.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -249,11 +334,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                    .withColumn("norm", norm).select("node", F.concat_ws("x", F.col("_label").cast("string"), F.size("raw")).alias("label"), "raw",
                            F.expr("transform(raw, x -> x / norm)").alias("v"), "times", "head"), "graph-classes")
     cells = shards(classes)
-    graph = cells.groupBy("cell").applyInPandas(_graph, "node long, near array<long>")
+    split = cells.where("NOT whole").drop("whole").join(classes.select("node", "v"), "node")
+    graph = split.groupBy("cell").applyInPandas(_graph, "node long, near array<long>")
     graph = keep(graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph-lists")
     where = cells.groupBy("node").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
-    full = (cells.join(graph, "node").join(where, "node").join(classes.select("node", "raw", "times"), "node"))
-    found = keep(full.groupBy("cell").applyInPandas(_search, "node long, links long, root long"), "graph-found")
+    given = where.join(classes.select("node", "raw", "times"), "node")
+    found = (split.join(graph, "node").join(given, "node").groupBy("cell").applyInPandas(_search, "node long, links long, root long")
+             .unionByName(compare_whole(cells.where("whole").select("cell", "node").join(given, "node"))))
+    found = keep(found, "graph-found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comp = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     label = keep(classes.select("node", "head", "times").join(comp, "node", "left").join(links, "node", "left")
