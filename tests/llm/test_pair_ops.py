@@ -191,6 +191,16 @@ def test_pruned_graph_is_searchable():
     assert (found <= want).all() and found.sum() >= 0.95 * want.sum()
 
 
+@pytest.mark.parametrize("background", [0, 200])
+def test_groups_larger_than_the_candidate_lists_are_reached(background):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=64) + 0.03 * rng.normal(size=(100, 64)) for _ in range(10)] + [rng.normal(size=(background, 64))])
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    found = o10.range_search(x, o10.robust_prune(x @ x.T), np.arange(len(x)), o10.THRESHOLD)
+    want = (x @ x.T >= o10.THRESHOLD) & ~np.eye(len(x), dtype=bool)
+    assert want[:1000].sum() == 10 * 100 * 99 and (found <= want).all() and found.sum() >= 0.99 * want.sum()
+
+
 def test_dense_group_larger_than_a_shard(spark, monkeypatch):
     monkeypatch.setattr(o10, "SHARD", 100)
     monkeypatch.setattr(o10, "WHOLE", 200)

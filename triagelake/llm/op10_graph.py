@@ -4,7 +4,7 @@ Vectors of one label are dealt into overlapping cluster shards. Each shard
 builds a neighbour graph by robust pruning (a neighbour is dropped if one
 already taken is nearer to it by a factor); a vector's lists from all its
 shards are united. Every vector then searches its shards: a greedy beam search
-from the medoid, which goes on through all vectors found in range. Pairs in
+from itself and the medoid, which goes on through all vectors found in range. Pairs in
 range are verified by their cosine in double precision. Cells that centroids
 cannot split are compared whole instead, block by block.
 """
@@ -49,7 +49,8 @@ BLOCK = 256
 def robust_prune(sim: np.ndarray) -> list[np.ndarray]:
     """Neighbour lists of all vectors from their similarities: nearest first,
     dropping candidates that a taken neighbour is nearer to by ALPHA; edges
-    both ways."""
+    both ways. Parts of the graph without an edge between them are joined, each
+    by the shortest edge out of it, until all is connected."""
     n = len(sim)
     dist = np.sqrt(np.maximum(0.0, 2 - 2 * sim))
     c = min(CANDIDATES, n - 1)
@@ -73,13 +74,36 @@ def robust_prune(sim: np.ndarray) -> list[np.ndarray]:
         alive &= ALPHA * dist[star[:, None], cand] > far
         alive[rows, pick] = False
     edges |= edges.T
+    while True:
+        part = _parts(edges)
+        if not part.any():
+            break
+        out = np.where(part[:, None] == part[None, :], np.inf, dist)
+        to = out.argmin(1)
+        length = out[rows, to]
+        first = np.lexsort((length, part))
+        first = first[np.r_[True, np.diff(part[first]) > 0]]
+        edges[first, to[first]] = edges[to[first], first] = True
     return [np.flatnonzero(e) for e in edges]
 
 
+def _parts(linked: np.ndarray) -> np.ndarray:
+    """Smallest vector connected with each, from a symmetric boolean matrix."""
+    root = np.arange(len(linked))
+    i, j = np.nonzero(linked)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        low = np.minimum(low, low[low])
+        if (low == root).all():
+            return root
+        root = low
+
+
 def range_search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, least: float) -> np.ndarray:
     """For queries (indices into x, unit rows): True where a vector was found
-    with similarity >= least. Greedy beam search from the medoid; vectors in
-    range are expanded until no new one is found."""
+    with similarity >= least. Greedy beam search from the query's own vector
+    and the medoid; vectors in range are expanded until no new one is found."""
     n, q = len(x), len(queries)
     width = max(1, max(len(e) for e in lists))
     table = np.full((n, width), -1, np.int64)
@@ -89,9 +113,11 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, le
     rows = np.arange(q)
     sim = np.full((q, n), -np.inf)
     sim[:, medoid] = x[queries] @ x[medoid]
+    sim[rows, queries] = 1.0
     done = np.zeros((q, n), bool)
     beam = np.full((q, BEAM), -1, np.int64)
-    beam[:, 0] = medoid
+    beam[:, 0] = queries
+    beam[:, 1] = np.where(queries == medoid, -1, medoid)
 
     def expand(who: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Newly seen neighbours (query, node) of the nodes."""
@@ -175,15 +201,7 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     for s in range(0, len(a), 1 << 16):
         i, j = a[s:s + (1 << 16)], b[s:s + (1 << 16)]
         found[i, j] = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= THRESHOLD
-    root = np.arange(n)
-    while True:
-        low = root.copy()
-        i, j = np.nonzero(found)
-        np.minimum.at(low, i, root[j])
-        low = np.minimum(low, low[low])
-        if (low == root).all():
-            break
-        root = low
+    root = _parts(found)
     # a pair counts in the first of the shards it shares
     earlier = _members(pdf["cells"], lambda c: c < cell)
     count = pdf["times"].to_numpy()
