@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,21 @@ def test_pruned_graph_is_searchable():
     assert (found <= want).all() and found.sum() >= 0.95 * want.sum()
 
 
+def test_pair_missed_in_its_first_shard_is_counted(monkeypatch):
+    real = o10.range_search
+    monkeypatch.setattr(o10, "range_search", lambda x, lists, queries, least: (
+        real(x, lists, queries, least) if len(x) == 3 else np.zeros((len(queries), len(x)), bool)))
+    x = [np.array(v) / np.linalg.norm(v) for v in ([1, 0, 0], [1, 0.1, 0], [0, 1, 0], [0, 0, 1.0])]
+
+    def shard(cell, nodes):
+        return pd.DataFrame({"cell": cell, "node": nodes, "v": [x[i] for i in nodes], "raw": [x[i] for i in nodes], "times": 1,
+                             "near": [[j for j in nodes if j != i] for i in nodes],
+                             "cells": [["a", "b"] if i < 2 else ["a"] if i == 2 or cell == "a" else ["b"] for i in nodes]})
+
+    both = pd.concat([o10._search(shard("a", [0, 1, 2, 3])), o10._search(shard("b", [0, 1, 3]))])
+    assert both.groupby("node")["links"].sum().to_dict() == {0: 1, 1: 1, 2: 0, 3: 0}
+
+
 @pytest.mark.parametrize("background", [0, 200])
 def test_groups_larger_than_the_candidate_lists_are_reached(background):
     rng = np.random.default_rng(5)

@@ -193,6 +193,12 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     for s in range(0, n, BLOCK):
         queries = np.arange(s, min(n, s + BLOCK))
         found[queries] = range_search(x, lists, queries, THRESHOLD - 1e-9)
+    # pairs that share another cell are compared all, so that each of these
+    # cells has the same ones and the first can count them
+    others = _members(pdf["cells"], lambda c: c != cell)
+    for s in range(0, n if others.any() else 0, BLOCK):
+        found[s:s + BLOCK] |= (x[s:s + BLOCK] @ x.T >= THRESHOLD - 1e-9) & (others[s:s + BLOCK] @ others.T > 0)
+    np.fill_diagonal(found, False)
     found |= found.T
     # verify: cosine in double precision of the vectors as given
     a, b = np.nonzero(found)
