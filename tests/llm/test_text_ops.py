@@ -343,5 +343,24 @@ def test_chat_roles(spark, monkeypatch, combine):
     assert sum(r.n_lines for r in got if r.conv_id == 903) == 2
 
 
+def test_chat_chunks_are_bounded_in_rows(spark):
+    rows = [(1, t % 8, "user", f"text {t}") for t in range(700)] + [(2, None, "user", f"text {t % 3}") for t in range(500)]
+    rows += [(None, t, "user", "x?") for t in range(300)] + [(3, 5, "user", "same") for _ in range(400)]
+    blocks = o9.prepare(spark.createDataFrame(rows, CHAT).repartition(5), "conv_id", "turn", "text", "role").collect()
+    sizes = {}
+    for r in blocks:
+        sizes[r._conv, r._chunk] = sizes.get((r._conv, r._chunk), 0) + 1
+    assert len(blocks) == len(rows) and max(sizes.values()) <= o9.CHUNK
+    assert sorted(r._ord for r in blocks) == list(range(len(rows)))
+    for conv in (1, 2, 3, None):
+        mine = sorted((r for r in blocks if r._conv == conv), key=lambda r: r._ord)
+        assert [r._opening for r in mine] == [True] + [False] * (len(mine) - 1)
+        assert [r._chunk for r in mine] == sorted(r._chunk for r in mine)
+        places = [-1 if r._pos is None else r._pos for r in mine]
+        assert places == sorted(places)
+    got = o9.format_chats(spark.createDataFrame(rows, CHAT)).collect()
+    assert sum(r.n_lines for r in got) == len(rows)
+
+
 def test_chat_without_rows(spark):
     assert o9.format_chats(spark.createDataFrame([], CHAT)).count() == 0

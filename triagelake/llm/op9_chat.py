@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.corpus import dense_ordinal
 from .common import keep, read, training_rows
 
 # ---- Fixed values: roles, markers and the canonical form ---------------------
@@ -42,7 +43,7 @@ SMOOTH = 0.5
 #: marker on the first line of a role's turn (MARKER_LEAST pseudo-lines at
 #: least), whether or not labelled rows have markers.
 MARKER_SMOOTH, MARKER_SHARE, MARKER_LEAST = 1e-3, 0.1, 200.0
-#: Positions (turn numbers) of one chunk, and chunks combined at a time.
+#: Blocks of one chunk, and chunks combined at a time.
 CHUNK = 128
 COMBINE = 1024
 
@@ -132,12 +133,11 @@ def trace(model: ChatModel, feats: np.ndarray, before: int, end: int) -> list[in
 
 
 def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["_pos", "_hash", "_text"], na_position="first", kind="stable")
+    return pdf.sort_values("_ord")
 
 
 def _chunk_features(pdf: pd.DataFrame) -> list[np.ndarray]:
-    opening = (pdf["_chunk"].iloc[0] == pdf["_first"].iloc[0]) if len(pdf) else False
-    return [line_features(lines_of(t), bool(opening) and i == 0) for i, t in enumerate(pdf["_text"])]
+    return [line_features(lines_of(t), bool(o)) for t, o in zip(pdf["_text"], pdf["_opening"])]
 
 
 def _count(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -191,14 +191,19 @@ def learn(blocks: DataFrame) -> ChatModel:
 
 
 def prepare(rows: DataFrame, conv_col: str, pos_col: str, text_col: str, role_col: str | None) -> DataFrame:
-    """Blocks with their chunk and the conversation's first chunk."""
+    """Blocks numbered over all conversations in their order (``_ord``), with
+    their chunk -- CHUNK numbers, of one conversation -- and whether they open
+    their conversation. Repeated rows are told apart by where they are stored,
+    so that tied blocks are numbered, and dealt out, like others."""
     role = F.lower(F.col(role_col)) if role_col else F.lit(None).cast("string")
     out = rows.select(F.col(conv_col).alias("_conv"), F.col(pos_col).cast("long").alias("_pos"), F.col(text_col).alias("_text"),
                       role.alias("_role"), training_rows(conv_col).alias("_learn"))
-    out = (out.withColumn("_hash", F.xxhash64("_text"))
-           .withColumn("_chunk", F.coalesce(F.floor(F.col("_pos") / CHUNK), F.lit(-(1 << 40)))))
-    first = out.groupBy(F.col("_conv").alias("_c")).agg(F.min("_chunk").alias("_first"))
-    return out.join(first, out["_conv"].eqNullSafe(first["_c"])).drop("_c")
+    out = keep(out.withColumn("_hash", F.xxhash64("_text")).withColumn("_sha", F.sha2("_text", 256)), "chat-rows")
+    order = ["_conv", "_pos", "_hash", "_sha", "_role", "_tie"]
+    out = dense_ordinal(out.withColumn("_tie", F.monotonically_increasing_id()), order, "_ord", start=0).drop("_hash", "_sha", "_tie")
+    out = out.withColumn("_chunk", F.floor(F.col("_ord") / CHUNK))
+    opens = out.groupBy("_conv").agg(F.min("_ord").alias("_open")).select("_open")
+    return out.join(opens, F.col("_ord") == F.col("_open"), "left").withColumn("_opening", F.col("_open").isNotNull()).drop("_open")
 
 
 def _matrices(model):
@@ -289,7 +294,7 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", pos_col: str = "tur
 
     ``role_col`` is only learnt from (conversations whose crc32 mod 3 is not
     1); roles are recovered from the lines alone. Blocks are ordered by
-    position (NULL first), then by a hash of the text and the text. A NULL or
+    position (NULL first), then by two hashes of the text and the role. A NULL or
     empty text is one empty line. NULL ids form one conversation. Repeated
     rows are blocks of their own. A speaker marker is cut from its line.
     """
