@@ -282,6 +282,18 @@ def test_licenses(spark, edge, none):
     assert o8.scan_licenses(none, o8.known_licenses(spark)).count() == 0
 
 
+def test_full_licenses(spark):
+    texts = o8.full_texts()
+    missing = {i for i, _ in o8.NAMES} - {i for i, _ in texts}
+    assert missing == {"AGPL-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0"}  # as in the README
+    rows = [(n, i, " ".join(text.upper().split(" "))) for n, (i, text) in enumerate(texts)]
+    bsd = dict(texts)["BSD-2-Clause"]
+    rows += [(1000, "BSD-2-Clause", bsd.replace("1. ", "* ").replace("2. ", "* ").replace("<year> <owner>", "2019, A. Person")),
+             (1001, "MIT", dict(o8.TEXTS)["MIT"].replace("MIT License", "", 1)), (1002, None, dict(o8.TEXTS)["MIT"] + " And more.")]
+    got = o8.scan_licenses(spark.createDataFrame([(n, t) for n, _, t in rows], "doc_id long, text string"), o8.known_licenses(spark)).collect()
+    assert {r.doc_id: r.license for r in got} == {n: i for n, i, _ in rows}
+
+
 # ---- chat ----------------------------------------------------------------------
 
 def brute_path(model, feats):

@@ -9,6 +9,9 @@ a stated licence ("Released under the MIT License.") matches as a line.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +77,17 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""),
 ]
+#: First lines that a short text may have or lack.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License"],
+    "Zlib": ["zlib License", "The zlib License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License"],
+    "Unlicense": ["The Unlicense"],
+}
+#: Last line of a licence's terms; what follows tells how to apply it.
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
 #: Spellings that licence matching treats as equal: found, taken as.
 SPELLINGS = [
     ("licence", "license"),
@@ -111,10 +125,32 @@ def canonical_text(lines: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """Licence id and text of TEXTS and of the files of ``licenses`` (an id, and
+    a number if there are more for it), with the forms in which they are
+    usual: with or without a title, clauses numbered or not, with or without
+    what follows the terms."""
+    files = sorted((f for f in resources.files(__package__).joinpath("licenses").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    texts = TEXTS + [(re.sub(r"(\.[2-9])?\.txt$", "", f.name), f.read_text(encoding="utf-8")) for f in files]
+    out = []
+    for i, text in texts:
+        forms = [text]
+        if END_OF_TERMS in text:
+            terms = text[:text.index(END_OF_TERMS)]
+            forms += [terms, terms + END_OF_TERMS]
+        if i in TITLES:
+            first, _, rest = text.partition("\n")
+            plain = rest if first in TITLES[i] else text
+            bare = re.sub(r"(?m)^\s*\d\. ", "", plain)
+            forms += [f for body in (plain, bare) for f in (body, *[f"{t}\n{body}" for t in TITLES[i]])]
+        out += [(i, f) for f in dict.fromkeys(forms)]
+    return out
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """``digest``, ``license_id`` of the fixed texts and of every notice line
+    """``digest``, ``license_id`` of the full texts and of every notice line
     that the notice patterns make of the names."""
-    rows = [(i, t) for i, t in TEXTS]
+    rows = full_texts()
     rows += [(i, n.format(name)) for i, names in NAMES for name in names for n in NOTICES]
     rows += [(i, f"SPDX-License-Identifier: {i}") for i, _ in NAMES]
     values = ", ".join(f"({_sql(i)}, {_sql(t)})" for i, t in rows)
@@ -135,7 +171,7 @@ def scan_licenses(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id",
 
     NULL text: as an empty one, with no line; its digest is that of ''.
     Repeated rows give repeated results. ``licenses`` is a fixed-size table
-    (``known_licenses`` has under 300 rows), so both hash joins broadcast it;
+    (``known_licenses`` has under 400 rows), so both hash joins broadcast it;
     only matched lines are shuffled, grouped by the row's id and text hash, so
     a notice that a third of all lines repeat is spread over its documents.
     """
