@@ -42,6 +42,8 @@ CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
 #: Beam of the greedy search; queries searched together.
 BEAM = 24
 BLOCK = 256
+#: Neighbours (with repetitions) looked at together, in groups of many in range.
+EXPAND = 1 << 17
 
 
 # ---- inside a shard ----------------------------------------------------------
@@ -127,7 +129,9 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, le
         r, c = r[new], c[new]
         new = sim[r, c] == -np.inf
         r, c = r[new], c[new]
-        sim[r, c] = np.einsum("ij,ij->i", x[queries[r]], x[c])
+        for s in range(0, len(r), EXPAND):
+            some = r[s:s + EXPAND], c[s:s + EXPAND]
+            sim[some] = np.einsum("ij,ij->i", x[queries[some[0]]], x[some[1]])
         return r, c
 
     while True:
@@ -151,7 +155,9 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, le
         who, node = np.nonzero((sim >= least) & ~done)
         if not len(who):
             break
-        expand(who, node)
+        piece = max(1, EXPAND // width)
+        for s in range(0, len(who), piece):
+            expand(who[s:s + piece], node[s:s + piece])
     found = sim >= least
     found[rows, queries] = False
     return found
