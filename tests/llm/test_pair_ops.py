@@ -106,6 +106,12 @@ def test_one_per_group(spark, docs):
     assert got == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_one_id_with_two_unlinked_texts(spark):
+    a, b = (" ".join(f"{w}{k}" for k in range(40)) for w in "ab")
+    rows = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in o4.one_per_group(rows).collect()) == [(1, a), (1, b)]
+
+
 def test_links_edges(spark):
     edge = clashing(spark.createDataFrame(EDGE, DOCS))
     got = o4.link_components(edge).collect()

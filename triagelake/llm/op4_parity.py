@@ -256,7 +256,7 @@ def _compare(num: int, den: int, most: int | None):
 
 
 def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", with_label: bool = False) -> DataFrame:
     """One row per document: id, ``n_shingles`` (its set's size),
     ``component_id`` (smallest id reachable by links, its own included) and
     ``text_hash`` (xxhash64 of the text, which tells rows with one id apart).
@@ -302,11 +302,13 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
     label = heads.join(comp, "node", "left").select("node", "head", F.coalesce("component", "node").alias("label"))
     low = keep(label.groupBy("label").agg(F.min("head").alias("component_id")), "parity-labels")
-    named = keep(label.join(low, "label").select(F.col("node").alias("_node"), "component_id"), "parity-named")
+    named = keep(label.join(low, "label").select(F.col("node").alias("_node"), "component_id", "label"), "parity-named")
     # sets without a shingle go their own way: their NULL node must not gather in one task
     out = [F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("_th").alias("text_hash")]
+    # the component's own name: ids of different texts may repeat
+    out += [F.col("label")] if with_label else []
     some = signed.where("node IS NOT NULL").select("_id", "_th", "n", "node").join(named, F.col("node") == F.col("_node"))
-    none = signed.where("node IS NULL").withColumn("component_id", F.col("_id"))
+    none = signed.where("node IS NULL").withColumn("component_id", F.col("_id")).withColumn("label", F.lit(None).cast("long"))
     return some.select(*out).unionByName(none.select(*out))
 
 
@@ -315,9 +317,9 @@ def one_per_group(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 1
     """``docs`` without all but one document of every component: the one with
     the smallest id (of repeated rows one stays). Documents without words and
     rows without an id are all kept."""
-    found = keep(link_components(docs, shingle, num, den, id_col, text_col), "parity-found")
+    found = keep(link_components(docs, shingle, num, den, id_col, text_col, with_label=True), "parity-found")
     linked = found.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).withColumnRenamed(id_col, "_id")
-    first = linked.groupBy("component_id").agg(F.min(F.struct("_id", "text_hash")).alias("first")).select("first.*")
+    first = linked.groupBy("label").agg(F.min(F.struct("_id", "text_hash")).alias("first")).select("first.*")
     stay = keep(linked.groupBy("_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
                 .join(first.withColumn("head", F.lit(True)), ["_id", "text_hash"], "left")
                 .select(F.col("_id").alias("_gid"), F.col("text_hash").alias("_gth"), "rows", F.coalesce("head", F.lit(False)).alias("head")), "parity-stay")
