@@ -14,6 +14,7 @@ from .op7_url_tree import op7_url_tree
 from .op8_license import op8_license_digest
 from .op9_chat import op9_chat_hmm
 from .op10_graph import op10_flat_graph
+from .op11_vptree import OP11_SQL, op11_vp_clusters
 from .op13_merkle import OP13_SQL, op13_merkle_manifest
 
 QUERIES = {
@@ -27,11 +28,13 @@ QUERIES = {
     "op8_license_digest": op8_license_digest,
     "op9_chat_hmm": op9_chat_hmm,
     "op10_flat_graph": op10_flat_graph,
+    "op11_vp_clusters": op11_vp_clusters,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
     "op3_wu_manber": OP3_SQL,
+    "op11_vp_clusters": OP11_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
