@@ -15,6 +15,7 @@ from .op8_license import op8_license_digest
 from .op9_chat import op9_chat_hmm
 from .op10_graph import op10_flat_graph
 from .op11_vptree import OP11_SQL, op11_vp_clusters
+from .op12_bpe import op12_bpe_codec
 from .op13_merkle import OP13_SQL, op13_merkle_manifest
 
 QUERIES = {
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_chat_hmm": op9_chat_hmm,
     "op10_flat_graph": op10_flat_graph,
     "op11_vp_clusters": op11_vp_clusters,
+    "op12_bpe_codec": op12_bpe_codec,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
