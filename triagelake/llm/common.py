@@ -34,8 +34,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch sent to Python, however long its texts are.
+BATCH_BYTES = 16_000_000
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch to BATCH_ROWS rows, if it is larger."""
+    """Lower the session's Arrow batch to BATCH_ROWS rows and BATCH_BYTES
+    bytes, if it is larger."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:

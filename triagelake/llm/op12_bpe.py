@@ -32,7 +32,9 @@ from .common import read, small_batches, text_slices
 #: Pre-tokens kept with their ids between slices of a task; a memo only.
 MEMO_WORDS = 200_000
 #: Bytes of texts whose new pre-tokens are merged together.
-INDEX_BYTES = 16_000_000
+INDEX_BYTES = 8_000_000
+#: Tokens that are turned into bytes at a time.
+DECODE_TOKENS = 250_000
 #: Positions of a pair from which they are merged by array operations.
 MANY = 48
 #: Characters of a long text that are cut into pre-tokens at a time.
@@ -276,14 +278,14 @@ class Encoder:
     def take(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the texts' pre-tokens, and of each one's text. New
         pre-tokens wait for ``settle``."""
-        idx, of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        idx, of = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
         for i, text in enumerate(texts):
             for words in self._pieces(text or b""):
                 for w in set(words).difference(self.place):
                     self.place[w] = len(self.place)
                     self.pending.append(w)
-                idx.append(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)))
-                of.append(np.full(len(words), i))
+                idx.append(np.fromiter(map(self.place.__getitem__, words), np.int32, len(words)))
+                of.append(np.full(len(words), i, np.int32))
         return np.concatenate(idx), np.concatenate(of)
 
     def settle(self) -> None:
@@ -297,15 +299,15 @@ class Encoder:
         return flat, np.bincount(of, n, texts).astype(np.int64)
 
 
-def decoded(v: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def decoded(v: Vocabulary, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Bytes of the tokens one after the other, and each token's number of
     bytes. Ids that the vocabulary has not got have none."""
     starts = np.cumsum(v.token_size) - v.token_size
     known = (ids >= 0) & (ids < v.n)
-    out, size = np.empty(0, np.uint8), np.zeros(len(ids), np.int64)
-    if known.any():
-        out, size[known] = _gather(v.token_size, starts, v.token_bytes, ids[known])
-    return out, size
+    size = np.where(known, v.token_size[np.where(known, ids, 0)], 0)
+    ids = ids[known]
+    parts = [_gather(v.token_size, starts, v.token_bytes, ids[i:i + DECODE_TOKENS])[0].tobytes() for i in range(0, len(ids), DECODE_TOKENS)]
+    return b"".join(parts), size
 
 
 # -- the operator ---------------------------------------------------------------------
@@ -380,9 +382,9 @@ def decode(df: DataFrame, vocab: bytes, ids_col: str = "ids", out_col: str = "de
             n = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, size = decoded(v, flat)
             ends = np.r_[0, np.cumsum(size)][np.cumsum(n)]
-            raw, start, texts = data.tobytes(), 0, []
+            start, texts = 0, []
             for e in ends.tolist():
-                texts.append(raw[start:e].decode("utf-8", "replace"))
+                texts.append(data[start:e].decode("utf-8", "replace"))
                 start = e
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*names, out_col])
 
