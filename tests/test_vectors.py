@@ -174,14 +174,65 @@ def test_embed_with_user_encoder(spark):
     assert got == {1: [3.0, 1.0, 0.0], 2: [0.0, 1.0, 0.0], 3: [5.0, 1.0, 0.0]}
 
 
-def test_plan_blocks_scales():
-    # small problems stay one block pair; the corpus side is cut for cores
-    assert V.plan_blocks(2000, 2000, 8, 65536, 65536) == (1, 1)
-    nqb, ncb = V.plan_blocks(15500, 133750, 8, 65536, 65536)
-    assert nqb == 1 and 8 <= ncb <= 16
-    # at cluster scale the block-size bounds decide and nothing is whole
-    nqb, ncb = V.plan_blocks(10**8, 10**9, 8000, 65536, 65536)
-    assert nqb == -(-10**8 // 65536) and ncb >= -(-10**9 // 65536)
+def _clustered(n, groups, dim=16, seed=0):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim))
+    return centres[np.arange(n) % groups] + 0.1 * rng.normal(size=(n, dim))
+
+
+def test_cells_that_cannot_matter_are_not_read(spark):
+    from triagelake.operators.cells import Work
+    vecs = {i: v for i, v in enumerate(_clustered(1500, 30))}
+    q = {i: vecs[i] for i in range(0, 1500, 5)}
+    work = Work()
+    qdf = spark.createDataFrame([(i, v.tolist()) for i, v in q.items()], "qid long, embedding array<double>")
+    cdf = spark.createDataFrame([(i, v.tolist()) for i, v in vecs.items()], "id long, embedding array<double>")
+    rows = V.topk_search(qdf, cdf, 5, c_block_rows=50, q_block_rows=16, work=work).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["qid"], r["rank"])):
+        got.setdefault(r["qid"], []).append(r["id"])
+    assert got == {i: [c for c, _ in x] for i, x in brute_topk(q, vecs, 5).items()}
+    print("scored", work.scored, "of", work.pairs, "pairs of a query and a block, by waves", work.waves)
+    assert work.pairs >= 300 * 30 and work.scored < work.pairs / 6
+
+
+@pytest.mark.parametrize("kw", [{}, {"c_block_rows": 7}, {"c_blocks": 40}, {"c_block_rows": 20, "q_blocks": 3}])
+def test_cells_with_signs_zeros_ties_and_hot_vectors(spark, kw):
+    rng = np.random.default_rng(4)
+    vecs = {i: rng.integers(-2, 3, 6).astype(float) for i in range(240)}      # many equal scores
+    vecs |= {i: np.array([1.0, 0, 0, 0, 0, 0]) for i in range(240, 360)}      # one vector in a third of all rows
+    vecs |= {i: np.zeros(6) for i in range(360, 380)}
+    q = {i: vecs[i] for i in range(0, 380, 9)}
+    for extra in ({}, {"exclude_self": True}, {"min_score": 0.25}, {"min_score": 0.0}):
+        got = run_topk(spark, q, vecs, 4, **kw, **extra)
+        want = brute_topk(q, vecs, 4, **extra)
+        assert {i: [c for c, _ in x] for i, x in got.items()} == {i: [c for c, _ in x] for i, x in want.items() if x}
+
+
+def test_heads_bound_packed_vectors(spark):
+    from triagelake.operators.cells import Work
+    words = [f"w{i}" for i in range(400)]
+    rng = np.random.default_rng(2)
+    docs = [(i, " ".join(words[(i % 20) * 20 + j] for j in rng.integers(0, 20, 3))) for i in range(800)]
+    df = spark.createDataFrame(docs, "id long, text string")
+    dim = 1024
+    c = V.pack(V.hash_counts(df, "id", "text", dim), "id")
+    work = Work()
+    got = V.topk_search_long(c.withColumnRenamed("id", "qid"), c, 3, dim=dim, min_score=0.0, c_block_rows=40, work=work).collect()
+    dense = {i: _py_hash_vector(t, dim) for i, t in docs}
+    want = brute_topk(dense, dense, 3, min_score=0.0)
+    by = {}
+    for r in sorted(got, key=lambda r: (r["qid"], r["rank"])):
+        by.setdefault(r["qid"], []).append(r["id"])
+    assert by == {i: [x for x, _ in w] for i, w in want.items()}
+    assert work.scored < work.pairs / 4
+
+
+def test_null_vectors_and_no_rows(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, embedding array<double>")
+    q = v.withColumnRenamed("id", "qid")
+    assert sorted((r["qid"], r["rank"], r["id"]) for r in V.topk_search(q, v, 1).collect()) == [(1, 1, 1), (3, 1, 3)]
+    assert V.topk_search(q, v.where("false"), 1).collect() == [] and V.topk_search(q.where("false"), v, 1).collect() == []
 
 
 def test_one_huge_k_and_zero_scores_stay_bounded():

@@ -1,17 +1,16 @@
 """Vector operators: embed (V1/V2), L2 normalise (V3), exact top-k (V4/V5/V8),
 ranked hits (V6/V7) and the hit -> metadata lookup (J1).
 
-Scoring query x corpus (J2) is exact and brute force, like a flat
-inner-product index, but it is never a cross join: both sides are cut into
-hash blocks, every (query block, corpus block) pair meets in one co-grouped
-task, the task screens the pair with one float32 matrix product, re-scores
-what passes in float64 and keeps each query's local top-k candidates (its own
-k). A final window ranks at most ``corpus_blocks * k`` candidates per query.
+Scoring query x corpus (J2) is exact, like a flat inner-product index, but
+reads only the cells of the corpus that can hold one of a query's best rows
+(``operators.cells``). A part of the queries and a block of a cell meet in one
+co-grouped task, which screens the pair with one float32 matrix product,
+re-scores what passes in float64 and keeps each query's local top-k candidates
+(its own k).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -22,6 +21,7 @@ from pyspark.sql import types as T
 
 from .. import rules
 from ..functions.text import ColumnOrName, _col
+from . import cells as cells_
 
 # ---------------------------------------------------------------------------
 # V1 / V2 -- native hashing encoder
@@ -234,7 +234,8 @@ def _kth_best(s: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 def _local_topk_fn(exclude_self: bool, min_score: float | None, dim: int | None = None):
     """Cogroup function: every query's candidates of one corpus block. Rows of
-    ``q`` carry their own ``k`` (at least 1)."""
+    ``q`` carry their own ``k`` (at least 1) and, if they have one, the
+    ``bound`` that their k-th best row so far sets."""
 
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(c) == 0:
@@ -242,6 +243,7 @@ def _local_topk_fn(exclude_self: bool, min_score: float | None, dim: int | None
                                  "score": np.zeros(0)})
         q = q.reset_index(drop=True)
         ks = q["k"].to_numpy(dtype=np.int64)
+        bound = q["bound"].to_numpy(dtype=np.float64) if "bound" in q.columns else None
         cids, cm = _matrix(c, "id", dim)
         qids, qm = _matrix(q, "qid", cm.shape[1])
         cm32, qm32 = cm.astype(np.float32), qm.astype(np.float32)
@@ -265,6 +267,8 @@ def _local_topk_fn(exclude_self: bool, min_score: float | None, dim: int | None
             # one compare per cell: a finite per-row threshold also drops the
             # -inf self entries; the min_score screen folds into it
             thr = kth - _MARGIN
+            if bound is not None:
+                thr = np.maximum(thr, bound[start:stop] - _MARGIN)
             if min_score is not None:
                 thr = np.maximum(thr, np.float32(min_score - 1e-5))
             thr = np.where(np.isfinite(thr), thr, np.float32(np.finfo(np.float32).min))
@@ -286,64 +290,28 @@ def _local_topk_fn(exclude_self: bool, min_score: float | None, dim: int | None
     return fn
 
 
-def _blocks(n: int, rows_per_block: int) -> int:
-    return max(1, math.ceil(n / max(1, rows_per_block)))
-
-
-def plan_blocks(n_q: int, n_c: int, parallelism: int, q_block_rows: int, c_block_rows: int,
-                min_block_rows: int = 256, min_pairs: int = 5_000_000) -> tuple[int, int]:
-    """Block counts (query, corpus). Each side is cut only as far as its
-    block-size bound requires -- every extra block of one side replicates the
-    other side once more -- and the corpus (the side usually far larger) is
-    then cut further, up to about two block pairs per core, as long as each
-    pair still scores at least ``min_pairs`` pairs."""
-    nqb = _blocks(n_q, q_block_rows)
-    ncb = _blocks(n_c, c_block_rows)
-    by_cores = math.ceil(2 * parallelism / nqb)
-    by_work = max(1, (n_q * n_c) // (min_pairs * nqb))
-    ncb = max(ncb, min(by_cores, by_work, max(1, n_c // min_block_rows)))
-    return nqb, ncb
-
-
-def _blocked_topk(q: DataFrame, c: DataFrame, n_q: int, n_c: int, payload: list[str], *, exclude_self: bool,
-                  min_score: float | None, dim: int | None, q_block_rows: int, c_block_rows: int,
-                  q_blocks: int | None, c_blocks: int | None) -> DataFrame:
-    """Pair hash blocks of both sides with a cogroup, score each pair
-    locally, rank the candidates. ``q``/``c`` have qid and k / id plus
-    ``payload``; queries whose k is below 1 have no result."""
-    out_schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType),
-                               T.StructField("k", T.LongType()),
-                               T.StructField("id", c.schema["id"].dataType),
-                               T.StructField("score", T.DoubleType())])
-    q = q.where(F.col("k") > 0)
-    par = q.sparkSession.sparkContext.defaultParallelism
-    auto_q, auto_c = plan_blocks(n_q, n_c, par, q_block_rows, c_block_rows)
-    nqb = q_blocks or auto_q
-    ncb = c_blocks or auto_c
-    qb = F.pmod(F.xxhash64("qid"), F.lit(nqb)).cast("int")
-    cb = F.pmod(F.xxhash64("id"), F.lit(ncb)).cast("int")
-    all_c = F.explode(F.sequence(F.lit(0), F.lit(ncb - 1))) if ncb > 1 else F.lit(0)
-    all_q = F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))) if nqb > 1 else F.lit(0)
-    # One task per block pair where possible: the pairs are CPU-bound while
-    # their bytes are small, so AQE would otherwise coalesce them into a few
-    # tasks. An explicit partition count is kept, and the cogroup reuses it.
-    # 4x as many partitions as block pairs keeps hash collisions (several
-    # pairs in one task) rare; empty partitions cost next to nothing.
-    n_parts = max(par, 4 * nqb * ncb)
-    q2 = q.select(qb.alias("_qb"), all_c.alias("_cb"), "qid", F.col("k").cast("long").alias("k"), *payload).repartition(n_parts, "_qb", "_cb")
-    c2 = c.select(all_q.alias("_qb"), cb.alias("_cb"), "id", *payload).repartition(n_parts, "_qb", "_cb")
-    fn = _local_topk_fn(exclude_self, min_score, dim)
-    cand = (q2.groupBy("_qb", "_cb").cogroup(c2.groupBy("_qb", "_cb"))
-            .applyInPandas(lambda a, b: fn(a, b), schema=out_schema))
-    return rank_candidates(cand)
+def _search_cells(q: DataFrame, c: DataFrame, payload: tuple[str, ...], *, exclude_self: bool, min_score: float | None, dim: int | None,
+                  block_rows: int, q_rows: int, cells: int | None, q_parts: int | None, work: cells_.Work | None) -> DataFrame:
+    """Deal the corpus to cells and search them (see ``operators.cells``).
+    Queries whose k is below 1 or whose vector is NULL have no result."""
+    q = q.where((F.col("k") > 0) & F.col(payload[0]).isNotNull()).withColumn("k", F.col("k").cast("long"))
+    dealt = cells_.deal(c, payload, dim, block_rows, cells)
+    if dealt is None:
+        none = T.StructType([q.schema["qid"], T.StructField("rank", T.IntegerType()), c.schema["id"], T.StructField("score", T.DoubleType())])
+        return q.sparkSession.createDataFrame([], none)
+    fn = _local_topk_fn(exclude_self, min_score, dealt.dim)
+    best = cells_.search(q, dealt, lambda a, b: fn(a, b), rank_all, margin=_MARGIN, q_rows=q_rows, q_parts=q_parts,
+                         id_type=c.schema["id"].dataType, min_score=min_score, work=work)
+    return best.select("qid", "rank", "id", "score")
 
 
 def topk_search(queries: DataFrame, corpus: DataFrame, k: int | None = rules.DEFAULT_TOP_K, *,
                 q_id: str = "qid", q_vec: str = "embedding", k_col: str | None = None,
                 c_id: str = "id", c_vec: str = "embedding",
                 exclude_self: bool = False, min_score: float | None = None,
-                q_block_rows: int = 65536, c_block_rows: int = 65536,
-                q_blocks: int | None = None, c_blocks: int | None = None) -> DataFrame:
+                q_block_rows: int = 8192, c_block_rows: int = 4096,
+                q_blocks: int | None = None, c_blocks: int | None = None,
+                work: cells_.Work | None = None) -> DataFrame:
     """Exact top-k corpus rows per query by cosine similarity.
 
     Returns (qid, rank, id, score) with ``score`` the raw float64 inner
@@ -355,19 +323,19 @@ def topk_search(queries: DataFrame, corpus: DataFrame, k: int | None = rules.DEF
     corpus row whose id equals the query id (V4). ``min_score`` keeps only
     strictly larger scores. Corpus ids must be unique.
 
-    Block counts come from row counts unless given. The query side is
-    replicated ``c_blocks`` times and the corpus ``q_blocks`` times; each
-    co-group holds one block of each, so no task ever holds a whole side.
+    The corpus is dealt to cells of about ``c_block_rows`` rows (``c_blocks``
+    sets their number); a task scores one block of a cell with at most about
+    ``q_block_rows`` queries (``q_blocks`` sets the number of parts). Cells that
+    cannot reach a query's k-th best score are not read for it; ``work`` is
+    filled with what was scored. Rows and queries without a vector are left
+    out; all vectors have the same number of components.
     """
     default_k = int(k if k is not None else rules.DEFAULT_TOP_K)
     kexpr = F.coalesce(F.col(k_col).cast("int"), F.lit(default_k)) if k_col else F.lit(default_k)
-    q = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).alias("vec"), kexpr.alias("k"))
-    c = corpus.select(F.col(c_id).alias("id"), F.col(c_vec).alias("vec"))
-    n_q = 0 if q_blocks else queries.count()
-    n_c = 0 if c_blocks else corpus.count()
-    return _blocked_topk(q, c, n_q, n_c, ["vec"], exclude_self=exclude_self, min_score=min_score, dim=None,
-                         q_block_rows=q_block_rows, c_block_rows=c_block_rows,
-                         q_blocks=q_blocks, c_blocks=c_blocks)
+    q = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).cast("array<double>").alias("vec"), kexpr.alias("k"))
+    c = corpus.select(F.col(c_id).alias("id"), F.col(c_vec).cast("array<double>").alias("vec"))
+    return _search_cells(q, c, ("vec",), exclude_self=exclude_self, min_score=min_score, dim=None, block_rows=c_block_rows,
+                         q_rows=q_block_rows, cells=c_blocks, q_parts=q_blocks, work=work)
 
 
 def pack(df: DataFrame, id_col: str, index_col: str = "bucket", value_col: str = "cnt") -> DataFrame:
@@ -381,33 +349,28 @@ def pack(df: DataFrame, id_col: str, index_col: str = "bucket", value_col: str =
 def topk_search_long(queries: DataFrame, corpus: DataFrame, k: int | None = rules.DEFAULT_TOP_K, *,
                      q_id: str = "qid", c_id: str = "id", dim: int = HASH_DIM, k_col: str | None = None,
                      exclude_self: bool = False, min_score: float | None = None,
-                     q_block_rows: int = 65536, c_block_rows: int = 65536,
+                     q_block_rows: int = 8192, c_block_rows: int = 4096,
                      q_blocks: int | None = None, c_blocks: int | None = None,
-                     n_q: int | None = None, n_c: int | None = None) -> DataFrame:
+                     work: cells_.Work | None = None) -> DataFrame:
     """``topk_search`` for packed vectors (see ``pack``): ids with columns
-    ``bs`` and ``vs``. No dense vector is ever assembled in Spark; each task
-    builds and normalises its block matrix (value / sqrt(sum of squares), the
-    same arithmetic as ``hash_embed``). ``k_col`` of the queries gives each
-    its own k. ``n_q`` / ``n_c`` (numbers of vectors, or upper bounds) plan
-    the blocks; when absent they are counted.
+    ``bs`` and ``vs``. Each task builds and normalises its block's matrix
+    (value / sqrt(sum of squares), the arithmetic of ``hash_embed``); the heads
+    of a cell's posting lists bound what its rows can score. ``k_col`` of the
+    queries gives each its own k.
     """
     default_k = int(k if k is not None else rules.DEFAULT_TOP_K)
     kexpr = F.coalesce(F.col(k_col).cast("int"), F.lit(default_k)) if k_col else F.lit(default_k)
     q = queries.select(F.col(q_id).alias("qid"), kexpr.alias("k"), "bs", "vs")
     c = corpus.select(F.col(c_id).alias("id"), "bs", "vs")
-    n_q = (0 if q_blocks else queries.count()) if n_q is None else n_q
-    n_c = (0 if c_blocks else corpus.count()) if n_c is None else n_c
-    return _blocked_topk(q, c, n_q, n_c, ["bs", "vs"], exclude_self=exclude_self, min_score=min_score, dim=dim,
-                         q_block_rows=q_block_rows, c_block_rows=c_block_rows,
-                         q_blocks=q_blocks, c_blocks=c_blocks)
+    return _search_cells(q, c, ("bs", "vs"), exclude_self=exclude_self, min_score=min_score, dim=dim, block_rows=c_block_rows,
+                         q_rows=q_block_rows, cells=c_blocks, q_parts=q_blocks, work=work)
 
 
-def rank_candidates(cand: DataFrame) -> DataFrame:
-    """Final ranking of (qid, k, id, score) candidates: row_number per query
-    by rounded score desc, id asc, cut at the query's own k."""
+def rank_all(cand: DataFrame) -> DataFrame:
+    """Each query's first k candidates (qid, k, id, score) with their rank:
+    row_number per query by rounded score desc, id asc."""
     w = Window.partitionBy("qid").orderBy(F.round("score", SCORE_DIGITS).desc(), F.col("id").asc())
-    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k"))
-    return ranked.select("qid", "rank", "id", "score")
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k"))
 
 
 # ---------------------------------------------------------------------------
@@ -513,9 +476,7 @@ def search_texts(requests: DataFrame, index: DataFrame, *, key: str = "request_i
         top = topk_search(q, index, default_k, q_id="_sid", c_id=index_id, k_col="k", min_score=min_score, **kw)
     else:
         packed = pack(hash_counts(texts, "_sid", "_text", dim), "_sid").join(texts.select("_sid", "k"), "_sid")
-        n_q = kw.pop("n_q", None)
-        top = topk_search_long(packed, index.where(F.col("bs").isNotNull()), default_k, q_id="_sid", c_id=index_id, dim=dim,
-                               k_col="k", min_score=min_score, n_q=texts.count() if n_q is None else n_q, **kw)
+        top = topk_search_long(packed, index, default_k, q_id="_sid", c_id=index_id, dim=dim, k_col="k", min_score=min_score, **kw)
     meta = index.drop("bs", "vs", "embedding")
     hits = attach_metadata(top, meta, meta_id=index_id, mode="hit", text_chars=text_chars).withColumnRenamed("qid", "_sid")
     joined = req.drop("_text").join(hits, "_sid").where(F.col("rank") <= F.col("_k"))

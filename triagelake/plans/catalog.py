@@ -23,7 +23,7 @@ from ..operators import triage as TR
 from ..operators import vectors as V
 from ..functions.text import pystrip
 from ..session import checkpoint_dir
-from ..sources.files import write_parquet
+from ..sources.files import keep_table, write_parquet
 from ..sources.tables import read_table
 from . import fixtures as FX
 
@@ -180,9 +180,7 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     q = V.pack(V.hash_counts(turns, "qid", "text"), "qid")
     c = V.pack(V.hash_counts(docs, "id", "text"), "id")
-    # source row counts bound the vector counts and need no tokenizing
-    top = V.topk_search_long(q, c, 5, min_score=0.0, n_q=turns.count(), n_c=docs.count())
-    return _rounded(top)
+    return _rounded(V.topk_search_long(q, keep_table(c, "text-vectors"), 5, min_score=0.0))
 
 
 # -- requests, search and context ------------------------------------------------------
