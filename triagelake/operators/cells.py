@@ -70,6 +70,8 @@ def choose_pivots(sample: np.ndarray, cells: int) -> np.ndarray:
     """Unit centres for at most ``cells`` cells, by a few rounds of spherical
     k-means over the distinct rows of a bounded sample."""
     sample = np.unique(sample[np.any(sample != 0, axis=1)], axis=0)
+    if not len(sample):
+        return np.eye(1, sample.shape[1])
     if len(sample) <= cells:
         return sample
     centres = sample[np.linspace(0, len(sample) - 1, cells).astype(np.int64)]
@@ -117,6 +119,17 @@ class Cells:
         return out
 
 
+#: The cell of zero vectors; its centre is the last one, of zeros.
+ZERO_CELL = -1
+
+
+def cell_of(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The cell of each unit or zero row: that of the nearest centre."""
+    of = np.argmax(m @ centres.T, axis=1)
+    of[~np.any(m != 0, axis=1)] = ZERO_CELL
+    return of
+
+
 def _assign(payload: Rows, dim: int, centres, schema: T.StructType):
     names = [f.name for f in schema.fields]
 
@@ -124,9 +137,7 @@ def _assign(payload: Rows, dim: int, centres, schema: T.StructType):
         c = centres.value
         for batch in batches:
             m = batch_matrix(batch, dim)
-            of = np.argmax(m @ c.T, axis=1) if len(c) else np.zeros(len(m), np.int64)
-            of[~np.any(m != 0, axis=1)] = len(c)  # zero vectors have a cell of their own
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell_of(m, c), pa.int32())], names)
     return run
 
 
@@ -142,7 +153,7 @@ def _heads(dim: int, centres):
             of = batch.column("cell").to_numpy(zero_copy_only=False)
             for n in np.unique(of).tolist():
                 x = m[of == n]
-                least = float(np.clip((x @ c[n]).min(), -1.0, 1.0)) if n < len(c) - 1 else 1.0
+                least = float(np.clip((x @ c[n]).min(), -1.0, 1.0)) if n != ZERO_CELL else 1.0
                 count[n] = count.get(n, 0) + len(x)
                 widest[n] = max(widest.get(n, 0.0), math.acos(least))
                 hi[n] = np.maximum(hi.get(n, -np.inf), x.max(axis=0))

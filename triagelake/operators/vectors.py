@@ -249,8 +249,9 @@ def _local_topk_fn(exclude_self: bool, min_score: float | None, dim: int | None
         cm32, qm32 = cm.astype(np.float32), qm.astype(np.float32)
         self_pos = pd.Index(cids).get_indexer(qids) if exclude_self else None
         # rank of each corpus id in id order (Spark orders strings by code point)
-        crank = np.empty(len(cids), dtype=np.int64)
-        crank[np.argsort(cids, kind="stable")] = np.arange(len(cids))
+        none = pd.isna(cids)
+        crank = np.zeros(len(cids), dtype=np.int64)  # NULL ids come first
+        crank[np.flatnonzero(~none)[np.argsort(cids[~none], kind="stable")]] = np.arange(1, (~none).sum() + 1)
         # vectors without negative entries: a product of 0 is exactly 0
         no_sign = len(qm) > 0 and qm.min() >= 0 and cm.min() >= 0
         chunk_rows = max(1, _PRODUCT_CELLS // max(1, len(cids)))
@@ -294,14 +295,21 @@ def _search_cells(q: DataFrame, c: DataFrame, payload: tuple[str, ...], *, exclu
                   block_rows: int, q_rows: int, cells: int | None, q_parts: int | None, work: cells_.Work | None) -> DataFrame:
     """Deal the corpus to cells and search them (see ``operators.cells``).
     Queries whose k is below 1 or whose vector is NULL have no result."""
-    q = q.where((F.col("k") > 0) & F.col(payload[0]).isNotNull()).withColumn("k", F.col("k").cast("long"))
     dealt = cells_.deal(c, payload, dim, block_rows, cells)
     if dealt is None:
         none = T.StructType([q.schema["qid"], T.StructField("rank", T.IntegerType()), c.schema["id"], T.StructField("score", T.DoubleType())])
         return q.sparkSession.createDataFrame([], none)
+    return search_dealt(q, dealt, exclude_self=exclude_self, min_score=min_score, q_rows=q_rows, q_parts=q_parts, work=work)
+
+
+def search_dealt(q: DataFrame, dealt: cells_.Cells, *, exclude_self: bool = False, min_score: float | None = None, q_rows: int = 8192,
+                 q_parts: int | None = None, work: cells_.Work | None = None) -> DataFrame:
+    """Top rows of a dealt corpus (``cells.deal``, or a stored index' ``cells``)
+    for queries with qid, k and the vector's columns: qid, rank, id, score."""
+    q = q.where((F.col("k") > 0) & F.col(dealt.payload[0]).isNotNull()).withColumn("k", F.col("k").cast("long"))
     fn = _local_topk_fn(exclude_self, min_score, dealt.dim)
     best = cells_.search(q, dealt, lambda a, b: fn(a, b), rank_all, margin=_MARGIN, q_rows=q_rows, q_parts=q_parts,
-                         id_type=c.schema["id"].dataType, min_score=min_score, work=work)
+                         id_type=dealt.rows.schema["id"].dataType, min_score=min_score, work=work)
     return best.select("qid", "rank", "id", "score")
 
 
@@ -451,14 +459,15 @@ def build_index(corpus: DataFrame, id_col: str = "id", text_col: str = "training
     return corpus.join(packed, id_col, "left")
 
 
-def search_texts(requests: DataFrame, index: DataFrame, *, key: str = "request_id", text_col: str = "query",
+def search_texts(requests: DataFrame, index, *, key: str = "request_id", text_col: str = "query",
                  k_col: str | None = "top_k", default_k: int = rules.DEFAULT_TOP_K, index_id: str = "id",
                  dim: int = HASH_DIM, encoder: Callable | None = None, min_score: float | None = 0.0,
                  text_chars: int | None = None, **kw) -> DataFrame:
-    """V2 + V5 + V8 + V6 for a table of text requests against a stored index
-    (``build_index``; with the same ``encoder``), searching each distinct text
-    once. Of the index only ids and vectors are searched; no text of the
-    corpus is encoded.
+    """V2 + V5 + V8 + V6 for a table of text requests against an index -- a
+    version of a stored one (``operators.index``), whose cells are searched as
+    they are, or a table of ``build_index``; with the same ``encoder`` --
+    searching each distinct text once. Of the index only ids and vectors are
+    searched; no text of the corpus is encoded.
 
     Requests are grouped by the md5 of their text (combined map-side, so a
     text asked by a large share of requests becomes one row before the
@@ -472,11 +481,21 @@ def search_texts(requests: DataFrame, index: DataFrame, *, key: str = "request_i
     req = requests.select(key, F.md5(text).alias("_sid"), text.alias("_text"), kexpr.alias("_k"))
     texts = req.groupBy("_sid").agg(F.max("_k").alias("k"), F.max("_text").alias("_text"))
     if encoder is not None:
-        q = embed_with(texts, "_text", encoder, dim)
+        q = embed_with(texts, "_text", encoder, dim).select("_sid", "k", "embedding")
+    else:
+        q = pack(hash_counts(texts, "_sid", "_text", dim), "_sid").join(texts.select("_sid", "k"), "_sid")
+    if not isinstance(index, DataFrame):
+        vec = [F.col("embedding").cast("array<double>").alias("vec")] if encoder is not None else ["bs", "vs"]
+        dealt, index = index.cells(), index.rows()
+        if dealt is None:
+            top = requests.sparkSession.createDataFrame([], T.StructType([T.StructField("qid", T.StringType()), T.StructField("rank", T.IntegerType()),
+                                                                          T.StructField("id", index.schema[index_id].dataType), T.StructField("score", T.DoubleType())]))
+        else:
+            top = search_dealt(q.select(F.col("_sid").alias("qid"), "k", *vec), dealt, min_score=min_score, **kw)
+    elif encoder is not None:
         top = topk_search(q, index, default_k, q_id="_sid", c_id=index_id, k_col="k", min_score=min_score, **kw)
     else:
-        packed = pack(hash_counts(texts, "_sid", "_text", dim), "_sid").join(texts.select("_sid", "k"), "_sid")
-        top = topk_search_long(packed, index, default_k, q_id="_sid", c_id=index_id, dim=dim, k_col="k", min_score=min_score, **kw)
+        top = topk_search_long(q, index, default_k, q_id="_sid", c_id=index_id, dim=dim, k_col="k", min_score=min_score, **kw)
     meta = index.drop("bs", "vs", "embedding")
     hits = attach_metadata(top, meta, meta_id=index_id, mode="hit", text_chars=text_chars).withColumnRenamed("qid", "_sid")
     joined = req.drop("_text").join(hits, "_sid").where(F.col("rank") <= F.col("_k"))

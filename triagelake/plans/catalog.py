@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,10 @@ from ..operators import triage as TR
 from ..operators import vectors as V
 from ..functions.text import pystrip
 from ..session import checkpoint_dir
-from ..sources.files import keep_table, write_parquet
-from ..sources.tables import read_table
+from ..operators.index import IndexStore, Snapshot
+from ..sources import fs
+from ..sources.files import keep_table
+from ..sources.tables import read_table, table_path
 from . import fixtures as FX
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,28 +78,66 @@ def search_corpus(spark: SparkSession, d: str) -> DataFrame:
     return P.prepare_text(corpus_union(spark, d), "training_text")
 
 
-def search_index(spark: SparkSession, d: str) -> DataFrame:
-    """The stored index of the search corpus: built and written by the first
-    call of an application, read by every search after it."""
-    name = hashlib.md5(f"{spark.sparkContext.applicationId}:{d}".encode()).hexdigest()
-    path = os.path.join(checkpoint_dir(spark), f"search-index-{name}")
-    if path not in _WRITTEN:
-        write_parquet(V.build_index(search_corpus(spark, d)), path)
-        _WRITTEN.add(path)
-    return spark.read.parquet(path)
+INDEX_TABLES = ("orders", "customer", "pages")
 
 
-_WRITTEN: set[str] = set()
+def index_store(spark: SparkSession, d: str, name: str = "search-index") -> IndexStore:
+    """The stored index of a data folder, below the shared folder."""
+    return IndexStore(spark, os.path.join(checkpoint_dir(spark), f"{name}-{hashlib.md5(d.encode()).hexdigest()}"))
+
+
+def search_index(spark: SparkSession, d: str) -> Snapshot:
+    """The stored index of the search corpus, brought up to date: built by the
+    first call, opened as it is while the tables' files are unchanged, and
+    updated by what differs when they are not."""
+    state = fs.state(spark, [table_path(d, t) for t in INDEX_TABLES])
+    return index_store(spark, d).update(search_corpus(spark, d), state)
 
 
 def index_build(spark: SparkSession, d: str) -> DataFrame:
     """V1 + S6: the index rows, vectors as (bucket, weight) of unit length."""
-    i = search_index(spark, d).where("bs IS NOT NULL")
+    return _weights(search_index(spark, d).rows())
+
+
+def _weights(rows: DataFrame) -> DataFrame:
+    i = rows.where("bs IS NOT NULL")
     norm = F.sqrt(F.aggregate("vs", F.lit(0.0), lambda a, x: a + x * x))
     return (i.select("id", norm.alias("_n"), F.explode(F.arrays_zip("bs", "vs")).alias("_x"))
             .select("id", F.col("_x.bs").alias("bucket"), F.round(F.col("_x.vs") / F.col("_n"), 6).alias("weight")))
 
 
+def _before_closing(spark: SparkSession, d: str) -> DataFrame:
+    """An earlier state of the corpus: tickets without resolution notes, some of
+    them not assigned yet; customers as records of their own, which are gone
+    later; and no articles."""
+    early = FX.incident(spark, d).withColumn("resolution_notes", F.lit(None).cast("string"))
+    early = early.withColumn("assignment_group", F.when(F.col("assignment_group") != "Database Team", F.col("assignment_group")))
+    tickets = P.incidents_to_corpus(P.incident_training_text(P.clean_incidents(early)))
+    people = read_table(spark, d, "customer").select(
+        F.concat(F.lit("customer_"), F.col("c_custkey").cast("string")).alias("id"), F.lit("customer").alias("source"),
+        F.concat(F.col("c_name"), F.lit(" in "), F.col("c_mktsegment")).alias("training_text"), F.lit(rules.NOT_PROVIDED).alias("assignment_group"),
+        F.lit(rules.NOT_PROVIDED).alias("configuration_item"), F.lit(rules.NOT_APPLICABLE).alias("category"))
+    return P.prepare_text(P.union_corpus(tickets, people), "training_text")
+
+
+def _updated_index(spark: SparkSession, d: str) -> IndexStore:
+    """An index that was built on the earlier state and then updated."""
+    store = index_store(spark, d, f"updated-index-{uuid.uuid4().hex}")
+    store.update(_before_closing(spark, d))
+    store.update(search_corpus(spark, d))
+    return store
+
+
+def index_update(spark: SparkSession, d: str) -> DataFrame:
+    """The updated index' rows; they equal those of a full build."""
+    return _weights(_updated_index(spark, d).open().rows())
+
+
+def index_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests of the two versions: what each added, removed, encoded."""
+    return _updated_index(spark, d).manifests().drop("date_created")
+
+
 def index_search(spark: SparkSession, d: str) -> DataFrame:
     """V5 on the stored index: every user turn's five best corpus rows."""
     req = _user_turns(spark, d)
@@ -418,6 +459,8 @@ QUERIES: dict[str, Query] = {
     "final_record": final_record,
     "index_build": index_build,
     "index_search": index_search,
+    "index_update": index_update,
+    "index_versions": index_versions,
     "update_response": update_response,
     "ticket_notes": ticket_notes,
     "stream_triage": stream_triage,

@@ -558,6 +558,27 @@ from incident i left join ci_alias a on upper(coalesce(i.configuration_item, '')
     "stream_updates": _q("select * from ticket_update_stream"),
     "stream_hits": _q("select * from request_hits"),
     "index_build": _q("select id, b as bucket, round(w, 6) as weight from sc_vec"),
+    "index_update": _q("select id, b as bucket, round(w, 6) as weight from sc_vec"),
+    "index_versions": _q(f"""
+, early as (
+select number, short_description, coalesce(case when assignment_group <> 'Database Team' then assignment_group end, {lit(rules.NOT_PROVIDED)}) as assignment_group,
+       coalesce(configuration_item, {lit(rules.NOT_PROVIDED)}) as configuration_item, {lit(rules.NO_RESOLUTION)} as resolution_notes
+from incident where short_description is not null),
+old_corpus as (
+select number as id, {lit(rules.SOURCE_INCIDENT)} as source, {render(rules.INCIDENT_TEXT_TEMPLATE)} as training_text, assignment_group, configuration_item,
+       {lit(rules.NOT_APPLICABLE)} as category from early
+union all
+select 'customer_' || c_custkey, 'customer', c_name || ' in ' || c_mktsegment, {lit(rules.NOT_PROVIDED)}, {lit(rules.NOT_PROVIDED)}, {lit(rules.NOT_APPLICABLE)} from customer),
+old_c as (select * from old_corpus where length(coalesce(training_text, '')) > {rules.MIN_TEXT_CHARS_EXCLUSIVE}),
+new_c as (select id, source, training_text, assignment_group, configuration_item, category from search_corpus),
+added as (select * from new_c except all select * from old_c),
+removed as (select * from old_c except all select * from new_c),
+m(model_name, embedding_dim) as (values ('hash-md5-64', 64))
+select 1 as version, model_name, embedding_dim, (select count(*) from old_c) as num_records, (select count(*) from old_c) as rows_added,
+       0 as rows_removed, (select count(distinct training_text) from old_c) as texts_encoded from m
+union all
+select 2, model_name, embedding_dim, (select count(*) from new_c), (select count(*) from added), (select count(*) from removed),
+       (select count(distinct training_text) from added where training_text not in (select training_text from old_c)) from m"""),
     "index_search": _q("""
 , is_s as (select ut_vec.id as qid, sc_vec.id as id, sum(ut_vec.w * sc_vec.w) as score
            from ut_vec join sc_vec using (b) group by 1, 2),
