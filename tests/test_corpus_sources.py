@@ -4,13 +4,16 @@ import html
 import json
 import os
 import tempfile
+import time
 from html.parser import HTMLParser
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from triagelake import rules
-from triagelake.functions.text import html_to_text, render
+from triagelake.functions.text import html_to_text, page_text, render
 from triagelake.operators import corpus as P
 from triagelake.sources import files
 from triagelake.sources.sinks import manifest
@@ -51,6 +54,55 @@ def test_html_to_text_matches_stdlib_parser(spark, sf_small):
         assert r["t"] == py_html_text(r["html"]), r["page_id"]
 
 
+class _Nodes(HTMLParser):
+    """Text nodes as they stand between tags, comments and declarations (stdlib)."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.nodes, self.node, self.skip = [], [], 0
+
+    def cut(self, *_):
+        if any(self.node):
+            self.nodes.append("".join(self.node))
+        self.node = []
+
+    handle_startendtag = handle_comment = handle_decl = unknown_decl = handle_pi = cut
+
+    def handle_starttag(self, tag, attrs):
+        self.cut()
+        self.skip += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        self.cut()
+        self.skip -= tag in ("script", "style") and self.skip > 0
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.node.append(data)
+
+
+PIECES = ["<p>", "</p>", '<a href="x>y">', "<a title='a>b' b=\"c>d\" e=f>", "text ", "a & b", "&amp;", "&lt;x&gt;", "<br/>", "<!-- c > -->", "<!DOCTYPE html>",
+          '<script>if (a<b) "</p>"</script>', "<style>x{}</style >", " < ", "<", "\n", ">", '"', "'", "<b x='>>' y=\"<\">", "<!---->", "<?php echo 1?>", "</ x>",
+          '<img ' + "".join(f'a{i}="{i}>{i}" ' for i in range(9)) + ">", "é", '<a href=x"y>z</a>', '<SCRIPT type="a>b">z</Script>', '<div  a = "b>c"  >', "<p/ >"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14))
+def test_page_text_is_the_stdlib_parsers(pieces):
+    page, p = "".join(pieces), _Nodes()
+    p.feed(page)
+    p.close()
+    p.cut()
+    assert page_text(page).strip() == "\n".join(p.nodes).strip()
+
+
+@pytest.mark.parametrize("page", ['<a b="' * 100_000, "<b>" * 300_000, "<a ='" * 100_000 + "'", "<!--" * 200_000, "<script>" * 100_000, "<a " * 200_000, '<a x=">" ' * 100_000])
+def test_page_text_is_linear(page):
+    t0 = time.time()
+    page_text(page)
+    assert time.time() - t0 < 5
+
+
 def test_entities_decoded_once(spark):
     df = spark.createDataFrame([("<p>a &amp;lt; b &copy; &quot;x&quot; &amp;</p>",)], "h string")
     assert df.select(html_to_text("h")).first()[0] == html.unescape("a &amp;lt; b &copy; &quot;x&quot; &amp;")

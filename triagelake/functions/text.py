@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import string
 
 import pandas as pd
@@ -76,17 +77,65 @@ def decode_entities(c: ColumnOrName) -> Column:
     return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
 
 
-# Elements whose text is not part of the readable page, and markup that is
-# not a text node; an unclosed one reaches to the end of the page, so that no
-# text is scanned twice. Quoted attribute values that hold a '>' are emptied
-# first (up to QUOTED of them per tag). Each tag then becomes one marker
-# character; runs of markers separate text nodes. No pattern repeats a group,
-# which the regex engine would do by recursion.
-_DROP_ELEMENTS = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
-_QUOTED_GT = r"""(<[a-zA-Z][^<>]*=\s*)(?:"[^"<>]*>[^"]*"|'[^'<>]*>[^']*')"""
-QUOTED = 3
-_TAG = r"<[^>]*>"
-_MARK = "\x01"
+# The states of a page: text, a tag (with its quoted values), a raw element, a
+# comment, a declaration. Each pattern runs once from where its state begins;
+# possessive repeats never go back, so a page is read in linear time.
+_TAG = re.compile(r"""</?[a-zA-Z](?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+(>?)""")
+_NAME = re.compile(r"<([a-zA-Z][^\s/>]*)")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in ("script", "style")}
+_COMMENT_END = re.compile(r"--!?>")
+
+
+def page_text(page: str) -> str:
+    """Text nodes of an HTML page, joined by a newline (see ``html_to_text``)."""
+    nodes, node, i = [], [], 0  # node: pieces of the text node that i is in
+    while True:
+        lt = page.find("<", i)
+        if lt < 0:
+            node.append(page[i:])
+            break
+        node.append(page[i:lt])
+        kind = page[lt + 1:lt + 2]
+        if kind == "!" and page.startswith("<!--", lt):
+            if page.startswith((">", "->"), lt + 4):  # an empty comment
+                i = page.index(">", lt + 4) + 1
+            else:
+                end = _COMMENT_END.search(page, lt + 4)
+                i = end.end() if end else len(page)
+        elif kind in ("!", "?"):
+            end = page.find(">", lt + 2)
+            i = end + 1 if end >= 0 else len(page)
+        elif kind == "/" or kind.isascii() and kind.isalpha():
+            tag = _TAG.match(page, lt)
+            if tag is None:  # "</" before no letter: a bogus comment
+                end = page.find(">", lt + 2)
+                i = end + 1 if end >= 0 else len(page)
+            else:
+                if not tag[1]:  # never closed: no tag
+                    node.append(page[lt:])
+                    break
+                i = tag.end()
+                name = _NAME.match(page, lt)
+                raw = _RAW_END.get(name[1].lower()) if name else None
+                if raw is not None:
+                    end = raw.search(page, i)
+                    i = end.start() if end else len(page)
+        else:  # a lone "<" is text
+            node.append("<")
+            i = lt + 1
+            continue
+        if any(node):
+            nodes.append("".join(node))
+        node = []
+    if any(node):
+        nodes.append("".join(node))
+    text = "\n".join(nodes)
+    return html.unescape(text) if "&" in text else text
+
+
+@F.pandas_udf(T.StringType())
+def _page_text(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda p: None if p is None else page_text(p))
 
 
 def html_to_text(c: ColumnOrName) -> Column:
@@ -94,13 +143,9 @@ def html_to_text(c: ColumnOrName) -> Column:
 
     Text nodes are joined by a newline (one newline per run of adjacent
     tags), script/style/comment/doctype content is dropped, entities are
-    decoded and the result is stripped.
+    decoded and the result is stripped. One Arrow pass over the pages.
     """
-    s = F.regexp_replace(_col(c), _DROP_ELEMENTS, "<x>")
-    for _ in range(QUOTED):
-        s = F.regexp_replace(s, _QUOTED_GT, '$1""')
-    s = F.regexp_replace(F.regexp_replace(s, _TAG, _MARK), _MARK + "+", "\n")
-    return pystrip(decode_entities(s))
+    return pystrip(_page_text(_col(c)))
 
 
 def html_title(c: ColumnOrName) -> Column:

@@ -65,7 +65,7 @@ def kb_export_rows(export: DataFrame, text_col: str = "value") -> DataFrame:
 
 def kb_from_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Title (the page's <title>) and readable body text of every page."""
-    return pages.withColumn("title", html_title(html_col)).withColumn("body", html_to_text(html_col))
+    return pages.withColumns({"title": html_title(html_col), "body": html_to_text(html_col)})
 
 
 def kb_training_text(df: DataFrame, null_text: str = "") -> DataFrame:

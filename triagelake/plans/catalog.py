@@ -39,23 +39,23 @@ def incident_clean(spark: SparkSession, d: str) -> DataFrame:
     return P.incident_training_text(P.clean_incidents(FX.incident(spark, d)))
 
 
-def _kb_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Title and body of every page; the raw HTML is dropped before the
-    ordinal's range shuffle and checkpoint, which then carry text only."""
-    pages = read_table(spark, d, "pages").select("page_id", "html")
-    return P.kb_from_pages(pages).select("page_id", "title", "body")
+def _kb_numbered(spark: SparkSession, d: str) -> DataFrame:
+    """Title, body, text and ordinal of every page. Only the ids are numbered;
+    the texts are made once and the ordinal is joined to them."""
+    pages = read_table(spark, d, "pages")
+    numbers = P.dense_ordinal(pages.select("page_id"), ["page_id"], "ordinal").withColumnRenamed("page_id", "_id")
+    texts = P.kb_training_text(P.kb_from_pages(pages.select("page_id", "html"))).drop("html")
+    return texts.join(numbers, F.col("page_id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
 def kb_text(spark: SparkSession, d: str) -> DataFrame:
-    kb = P.dense_ordinal(_kb_pages(spark, d), ["page_id"], "ordinal")
-    kb = P.kb_training_text(kb)
+    kb = _kb_numbered(spark, d)
     return kb.select("page_id", F.concat(F.lit(rules.KB_ID_PREFIX), F.col("ordinal").cast("string")).alias("id"),
                      "title", "body", "training_text")
 
 
 def _kb_corpus_rows(spark: SparkSession, d: str) -> DataFrame:
-    kb = P.kb_training_text(P.dense_ordinal(_kb_pages(spark, d), ["page_id"], "ordinal"))
-    return P.kb_to_corpus(kb)
+    return P.kb_to_corpus(_kb_numbered(spark, d))
 
 
 def corpus_union(spark: SparkSession, d: str) -> DataFrame:
