@@ -151,3 +151,11 @@ def test_ci_route(spark):
         F.monotonically_increasing_id()).collect()]
     assert sorted(got) == sorted(["retry_order", "sync_customer_data", rules.NO_CI_ROUTE,
                                   rules.NO_CI_ROUTE, "fix_asset_mismatch"])
+
+
+def test_answers_are_parsed_once(spark, sf_small):
+    from triagelake.plans.catalog import QUERIES
+    spark.conf.set("spark.sql.maxPlanStringLength", "10000000")
+    for name in ("prompt_payload", "decision_gate", "action_plan"):
+        plan = QUERIES[name](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1 and plan.count("regexp_extract") <= 4, name

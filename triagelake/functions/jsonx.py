@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ColumnOrName, _col, pystrip
+from .text import ColumnOrName, _col, let, pystrip
 
 _FENCE_JSON = "```json"
 _FENCE = "```"
@@ -19,13 +19,11 @@ _FENCE = "```"
 def strip_code_fence(c: ColumnOrName) -> Column:
     """Strip the text; if it then starts with a code fence, remove every
     fence marker and strip again."""
-    s = pystrip(_col(c))
-    no_json_fence = pystrip(F.replace(F.replace(s, F.lit(_FENCE_JSON), F.lit("")),
-                                      F.lit(_FENCE), F.lit("")))
-    no_fence = pystrip(F.replace(s, F.lit(_FENCE), F.lit("")))
-    return (F.when(s.startswith(_FENCE_JSON), no_json_fence)
-             .when(s.startswith(_FENCE), no_fence)
-             .otherwise(s))
+    bare = lambda s: F.replace(s, F.lit(_FENCE), F.lit(""))
+    return let(pystrip(_col(c)), lambda s: (
+        F.when(s.startswith(_FENCE_JSON), pystrip(bare(F.replace(s, F.lit(_FENCE_JSON), F.lit("")))))
+         .when(s.startswith(_FENCE), pystrip(bare(s)))
+         .otherwise(s)))
 
 
 def extract_object(c: ColumnOrName) -> Column:
@@ -44,10 +42,9 @@ def is_strict_object(j: ColumnOrName) -> Column:
     text a syntax error and a second value a second array element.
     """
     j = _col(j)
-    wrapped = F.concat(F.lit("["), j, F.lit("]"))
-    return (F.coalesce(j != F.lit(""), F.lit(False))
-            & F.try_parse_json(wrapped).isNotNull()
-            & (F.coalesce(F.json_array_length(wrapped), F.lit(0)) == F.lit(1)))
+    return F.coalesce(j != F.lit(""), F.lit(False)) & let(F.concat(F.lit("["), j, F.lit("]")), lambda wrapped: (
+        F.try_parse_json(wrapped).isNotNull()
+        & (F.coalesce(F.json_array_length(wrapped), F.lit(0)) == F.lit(1))))
 
 
 def object_keys(j: ColumnOrName) -> Column:

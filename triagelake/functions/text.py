@@ -5,9 +5,10 @@ from __future__ import annotations
 import html
 import re
 import string
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +21,19 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` evaluated once, however often ``fn`` names
+    it: a lambda variable, which the optimiser does not replace by its source."""
+    return F.transform(F.array(value), fn).getItem(0)
+
+
+def with_once(df: DataFrame, fields: Column) -> DataFrame:
+    """``df`` with the fields of a struct as columns, evaluated once per row: a
+    generator's output, which later projections and filters refer to instead
+    of evaluating its source again."""
+    return df.select("*", F.inline(F.array(fields)))
+
+
 def pystrip(c: ColumnOrName) -> Column:
     """Strip leading/trailing Unicode whitespace, like ``str.strip``.
 

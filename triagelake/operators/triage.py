@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import rules
 from ..functions import jsonx
-from ..functions.text import ColumnOrName, _col, empty_to_null, pystrip, render
+from ..functions.text import ColumnOrName, _col, empty_to_null, let, pystrip, render, with_once
 from ..session import ensure_conf
 
 # A decimal number as text: what a confidence may look like.
@@ -108,23 +108,18 @@ def parse_decision(df: DataFrame, output_col: str = "llm_output") -> DataFrame:
     number (a cast alone would also take suffixes and hexadecimal floats).
     """
     ensure_conf(df.sparkSession)
-    j = jsonx.extract_object(jsonx.strip_code_fence(output_col))
-    d = df.withColumn("_j", j)
-    ok = F.coalesce(jsonx.is_strict_object("_j"), F.lit(False))
-    parsed = F.from_json(F.col("_j"), _DECISION_SCHEMA, _JSON_OPTS)
-    has_action = jsonx.has_key("_j", "action")
-    has_conf = jsonx.has_key("_j", "confidence")
-    number = pystrip(parsed["confidence"])
-    conf_val = F.when(number.rlike(DECIMAL_NUMBER), number.try_cast("double"))
-    conf = F.when(~has_conf, F.lit(0.0)).otherwise(conf_val)
-    conf_ok = conf.isNotNull() & ~F.isnan(F.coalesce(conf, F.lit(0.0))) & \
-        (F.abs(F.coalesce(conf, F.lit(0.0))) != F.lit(float("inf")))
-    return (d.withColumn("json_ok", ok)
-             .withColumn("action", F.when(ok, F.when(has_action, parsed["action"]).otherwise(F.lit("none"))))
-             .withColumn("has_confidence", F.when(ok, has_conf))
-             .withColumn("confidence", F.when(ok, F.when(conf_ok, conf)))
-             .withColumn("confidence_ok", F.when(ok, conf_ok))
-             .withColumnRenamed("_j", "json_text"))
+    p = with_once(df, let(jsonx.extract_object(jsonx.strip_code_fence(output_col)), lambda j: F.struct(
+        j.alias("json_text"), F.coalesce(jsonx.is_strict_object(j), F.lit(False)).alias("json_ok"),
+        F.from_json(j, _DECISION_SCHEMA, _JSON_OPTS).alias("_fields"), jsonx.object_keys(j).alias("_keys"))))
+    has = lambda key: F.coalesce(F.array_contains("_keys", F.lit(key)), F.lit(False))
+    number = lambda text: F.when(text.rlike(DECIMAL_NUMBER), text.try_cast("double"))
+    finite = lambda x: F.when((x == x) & (F.abs(x) != F.lit(float("inf"))) & ~F.isnan(x), x)
+    value = F.when(~has("confidence"), F.lit(0.0)).otherwise(let(pystrip(F.col("_fields.confidence")), lambda t: let(number(t), finite)))
+    p = with_once(p, F.struct(
+        F.when(F.col("json_ok"), F.when(has("action"), F.col("_fields.action")).otherwise(F.lit("none"))).alias("action"),
+        F.when(F.col("json_ok"), has("confidence")).alias("has_confidence"),
+        F.when(F.col("json_ok"), value).alias("confidence")))
+    return p.withColumn("confidence_ok", F.when(F.col("json_ok"), F.col("confidence").isNotNull())).drop("_fields", "_keys")
 
 
 # -- T7: approval gate -----------------------------------------------------------
@@ -143,13 +138,11 @@ def check_payload(df: DataFrame, output_col: str = "llm_output") -> DataFrame:
     object with no 'error' key and with 'client_id' and 'line_items' keys
     (NULL values pass, as only key presence is checked)."""
     ensure_conf(df.sparkSession)
-    j = jsonx.extract_object(jsonx.strip_code_fence(output_col))
-    d = df.withColumn("payload_json", j)
-    ok = (F.coalesce(jsonx.is_strict_object("payload_json"), F.lit(False))
-          & ~jsonx.has_key("payload_json", "error")
-          & jsonx.has_key("payload_json", "client_id")
-          & jsonx.has_key("payload_json", "line_items"))
-    return d.withColumn("payload_ok", ok)
+    has = lambda keys, key: F.coalesce(F.array_contains(keys, F.lit(key)), F.lit(False))
+    right = lambda keys: ~has(keys, "error") & has(keys, "client_id") & has(keys, "line_items")
+    return with_once(df, let(jsonx.extract_object(jsonx.strip_code_fence(output_col)), lambda j: F.struct(
+        j.alias("payload_json"),
+        (F.coalesce(jsonx.is_strict_object(j), F.lit(False)) & let(jsonx.object_keys(j), right)).alias("payload_ok"))))
 
 
 # -- T2 + T5-T9: decision record ---------------------------------------------------
