@@ -26,7 +26,7 @@ from ..functions.text import pystrip
 from ..session import checkpoint_dir
 from ..operators.index import IndexStore, Snapshot
 from ..sources import fs
-from ..sources.files import keep_table
+from ..sources.files import keep_table, read_csv, write_csv
 from ..sources.tables import read_table, table_path
 from . import fixtures as FX
 
@@ -68,6 +68,14 @@ def corpus_filter(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "training_text", F.length("training_text").alias("n_chars"))
 
 
+def csv_scan(spark: SparkSession, d: str) -> DataFrame:
+    """S5 + S4: the documents written as CSV and read in byte ranges."""
+    docs = read_table(spark, d, "documents").select("doc_id", "source", "text")
+    path = os.path.join(checkpoint_dir(spark), f"csv-scan-{uuid.uuid4().hex}")
+    write_csv(docs, path)
+    return read_csv(spark, path, docs.schema)
+
+
 def corpus_drop_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents").select(F.col("text").alias("training_text"))
     return P.drop_stats(docs, "training_text")
@@ -424,6 +432,7 @@ QUERIES: dict[str, Query] = {
     "corpus_union": corpus_union,
     "corpus_filter": corpus_filter,
     "corpus_drop_stats": corpus_drop_stats,
+    "csv_scan": csv_scan,
     "embed_hash": embed_hash,
     "manifest": manifest,
     "topk_batch": topk_batch,

@@ -485,6 +485,8 @@ select count(*) as n_before,
        cast(sum(case when length(left(coalesce(text, ''), {rules.MAX_TEXT_CHARS})) > {rules.MIN_TEXT_CHARS_EXCLUSIVE} then 1 else 0 end) as bigint) as n_after,
        cast(sum(case when length(left(coalesce(text, ''), {rules.MAX_TEXT_CHARS})) > {rules.MIN_TEXT_CHARS_EXCLUSIVE} then 0 else 1 end) as bigint) as n_dropped
 from documents"""),
+    # CSV has no empty values besides NULL, and ends lines in one way
+    "csv_scan": _q("select doc_id, nullif(source, '') as source, nullif(replace(text, chr(13) || chr(10), chr(10)), '') as text from documents"),
     "embed_hash": _q("select id as doc_id, b as bucket, round(w, 6) as weight from dc_vec"),
     "manifest": _q("""
 select 'embeddings-table' as model_name, cast(max(len(embedding)) as integer) as embedding_dim,

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..operators.corpus import kb_export_rows
 from ..session import checkpoint_dir
+from . import csv_ranges
 
 
 def read_incidents(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -33,18 +34,16 @@ def read_kb_export(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              header: bool = True) -> DataFrame:
-    """CSV with quoted newlines and doubled quotes. A multi-line CSV
-    file cannot be split, so convert large inputs to Parquet once."""
-    r = (spark.read.option("header", header).option("multiLine", True)
-         .option("quote", '"').option("escape", '"'))
-    if schema is not None:
-        r = r.schema(schema)
-    return r.csv(path)
+    """CSV with quoted newlines and doubled quotes, in as many tasks as the
+    files have byte ranges (``sources.csv_ranges``)."""
+    return csv_ranges.parse(csv_ranges.csv_records(spark, path), schema, header)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV sink with a header; quotes doubled like pandas writes them."""
-    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """CSV sink with a header; quotes doubled and white space kept like
+    pandas writes them."""
+    (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
