@@ -118,6 +118,35 @@ def test_classifier_join_matches_when_chain(spark):
     assert got.columns == ["k", "t", "issue_type"] and got.count() == 4
 
 
+@pytest.mark.parametrize("chars", [1 << 30, 30])
+def test_many_rules_against_brute_force(spark, chars):
+    import random
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    kws = [(rng.randint(0, 9) if i % 7 else None, word(rng.randint(1, 4)) if i % 11 else None, f"c{i % 5}" if i % 13 else None) for i in range(60)]
+    kws += [(5, "", "all")] if chars > 100 else []
+    texts = [(i, word(rng.randint(0, 30)).upper() if i % 9 else None, "clash", "x") for i in range(300)]
+    df = spark.createDataFrame(texts, "c_0 long, t string, _text string, _found string").repartition(3)
+    rule_df = spark.createDataFrame(kws, "priority int, keyword string, category string")
+    got = {r["c_0"]: r["issue_type"] for r in TR.classify_issue_join(df, "t", rule_df, rule_chars=chars).collect()}
+    order = sorted((k for k in kws if k[1] is not None), key=lambda k: (k[0] is not None, k[0] or 0, k[1], k[2] is not None, k[2] or ""))
+    for i, t, *_ in texts:
+        first = next((c for _, k, c in order if k in (t or "").lower()), None)
+        assert got[i] == (first or "unknown"), (t, first)
+
+
+def test_a_hundred_thousand_rules(spark):
+    import time
+    rule_df = spark.range(100_000).select(F.col("id").cast("int").alias("priority"), F.concat(F.lit("key"), F.col("id").cast("string"), F.lit("!")).alias("keyword"),
+                                          F.concat(F.lit("c"), (F.col("id") % 100).cast("string")).alias("category"))
+    df = spark.range(2000).select("id", F.concat(F.lit("some text key"), F.col("id") * 50, F.lit("! and KEY"), F.col("id") * 51 + 7, F.lit("! end")).alias("t"))
+    start = time.time()
+    got = {r["id"]: r["issue_type"] for r in TR.classify_issue_join(df, "t", rule_df).collect()}
+    known = lambda n: n < 100_000
+    assert got == {i: f"c{min(x for x in (i * 50, i * 51 + 7) if known(x)) % 100}" if known(i * 50) or known(i * 51 + 7) else "unknown" for i in range(2000)}
+    assert time.time() - start < 60
+
+
 def test_confidence_must_be_a_decimal_number(spark):
     good = {"0.95": 0.95, " 0.95 ": 0.95, "1": 1.0, "9e-1": 0.9, ".5": 0.5, "5.": 5.0, "-0.1": -0.1}
     rows = [(v, '{"action":"update_order","confidence":"%s"}' % v) for v in [*good, "0.95d", "0.95f", "0x1p0", "1_0", "NaN", "Infinity", "high", ""]]

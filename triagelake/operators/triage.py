@@ -6,8 +6,10 @@ that bring responses and payloads to their requests.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,19 +58,80 @@ def classify_issue(text: ColumnOrName, keyword_rules=None) -> Column:
     return expr.otherwise(F.lit(rules.UNKNOWN_ISSUE))
 
 
+#: Characters of keywords in one automaton, and bytes that it may have as sent.
+RULE_CHARS = 16_000_000
+AUTOMATON_BYTES = 1 << 30
+
+
+def _automata(rule_df: DataFrame, chars: int) -> Iterator[tuple[bytes, list[str | None], int | None]]:
+    """Pickled Aho-Corasick automata of the rules in order, each of at most
+    about ``chars`` characters of keywords, with their rules' categories and
+    the place of an empty keyword. A keyword's value is that of its first rule."""
+    import ahocorasick
+    rules_in_order = rule_df.where("keyword IS NOT NULL").select("priority", "keyword", "category").orderBy("priority", "keyword", "category")
+    machine, categories, empty, size = ahocorasick.Automaton(), [], None, 0
+
+    def sealed():
+        if len(machine):
+            machine.make_automaton()
+        blob = pickle.dumps(machine if len(machine) else None)
+        if len(blob) > AUTOMATON_BYTES:
+            raise ValueError(f"an automaton of {len(blob)} bytes; lower RULE_CHARS")
+        return blob, categories, empty
+    for r in rules_in_order.toLocalIterator():
+        if not r["keyword"]:
+            empty = len(categories) if empty is None else empty
+        elif r["keyword"] not in machine:
+            machine.add_word(r["keyword"], len(categories))
+        categories.append(r["category"])
+        size += len(r["keyword"])
+        if size >= chars:
+            yield sealed()
+            machine, categories, empty, size = ahocorasick.Automaton(), [], None, 0
+    if categories:
+        yield sealed()
+
+
+def _first_rules(blob, names: list[str]):
+    """Arrow function: the category of the first rule whose keyword is in the
+    lower-cased text (last column but one), for rows without one so far."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, categories, empty = blob.value
+        machine = pickle.loads(packed)
+        for batch in batches:
+            out = []
+            for text, found in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if found is None:
+                    first = min((place for _, place in machine.iter(text)), default=None) if machine is not None else None
+                    if empty is not None and (first is None or empty < first):
+                        first = empty
+                    found = None if first is None else {"category": categories[first]}
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.struct([("category", pa.string())]))], names)
+    return run
+
+
 def classify_issue_join(df: DataFrame, text_col: str, rule_df: DataFrame,
-                        out_col: str = "issue_type") -> DataFrame:
+                        out_col: str = "issue_type", rule_chars: int = RULE_CHARS) -> DataFrame:
     """J5 for rules given as a table (priority, keyword, category): every row
     of ``df`` with its category added; no row is merged or shuffled.
 
-    The rules are one array (a scalar subquery: a rule list is small); a row
-    takes the matching rule of the lowest priority, 'unknown' without one."""
-    rules_of = rule_df.where("keyword IS NOT NULL").agg(
-        F.collect_list(F.struct("priority", "keyword", "category"))).scalar()
-    t = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    first = F.array_min(F.filter(F.col("_rules"), lambda r: t.contains(r["keyword"])))
-    return (df.withColumn("_rules", rules_of)
-            .withColumn(out_col, F.coalesce(first["category"], F.lit(rules.UNKNOWN_ISSUE))).drop("_rules"))
+    A row takes the category of the matching rule of the lowest priority,
+    'unknown' without one. The rules become an Aho-Corasick automaton, so a
+    text is read once however many rules there are; more than ``rule_chars``
+    characters of keywords become several automata that the rows pass in rule
+    order. Rules without a keyword are left out, an empty keyword is in every
+    text; an automaton's size is checked before it is sent."""
+    spark = df.sparkSession
+    names = df.columns
+    # inner names by place, so that no column of the caller can clash
+    inner = df.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(names)],
+                      F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("_text"),
+                      F.lit(None).cast("struct<category:string>").alias("_found"))
+    for machine in _automata(rule_df, rule_chars):
+        inner = inner.mapInArrow(_first_rules(spark.sparkContext.broadcast(machine), inner.columns), inner.schema)
+    given = [F.col(f"c_{i}").alias(c) for i, c in enumerate(names) if c != out_col]
+    return inner.select(*given, F.coalesce("_found.category", F.lit(rules.UNKNOWN_ISSUE)).alias(out_col))
 
 
 # -- T2: network deny rule -----------------------------------------------------
