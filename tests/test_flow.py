@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from triagelake import rules
@@ -185,3 +187,60 @@ def test_stream_search_equals_batch_search(spark, sf_small):
     batch = CAT.request_hits(spark, sf_small)
     assert sorted(map(tuple, streamed.select(batch.columns).collect())) == sorted(map(tuple, batch.collect()))
     assert spark.read.parquet(os.path.join(out, "context")).count() == batch.select("request_id").distinct().count()
+
+
+def _requests(spark, rows):
+    return spark.createDataFrame([(i, "retry order", "OSM", t, None, None) for i, t in rows],
+                                 "request_id long, query string, configuration_item string, ticket_id string, sys_id string, top_k int")
+
+
+def _drain(spark, base, rows_by_batch, **kw):
+    """Run batches one after the other; returns the updates' (batch, ticket, request)."""
+    resp = spark.createDataFrame([(i, '{"action":"update_order","confidence":0.95}') for i in range(100)], "request_id long, llm_output string")
+    for rows in rows_by_batch:
+        _requests(spark, rows).coalesce(1).write.mode("append").parquet(os.path.join(base, "in"))
+        S.start_triage_stream(spark, os.path.join(base, "in"), os.path.join(base, "out"), resp, checkpoint=os.path.join(base, "cp"), **kw).awaitTermination()
+    u = S.read_committed(spark, os.path.join(base, "out"), "ticket_updates")
+    return sorted({(r["batch_id"], r["ticket_key"], r["request_id"]) for r in u.collect()})
+
+
+def test_a_ticket_is_updated_by_later_requests_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "STATE_PARTS", 2)  # the state is merged on the way
+    batches = [[(5, "A"), (3, "A"), (4, "B")], [(4, "A"), (9, "B"), (1, None)], [(6, "A"), (8, "B"), (2, "C")], [(5, "A")], [(7, "A"), (7, "B"), (3, "C")]]
+    got = _drain(spark, str(tmp_path), batches)
+    assert got == [(0, "A", 5), (0, "B", 4), (1, "B", 9), (2, "A", 6), (2, "C", 2), (4, "A", 7), (4, "C", 3)]
+    assert all(len(c["state"]) <= 3 for c in S.commits(spark, os.path.join(str(tmp_path), "out")).values())
+
+
+def test_state_expires(spark, tmp_path):
+    got = _drain(spark, str(tmp_path), [[(5, "A")], [(50, "B")], [(51, "B")], [(4, "A")]], expire_batches=2)
+    assert got == [(0, "A", 5), (1, "B", 50), (2, "B", 51), (3, "A", 4)]
+
+
+def test_a_batch_counts_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    base, write = str(tmp_path), S._write
+    first = _drain(spark, base, [[(5, "A"), (6, "B")]])
+
+    def dies(df, path, batch_id):
+        if path.endswith("ticket_updates"):
+            raise RuntimeError("lost")
+        write(df, path, batch_id)
+    monkeypatch.setattr(S, "_write", dies)
+    with pytest.raises(Exception, match="lost"):
+        _drain(spark, base, [[(7, "A")]])
+    out = os.path.join(base, "out")
+    # the batch wrote outcomes and other tables, but no reader sees any of them
+    assert os.path.exists(os.path.join(out, "outcomes", "batch_id=1"))
+    assert sorted(S.commits(spark, out)) == [0]
+    for table in ("outcomes", "decisions", "ticket_updates"):
+        assert [r[0] for r in S.read_committed(spark, out, table).select("batch_id").distinct().collect()] == [0]
+    monkeypatch.undo()
+    assert _drain(spark, base, [[(3, "A")]]) == [*first, (1, "A", 7)]  # replayed whole; 3 is older than 7
+    assert sorted(S.commits(spark, out)) == [0, 1, 2]
+
+
+def test_only_the_tables_asked_for(spark, tmp_path):
+    _drain(spark, str(tmp_path), [[(5, "A")]], tables=("ticket_updates",))
+    assert not os.path.exists(os.path.join(str(tmp_path), "out", "decisions"))
+    with pytest.raises(ValueError, match="decisions"):
+        S.read_committed(spark, os.path.join(str(tmp_path), "out"), "decisions")

@@ -12,7 +12,7 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -401,11 +401,11 @@ def final_record(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, d: str, table: str, index: bool = False) -> DataFrame:
-    from ..streaming.stream import run_stream_once
+    from ..streaming.stream import read_committed, run_stream_once
     out = run_stream_once(spark, FX.request(spark, d), FX.response(spark, d), FX.payload(spark, d),
                           FX.action_result(spark, d), answers=_answers(spark, d),
-                          index=search_index(spark, d) if index else None)
-    return spark.read.parquet(os.path.join(out, table)).drop("batch_id")
+                          index=search_index(spark, d) if index else None, tables=(table,))
+    return read_committed(spark, out, table).drop("batch_id")
 
 
 def stream_triage(spark: SparkSession, d: str) -> DataFrame:
@@ -414,11 +414,25 @@ def stream_triage(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, d, "decisions").drop("query", "configuration_item", "ticket_key")
 
 
+def _update_columns(u: DataFrame, *more: Column) -> DataFrame:
+    return u.select(*more, "ticket_key", "request_id", "seq", "update_type", "state", "close_notes", "work_notes",
+                    F.col("fields")[rules.AI_SUGGESTION_FIELD].alias("ai_suggestion"))
+
+
 def stream_updates(spark: SparkSession, d: str) -> DataFrame:
     """The ticket updates the stream wrote."""
-    u = _streamed(spark, d, "ticket_updates")
-    return u.select("ticket_key", "request_id", "seq", "update_type", "state", "close_notes", "work_notes",
-                    F.col("fields")[rules.AI_SUGGESTION_FIELD].alias("ai_suggestion"))
+    return _update_columns(_streamed(spark, d, "ticket_updates"))
+
+
+def stream_ticket_state(spark: SparkSession, d: str) -> DataFrame:
+    """X2 across batches: many requests per ticket, in four batches that are
+    not in request order; a ticket's update in a batch is that of its latest
+    request there, if no batch before applied a later one."""
+    from ..streaming.stream import read_committed, run_stream_once
+    out = run_stream_once(spark, FX.request_by_user(spark, d), FX.response(spark, d), FX.payload(spark, d), FX.action_result(spark, d),
+                          answers=_answers(spark, d), tables=("ticket_updates",), arrival=F.pmod(F.col("request_id") * 7 + 2, F.lit(4)))
+    u = read_committed(spark, out, "ticket_updates")
+    return _update_columns(u, F.col("batch_id").cast("int").alias("batch_id"))
 
 
 def stream_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -474,5 +488,6 @@ QUERIES: dict[str, Query] = {
     "ticket_notes": ticket_notes,
     "stream_triage": stream_triage,
     "stream_updates": stream_updates,
+    "stream_ticket_state": stream_ticket_state,
     "stream_hits": stream_hits,
 }

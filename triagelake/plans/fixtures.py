@@ -81,6 +81,13 @@ def request(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def request_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests with one ticket per user, so that a ticket has many."""
+    ids = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("_e"), "user_id")
+    r = request(spark, sf_dir).join(ids, F.col("request_id") == F.col("_e"))
+    return r.withColumn("ticket_id", _inc_key("user_id")).withColumn("sys_id", F.lit(None).cast("string")).drop("_e", "user_id")
+
+
 _NL = "\n"
 
 

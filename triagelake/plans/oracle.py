@@ -116,7 +116,14 @@ select 'INC' || lpad(cast(o_orderkey as varchar(20)), 7, '0') as number,
        case o_orderkey % 4 when 0 then null else 'Closed as ' || o_orderpriority end as resolution_notes
 from orders join customer on o_custkey = c_custkey)"""
 
-V_REQUEST = """
+_TICKET = """case event_id % 5 when 0 then '' when 1 then null
+         else 'INC' || lpad(cast(event_id as varchar(20)), 7, '0') end"""
+_SYS_ID = """case event_id % 5 when 0 then 'INC' || lpad(cast(event_id as varchar(20)), 7, '0')
+         else null end"""
+
+
+def v_request(ticket: str = _TICKET, sys_id: str = _SYS_ID) -> str:
+    return f"""
 request as (
 select event_id as request_id,
        case event_id % 8
@@ -130,10 +137,8 @@ select event_id as request_id,
        case event_id % 7
          when 0 then 'rod-osm' when 1 then 'SIE-CRM' when 2 then 'BRM' when 3 then 'OurTelco'
          when 4 then 'OSM' when 5 then 'printer' else null end as configuration_item,
-       case event_id % 5 when 0 then '' when 1 then null
-         else 'INC' || lpad(cast(event_id as varchar(20)), 7, '0') end as ticket_id,
-       case event_id % 5 when 0 then 'INC' || lpad(cast(event_id as varchar(20)), 7, '0')
-         else null end as sys_id,
+       {ticket} as ticket_id,
+       {sys_id} as sys_id,
        case when event_id % 4 = 0 then null else cast(event_id % 4 as int) end as top_k
 from events)"""
 
@@ -440,7 +445,7 @@ EMB = """
 emb_v as (select vec_id, label, embedding::DOUBLE[] as e,
                  sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) as n from embeddings)"""
 
-PREFIX = _with(V_INCIDENT, V_REQUEST, V_RESPONSE, V_PAYLOAD, V_ACTION_RESULT, REQ_CLEAN, INC_CLEAN, KB,
+PREFIX = _with(V_INCIDENT, v_request(), V_RESPONSE, V_PAYLOAD, V_ACTION_RESULT, REQ_CLEAN, INC_CLEAN, KB,
                CORPUS, SEARCH, PARSE, OUTCOME, STREAM, EMB,
                _topk_sql("tk_batch"), _topk_sql("tk_self", exclude_self=True),
                _topk_sql("tk_perk", per_query_k=True),
@@ -453,6 +458,11 @@ def _q(body: str) -> str:
     return PREFIX + body
 
 
+#: The triage views over requests with one ticket per user.
+BY_USER = _with(v_request("'INC' || lpad(cast(user_id as varchar(20)), 7, '0')", "cast(null as varchar)"), V_RESPONSE, V_PAYLOAD, V_ACTION_RESULT,
+                REQ_CLEAN, PARSE, OUTCOME)
+
+
 _HIT_META = f"""
 select t.qid, t.rank, case when d.doc_id is not null then cast(t.id as varchar) else {lit(rules.RECORD_ID_PREFIX)} || cast(t.id as varchar) end as id,
        round(t.score, 4) as similarity_score,
@@ -559,6 +569,10 @@ from incident i left join ci_alias a on upper(coalesce(i.configuration_item, '')
     "stream_triage": _q("select * from decisions"),
     "stream_updates": _q("select * from ticket_update_stream"),
     "stream_hits": _q("select * from request_hits"),
+    "stream_ticket_state": BY_USER + """
+, latest as (select ticket_key, (request_id * 7 + 2) % 4 as batch_id, max(request_id) as request_id from request_clean where ticket_key is not null group by 1, 2),
+before as (select *, max(request_id) over (partition by ticket_key order by batch_id rows between unbounded preceding and 1 preceding) as earlier from latest)
+select u.*, cast(b.batch_id as integer) as batch_id from ticket_update u join before b using (ticket_key, request_id) where earlier is null or b.request_id > earlier""",
     "index_build": _q("select id, b as bucket, round(w, 6) as weight from sc_vec"),
     "index_update": _q("select id, b as bucket, round(w, 6) as weight from sc_vec"),
     "index_versions": _q(f"""
