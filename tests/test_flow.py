@@ -244,3 +244,53 @@ def test_only_the_tables_asked_for(spark, tmp_path):
     assert not os.path.exists(os.path.join(str(tmp_path), "out", "decisions"))
     with pytest.raises(ValueError, match="decisions"):
         S.read_committed(spark, os.path.join(str(tmp_path), "out"), "decisions")
+
+
+def test_equal_prompts_are_asked_once(spark, tmp_path):
+    calls, store = spark.sparkContext.accumulator(0), str(tmp_path / "answers")
+    broken = spark.sparkContext.accumulator(0)
+
+    def model(prompts):
+        calls.add(len(prompts))
+        if "bad" in prompts:
+            broken.add(1)
+            raise ValueError("down")
+        return [p.upper() for p in prompts]
+    df = spark.createDataFrame([(i, "decision", f"prompt {i % 5}") for i in range(50)] + [(50, "x", None), (51, "x", "")], "request_id long, kind string, prompt string")
+    got = {r["request_id"]: r["llm_output"] for r in C.complete_once(df, model, store).collect()}
+    assert got == {**{i: f"PROMPT {i % 5}" for i in range(50)}, 50: None, 51: ""}
+    assert calls.value == 6
+    again = C.complete_once(df, model, store).collect()
+    assert calls.value == 6 and len(again) == 52  # a rerun calls the function zero times
+    more = df.unionByName(spark.createDataFrame([(60, "decision", "prompt 9"), (61, "decision", "bad")], df.schema))
+    got = {r["request_id"]: r["llm_output"] for r in C.complete_once(more, model, store).collect()}
+    assert got[60] == "PROMPT 9" and got[61].startswith(rules.MODEL_ERROR_PREFIX) and got[3] == "PROMPT 3"
+    before = broken.value
+    C.complete_once(more, model, store)
+    assert broken.value > before  # an error is not kept
+    os.makedirs(os.path.join(store, "run-died"))  # a run that died: no part of it is read
+    assert len(C.complete_once(df, model, store).collect()) == 52
+
+
+def test_notes_of_a_hot_ticket_are_numbered_in_many_tasks(spark):
+    from triagelake.operators.corpus import number_within
+    rows = [("HOT" if i % 3 == 0 else f"T{i % 50}", i, s, f"note {i}.{s}") for i in range(900) for s in (1, 2)] + [(None, 1, 1, "a"), (None, 2, 1, "b")]
+    u = spark.createDataFrame(rows, "ticket_key string, request_id long, seq int, work_notes string").repartition(7)
+    got = sorted((r["ticket_key"] or "", r["note_no"], r["work_notes"]) for r in O.ticket_notes(u).collect())
+    by = {}
+    for t, i, s, n in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        by.setdefault(t or "", []).append(n)
+    assert got == sorted((t, n + 1, x) for t, xs in by.items() for n, x in enumerate(xs))
+    same = spark.range(600).select(F.lit("one").alias("k"), F.lit(1).alias("o"))  # equal rows are spread too
+    numbered = number_within(same, "k", ["o"], "no", num_partitions=6)
+    assert sorted(r["no"] for r in numbered.collect()) == list(range(1, 601))
+
+
+def test_counts_of_a_write(spark, tmp_path):
+    from triagelake.operators import corpus as P
+    from triagelake.sources.sinks import write_with_manifest
+    df = spark.createDataFrame([(1, "a" * 11), (2, "short"), (3, None)], "id long, training_text string")
+    assert P.write_prepared(df, str(tmp_path / "p")) == {"n_before": 3, "n_after": 1, "n_dropped": 2}
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 1
+    e = spark.createDataFrame([(1, [0.5, 1.0])], "id long, embedding array<float>")
+    assert write_with_manifest(e, str(tmp_path / "e"), model_name="m") == {"model_name": "m", "num_records": 1, "embedding_dim": 2}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.files import keep_table
+from ..sources.tables import keep_table
 
 #: Most cells, and most numbers that their heads may have together.
 MAX_CELLS = 2048

@@ -8,6 +8,7 @@ prompts table with ``mapInPandas`` when answers are produced in-job.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import pystrip, render
+from ..sources import fs
 from . import triage
 
 
@@ -117,3 +119,25 @@ def complete_with(prompts: DataFrame, fn: Callable[[list[str]], list[str]],
             yield pd.DataFrame({key: pdf[key], "kind": pdf["kind"], "llm_output": out})
     schema = f"{key} {prompts.schema[key].dataType.simpleString()}, kind string, llm_output string"
     return prompts.select(key, "kind", "prompt").mapInPandas(run, schema)
+
+
+def complete_once(prompts: DataFrame, fn: Callable[[list[str]], list[str]], store: str, key: str = "request_id") -> DataFrame:
+    """R7 / F3 with a memory: answers are kept at ``store`` by the SHA-256 of
+    their prompt, and only prompts without an answer there are asked, equal
+    ones once. Each run appends what it asked, as one job, so a run that dies
+    keeps nothing and a lost executor repeats its own prompts only. Error
+    texts are returned but not kept: the next run asks again. Returns what
+    ``complete_with`` returns."""
+    spark = prompts.sparkSession
+    schema = "digest string, llm_output string"
+    p = prompts.select(key, "kind", "prompt", F.sha2("prompt", 256).alias("digest"))
+    wanted = p.where("digest IS NOT NULL").groupBy("digest").agg(F.max("prompt").alias("prompt"))
+    is_error = F.col("llm_output").startswith(rules.MODEL_ERROR_PREFIX)
+    parts = [f"{store}/{n}" for n in fs.names(spark, store) if fs.names(spark, f"{store}/{n}") and "_SUCCESS" in fs.names(spark, f"{store}/{n}")]
+    known = spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+    open_ = wanted.join(known.where(~is_error), "digest", "left_anti")
+    asked = complete_with(open_.withColumn("kind", F.lit("")), fn, key="digest").select("digest", "llm_output")
+    part = f"{store}/run-{uuid.uuid4().hex}"
+    asked.write.parquet(part)
+    answers = known.where(~is_error).unionByName(spark.read.schema(schema).parquet(part)).groupBy("digest").agg(F.any_value("llm_output").alias("llm_output"))
+    return p.join(answers, "digest", "left").select(key, "kind", "llm_output")

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..session import checkpoint_dir
+from ..sources.tables import keep_table
 from ..functions.text import as_text, html_title, html_to_text, render
 
 INCIDENT_COLUMNS = ["number", "short_description", "assignment_group",
@@ -113,6 +114,34 @@ def dense_ordinal(df: DataFrame, order_cols: Sequence[str], out_col: str = "ordi
              .drop("_pid", "_mid"))
 
 
+def number_within(df: DataFrame, key: str, order_cols: Sequence[str], out_col: str, start: int = 1,
+                  num_partitions: int | None = None) -> DataFrame:
+    """Number the rows of each ``key`` from ``start`` in ``order_cols`` order.
+
+    A segmented prefix sum: rows are range-partitioned by (key, order), so a
+    key with a third of all rows lies in many partitions; every partition
+    counts its rows per key, the counts of earlier partitions are added up,
+    and a row's number is that sum plus its place among its partition's rows.
+    The sorted rows are written once. Rows that are equal in key and order
+    are numbered in any order, but spread by a number of their own, so that
+    repeated rows do not share one partition either.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [key, *order_cols, "_tie"]
+    # the tie number is fixed by a write, as sampling and shuffle both read it
+    rows = keep_table(df.withColumn("_tie", F.monotonically_increasing_id()), "unnumbered")
+    rows = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    place = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    rows = keep_table(rows.drop("_tie").withColumns({"_pid": F.spark_partition_id(), "_place": place}), "numbered")
+    cells = rows.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    earlier = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(F.col("_pid").alias("_p"), F.col(key).alias("_key"),
+                         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_base"))
+    return (rows.join(cells, (F.col("_pid") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_key")))
+            .withColumn(out_col, F.col("_place") + F.col("_base") + F.lit(start)).drop("_pid", "_place", "_p", "_key", "_base"))
+
+
 # -- P4-P6, U1: unified corpus -------------------------------------------------
 
 def _col_or(df: DataFrame, name: str, default: str) -> Column:
@@ -162,6 +191,17 @@ def prepare_text(df: DataFrame, text_col: str = "training_text",
     return df.withColumn(text_col, t).where(F.length(text_col) > F.lit(min_chars_exclusive))
 
 
+def write_prepared(df: DataFrame, path: str, text_col: str = "training_text", max_chars: int | None = rules.MAX_TEXT_CHARS) -> dict[str, int]:
+    """Write ``prepare_text``'s rows and return the counts of that same pass
+    (A1, A2): n_before, n_after, n_dropped."""
+    before, after = Observation(), Observation()
+    count = F.count(F.lit(1)).alias("n")
+    kept = prepare_text(df.observe(before, count), text_col, max_chars).observe(after, count)
+    kept.write.mode("overwrite").parquet(path)
+    n, m = before.get["n"], after.get["n"]
+    return {"n_before": n, "n_after": m, "n_dropped": n - m}
+
+
 def drop_stats(df: DataFrame, text_col: str = "training_text",
                max_chars: int = rules.MAX_TEXT_CHARS,
                min_chars_exclusive: int = rules.MIN_TEXT_CHARS_EXCLUSIVE) -> DataFrame:

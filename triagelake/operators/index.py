@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import fs
-from ..sources.files import keep_table
+from ..sources.tables import keep_table
 from . import cells as C
 from . import vectors as V
 

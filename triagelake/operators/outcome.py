@@ -7,12 +7,13 @@ read what came back, and ``ticket_updates`` is the table of PATCH bodies.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import jsonx
 from ..functions.text import ColumnOrName, _col, empty_to_null, fmt_fixed, pystrip, render
+from .corpus import number_within
 
 # -- J3 / T12 / O1 / O2 ---------------------------------------------------------
 
@@ -270,11 +271,12 @@ def apply_updates(tickets: DataFrame, updates: DataFrame, ticket_col: str = "num
 
 def ticket_notes(updates: DataFrame, key: str = "request_id") -> DataFrame:
     """O13, the notes of every ticket in the order of the calls: ticket_key,
-    note_no (from 1), work_notes. Rows, not one folded value per ticket, so a
-    ticket with very many notes is sorted with spilling and never collected."""
-    w = Window.partitionBy("ticket_key").orderBy(key, "seq")
-    return (updates.where(F.col("work_notes").isNotNull())
-            .select("ticket_key", F.row_number().over(w).alias("note_no"), "work_notes"))
+    note_no (from 1), work_notes. Rows, not one folded value per ticket, and
+    numbered across range partitions, so a ticket with a third of all notes is
+    the work of many tasks."""
+    notes = updates.where(F.col("work_notes").isNotNull()).select("ticket_key", F.col(key).alias("_at"), "seq", "work_notes")
+    return number_within(notes, "ticket_key", ["_at", "seq"], "note_no").select(
+        "ticket_key", F.col("note_no").cast("int").alias("note_no"), "work_notes")
 
 
 # -- J6 / A4 ------------------------------------------------------------------------------

@@ -26,8 +26,9 @@ from ..functions.text import pystrip
 from ..session import checkpoint_dir
 from ..operators.index import IndexStore, Snapshot
 from ..sources import fs
-from ..sources.files import keep_table, read_csv, write_csv
-from ..sources.tables import read_table, table_path
+from ..sources.files import read_csv, write_csv
+from ..sources.sinks import write_with_manifest
+from ..sources.tables import keep_table, read_table, table_path
 from . import fixtures as FX
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,8 +78,10 @@ def csv_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_drop_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents").select(F.col("text").alias("training_text"))
-    return P.drop_stats(docs, "training_text")
+    """A1 + A2: the counts of the pass that writes the filtered corpus."""
+    docs = read_table(spark, d, "documents").select("doc_id", F.col("text").alias("training_text"))
+    seen = P.write_prepared(docs, os.path.join(checkpoint_dir(spark), f"corpus-filter-{uuid.uuid4().hex}"))
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(c) for c, n in seen.items()])
 
 
 def search_corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -163,9 +166,11 @@ def embed_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.sinks import manifest as build_manifest
-    e = read_table(spark, d, "embeddings").select("embedding")
-    return build_manifest(e, "embedding", model_name="embeddings-table").drop("date_created")
+    """S6 + S7: the manifest of an embedding dataset, from its write."""
+    e = read_table(spark, d, "embeddings")
+    m = write_with_manifest(e, os.path.join(checkpoint_dir(spark), f"embeddings-{uuid.uuid4().hex}"), model_name="embeddings-table")
+    return spark.range(1).select(F.lit(m["model_name"]).alias("model_name"), F.lit(m["embedding_dim"]).cast("int").alias("embedding_dim"),
+                                 F.lit(m["num_records"]).cast("long").alias("num_records"))
 
 
 def _vectors(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -277,6 +282,21 @@ def assign_group(spark: SparkSession, d: str) -> DataFrame:
                                requests=request_clean(spark, d))
 
 
+def _model(prompts: list[str]) -> list[str]:
+    """A stand-in completion function: the prompt's digest as its answer."""
+    return [f" answer {hashlib.md5(p.encode()).hexdigest()}" for p in prompts]
+
+
+def completion_once(spark: SparkSession, d: str) -> DataFrame:
+    """R7 + F3 + R8: decision prompts answered in two runs over one store of
+    answers; the second asks nothing."""
+    prompts = C.decision_prompts(request_clean(spark, d))
+    store = os.path.join(checkpoint_dir(spark), f"answers-{uuid.uuid4().hex}")
+    C.complete_once(prompts, _model, store)
+    again = C.complete_once(prompts, lambda p: [f"{rules.MODEL_ERROR_PREFIX} asked again"] * len(p), store)
+    return C.attach_responses(prompts, again).drop("prompt")
+
+
 def response_clean(spark: SparkSession, d: str) -> DataFrame:
     prompts = C.decision_prompts(request_clean(spark, d))
     resp = FX.response(spark, d).withColumn("kind", F.lit("decision"))
@@ -466,6 +486,7 @@ QUERIES: dict[str, Query] = {
     "prompt_payload": prompt_payload,
     "assign_group": assign_group,
     "response_clean": response_clean,
+    "completion_once": completion_once,
     "issue_class": issue_class,
     "issue_class_rules": issue_class_rules,
     "network_deny": network_deny,

@@ -552,6 +552,10 @@ select r.request_id, 'decision' as kind, {strip('s.llm_output')} as answer,
        s.llm_output is null as missing
 from request_clean r left join response s using (request_id)
 where not {denied(classify('r.query'), 'r.configuration_item')}"""),
+    "completion_once": _q(f"""
+select request_id, 'decision' as kind, 'answer ' || md5({render(rules.DECISION_PROMPT, actions=lit(', '.join(rules.AUTO_APPROVED_ACTIONS)))}) as answer,
+       false as is_error, false as missing
+from request_clean where not {denied(classify('query'), 'configuration_item')}"""),
     "issue_class": _q(f"select number, {classify('short_description')} as issue_type from incident"),
     "issue_class_rules": _q(f"""
 select case when number like '%0' then null else left(number, 9) end as number, {classify('short_description')} as issue_type from incident"""),

@@ -3,16 +3,12 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators.corpus import kb_export_rows
-from ..session import checkpoint_dir
 from . import csv_ranges
 
 
@@ -61,10 +57,3 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-
-def keep_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once below the session's shared checkpoint folder and read
-    back: cuts the lineage, survives lost executors, and has a known size."""
-    path = os.path.join(checkpoint_dir(df.sparkSession), "tables", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
