@@ -1,17 +1,20 @@
 """URL filters by path-template trees.
 
 Per host, paths are cut into segments; variable segments become wildcards, so
-paths fall together into templates. Branches of a node whose labels are
-statistically alike are merged, and a template is rejected if the smoothed
-share of blocked pages of its branch is high. Labels are the verdicts of the
-rules; a page under a rule takes the rule's verdict.
+paths fall together into templates. At every level, sibling branches that are
+statistically alike in structure (what follows, how often, how many pages) and
+in their labels are merged. A template is rejected if the blocked share of its
+branch's labelled pages, smoothed level by level from the domain and the host
+down, is high; a branch without labels has what its parent tells, pulled to the
+prior by the share of the parent's pages that have none. Labels are the
+verdicts of the rules; a page under a rule takes the rule's verdict.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep, read
@@ -33,7 +36,7 @@ LEAST_PAGES = 50
 PSEUDO = 4.0
 PRIOR = 0.25
 REJECT = 0.75
-#: Two branches are alike if their blocked shares differ by less than this many standard errors.
+#: Two branches are alike if their shares and counts differ by less than this many standard errors.
 ALIKE = 1.96
 SCHEME = "://"
 
@@ -103,25 +106,80 @@ def templates(paths: DataFrame) -> DataFrame:
     return tree.drop("seg")
 
 
+def domain_of(host: Column) -> Column:
+    """The last two labels of a host."""
+    return F.substring_index(host, ".", -2)
+
+
+def _evidence(purity: Column, labelled: Column, n: Column) -> Column:
+    """What a branch tells its children: its purity, pulled to PRIOR by the
+    share of its pages that have no label."""
+    covered = labelled / n
+    return covered * purity + (1 - covered) * PRIOR
+
+
+def _smoothed(blocked: Column, labelled: Column, above: Column) -> Column:
+    return (blocked + PSEUDO * above) / (labelled + PSEUDO)
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Whether two branches (n, labelled, blocked, wild, ends) are statistically
+    alike: the shares of pages that go on with a whole wildcard, or end, differ by
+    less than ALIKE standard errors, and so do the page counts and, if both
+    have labels, the blocked shares."""
+    def near(x: Column, nx: Column, y: Column, ny: Column) -> Column:
+        both = (x + y) / (nx + ny)
+        error = F.sqrt(both * (1 - both) * (1 / nx + 1 / ny)) + 0.5 * (1 / nx + 1 / ny)
+        return F.abs(x / nx - y / ny) <= ALIKE * error
+    labels = F.when((a["labelled"] > 0) & (b["labelled"] > 0), near(a["blocked"], a["labelled"], b["blocked"], b["labelled"])).otherwise(F.lit(True))
+    return (near(a["wild"], a["n"], b["wild"], b["n"]) & near(a["ends"], a["n"], b["ends"], b["n"])
+            & (F.abs(a["n"] - b["n"]) <= ALIKE * F.sqrt(a["n"] + b["n"])) & labels)
+
+
 def branch_purity(tree: DataFrame) -> DataFrame:
-    """``host``, ``node``, ``purity``: smoothed blocked share of every
-    template's branch. Siblings (children of one node) whose blocked share is
-    not significantly off that of all labelled siblings together share their
-    counts; others, and branches without labels, stand alone."""
-    leaf = tree.groupBy("host", "node", F.coalesce(F.get("nodes", F.size("nodes") - 2), F.lit("")).alias("parent")) \
-        .agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    pool = leaf.groupBy(F.col("host").alias("_h"), F.col("parent").alias("_p")).agg(
-        F.sum("labelled").alias("pl"), F.sum("blocked").alias("pb"))
-    leaf = leaf.join(pool, (leaf["host"] == pool["_h"]) & (leaf["parent"] == pool["_p"]))
-    share = F.try_divide(F.col("pb"), F.col("pl"))
-    error = F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / F.col("labelled")) + 0.5 / F.col("labelled")
-    alike = (F.col("labelled") > 0) & (F.abs(F.col("blocked") / F.col("labelled") - share) <= ALIKE * error)
-    # counts of the merged group: only of the siblings that are alike
-    leaf = leaf.withColumn("grp", F.when(F.coalesce(alike, F.lit(False)), F.lit("")).otherwise(F.col("node")))
-    merged = leaf.groupBy(F.col("host").alias("_gh"), F.col("parent").alias("_gp"), F.col("grp").alias("_g")).agg(
-        F.sum("labelled").alias("gl"), F.sum("blocked").alias("gb"))
-    return (leaf.join(merged, (leaf["host"] == merged["_gh"]) & (leaf["parent"] == merged["_gp"]) & (leaf["grp"] == merged["_g"]))
-            .select("host", "node", ((F.col("gb") + PSEUDO * PRIOR) / (F.col("gl") + PSEUDO)).alias("purity")))
+    """``host``, ``node``, ``purity`` of every template: from the domain through
+    the host and each level's merged branch, the blocked share of the branch's
+    labelled pages, smoothed towards what stands above it.
+
+    Level by level, the children of a branch stand in the order of their
+    shares, page count and name; neighbours that are alike become one branch,
+    and so do their children of one name. A branch is compared with two
+    others, however many siblings it has."""
+    counts = ["n", "labelled", "blocked"]
+    sums = [F.sum(c).alias(c) for c in counts]
+    whole = tree.groupBy("host").agg(*sums)
+    domain = whole.groupBy(domain_of(F.col("host")).alias("_d")).agg(*sums)
+    domain = domain.select("_d", _evidence(_smoothed(F.col("blocked"), F.col("labelled"), F.lit(PRIOR)), F.col("labelled"), F.col("n")).alias("above"))
+    host = whole.join(domain, domain_of(F.col("host")) == F.col("_d"))
+    host = host.withColumn("purity", _smoothed(F.col("blocked"), F.col("labelled"), F.col("above")))
+    host = host.select(F.col("host").alias("_h"), "purity", _evidence(F.col("purity"), F.col("labelled"), F.col("n")).alias("above"))
+    leaf = tree.groupBy("host", "node").agg(F.any_value("nodes").alias("nodes"), *sums)  # a template has one path
+    # what a level adds to the path before it (the last level's segment may hold slashes)
+    segs = F.transform("nodes", lambda x, i: F.substring(x, F.length(F.coalesce(F.get("nodes", i - 1), F.lit(""))) + 2, F.length(x)))
+    state = leaf.select("host", "node", segs.alias("segs"), *counts, F.lit("").alias("branch"))
+    state = keep(state.join(host, F.col("host") == F.col("_h")).drop("_h"), "url-branches")
+    for level in range(1, DEPTH + 1):
+        now = state.withColumn("seg", F.get("segs", F.lit(level - 1))).withColumn("next", F.coalesce(F.get("segs", F.lit(level)), F.lit("")))
+        part = now.where("seg IS NOT NULL").groupBy("host", "branch", "seg").agg(
+            *sums, F.sum(F.when(F.col("next") == "*", F.col("n")).otherwise(0)).alias("wild"),
+            F.sum(F.when(F.col("next") == "", F.col("n")).otherwise(0)).alias("ends"))
+        part = part.select("host", "branch", "seg", F.struct(*counts, "wild", "ends").alias("own"))
+        siblings = Window.partitionBy("host", "branch").orderBy(
+            F.round(F.col("own.wild") / F.col("own.n"), 1), F.round(F.col("own.ends") / F.col("own.n"), 1), "own.n", "seg")
+        part = part.withColumn("before", F.lag("own").over(siblings))
+        apart = F.when(F.coalesce(alike(F.col("own"), F.col("before")), F.lit(False)), 0).otherwise(1)
+        part = part.withColumn("grp", F.sum(apart).over(siblings.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        merged = part.groupBy("host", "branch", "grp").agg(
+            F.sum("own.n").alias("gn"), F.sum("own.labelled").alias("gl"), F.sum("own.blocked").alias("gb"), F.min("seg").alias("name"))
+        part = part.select("host", "branch", "grp", "seg").join(merged, ["host", "branch", "grp"]).drop("grp")
+        state = now.drop("next").join(part, ["host", "branch", "seg"], "left")
+        purity = _smoothed(F.col("gb"), F.col("gl"), F.col("above"))
+        has = F.col("gn").isNotNull()
+        state = state.select("host", "node", "segs", *counts, F.when(has, F.concat("branch", F.lit("/"), F.col("name"))).otherwise(F.col("branch")).alias("branch"),
+                             F.when(has, purity).otherwise(F.col("purity")).alias("purity"),
+                             F.when(has, _evidence(purity, F.col("gl"), F.col("gn"))).otherwise(F.col("above")).alias("above"))
+        state = keep(state, "url-branches") if level % 2 == 0 else state
+    return state.select("host", "node", "purity")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
