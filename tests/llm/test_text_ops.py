@@ -200,6 +200,16 @@ def test_toxicity_held_out(spark):
     assert kept == {r.doc_id for r in o5.score(docs, model).collect() if not r.predicted}
 
 
+def test_one_labelled_id_in_many_rows_is_learnt_from_once(spark, monkeypatch):
+    seen = []
+    fit = o5.fit_logistic
+    monkeypatch.setattr(o5, "fit_logistic", lambda rows, cols, values, y, width: (seen.append(len(y)), fit(rows, cols, values, y, width))[1])
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = [(i, f"{'awful slur words ' if i % 2 else 'gentle kind words '}{i}") for i in ids] + [(ids[0], f"copy {n}") for n in range(30_000)]
+    model = o5.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int"))
+    assert seen == [len(ids)] and model.score(b"awful slur words") > 0.5 > model.score(b"gentle kind words")
+
+
 def test_toxicity_edges(spark, edge, none):
     labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (5, None), (1, 0), (6, 0)], "doc_id long, toxic int")
     model = o5.learn(edge, clashing(labels))

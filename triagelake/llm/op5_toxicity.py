@@ -20,9 +20,9 @@ SAMPLE_ROWS = 2000
 #: Pseudo-documents per n-gram, shared between the classes by their size.
 PRIOR = 30.0
 #: N-grams whose log-count ratio is nearer to 0 than this are left out.
-LEAST_RATIO = 1.0
-L2 = 1e-3
-STEPS = 200
+LEAST_RATIO = 0.7
+L2 = 3e-4
+STEPS = 300
 FIT_PART = 1 << 20
 THRESHOLD = 0.7
 
@@ -95,7 +95,8 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.n
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> NBLinear:
     """Model from at most SAMPLE_ROWS labelled rows per label, in the order of
-    a hash of the id, of ids that are not held out. An id with contradicting
+    a hash of the id, of ids that are not held out. Of an id with several
+    texts, the one with the smallest hash is learnt from. An id with contradicting
     labels counts as toxic; NULL labels and texts are not learnt from.
     Without rows of both labels every score is the share of toxic rows."""
     spark = docs.sparkSession
@@ -105,9 +106,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = [F.xxhash64("_lid", F.lit(3)), "_lid"]
     chosen = known.where("_y = 1").orderBy(*order).limit(SAMPLE_ROWS).unionAll(
         known.where("_y = 0").orderBy(*order).limit(SAMPLE_ROWS))
-    # the chosen ids are at most 2 * SAMPLE_ROWS rows: the texts are not shuffled
+    # the chosen ids are at most 2 * SAMPLE_ROWS, and of each one row is learnt
+    # from, however often the id is there: few texts are shuffled
+    one = F.min(F.struct(F.xxhash64("_text").alias("h"), "_text"))
     sample = keep(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL")
-                  .join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).select("_y", "_text"), "toxicity-sample")
+                  .join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).groupBy("_lid", "_y").agg(one.alias("one"))
+                  .select("_y", F.col("one._text").alias("_text")), "toxicity-sample")
     count = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
     n_clean, n_toxic = count.get(0, 0), count.get(1, 0)
     none = np.zeros(1 << BITS, np.float32)
