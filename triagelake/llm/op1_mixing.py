@@ -144,30 +144,32 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP,
     for _ in range(4):
         sub = keep(_even_out(sub, targets, cap), "mix-units")
 
-    plan = sub.select(*[F.col(c).alias(f"_{c}") for c in cell], F.col("n").alias("_n"), F.col("units").alias("_units"))
+    targets = targets.select(F.col("source").alias("_t"), "source_size", "target")
+    plan = sub.join(targets, sub["source"].eqNullSafe(targets["_t"])).select(
+        *[F.col(c).alias(f"_{c}") for c in cell], F.col("n").alias("_n"), F.col("units").alias("_units"), "source_size", "target")
     rows = rows.join(plan, rows["source"].eqNullSafe(plan["_source"]) & (rows["size"] == plan["_size"])
                      & (rows["salt"] == plan["_salt"]))
     turn = F.row_number().over(Window.partitionBy(*cell).orderBy(F.xxhash64("id", F.lit(29)), "id"))
     copies = F.floor(F.col("_units") / F.col("_n")) + (turn <= F.col("_units") % F.col("_n")).cast("long")
     out = rows.withColumn("copies", copies.cast("long"))
-    targets = targets.select(F.col("source").alias("_t"), "source_size", "target")
-    return (out.join(F.broadcast(targets) if targets.count() <= 10_000 else targets, out["source"].eqNullSafe(targets["_t"]))
-            .select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies",
-                    (F.col("copies") * F.col("size")).alias("taken")))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies",
+                      (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP,
           id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as its ``copies`` say
     (``copy`` counts from 1), with all its columns, ``size``, ``target`` (its
-    source's) and ``copies``. Rows with equal id and text take equal copies."""
+    source's) and ``copies``; columns of these names are replaced. Rows with
+    equal id and text take equal copies."""
     rows = docs.withColumn("_th", F.xxhash64(text_col)).withColumn("_key", F.struct(id_col, "_th"))
     plan = mix(rows, weights, cap, "_key", text_col, source_col)
     plan = keep(plan.groupBy("_key").agg(*[F.max(c).alias(c) for c in ("size", "target", "copies")])
                 .where("copies > 0").select(F.col(f"_key.{id_col}").alias("_pid"), F.col("_key._th").alias("_pth"),
                                             F.col("size").alias("_size"), F.col("target").alias("_target"), F.col("copies").alias("_copies")), "mix-plan")
     out = rows.join(plan, rows[id_col].eqNullSafe(plan["_pid"]) & (rows["_th"] == plan["_pth"]))
-    return out.select(*[out[c] for c in docs.columns], F.col("_size").alias("size"), F.col("_target").alias("target"),
+    new = ("size", "target", "copies", "copy")
+    return out.select(*[out[c] for c in docs.columns if c not in new], F.col("_size").alias("size"), F.col("_target").alias("target"),
                       F.col("_copies").alias("copies"), F.explode(F.expr("sequence(1, cast(_copies AS int))")).alias("copy"))
 
 

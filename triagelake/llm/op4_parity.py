@@ -320,14 +320,14 @@ def one_per_group(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 1
     found = keep(link_components(docs, shingle, num, den, id_col, text_col, with_label=True), "parity-found")
     linked = found.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).withColumnRenamed(id_col, "_id")
     first = linked.groupBy("label").agg(F.min(F.struct("_id", "text_hash")).alias("first")).select("first.*")
-    stay = keep(linked.groupBy("_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
-                .join(first.withColumn("head", F.lit(True)), ["_id", "text_hash"], "left")
-                .select(F.col("_id").alias("_gid"), F.col("text_hash").alias("_gth"), "rows", F.coalesce("head", F.lit(False)).alias("head")), "parity-stay")
+    stay = keep(linked.groupBy("_id", "text_hash").agg(F.count(F.lit(1)).alias("_rows"))
+                .join(first.withColumn("_head", F.lit(True)), ["_id", "text_hash"], "left")
+                .select(F.col("_id").alias("_gid"), F.col("text_hash").alias("_gth"), "_rows", F.coalesce("_head", F.lit(False)).alias("_head")), "parity-stay")
     rows = docs.withColumn("_th", F.xxhash64(text_col))
     same = (F.col(id_col) == F.col("_gid")) & (F.col("_th") == F.col("_gth"))
-    one = rows.join(stay.where("NOT head OR rows > 1"), same, "left_anti").drop("_th")
+    one = rows.join(stay.where("NOT _head OR _rows > 1"), same, "left_anti").drop("_th")
     # heads that are repeated rows: few, so their texts are found by a broadcast or skewed join
-    again = rows.join(stay.where("head AND rows > 1"), same).withColumn(
+    again = rows.join(stay.where("_head AND _rows > 1"), same).withColumn(
         "_nth", F.row_number().over(Window.partitionBy("_gid", "_gth").orderBy("_gid")))
     return one.unionByName(again.where("_nth = 1").select(*docs.columns))
 

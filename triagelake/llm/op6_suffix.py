@@ -378,9 +378,9 @@ def _cut(match: int):
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id``, ``_th`` (a hash that tells rows with one id apart), ``_text``."""
+    """``_id``, ``_th`` (a 64-bit hash that tells rows with one id apart), ``_text``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("_id"), F.hash(text).alias("_th"), text.alias("_text"))
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
 
 
 def repeated_spans(docs: DataFrame, match: int = MATCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -396,7 +396,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, id_col: str = "doc_id",
     small_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     kind = rows.schema["_id"].dataType.simpleString()
-    anchors = keep(rows.mapInArrow(_anchors(match), f"name long, _id {kind}, _th int, place long, weight int"), "suffix-anchors")
+    anchors = keep(rows.mapInArrow(_anchors(match), f"name long, _id {kind}, _th long, place long, weight int"), "suffix-anchors")
     often = (anchors.groupBy("name").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("c")).where("w > 1")
              .select(F.col("name").alias("_name"), (F.col("c") > HOT_RUNS).alias("hot")))
     often = keep(often, "suffix-names")
@@ -411,26 +411,26 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, id_col: str = "doc_id",
              .mapInArrow(_sort_blocks(match), "bucket long, digest long, flags binary"))
     hot = texts.select("_text", F.filter("runs", lambda r: r["hot"]).alias("runs")).where("size(runs) > 0")
     flags = keep(flags.unionByName(_hot_flags(hot.mapInArrow(_blocks(match), shape), match)), "suffix-flags")
-    places = texts.mapInArrow(_occurrences(match), f"_id {kind}, _th int, bucket long, digest long, place long")
+    places = texts.mapInArrow(_occurrences(match), f"_id {kind}, _th long, bucket long, digest long, place long")
     pieces = (places.join(flags, ["bucket", "digest"]).groupBy("_id", "_th")
               .agg(F.collect_set(F.struct("place", "flags")).alias("pieces")))
     pieces = pieces.select(F.col("_id").alias("_pid"), F.col("_th").alias("_pth"), "pieces")
     hit = texts.drop("runs").join(pieces, texts["_id"].eqNullSafe(pieces["_pid"]) & (texts["_th"] == pieces["_pth"])).drop("_pid", "_pth")
-    return hit.mapInArrow(_cut(match), f"_id {kind}, _th int, spans array<long>, kept binary, kept_text string")
+    return hit.mapInArrow(_cut(match), f"_id {kind}, _th long, spans array<long>, kept binary, kept_text string")
 
 
 def without_repeats(docs: DataFrame, match: int = MATCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated strings cut from their texts, all columns;
     no row is dropped. A column ``n_chars`` is the new text's length."""
     found = keep(repeated_spans(docs, match, id_col, text_col).dropDuplicates(["_id", "_th"])
-                 .select(F.col("_id").alias("_fid"), F.col("_th").alias("_fth"), "kept_text"), "suffix-kept")
-    rows = docs.withColumn("_th", F.hash(F.coalesce(F.col(text_col), F.lit(""))))
+                 .select(F.col("_id").alias("_fid"), F.col("_th").alias("_fth"), F.col("kept_text").alias("_kept_text")), "suffix-kept")
+    rows = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     out = rows.join(found, rows[id_col].eqNullSafe(found["_fid"]) & (rows["_th"] == found["_fth"]), "left")
-    out = out.withColumn(text_col, F.coalesce("kept_text", text_col))
+    new = found["_kept_text"]  # by reference: docs may have a column of any name
+    cols = {text_col: F.coalesce(new, rows[text_col])}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(
-            F.length("kept_text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        cols["n_chars"] = F.when(new.isNull(), rows["n_chars"]).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[cols.get(c, rows[c]).alias(c) for c in docs.columns])
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

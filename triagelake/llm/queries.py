@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
+from . import pipeline
 from .op1_mixing import op1_mix_entropy
 from .op2_language import op2_lang_kernel
 from .op3_wu_manber import OP3_SQL, op3_wu_manber
@@ -17,6 +16,7 @@ from .op10_graph import op10_flat_graph
 from .op11_vptree import OP11_SQL, op11_vp_clusters
 from .op12_bpe import op12_bpe_codec
 from .op13_merkle import OP13_SQL, op13_merkle_manifest
+from .twins import MIX_TARGETS_SQL, OP4_SQL, OP10_SQL, URL_RULES_SQL, mix_targets, url_rules
 
 QUERIES = {
     "op1_mix_entropy": op1_mix_entropy,
@@ -32,11 +32,17 @@ QUERIES = {
     "op11_vp_clusters": op11_vp_clusters,
     "op12_bpe_codec": op12_bpe_codec,
     "op13_merkle_manifest": op13_merkle_manifest,
-    "pipeline": corpus_pipeline.run,
+    "mix_targets": mix_targets,
+    "url_rules": url_rules,
+    "pipeline": pipeline.run,
 }
 
 ORACLE = {
     "op3_wu_manber": OP3_SQL,
+    "op4_parity_join": OP4_SQL,
+    "op10_flat_graph": OP10_SQL,
+    "mix_targets": MIX_TARGETS_SQL,
+    "url_rules": URL_RULES_SQL,
     "op11_vp_clusters": OP11_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
