@@ -1,63 +1,5 @@
-"""Corpus pipeline: toxic documents go, one document of each near-duplicate
-group stays, repeated passages are cut, contaminated documents go, and what is
-left is mixed to the sources' target weights.
+"""The corpus pipeline at the repository's top: see ``triagelake.llm.pipeline``."""
 
-Every stage takes (spark, docs, sf_dir) and works on all rows of its
-predecessor; its result is written as Parquet and read again.
-"""
+from triagelake.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import os
-
-from pyspark.sql import DataFrame, SparkSession
-
-from triagelake.llm import op1_mixing, op3_wu_manber, op4_parity, op5_toxicity, op6_suffix
-from triagelake.llm.common import keep, read
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones, does not reject."""
-    model = op5_toxicity.learn(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return op5_toxicity.without_toxic(docs.select(*COLUMNS), model)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 5-word shingles, similarity 0.8."""
-    return op4_parity.one_per_group(docs.select(*COLUMNS))
-
-
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the 200-byte strings that occur twice."""
-    return op6_suffix.without_repeats(docs.select(*COLUMNS))
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate."""
-    return op3_wu_manber.without_contaminated(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark", "item_id", "text"))
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: every document as often as it is taken."""
-    return op1_mixing.mixed(docs.select(*COLUMNS))
-
-
-STAGES = [
-    ("toxicity", toxicity),
-    ("ngram_jaccard_join", near_duplicates),
-    ("suffix_array_dedup", repeated_passages),
-    ("benchmark_decontamination", decontamination),
-    ("source_mixing", mixing),
-]
-
-#: No stage but the decontamination can be said in SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
-    for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
