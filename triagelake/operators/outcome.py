@@ -60,7 +60,8 @@ def result_columns(handler: Column, code: Column, body: Column) -> dict[str, Col
     anything else (including a missing code) -> failure with the body text as
     message. Every other handler answers with its own status and message,
     whatever the code. A body that should be a JSON object and is none gives
-    the status 'error'.
+    the status 'error'. ``mcp_body`` is the whole answer of a handler other than
+    the invoice one, with whatever keys it has.
     """
     ok = F.coalesce(code == F.lit(200), F.lit(False))
     invoice = F.coalesce(handler == F.lit(rules.INVOICE_HANDLER), F.lit(False))
@@ -72,6 +73,7 @@ def result_columns(handler: Column, code: Column, body: Column) -> dict[str, Col
         "mcp_message": F.when(refused, body).when(~readable, F.lit(rules.ERROR_BODY_NOT_JSON))
                         .when(invoice, F.lit(rules.MSG_INVOICE_CREATED)).otherwise(jsonx.get_text(body, "message")),
         "invoice_id": F.when(invoice & ok & readable, jsonx.get_text(body, "id")),
+        "mcp_body": F.when(~invoice & readable, body),
     }
 
 
@@ -122,6 +124,13 @@ def _none(c: ColumnOrName) -> Column:
     return F.coalesce(_col(c).cast("string"), F.lit("None"))
 
 
+def action_answer() -> Column:
+    """The action's result as JSON: the handler's whole answer, or status,
+    message and invoice id where the engine says what came of the call."""
+    own = F.to_json(F.struct(F.col("mcp_status").alias("status"), F.col("mcp_message").alias("message"), F.col("invoice_id")), {"ignoreNullFields": "false"})
+    return F.coalesce("mcp_body", own)
+
+
 def outcome(planned: DataFrame, action_results: DataFrame | None = None, answers: DataFrame | None = None,
             update_results: DataFrame | None = None, key: str = "request_id",
             threshold: float = rules.CONFIDENCE_THRESHOLD) -> DataFrame:
@@ -144,7 +153,7 @@ def outcome(planned: DataFrame, action_results: DataFrame | None = None, answers
     else:
         d = (d.withColumn("mcp_status", F.lit(None).cast("string"))
               .withColumn("mcp_message", F.lit(None).cast("string"))
-              .withColumn("invoice_id", F.lit(None).cast("string")))
+              .withColumn("invoice_id", F.lit(None).cast("string")).withColumn("mcp_body", F.lit(None).cast("string")))
     if answers is not None:
         d = d.join(answers.select(key, F.col("answer").alias("_ans")), key, "left")
     else:
@@ -169,7 +178,7 @@ def outcome(planned: DataFrame, action_results: DataFrame | None = None, answers
         F.coalesce(empty_to_null("reason"), F.lit(rules.NO_DECISION_REASON)).alias("decision_reason"),
         F.coalesce(F.col("llm_raw_output"), F.lit("")).alias("llm_raw"),
         status.alias("mcp_status"), message.alias("mcp_message"),
-        F.when(ran, F.col("invoice_id")).alias("invoice_id"),
+        F.when(ran, F.col("invoice_id")).alias("invoice_id"), F.when(ran, F.col("mcp_body")).alias("mcp_body"),
         (allowed & F.col("_plan_status").isNotNull()).alias("has_result"),
         F.coalesce(empty_to_null("approved_action"), F.lit(rules.NO_ACTION)).alias("approved_action"),
         F.col("payload"), F.coalesce(F.col("_ans"), F.lit("")).alias("ai_suggestion"),
@@ -184,9 +193,7 @@ def outcome(planned: DataFrame, action_results: DataFrame | None = None, answers
                render(rules.FAIL_LOW_CONFIDENCE, confidence=fmt_fixed("confidence"),
                       threshold=F.lit(repr(float(threshold))))))
     fail_reason = F.array_join(F.filter(bits, lambda x: x.isNotNull()), ", ")
-    result = F.to_json(F.struct(F.col("mcp_status").alias("status"), F.col("mcp_message").alias("message"),
-                                F.col("invoice_id")), {"ignoreNullFields": "false"})
-    mcp_result = F.when(F.col("has_result"), result).otherwise(F.lit("{}"))
+    mcp_result = F.when(F.col("has_result"), action_answer()).otherwise(F.lit("{}"))
     d = d.withColumn("success", success).withColumn(
         "fail_reason", F.when(~F.col("success"), F.coalesce(empty_to_null(fail_reason), F.lit(rules.UNSPECIFIED))))
     base = render(rules.BASE_NOTE, field=F.lit(rules.AI_SUGGESTION_FIELD), mcp_status=_none("mcp_status"))
@@ -289,20 +296,21 @@ def final_record(decisions: DataFrame, folded_hits: DataFrame, outcomes: DataFra
                  answers: DataFrame | None = None, key: str = "request_id") -> DataFrame:
     """The response record per request, assembled with left joins on the
     request key. ``decisions`` carries query and configuration_item, hits
-    arrive pre-folded (A4), ``outcomes`` (requests with a ticket) holds the
-    action's result and both update responses. Nested parts are JSON text."""
+    arrive folded (A4) with all their fields, ``outcomes`` (requests with a
+    ticket) holds the action's result and both update responses. Nested parts
+    are JSON text."""
     js = lambda cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
     r = decisions.select(key, "query", "configuration_item", js(DECISION_FIELDS).alias("decision_engine"),
                          F.coalesce("automation_allowed", F.lit(False)).alias("automation_triggered"))
-    r = r.join(folded_hits, key, "left")
+    r = r.join(folded_hits.select(key, F.to_json("similar_items", {"ignoreNullFields": "false"}).alias("similar_items")), key, "left")
+    r = r.withColumn("similar_items", F.coalesce("similar_items", F.lit("[]")))
     if answers is not None:
         r = r.join(answers.select(key, F.col("answer").alias("_a")), key, "left")
         r = r.withColumn("ai_suggestion", F.coalesce("_a", F.lit(""))).drop("_a")
     else:
         r = r.withColumn("ai_suggestion", F.lit(""))
     out = outcomes.select(
-        key, F.when(F.col("has_result"), js([F.col("mcp_status").alias("status"), F.col("mcp_message").alias("message"), "invoice_id"]))
-              .alias("mcp_action_result"),
+        key, F.when(F.col("has_result"), action_answer()).alias("mcp_action_result"),
         F.col("field_update_ok").alias("ticket_ai_field_update_ok"), F.col("field_update_response").alias("ticket_ai_field_update_resp"),
         "ticket_update_status", F.col("update_response").alias("ticket_update_response"))
     return r.join(out, key, "left")

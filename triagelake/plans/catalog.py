@@ -361,6 +361,14 @@ def action_plan(spark: SparkSession, d: str) -> DataFrame:
     return O.action_plan(_planned(spark, d))
 
 
+def action_plan_branches(spark: SparkSession, d: str) -> DataFrame:
+    """J3 + T12 + O2: every approved action, those without a handler too, and
+    invoices of which half have lost their payload."""
+    dec = TR.decide(request_clean(spark, d), FX.response_approved(spark, d), FX.payload(spark, d), carry=["query", "ticket_key"])
+    dec = dec.withColumn("payload", F.when(F.col("request_id") % 2 == 0, F.col("payload")))
+    return O.action_plan(O.with_plan(dec, TR.rule_tables(spark)["action_registry"]))
+
+
 def _planned(spark: SparkSession, d: str) -> DataFrame:
     return O.with_plan(decisions(spark, d), TR.rule_tables(spark)["action_registry"])
 
@@ -409,11 +417,9 @@ def ticket_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def final_record(spark: SparkSession, d: str) -> DataFrame:
-    """Hits as one line each; the decisions are evaluated once and kept,
-    as both the record and its outcome read them."""
+    """Hits with all their fields; the decisions are evaluated once and
+    kept, as both the record and its outcome read them."""
     folded = C.fold_hits(request_hits(spark, d), "request_id")
-    line = lambda x: F.concat_ws("|", x["rank"].cast("string"), x["id"], F.format_number(x["similarity_score"], 4), x["source"])
-    folded = folded.select("request_id", F.array_join(F.transform("similar_items", line), ";").alias("similar_items"))
     checkpoint_dir(spark)
     planned = _planned(spark, d).checkpoint()
     outs = O.outcome(planned, FX.action_result(spark, d), _answers(spark, d), FX.update_result(spark, d))
@@ -495,6 +501,7 @@ QUERIES: dict[str, Query] = {
     "decision_gate": decision_gate,
     "payload_check": payload_check,
     "action_plan": action_plan,
+    "action_plan_branches": action_plan_branches,
     "action_result": action_result,
     "outcome": outcome,
     "outcome_notes": outcome_notes,

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..sources.tables import read_table
 
 
@@ -114,6 +115,15 @@ def response(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _case(k % 15, shapes, '{"action":"update_order","confidence":"high"}').alias("llm_output"))
 
 
+def response_approved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sure answers that name every approved action in turn."""
+    e = read_table(spark, sf_dir, "events").select("event_id")
+    n = len(rules.AUTO_APPROVED_ACTIONS)
+    action = _case(F.floor(F.col("event_id") / 8) % n, list(enumerate(rules.AUTO_APPROVED_ACTIONS)))
+    return e.select(F.col("event_id").alias("request_id"),
+                    F.concat(F.lit('{"action":"'), action, F.lit('","confidence":0.95,"reasoning":"ok"}')).alias("llm_output"))
+
+
 def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     k = F.col("o_orderkey")

@@ -361,7 +361,8 @@ from action_result),
 ar_interp as (
 select request_id,
        {_result_status('handler')} as mcp_status, {_result_message('handler')} as mcp_message,
-       {_result_invoice('handler')} as invoice_id
+       {_result_invoice('handler')} as invoice_id,
+       case when handler is distinct from {lit(rules.INVOICE_HANDLER)} and readable then res_body end as mcp_body
 from ar_read),
 up_read as (
 select request_id, seq, coalesce(http_code between 200 and 299, false) as update_ok,
@@ -382,6 +383,7 @@ select r.request_id, r.ticket_key, coalesce(d.automation_allowed, false) as allo
        case when a.request_id is not null then {_result_status('p.handler')} end as res_status,
        case when a.request_id is not null then {_result_message('p.handler')} end as res_msg,
        case when a.request_id is not null then {_result_invoice('p.handler')} end as res_invoice,
+       case when a.request_id is not null and p.handler is distinct from {lit(rules.INVOICE_HANDLER)} and readable then res_body end as res_whole,
        u.update_ok, u.update_response, u.field_update_ok, u.field_update_response,
        coalesce({strip('s.llm_output')}, '') as suggestion
 from request_clean r left join decisions d using (request_id) left join action_plan p using (request_id)
@@ -396,13 +398,14 @@ select request_id, ticket_key, allowed as automation_allowed, coalesce(confidenc
             when allowed and plan_status = 'planned' then coalesce(res_msg, {lit(rules.NO_MCP_MESSAGE)})
             else {lit(rules.NO_MCP_MESSAGE)} end as mcp_message,
        case when allowed and plan_status = 'planned' then res_invoice end as invoice_id,
+       case when allowed and plan_status = 'planned' then res_whole end as mcp_body,
        allowed and plan_status is not null as has_result,
        coalesce(nullif(approved_action, ''), {lit(rules.NO_ACTION)}) as approved_action, payload, suggestion as ai_suggestion,
        update_ok, update_response, field_update_ok, field_update_response
 from oc_in),
 oc2 as (
 select *, automation_allowed and coalesce(mcp_status = 'success', false) and confidence >= {rules.CONFIDENCE_THRESHOLD} as success,
-       case when has_result then json_object('status', mcp_status, 'message', mcp_message, 'invoice_id', invoice_id) else '{{}}' end as mcp_result
+       case when has_result then coalesce(mcp_body, json_object('status', mcp_status, 'message', mcp_message, 'invoice_id', invoice_id)) else '{{}}' end as mcp_result
 from oc1),
 outcomes as (
 select *,
@@ -463,6 +466,14 @@ BY_USER = _with(v_request("'INC' || lpad(cast(user_id as varchar(20)), 7, '0')",
                 REQ_CLEAN, PARSE, OUTCOME)
 
 
+#: The triage views over sure answers that name every approved action; half the payloads are lost before planning.
+_ACTIONS = rules.AUTO_APPROVED_ACTIONS
+APPROVED = _with(v_request(), f"""
+response as (
+select event_id as request_id, '{{"action":"' || (case (event_id // 8) % {len(_ACTIONS)} {' '.join(f'when {i} then {lit(a)}' for i, a in enumerate(_ACTIONS))} end)
+       || '","confidence":0.95,"reasoning":"ok"}}' as llm_output from events)""", V_PAYLOAD, V_ACTION_RESULT, REQ_CLEAN, PARSE,
+                 OUTCOME.replace("d.payload", "(case when d.request_id % 2 = 0 then d.payload end)"))
+
 _HIT_META = f"""
 select t.qid, t.rank, case when d.doc_id is not null then cast(t.id as varchar) else {lit(rules.RECORD_ID_PREFIX)} || cast(t.id as varchar) end as id,
        round(t.score, 4) as similarity_score,
@@ -610,14 +621,15 @@ select qid, rank, id, round(score, 4) as similarity_score from is_r where rank <
 select ticket_key, cast(row_number() over (partition by ticket_key order by request_id, seq) as integer) as note_no, work_notes
 from ticket_update where work_notes is not null"""),
     "final_record": _q("""
-, items as (select request_id, string_agg(rank || '|' || id || '|' || printf('%.4f', similarity_score) || '|' || source, ';' order by rank) as similar_items
+, items as (select request_id, '[' || string_agg(json_object('rank', rank, 'id', id, 'similarity_score', similarity_score, 'source', source,
+                   'training_text', training_text, 'assignment_group', assignment_group, 'configuration_item', configuration_item, 'category', category), ',' order by rank) || ']' as similar_items
             from request_hits group by request_id)
 select r.request_id, r.query, r.configuration_item,
        json_object('automation_allowed', d.automation_allowed, 'approved_action', d.approved_action, 'confidence', d.confidence,
                    'reason', d.reason, 'payload', d.payload, 'llm_raw_output', d.llm_raw_output) as decision_engine,
-       coalesce(d.automation_allowed, false) as automation_triggered, items.similar_items,
+       coalesce(d.automation_allowed, false) as automation_triggered, coalesce(items.similar_items, '[]') as similar_items,
        coalesce(ANSWER, '') as ai_suggestion,
-       case when o.has_result then json_object('status', o.mcp_status, 'message', o.mcp_message, 'invoice_id', o.invoice_id) end as mcp_action_result,
+       case when o.has_result then o.mcp_result end as mcp_action_result,
        o.field_update_ok as ticket_ai_field_update_ok, o.field_update_response as ticket_ai_field_update_resp,
        o.ticket_update_status, o.update_response as ticket_update_response
 from request_clean r left join decisions d using (request_id) left join items using (request_id)
@@ -626,6 +638,7 @@ left join answer s using (request_id) left join outcomes o using (request_id)"""
 select request_id, payload_ok, case when payload_ok then json_extract_string(pj, '$.client_id') end as client_id
 from payload_check"""),
     "action_plan": _q("select * from action_plan"),
+    "action_plan_branches": APPROVED + "select * from action_plan",
     "action_result": _q("select * from ar_interp"),
     "outcome": _q("""
 select request_id, ticket_key, automation_allowed, confidence, mcp_status, success, fail_reason,
