@@ -188,3 +188,16 @@ def test_answers_are_parsed_once(spark, sf_small):
     for name in ("prompt_payload", "decision_gate", "action_plan"):
         plan = QUERIES[name](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json") == 1 and plan.count("regexp_extract") <= 4, name
+
+
+def test_reason_tells_what_the_parser_found(spark):
+    import json
+    bad = ['{"a":1,}', "{'a': 1}", '{"a" 1}', '{"a":1} {"b":2}', '{"a":tru}', '{"a":"x}', "{\n\n]}", "{" * 5 + "}"]
+    rows = [(i, t) for i, t in enumerate([*bad, '{"a": NaN}', "no object", '{"action":"update_order","confidence":0.95}'])]
+    req = spark.createDataFrame([(i, "order", "x") for i, _ in rows], "request_id long, query string, configuration_item string")
+    got = {r["request_id"]: r["reason"] for r in TR.decide(req, spark.createDataFrame(rows, "request_id long, llm_output string")).collect()}
+    for i, t in enumerate(bad):
+        with pytest.raises(ValueError) as e:
+            json.loads(t)
+        assert got[i] == rules.REASON_INVALID_JSON.format(error=str(e.value), output=t), t
+    assert rules.ERROR_NOT_STRICT in got[len(bad)] and "No JSON found" in got[len(bad) + 1] and got[len(bad) + 2] == rules.REASON_APPROVED

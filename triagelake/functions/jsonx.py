@@ -7,8 +7,12 @@ text, single quotes, trailing commas and ``NaN``/``Infinity`` are rejected.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import ColumnOrName, _col, let, pystrip
 
@@ -60,3 +64,23 @@ def get_text(j: ColumnOrName, key: str) -> Column:
     """Field as text: strings unquoted, other values as JSON text, NULL when
     missing or JSON null."""
     return F.get_json_object(_col(j), f"$.{key}")
+
+
+@F.pandas_udf(T.StringType())
+def _why_invalid(texts: pd.Series) -> pd.Series:
+    def why(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            json.loads(text)
+        except (ValueError, RecursionError) as e:
+            return str(e)
+        return None
+    return texts.map(why)
+
+
+def parse_error(j: ColumnOrName, invalid: Column) -> Column:
+    """The JSON parser's message for texts that are ``invalid``, as a strict
+    parser words it (NULL if this one takes the text). Only invalid texts
+    travel to Python."""
+    return _why_invalid(F.when(invalid, _col(j)))

@@ -248,7 +248,8 @@ def decide(requests: DataFrame, responses: DataFrame | None = None,
     bad_json = ~F.col("json_ok")
     bad_conf = ~F.coalesce(F.col("confidence_ok"), F.lit(False))
     shown = F.left(F.col("_out"), F.lit(rules.ERROR_OUTPUT_CHARS))
-    error = F.when(F.col("json_text") == "", render(rules.ERROR_NO_JSON, output=shown)).otherwise(F.lit(rules.ERROR_NOT_STRICT))
+    detail = jsonx.parse_error("json_text", bad_json & (F.col("json_text") != ""))
+    error = F.when(F.col("json_text") == "", render(rules.ERROR_NO_JSON, output=shown)).otherwise(F.coalesce(detail, F.lit(rules.ERROR_NOT_STRICT)))
     reason = (F.when(denied, F.lit(rules.NETWORK_DENY_REASON))
               .when(no_answer, F.lit(rules.REASON_NO_ANSWER))
               .when(bad_json, render(rules.REASON_INVALID_JSON, error=error, output=shown))

