@@ -49,10 +49,14 @@ def incident_training_text(df: DataFrame) -> DataFrame:
 # -- S2: KB export (JSON page with a ``result`` array) -------------------------
 
 def kb_export_rows(export: DataFrame, text_col: str = "value") -> DataFrame:
-    """One row per element of the export's ``result`` array. A *missing* key
-    becomes '' while a key present with JSON null stays NULL (dict.get with
-    a default). Elements are kept as JSON text so key presence is visible."""
-    items = export.select(F.explode(F.from_json(F.col(text_col), "result array<string>")["result"]).alias("r"))
+    """``kb_rows`` of whole export documents, one per row."""
+    return kb_rows(export.select(F.explode(F.from_json(F.col(text_col), "result array<string>")["result"]).alias("r")))
+
+
+def kb_rows(items: DataFrame) -> DataFrame:
+    """One row per element of an export's ``result`` array (``r``: its JSON
+    text, so that key presence is visible). A *missing* key becomes '' while a
+    key present with JSON null stays NULL (dict.get with a default)."""
 
     def get(name: str) -> Column:
         present = F.coalesce(F.array_contains(F.json_object_keys("r"), F.lit(name)), F.lit(False))

@@ -8,6 +8,7 @@ holds an equivalent DuckDB SQL text for each query that has one.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 from collections.abc import Callable
@@ -26,7 +27,7 @@ from ..functions.text import pystrip
 from ..session import checkpoint_dir
 from ..operators.index import IndexStore, Snapshot
 from ..sources import fs
-from ..sources.files import read_csv, write_csv
+from ..sources.files import read_csv, read_kb_export, write_csv
 from ..sources.sinks import write_with_manifest
 from ..sources.tables import keep_table, read_table, table_path
 from . import fixtures as FX
@@ -77,6 +78,27 @@ def csv_scan(spark: SparkSession, d: str) -> DataFrame:
     return read_csv(spark, path, docs.schema)
 
 
+def _export_document(batches):
+    """Rows of (page_id, html) as the lines of one export document."""
+    import pyarrow as pa
+    yield pa.RecordBatch.from_pydict({"value": ['{"total": {"of": [{"x": 1}]}, "result": [']})
+    first = True
+    for b in batches:
+        rows = [json.dumps({"short_description": f"Page {i} }} of {{", "article_body": h, "category": None if i % 2 else "page"}, ensure_ascii=i % 3 == 0)
+                for i, h in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist())]
+        if rows:
+            yield pa.RecordBatch.from_pydict({"value": [("" if first and not n else ",") + r for n, r in enumerate(rows)]})
+            first = False
+    yield pa.RecordBatch.from_pydict({"value": ["]}"]})
+
+
+def kb_export_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The pages as export documents, read in byte ranges."""
+    path = os.path.join(checkpoint_dir(spark), f"kb-export-{uuid.uuid4().hex}")
+    read_table(spark, d, "pages").select("page_id", "html").mapInArrow(_export_document, "value string").write.text(path)
+    return read_kb_export(spark, path)
+
+
 def corpus_drop_stats(spark: SparkSession, d: str) -> DataFrame:
     """A1 + A2: the counts of the pass that writes the filtered corpus."""
     docs = read_table(spark, d, "documents").select("doc_id", F.col("text").alias("training_text"))
@@ -473,6 +495,7 @@ QUERIES: dict[str, Query] = {
     "corpus_filter": corpus_filter,
     "corpus_drop_stats": corpus_drop_stats,
     "csv_scan": csv_scan,
+    "kb_export_scan": kb_export_scan,
     "embed_hash": embed_hash,
     "manifest": manifest,
     "topk_batch": topk_batch,

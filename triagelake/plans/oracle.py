@@ -512,6 +512,8 @@ select count(*) as n_before,
 from documents"""),
     # CSV has no empty values besides NULL, and ends lines in one way
     "csv_scan": _q("select doc_id, nullif(source, '') as source, nullif(replace(text, chr(13) || chr(10), chr(10)), '') as text from documents"),
+    "kb_export_scan": _q("""
+select 'Page ' || page_id || ' } of {' as title, body, case when page_id % 2 = 0 then 'page' end as category from kb_pages"""),
     "embed_hash": _q("select id as doc_id, b as bucket, round(w, 6) as weight from dc_vec"),
     "manifest": _q("""
 select 'embeddings-table' as model_name, cast(max(len(embedding)) as integer) as embedding_dim,

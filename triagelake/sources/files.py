@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..operators.corpus import kb_export_rows
-from . import csv_ranges
+from ..operators.corpus import kb_rows
+from . import csv_ranges, json_ranges
 
 
 def read_incidents(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -22,10 +22,9 @@ def read_incidents(spark: SparkSession, path: str, fmt: str = "parquet",
 
 
 def read_kb_export(spark: SparkSession, path: str) -> DataFrame:
-    """KB export pages ``{"result": [...]}`` -> one row per article.
-    Each file is one JSON document read whole, so one task per file."""
-    export = spark.read.text(path, wholetext=True)
-    return kb_export_rows(export, "value")
+    """KB export pages ``{"result": [...]}`` -> one row per article, in as
+    many tasks as the files have byte ranges (``sources.json_ranges``)."""
+    return kb_rows(json_ranges.array_objects(spark, path))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
