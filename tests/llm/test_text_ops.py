@@ -167,6 +167,27 @@ def test_windows_match_brute_force(spark, monkeypatch, pass_bytes):
     assert sorted((r.doc_id for r in clean), key=repr) == sorted((i for i, _ in docs if i not in bad), key=repr)
 
 
+def test_tables_of_many_items_are_bounded():
+    rng = random.Random(0)
+    size, matcher = {}, None
+    for n in (80_000, 320_000):  # words of the items
+        items = [(str(i), " ".join(rng.choice(VOCABULARY) for _ in range(100)).encode()) for i in range(n // 100)]
+        items += items[:50]  # repeated items own the same strings
+        matcher = o3.Matcher(items)
+        size[n] = matcher.nbytes / sum(len(t) for _, t in items)
+    assert all(x < 16 for x in size.values()), size  # bytes of arrays for a byte of text, whatever the size
+    got = list(matcher.scan([items[7][1], b"none of these"]))
+    assert got[0] == (100, [0, 100], ["7"]) and got[1] == (3, [], [])
+
+
+def test_windows_of_one_hash_stay_apart(monkeypatch):
+    words = np.array([1, 2, 1, 2, 3, 1, 2, 1, 2], np.int32)
+    at = np.arange(8, dtype=np.int32)
+    starts, of = o3.distinct_windows(words, at, 2)
+    pairs = [tuple(words[a:a + 2]) for a in at]
+    assert [tuple(words[starts[k]:starts[k] + 2]) for k in of] == pairs and len(starts) == len(set(pairs))
+
+
 def test_windows_edges(spark, edge, none):
     b = spark.createDataFrame([], "item_id long, text string")
     got = o3.decontaminate(edge, b).collect()
@@ -271,6 +292,9 @@ def test_url_tree_rejects_what_shares_a_blocked_template(spark):
     assert all(got[900 + i].verdict == "allow" for i in range(50))
 
 
+VOCABULARY = [f"word{i}" for i in range(5000)]
+
+
 # ---- licences ------------------------------------------------------------------
 
 def test_licenses(spark, edge, none):

@@ -37,26 +37,33 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class WuManber:
-    """Shift and bucket tables for strings of one length (in words)."""
-
-    def __init__(self, strings: np.ndarray) -> None:
-        self.strings = strings  # one row per string
-        count, self.length = strings.shape
-        self.block = min(2, self.length)
-        starts = self.length - self.block + 1
-        bits = max(10, int(4 * count * starts).bit_length())
+    """Shift and bucket tables for strings of one length (in words): string i
+    is ``words[at[i]:at[i] + length]``."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, length: int) -> None:
+        self.words, self.at, self.length = words, at, length
+        count = len(at)
+        self.block = min(2, length)
+        starts = length - self.block + 1
+        # slots enough for all blocks, or for four a string: a fuller table only jumps less
+        bits = max(10, min(int(4 * count * starts).bit_length(), max(20, int(4 * count).bit_length())))
         self.mask = np.int64((1 << bits) - 1)
-        self.shift = np.full(1 << bits, starts, np.int32)
+        self.shift = np.full(1 << bits, starts, np.uint8)
         for j in range(starts):  # an earlier block allows the longer jump, so the smallest stays
-            np.minimum.at(self.shift, self._hash(strings[:, j + self.block - 1], strings[:, j]), starts - 1 - j)
-        last = self._hash(strings[:, -1], strings[:, -self.block])
-        self.order = np.argsort(last, kind="stable")
-        self.first = np.searchsorted(last[self.order], np.arange((1 << bits) + 1))
+            self.shift[self._hash(words[at + j + self.block - 1], words[at + j])] = starts - 1 - j
+        last = self._hash(words[at + length - 1], words[at + length - self.block])
+        self.order = np.argsort(last, kind="stable").astype(np.int32)
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount(last, minlength=1 << bits), out=self.first[1:])
 
     def _hash(self, end: np.ndarray, begin: np.ndarray) -> np.ndarray:
         h = end.astype(np.int64) * 0x9E3779B1 + begin.astype(np.int64) * 0x85EBCA6B
         return (h ^ (h >> 15)) & self.mask
 
+    @property
+    def nbytes(self) -> int:
+        return self.shift.nbytes + self.order.nbytes + self.first.nbytes + self.at.nbytes
+
     def search(self, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, string) of every occurrence whose last word lies in one of
         the lanes [begin, end) of ``ids``. All lanes step together, each by
@@ -78,7 +85,7 @@ class WuManber:
                 string = self.order[self.first[ch][who] + nth]
                 start = cand[who] - self.length + 1
                 for j in range(self.length):  # direct comparison, first words first
-                    same = ids[start + j] == self.strings[string, j]
+                    same = ids[start + j] == self.words[self.at[string] + j]
                     start, string = start[same], string[same]
                 at.append(start)
                 found.append(string)
@@ -88,25 +95,62 @@ class WuManber:
         return np.concatenate(at), np.concatenate(found)
 
 
+def distinct_windows(words: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows at ``at``, the distinct ones' starts, and the number of
+    each window's. Windows are brought together by a 64-bit hash and compared
+    with the first of their hash; one that differs there stays a string of its
+    own, which costs a comparison and loses nothing."""
+    h = np.zeros(len(at), np.uint64)
+    for j in range(length):
+        h = (h ^ words[at + j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    order = np.argsort(h, kind="stable")
+    new = np.r_[True, h[order][1:] != h[order][:-1]]
+    lead = at[order][np.flatnonzero(new)][np.cumsum(new) - 1]  # the first window of each one's hash
+    mine = at[order]
+    for j in range(length):
+        new |= words[mine + j] != words[lead + j]
+    # a differing window begins a string; those after it that equal the first are found again below it
+    number = np.cumsum(new) - 1
+    of = np.empty(len(at), np.int64)
+    of[order] = number
+    return mine[new], of
+
+
 class Matcher:
-    """All test strings of some benchmark items."""
+    """All test strings of some benchmark items, as arrays: the items' words
+    by number, the strings' starts, and each string's items by offsets."""
 
     def __init__(self, items: Iterable[tuple[str | None, bytes | None]], window: int = WINDOW) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        self.names: list[str | None] = []
+        vocabulary, parts, sizes = self.vocabulary, [], []
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            if not ids:
-                continue
-            for s in range(max(1, len(ids) - window + 1)):
-                key = tuple(ids[s:s + window])
-                owners.setdefault(key, set())
-                if item is not None:
-                    owners[key].add(item)
-        self.tables: list[tuple[WuManber, list[set[str]]]] = []
-        for length in sorted({len(k) for k in owners}):
-            keys = [k for k in owners if len(k) == length]
-            self.tables.append((WuManber(np.array(keys, np.int64)), [owners[k] for k in keys]))
+            ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                parts.append(ids)
+                sizes.append(len(ids))
+                self.names.append(item)
+        sizes = np.array(sizes, np.int64)
+        words = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        first = np.cumsum(sizes) - sizes
+        count = np.maximum(1, sizes - window + 1)  # strings of each item
+        self.tables: list[tuple[WuManber, np.ndarray, np.ndarray]] = []
+        for length in np.unique(np.minimum(sizes, window)).tolist():
+            some = np.flatnonzero(np.minimum(sizes, window) == length)
+            n = count[some]
+            owner = np.repeat(some, n)
+            at = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            at, of = distinct_windows(words, at.astype(np.int32), length)
+            order = np.argsort(of, kind="stable")
+            begins = np.searchsorted(of[order], np.arange(len(at) + 1))
+            self.tables.append((WuManber(words, at, length), owner[order].astype(np.int32), begins.astype(np.int32)))
+        self.words = words
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes of the arrays."""
+        return self.words.nbytes + sum(t.nbytes + o.nbytes + b.nbytes for t, o, b in self.tables)
 
     def scan(self, texts: list[bytes | None]) -> Iterator[tuple[int, list[int], list[str]]]:
         """Per text: number of words, hit spans (start, end, start, end, ...;
@@ -118,7 +162,7 @@ class Matcher:
         first = np.cumsum(sizes) - sizes
         doc_at = np.repeat(np.arange(len(docs)), sizes)
         spans, items = [[] for _ in docs], [set() for _ in docs]
-        for table, owners in self.tables:
+        for table, owners, begins in self.tables:
             n = np.maximum(0, sizes - table.length + 1)  # last words of strings in a document
             lanes = -(-n // LANE)
             doc = np.repeat(np.arange(len(docs)), lanes)
@@ -128,9 +172,10 @@ class Matcher:
             for s, k in zip(start.tolist(), string.tolist()):
                 d = int(doc_at[s])
                 spans[d].append((s - int(first[d]), s - int(first[d]) + table.length))
-                items[d] |= owners[k]
+                items[d].update(owners[begins[k]:begins[k + 1]].tolist())
         for d in range(len(docs)):
-            yield int(sizes[d]), merged(spans[d]), sorted(items[d])
+            found = {self.names[i] for i in items[d]} - {None}
+            yield int(sizes[d]), merged(spans[d]), sorted(found)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -188,8 +233,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Repeated rows give repeated results; an empty benchmark hits nothing.
 
     The benchmark is sent to every executor in passes of at most PASS_BYTES
-    of item text (measured first); with more than one pass, results are
-    merged by the row's id and text hash.
+    of item text (measured first; its tables in a worker have about twelve
+    times as many bytes); a pass' result is written and what was sent is
+    released before the next one. With more than one pass, results are merged
+    by the row's id and text hash, repeated rows counted.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -198,19 +245,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     passes = max(1, -(-held // PASS_BYTES))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
     id_type = rows.schema["_id"].dataType.simpleString()
-    scans = []
+    shape = f"_id {id_type}, _th long, n_words long, spans array<long>, items array<string>"
+    found = None
     for p in range(passes):
         part = items.where(F.expr(f"pmod(xxhash64(text), {passes}) = {p}")).collect() if passes > 1 else items.collect()
         sent = spark.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in part])
-        scans.append(rows.mapInArrow(_scan_with(sent, "_id", "_text"),
-                                     f"_id {id_type}, _th long, n_words long, spans array<long>, items array<string>"))
-    found = scans[0]
+        scan = rows.mapInArrow(_scan_with(sent, "_id", "_text"), shape)
+        if passes == 1:
+            found = scan
+            break
+        scan = keep(scan.withColumn("pass", F.lit(p)), "windows-pass")
+        sent.unpersist()
+        found = scan if found is None else found.unionByName(scan)
     if passes > 1:
-        for more in scans[1:]:
-            found = found.unionByName(more)
-        found = found.groupBy("_id", "_th").agg(
-            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-            F.flatten(F.collect_list("items")).alias("items"), (F.count(F.lit(1)) / passes).cast("int").alias("copies"))
+        # equal rows have equal results of a pass: one of them stays, and their number
+        each = found.groupBy("_id", "_th", "pass").agg(F.max("n_words").alias("n_words"), F.max("spans").alias("spans"),
+                                                      F.max("items").alias("items"), F.count(F.lit(1)).alias("copies"))
+        found = each.groupBy("_id", "_th").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+                                               F.flatten(F.collect_list("items")).alias("items"), F.max("copies").cast("int").alias("copies"))
         found = found.select("*", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "col")
     out = found.mapInArrow(_judge, f"_id {id_type}, text_hash long, n_words long, n_hit long, n_items long, items_sha256 string, "
                                    "contaminated boolean, item_ids array<string>, hit_spans array<long>")
