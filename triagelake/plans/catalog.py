@@ -27,7 +27,7 @@ from ..functions.text import pystrip
 from ..session import checkpoint_dir
 from ..operators.index import IndexStore, Snapshot
 from ..sources import fs
-from ..sources.files import read_csv, read_kb_export, write_csv
+from ..sources.files import read_csv, read_incidents, read_kb_export, write_csv
 from ..sources.sinks import write_with_manifest
 from ..sources.tables import keep_table, read_table, table_path
 from . import fixtures as FX
@@ -41,6 +41,13 @@ def incident_clean(spark: SparkSession, d: str) -> DataFrame:
     return P.incident_training_text(P.clean_incidents(FX.incident(spark, d)))
 
 
+def incident_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The incidents landed as Parquet and read with their declared schema."""
+    path = os.path.join(checkpoint_dir(spark), f"incidents-{uuid.uuid4().hex}")
+    FX.incident(spark, d).write.parquet(path)
+    return read_incidents(spark, path)
+
+
 def _kb_numbered(spark: SparkSession, d: str) -> DataFrame:
     """Title, body, text and ordinal of every page. Only the ids are numbered;
     the texts are made once and the ordinal is joined to them."""
@@ -187,6 +194,27 @@ def embed_hash(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", F.col("bucket").cast("int").alias("bucket"), F.round("weight", 6).alias("weight"))
 
 
+LETTERS = "aeiou"
+
+
+def _vowel_counts():
+    """a user's encoder; called once per Python worker."""
+    import numpy as np
+
+    def predict(texts):
+        return np.stack([np.array([float(t.count(c)) for t in texts], np.float32) for c in LETTERS], axis=1)
+    return predict
+
+
+def embed_user(spark: SparkSession, d: str) -> DataFrame:
+    """V1 + F2 + V3: documents embedded by a user's encoder, at unit length."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    e = keep_table(V.with_norm(V.embed_with(docs, "text", _vowel_counts, len(LETTERS)).drop("text")), "user-embeddings")
+    unit = V.l2_normalize(e)
+    return unit.select("doc_id", F.posexplode("embedding").alias("dim", "weight")).select(
+        "doc_id", F.col("dim").cast("int").alias("dim"), F.round("weight", 6).alias("weight"))
+
+
 def manifest(spark: SparkSession, d: str) -> DataFrame:
     """S6 + S7: the manifest of an embedding dataset, from its write."""
     e = read_table(spark, d, "embeddings")
@@ -489,6 +517,7 @@ def stream_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "incident_scan": incident_scan,
     "incident_clean": incident_clean,
     "kb_text": kb_text,
     "corpus_union": corpus_union,
@@ -497,6 +526,7 @@ QUERIES: dict[str, Query] = {
     "csv_scan": csv_scan,
     "kb_export_scan": kb_export_scan,
     "embed_hash": embed_hash,
+    "embed_user": embed_user,
     "manifest": manifest,
     "topk_batch": topk_batch,
     "topk_self": topk_self,

@@ -498,7 +498,13 @@ _ANSWER_LINE = render(rules.ANSWER_CONTEXT_LINE)
 _GROUP_LINE = render(rules.GROUP_CONTEXT_LINE)
 
 ORACLE: dict[str, str] = {
+    "incident_scan": _q("select * from incident"),
     "incident_clean": _q("select * from incident_text"),
+    "embed_user": _q("""
+, letters as (select doc_id, i as dim, len(coalesce(text, '')) - len(replace(coalesce(text, ''), substr('aeiou', i + 1, 1), '')) as c
+              from documents, range(5) r(i)),
+norms as (select doc_id, sqrt(sum(c * c)) as n from letters group by doc_id)
+select doc_id, dim::integer as dim, round(case when n > 0 then c / n else 0.0 end, 6) as weight from letters join norms using (doc_id)"""),
     "kb_text": _q("select * from kb_text"),
     "corpus_union": _q("select * from corpus_union"),
     "corpus_filter": _q(f"""
