@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 
@@ -78,6 +79,42 @@ def text_slices(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tu
             yield batch.slice(start), texts[start:]
 
 
+#: Result rows of by_group's batches.
+GROUP_OUT_ROWS = 4096
+
+
+def by_group(rows: DataFrame, keys: list[str], order: list[str], cols: list[str], fn, schema: str) -> DataFrame:
+    """``fn(key, rows)`` for every group, rows as tuples of ``cols`` in
+    ``order``; it returns result rows as tuples of ``schema``. Groups are read
+    from sorted batches, so thousands of small ones cost no frame each; a group
+    must be bounded. ``rows`` must be partitioned by the keys."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    shape = to_arrow_schema(T._parse_datatype_string(schema))
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        key, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out)) if out else [()] * len(shape)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if held and row[:n] != key:
+                    out.extend(fn(key, held))
+                    held = []
+                    if len(out) >= GROUP_OUT_ROWS:
+                        yield flush()
+                key = row[:n]
+                held.append(row[n:])
+        if held:
+            out.extend(fn(key, held))
+        yield flush()
+    return rows.sortWithinPartitions(*keys, *order).select(*keys, *cols).mapInArrow(run, schema)
+
+
 #: Slots of the bitmap that maybe_in() builds: 8 MB, whatever the input.
 BITMAP_SLOTS = 1 << 26
 

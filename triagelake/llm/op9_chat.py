@@ -12,15 +12,13 @@ tracing each chunk back between its known end states.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.corpus import dense_ordinal
-from .common import keep, read, training_rows
+from .common import by_group, keep, read, small_batches, training_rows
 
 # ---- Fixed values: roles, markers and the canonical form ---------------------
 ROLES = ["system", "user", "assistant"]
@@ -132,30 +130,23 @@ def trace(model: ChatModel, feats: np.ndarray, before: int, end: int) -> list[in
     return path[::-1]
 
 
-def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values("_ord")
-
-
-def _chunk_features(pdf: pd.DataFrame) -> list[np.ndarray]:
-    return [line_features(lines_of(t), bool(o)) for t, o in zip(pdf["_text"], pdf["_opening"])]
-
-
-def _count(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Counts of one chunk's labelled blocks: transitions, features, and the
-    states at the chunk's ends (-1: not labelled)."""
-    conv, chunk = pdf["_conv"].iloc[0], pdf["_chunk"].iloc[0]
-    pdf = _ordered(pdf)
+def _count(key: tuple, blocks: list[tuple]) -> list[tuple]:
+    """Counts of one chunk's labelled blocks (text, opening, role, learn):
+    transitions, features, and the states at the chunk's ends (-1: not
+    labelled)."""
+    conv, chunk = key
     rows: dict[tuple[str, int, int], int] = {}
 
-    def add(*key) -> None:
-        rows[key] = rows.get(key, 0) + 1
+    def add(*what) -> None:
+        rows[what] = rows.get(what, 0) + 1
 
     last, heads = -1, []
-    for feats, role, known in zip(_chunk_features(pdf), pdf["_role"], pdf["_learn"]):
+    for text, opening, role, known in blocks:
         if not known or role not in ROLES:
             last = -1
             heads.append(-1)
             continue
+        feats = line_features(lines_of(text), bool(opening))
         s = 2 * ROLES.index(role)
         heads.append(s)
         for i, line in enumerate(feats.tolist()):
@@ -166,17 +157,15 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
             last = s + (i > 0)
             for k, value in enumerate(line):
                 add(f"f{k}", last, value)
-    out = [(conv, a, b, c, n, chunk) for (a, b, c), n in rows.items()]
-    out.append((conv, "edge", heads[0], last, 0, chunk))
-    return pd.DataFrame(out, columns=["conv", "kind", "a", "b", "n", "chunk"])
+    return [*((conv, a, b, c, n, chunk) for (a, b, c), n in rows.items()), (conv, "edge", heads[0], last, 0, chunk)]
 
 
 def learn(blocks: DataFrame) -> ChatModel:
     """Model from the counts of all prepared blocks that have a role and a
     training id."""
     kind = blocks.schema["_conv"].dataType.simpleString()
-    counts = keep(blocks.groupBy("_conv", "_chunk").applyInPandas(
-        _count, f"conv {kind}, kind string, a int, b int, n long, chunk long"), "chat-counts")
+    counts = keep(by_group(blocks, ["_conv", "_chunk"], ["_ord"], ["_text", "_opening", "_role", "_learn"], _count,
+                           f"conv {kind}, kind string, a int, b int, n long, chunk long"), "chat-counts")
     order = Window.partitionBy("conv").orderBy("chunk")  # one row per chunk
     edges = (counts.where("kind = 'edge'").withColumn("before", F.lag("b").over(order))
              .where("a >= 0 AND before >= 0").groupBy(F.lit("move").alias("kind"), F.col("before").alias("x"), F.col("a").alias("y"))
@@ -206,11 +195,14 @@ def prepare(rows: DataFrame, conv_col: str, pos_col: str, text_col: str, role_co
     return out.join(opens, F.col("_ord") == F.col("_open"), "left").withColumn("_opening", F.col("_open").isNotNull()).drop("_open")
 
 
+def _features(blocks: list[tuple]) -> np.ndarray:
+    """Features of all lines of blocks (text, opening, ...)."""
+    return np.concatenate([line_features(lines_of(b[0]), bool(b[1])) for b in blocks])
+
+
 def _matrices(model):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        conv, chunk = pdf["_conv"].iloc[0], pdf["_chunk"].iloc[0]
-        m = chunk_matrix(model.value, np.concatenate(_chunk_features(_ordered(pdf))))
-        return pd.DataFrame({"_conv": [conv], "idx": [chunk], "m": [m.ravel()]})
+    def run(key: tuple, blocks: list[tuple]) -> list[tuple]:
+        return [(*key, chunk_matrix(model.value, _features(blocks)).ravel().tolist())]
 
     return run
 
@@ -219,22 +211,21 @@ def _square(m) -> np.ndarray:
     return np.asarray(m).reshape(STATES + 1, STATES + 1)
 
 
-def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One matrix for consecutive ones."""
-    pdf = pdf.sort_values("idx")
-    best = _square(pdf["m"].iloc[0])
-    for m in pdf["m"].iloc[1:]:
+def _combine(key: tuple, rows: list[tuple]) -> list[tuple]:
+    """One matrix for consecutive ones (m)."""
+    best = _square(rows[0][0])
+    for m, in rows[1:]:
         best = step(best, _square(m))
-    return pd.DataFrame({"_conv": [pdf["_conv"].iloc[0]], "idx": [pdf["grp"].iloc[0]], "m": [best.ravel()]})
+    return [(*key, best.ravel().tolist())]
 
 
-def _borders(pdf: pd.DataFrame) -> pd.DataFrame:
-    """States before and at the end of each of a sequence's matrices, given
-    those of the whole sequence (``end`` -1: any, the best)."""
-    pdf = pdf.sort_values("idx")
-    before, end = int(pdf["before"].iloc[0]), int(pdf["end"].iloc[0])
-    v, back = _square(pdf["m"].iloc[0])[before], []
-    for m in pdf["m"].iloc[1:]:
+def _borders(key: tuple, rows: list[tuple]) -> list[tuple]:
+    """States before and at the end of each of a sequence's matrices (idx, m,
+    before, end), given those of the whole sequence (``end`` -1: any, the
+    best)."""
+    before, end = rows[0][2], rows[0][3]
+    v, back = _square(rows[0][1])[before], []
+    for _, m, _, _ in rows[1:]:
         w = v[:, None] + _square(m)
         back.append(w.argmax(0))
         v = w.max(0)
@@ -242,7 +233,7 @@ def _borders(pdf: pd.DataFrame) -> pd.DataFrame:
     for b in reversed(back):
         ends.append(int(b[ends[-1]]))
     ends.reverse()
-    return pd.DataFrame({"_conv": pdf["_conv"].to_numpy(), "idx": pdf["idx"].to_numpy(), "before": [before, *ends[:-1]], "end": ends})
+    return [(key[0], r[0], s, e) for r, s, e in zip(rows, [before, *ends[:-1]], ends)]
 
 
 def chunk_borders(matrices: DataFrame) -> DataFrame:
@@ -254,34 +245,33 @@ def chunk_borders(matrices: DataFrame) -> DataFrame:
     levels = [matrices]
     while levels[-1].groupBy("_conv").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] > COMBINE:
         grouped = levels[-1].withColumn("grp", F.floor(F.col("idx") / COMBINE))
-        levels.append(keep(grouped.groupBy("_conv", "grp").applyInPandas(
-            _combine, f"_conv {kind}, idx long, m array<double>"), "chat-matrices"))
+        levels.append(keep(by_group(grouped.repartition("_conv", "grp"), ["_conv", "grp"], ["idx"], ["m"], _combine,
+                                    f"_conv {kind}, idx long, m array<double>"), "chat-matrices"))
     shape = f"_conv {kind}, idx long, before int, end int"
     top = levels[-1].withColumn("before", F.lit(START)).withColumn("end", F.lit(-1))
-    borders = keep(top.groupBy("_conv").applyInPandas(_borders, shape), "chat-borders")
+    cols = ["idx", "m", "before", "end"]
+    borders = keep(by_group(top.repartition("_conv"), ["_conv"], ["idx"], cols, _borders, shape), "chat-borders")
     for below in reversed(levels[:-1]):
         upper = borders.select(F.col("_conv").alias("_c"), F.col("idx").alias("grp"), "before", "end")
         rows = below.withColumn("grp", F.floor(F.col("idx") / COMBINE))
         rows = rows.join(upper.withColumnRenamed("grp", "_g"), rows["_conv"].eqNullSafe(F.col("_c")) & (rows["grp"] == F.col("_g")))
-        borders = keep(rows.groupBy("_conv", "grp").applyInPandas(_borders, shape), "chat-borders")
+        borders = keep(by_group(rows.repartition("_conv", "grp"), ["_conv", "grp"], ["idx"], cols, _borders, shape), "chat-borders")
     return borders
 
 
 def _roles(model):
-    """Lines of one chunk with their states and place."""
+    """Lines of one chunk (text, opening, pos, before, end) with their states
+    and place."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        conv, chunk = pdf["_conv"].iloc[0], pdf["_chunk"].iloc[0]
-        before, end = int(pdf["before"].iloc[0]), int(pdf["end"].iloc[0])
-        pdf = _ordered(pdf)
-        path = iter(trace(model.value, np.concatenate(_chunk_features(pdf)), before, end))
+    def run(key: tuple, blocks: list[tuple]) -> list[tuple]:
+        path = iter(trace(model.value, _features(blocks), blocks[0][3], blocks[0][4]))
         out = []
-        for pos, text in zip(pdf["_pos"], pdf["_text"]):
+        for text, _, pos, _, _ in blocks:
             for k, line in enumerate(lines_of(text)):
                 s = next(path)
                 m = MARKER.match(line)
-                out.append((conv, chunk, None if pd.isna(pos) else int(pos), len(out), k, s // 2, s % 2 == 0, line[m.end():] if m else line))
-        return pd.DataFrame(out, columns=["conv", "chunk", "pos", "at", "line", "role", "begins", "text"])
+                out.append((*key, pos, len(out), k, s // 2, s % 2 == 0, line[m.end():] if m else line))
+        return out
 
     return run
 
@@ -299,18 +289,19 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", pos_col: str = "tur
     rows are blocks of their own. A speaker marker is cut from its line.
     """
     spark = rows.sparkSession
+    small_batches(spark)
     # a chunk is little data but much work: as many tasks as the session has shuffle partitions, not fewer
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = keep(prepare(rows, conv_col, pos_col, text_col, role_col), "chat-blocks").repartition(tasks, "_conv", "_chunk")
     model = learn(blocks)
     sent = spark.sparkContext.broadcast(model)
     kind = blocks.schema["_conv"].dataType.simpleString()
-    matrices = keep(blocks.groupBy("_conv", "_chunk").applyInPandas(
-        _matrices(sent), f"_conv {kind}, idx long, m array<double>"), "chat-matrices")
+    chunk = ["_conv", "_chunk"]
+    matrices = keep(by_group(blocks, chunk, ["_ord"], ["_text", "_opening"], _matrices(sent), f"_conv {kind}, idx long, m array<double>"), "chat-matrices")
     borders = chunk_borders(matrices).withColumnsRenamed({"_conv": "_bc", "idx": "_bi"})
     placed = blocks.join(borders, blocks["_conv"].eqNullSafe(borders["_bc"]) & (blocks["_chunk"] == borders["_bi"])).drop("_bc", "_bi")
-    lines = keep(placed.groupBy("_conv", "_chunk").applyInPandas(
-        _roles(sent), f"conv {kind}, chunk long, pos long, at long, line int, role int, begins boolean, text string"), "chat-lines")
+    lines = keep(by_group(placed.repartition(tasks, *chunk), chunk, ["_ord"], ["_text", "_opening", "_pos", "before", "end"], _roles(sent),
+                          f"conv {kind}, chunk long, pos long, at long, line int, role int, begins boolean, text string"), "chat-lines")
     # turn numbers: turns begun in earlier chunks, plus those begun before in the chunk
     begun = lines.groupBy("conv", "chunk").agg(F.count_if("begins").alias("_n"))
     earlier = Window.partitionBy("conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
