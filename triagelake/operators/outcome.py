@@ -77,10 +77,11 @@ def result_columns(handler: Column, code: Column, body: Column) -> dict[str, Col
     }
 
 
-def interpret_action_result(results: DataFrame, key: str = "request_id") -> DataFrame:
-    """O3 for a table of responses (key, handler, http_code, body)."""
+def interpret_action_result(results: DataFrame, key: str = "request_id", whole: bool = False) -> DataFrame:
+    """O3 for a table of responses (key, handler, http_code, body); with
+    ``whole`` also ``mcp_body``."""
     read = result_columns(F.col("handler"), F.col("http_code"), F.col("body"))
-    return results.select(key, *[c.alias(n) for n, c in read.items()])
+    return results.select(key, *[c.alias(n) for n, c in read.items() if whole or n != "mcp_body"])
 
 
 def _with_status_code(body: Column, code: Column) -> Column:

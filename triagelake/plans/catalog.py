@@ -424,7 +424,7 @@ def _planned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def action_result(spark: SparkSession, d: str) -> DataFrame:
-    return O.interpret_action_result(FX.action_result(spark, d))
+    return O.interpret_action_result(FX.action_result(spark, d), whole=True)
 
 
 def update_response(spark: SparkSession, d: str) -> DataFrame:
