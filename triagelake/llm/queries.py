@@ -16,7 +16,7 @@ from .op10_graph import op10_flat_graph
 from .op11_vptree import OP11_SQL, op11_vp_clusters
 from .op12_bpe import op12_bpe_codec
 from .op13_merkle import OP13_SQL, op13_merkle_manifest
-from .twins import MIX_TARGETS_SQL, OP4_SQL, OP10_SQL, URL_RULES_SQL, mix_targets, url_rules
+from .twins import MIX_TARGETS_SQL, OP4_SQL, OP6_SQL, OP10_SQL, URL_RULES_SQL, mix_targets, url_rules
 
 QUERIES = {
     "op1_mix_entropy": op1_mix_entropy,
@@ -40,6 +40,7 @@ QUERIES = {
 ORACLE = {
     "op3_wu_manber": OP3_SQL,
     "op4_parity_join": OP4_SQL,
+    "op6_suffix_dedup": OP6_SQL,
     "op10_flat_graph": OP10_SQL,
     "mix_targets": MIX_TARGETS_SQL,
     "url_rules": URL_RULES_SQL,

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .op1_mixing import CAP, WEIGHTS, mix
+from .op6_suffix import MATCH
 from .op7_url_tree import RULES, judge
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,6 +47,26 @@ links as (select x, y from linked union all select y, x from linked union all se
 {_closure('links')}
 select doc_id, len(sh)::bigint as n_shingles, low as component_id from sets join comp on id = doc_id"""
 
+#: Every window of 200 bytes by its MD5, from blocks of 2,048 starts; the rest of
+#: a text is what lies between the covered runs.
+OP6_SQL = f"""
+with t as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+n as (select *, len(h) // 2 as n from t),
+b as (select r, n, s, substr(h, 2 * s + 1, {2 * (2048 + MATCH - 1)}) as part from (select r, n, h, unnest(generate_series(0, n - {MATCH}, 2048)) as s from n where n >= {MATCH})),
+w as (select r, s + i as pos, md5(substr(part, 2 * i + 1, {2 * MATCH})) as m from (select r, s, part, unnest(generate_series(0, least(2047, n - {MATCH} - s))) as i from b)),
+twice as (select m from w group by m having count(*) > 1),
+hit as (select r, pos from w where m in (select m from twice)),
+runs as (select r, pos, sum(case when pos <= before + {MATCH} then 0 else 1 end) over (partition by r order by pos) as k
+         from (select *, lag(pos) over (partition by r order by pos) as before from hit)),
+spans as (select r, k, min(pos) as a, max(pos) + {MATCH} as z from runs group by r, k),
+cut as (select r, sum(z - a) as removed, count(*) as spans from spans group by r),
+gaps as (select r, a, coalesce(lag(z) over (partition by r order by a), 0) as from_, a as to_ from spans
+         union all select n.r, n.n, max(z), n.n from spans join n using (r) group by n.r, n.n),
+rest as (select g.r, string_agg(substr(h, 2 * from_ + 1, 2 * (to_ - from_)), '' order by from_) as kept from gaps g join n using (r) group by g.r)
+select doc_id, n::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(kept, h))) as kept_sha256
+from n left join cut using (r) left join rest using (r)"""
+
 OP10_SQL = f"""
 with recursive v as (
 select vec_id, label, embedding::double[] as e, len(embedding) as n, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as norm from embeddings),
