@@ -101,10 +101,18 @@ STATE_PARTS = 16
 _COMMITS = "_commits"
 
 
+def committed(spark: SparkSession, out_dir: str) -> list[int]:
+    """Committed batches of an output folder, in order."""
+    return sorted(int(n[:-5]) for n in fs.names(spark, f"{out_dir}/{_COMMITS}") if n.endswith(".json") and not n.startswith("."))
+
+
+def commit_of(spark: SparkSession, out_dir: str, batch_id: int) -> dict:
+    return json.loads(fs.read_text(spark, f"{out_dir}/{_COMMITS}/{batch_id:010d}.json"))
+
+
 def commits(spark: SparkSession, out_dir: str) -> dict[int, dict]:
     """Committed batches of an output folder: batch_id -> what it recorded."""
-    found = [n for n in fs.names(spark, f"{out_dir}/{_COMMITS}") if n.endswith(".json") and not n.startswith(".")]
-    return {int(n[:-5]): json.loads(fs.read_text(spark, f"{out_dir}/{_COMMITS}/{n}")) for n in found}
+    return {b: commit_of(spark, out_dir, b) for b in committed(spark, out_dir)}
 
 
 def read_committed(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
@@ -144,11 +152,11 @@ def start_triage_stream(spark: SparkSession, request_dir: str, out_dir: str,
     stream = reader.parquet(request_dir)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        done = commits(spark, out_dir)
+        done = committed(spark, out_dir)
         if batch_id in done:
             return  # committed before the failure that made this a replay
-        earlier = [c for b, c in sorted(done.items()) if b < batch_id]
-        parts = earlier[-1]["state"] if earlier else []
+        earlier = [b for b in done if b < batch_id]
+        parts = commit_of(spark, out_dir, earlier[-1])["state"] if earlier else []
         applied = _applied(spark, out_dir, parts, batch_id - expire_batches)
         made = triage_batch(batch, responses, payloads, action_results, registry, persist=True,
                             index=index, answers=answers, applied=applied)
