@@ -292,3 +292,51 @@ def test_search_texts_hot_text(spark, sf_small):
     for i in range(0, 600, 3):   # every hot request: its own k of the same ranking
         k = 2 if i % 2 else 5
         assert sorted(by_req[i]) == ranked[:k]
+
+
+def test_equal_vectors_are_searched_once(spark):
+    from triagelake.operators.cells import Work
+    rng = np.random.default_rng(6)
+    kinds = rng.normal(size=(30, 8))
+    vecs = {i: kinds[i % 30] for i in range(1200)}
+    q = {i: kinds[i % 30] for i in range(600)}
+    cdf = spark.createDataFrame([(i, v.tolist()) for i, v in vecs.items()], "id long, embedding array<double>")
+    qdf = spark.createDataFrame([(i, v.tolist(), 1 + i % 7) for i, v in q.items()], "qid long, embedding array<double>, k int")
+    work, got = Work(), {}
+    for r in sorted(V.topk_search(qdf, cdf, k_col="k", c_block_rows=10, work=work).collect(), key=lambda r: (r["qid"], r["rank"])):
+        got.setdefault(r["qid"], []).append(r["id"])
+    want = brute_topk(q, vecs, 7)
+    assert got == {i: [c for c, _ in x][:1 + i % 7] for i, x in want.items()}
+    assert work.pairs <= 30 * 12                                              # 30 vectors, not 600 queries against 120 blocks
+
+
+def test_small_blocks_share_tasks():
+    from triagelake.operators.cells import lots_of
+    loads, counts = {c: 700 for c in range(500)}, {c: 128 for c in range(500)}
+    lots, n = lots_of(loads, counts, 32768, 32768)
+    assert n == -(-500 // (32768 // 700)) and {x[1:] for x in lots.values()} == {(1, 1)}   # not 500 cells * 11 parts of 64
+    loads, counts = {0: 5, 1: 70_000, 2: 5}, {0: 10, 1: 100_000, 2: 10}
+    lots, n = lots_of(loads, counts, 32768, 32768)
+    assert lots[1][1:] == (4, 3) and n == 13 and lots[0] == lots[2]            # a large cell has lots of its own
+
+
+def test_a_large_cell_does_not_hide_the_cells_after_it(spark):
+    """A wave in which no query has a cell is not the last one."""
+    rng = np.random.default_rng(8)
+    vecs = {i: np.r_[1.0, 0.001 * rng.normal(size=5)] for i in range(900)}
+    vecs |= {i: np.r_[0.8, 0.6, 0.001 * rng.normal(size=4)] for i in range(900, 940)}
+    q = {i: np.r_[1.0, 0.02 * rng.normal(size=5)] for i in range(20)}
+    got = run_topk(spark, q, vecs, 920, c_block_rows=4, c_blocks=2)
+    want = brute_topk(q, vecs, 920)
+    assert {i: [c for c, _ in x] for i, x in got.items()} == {i: [c for c, _ in x] for i, x in want.items()}
+
+
+def test_texts_are_packed_row_by_row(spark):
+    rows = [(1, "a b a"), (1, "a"), (2, " ., "), (3, None), (None, "Ünï 12 b")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = [(r["id"], dict(zip(r["bs"], r["vs"])), list(r["bs"])) for r in V.pack_texts(df, "text").collect()]
+    for i, (key, text) in enumerate(rows):
+        one = V.pack(V.hash_counts(spark.createDataFrame([(key, text)], "id long, text string"), "id", "text"), "id").collect()
+        assert [(r["id"], dict(zip(r["bs"], r["vs"])), list(r["bs"])) for r in one] == ([x for x in got if x[0] == key and sum(x[1].values()) == len((text or "").split())] if one else [])
+    assert len(got) == 3
+    assert "Exchange" not in V.pack_texts(df, "text")._jdf.queryExecution().executedPlan().toString()
