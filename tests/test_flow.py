@@ -294,3 +294,16 @@ def test_counts_of_a_write(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 1
     e = spark.createDataFrame([(1, [0.5, 1.0])], "id long, embedding array<float>")
     assert write_with_manifest(e, str(tmp_path / "e"), model_name="m") == {"model_name": "m", "num_records": 1, "embedding_dim": 2}
+
+
+def test_an_arrival_lands_in_files_of_its_own_and_is_one_batch(spark, sf_small, tmp_path):
+    from triagelake.sources import fs
+    req = FX.request(spark, sf_small).where("request_id < 60").repartition(3)
+    base = str(tmp_path / "run")
+    out = S.run_stream_once(spark, req, FX.response(spark, sf_small), None, None, work_dir=base, tables=("decisions",),
+                            arrival=F.pmod(F.col("request_id"), F.lit(2)), arrivals=2)
+    files = [n for n in fs.names(spark, f"{base}/requests") if n.startswith("part-")]
+    assert len(files) == 6                                                    # three tasks wrote each arrival, not one
+    got = {b: {r["request_id"] % 2 for r in rows} for b, rows in
+           ((b, S.read_committed(spark, out, "decisions").where(F.col("batch_id") == b).collect()) for b in S.committed(spark, out))}
+    assert got == {0: {0}, 1: {1}}
