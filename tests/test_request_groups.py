@@ -42,3 +42,15 @@ def test_folds_by_group_are_folds_by_request(spark):
             == Counter(C.answer_prompts(requests, C.fold_context(plain, "request_id"), qid="request_id").collect()))
     assert (Counter(C.group_prompts(grouped, found, qid="group_id", by="group_id").collect())
             == Counter(C.group_prompts(requests, plain, qid="request_id").collect()))
+
+
+def test_shared_texts_are_written_once_a_file(spark, tmp_path):
+    import random
+
+    from triagelake.streaming.stream import _write
+    texts = [random.Random(i).randbytes(8000).hex() for i in range(150)]  # 2.4 MB that do not compress much
+    table = spark.createDataFrame(list(enumerate(texts)), "n long, training_text string")
+    rows = spark.range(4000).selectExpr("id AS request_id", "id * 7 % 150 AS n").join(table, "n").drop("n").coalesce(1)
+    _write(rows, str(tmp_path), 0)
+    assert spark.read.parquet(str(tmp_path)).count() == 4000
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 6e6  # 64 MB of texts
