@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from triagelake.operators import cells as C
 from triagelake.operators import vectors as V
@@ -69,3 +72,56 @@ def test_pairs_left_for_more_waves_are_found(spark, monkeypatch):
     got = V.topk_search(df.withColumnRenamed("id", "qid"), df, 290, c_block_rows=20, work=work).collect()
     assert len(got) == 300 * 290 == len({(r["qid"], r["id"]) for r in got}) and len(work.waves) >= 4
     assert work.scored == work.pairs
+
+
+def _few_of_many(spark, rng):
+    """A corpus of 60 cells of 20 rows, and of each cell two rows (some of zeros)."""
+    centres = rng.normal(size=(60, 8))
+    vecs = np.repeat(centres, 20, axis=0) + 0.2 * rng.normal(size=(1200, 8))
+    vecs[::97] = 0.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vec array<double>")
+    return vecs, C.deal(df, ("vec",), None, 20)
+
+
+def test_cells_left_with_few_rows_are_merged(spark):
+    """To bound a cell costs more than to score the few rows it has left."""
+    vecs, dealt = _few_of_many(spark, np.random.default_rng(8))
+    some = C.narrowed(dealt, dealt.rows.where("id % 10 = 0 OR id % 97 = 0"))
+    assert len(dealt.numbers) > 40 and len(some.numbers) <= -(-some.counts.sum() // 20) + 1
+    got = {r["id"]: r["cell"] for r in some.rows.collect()}
+    assert sorted(got) == [i for i in range(1200) if i % 10 == 0 or i % 97 == 0]
+    assert {int(n): int(c) for n, c in zip(some.numbers, some.counts)} == pd.Series(got).value_counts().to_dict()
+    unit = C.unit_rows(vecs)
+    q = C.unit_rows(np.vstack([np.random.default_rng(9).normal(size=(50, 8)), np.zeros((1, 8)), vecs[:50]]))
+    upper = pd.DataFrame(some.bounds(q), columns=some.numbers)
+    for i, cell in got.items():
+        assert (q @ unit[i] <= upper[cell]).all()
+
+
+def test_merged_cells_hold_the_best_rows(spark, monkeypatch):
+    monkeypatch.setattr(C, "PAIRS_AT_ONCE", 0)
+    vecs, dealt = _few_of_many(spark, np.random.default_rng(10))
+    rows = dealt.rows.where("id % 10 = 0 OR id % 97 = 0").union(dealt.rows.where("id % 20 = 0").withColumn("id", F.col("id") + 5000))
+    q = dealt.rows.where("id % 7 = 0").select(F.col("id").alias("qid"), F.lit(9).alias("k"), "vec")
+    got = V.search_dealt(q, replace(dealt, rows=rows)).collect()
+    ids = np.array(sorted(r["id"] for r in rows.collect()))
+    unit = C.unit_rows(vecs)
+    for i in range(0, 1200, 7):
+        s = np.round(unit[ids % 5000] @ unit[i], 4)
+        order = np.lexsort((ids, -s))[:9]
+        assert [r["id"] for r in sorted((r for r in got if r["qid"] == i), key=lambda r: r["rank"])] == ids[order].tolist()
+
+
+def test_pairs_of_a_product_hold_each_rows_best():
+    rng = np.random.default_rng(12)
+    s = np.where(rng.random((70, 900)) < 0.2, -np.inf, rng.random((70, 900)) - 0.3).astype(np.float32)
+    s[3] = -np.inf
+    k = rng.integers(1, 9, 70)
+    for least in (np.full(70, -np.inf), np.full(70, 0.0), np.where(np.arange(70) % 2, 0.65, -np.inf)):
+        for positive in (False, True):
+            r, at = V._block_pairs(s, k, least, positive)
+            got = set(zip(r.tolist(), at.tolist()))
+            assert len(got) == len(r) < 70 * 100 and np.isfinite(s[r, at]).all() and (not positive or (s[r, at] > 0).all())
+            for i in range(70):
+                best = [j for j in np.argsort(-s[i])[:k[i]] if s[i, j] > -np.inf and s[i, j] >= least[i] and (not positive or s[i, j] > 0)]
+                assert {(i, j) for j in best} <= got
